@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontamination, licenses, line_dedup, repeats, sharding, simhash, token_counts, toxicity
+from lodestone.llm import decontamination, gif, licenses, line_dedup, mixing, repeats, sharding, simhash, token_counts, toxicity
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_licenses": licenses.op3_licenses,
     "op4_sharding": sharding.op4_sharding,
     "op5_simhash": simhash.op5_simhash,
+    "op6_gif": gif.op6_gif,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_repeats": repeats.op8_repeats,
     "op9_decontamination": decontamination.op9_decontamination,
