@@ -20,7 +20,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ascii_words, documents, rolling_hashes
+from lodestone.llm.common import ascii_words, documents, rolling_hashes, written
 
 #: Phrase -> label. Fixed values of the contract.
 PHRASES = {
@@ -106,7 +106,8 @@ def license_spans(votes: DataFrame) -> DataFrame:
 
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: dict[str, str] = NOTICES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of `docs`: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans."""
-    spans = license_spans(license_votes(docs, phrases, notices, id_col, text_col))
+    # Two branches read the votes; written once, they cost one pass over the texts. Plain words cast hardly any.
+    spans = license_spans(written(license_votes(docs, phrases, notices, id_col, text_col), "votes"))
     is_phrase = F.col("kind") == "phrase"
     named = F.when(F.col("kind").isNotNull(), F.struct("begin", "end", "label", "kind"))
     by = spans.groupBy("row", "doc_id", "n_words").agg(
