@@ -65,7 +65,14 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = f"{scratch_dir(spark)}/lodestone-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     atexit.register(_forget, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def drop_written(df: DataFrame) -> None:
+    """Delete a table of `written` that nothing will read again."""
+    _forget(df.sparkSession, df.written_path)
 
 
 def free_shuffles(spark: SparkSession) -> None:
