@@ -1,6 +1,5 @@
 """Queries over the reference operators: name -> function of (spark, sf_dir), and their DuckDB SQL."""
 
-from __future__ import annotations
+from lodestone.plans.catalog import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -1,0 +1 @@
+"""Sources and sinks: tables, JSON lines, token shards, scratch tables."""
