@@ -14,7 +14,7 @@ from lodestone.functions import hashing as H
 from lodestone.functions import schemas
 from lodestone.functions import text as T
 from lodestone.functions import training as R
-from lodestone.operators import audit, corpus, dialogs, metrics, near_dup, openapi, pages, tokens
+from lodestone.operators import audit, corpus, dialogs, generate, metrics, near_dup, openapi, pages, tokens
 from lodestone.operators.ordered import global_position, prefix_sum
 
 QUERIES: dict = {}
@@ -581,3 +581,34 @@ def source_probe(spark, d):
     return probe(docs(spark, d).withColumn("license", F.lit("mit")), corpus.ALLOWED_LICENSES)
 
 
+
+
+@query()
+def tool_dialogs(spark, d):
+    return generate.tool_dialogs(spark, 500)
+
+
+@query("SELECT p.source, coalesce(t.tokens, 0)::BIGINT AS tokens, 20000 AS target, least(1.0::DOUBLE, coalesce(t.tokens, 0) / 20000.0::DOUBLE) AS fraction, coalesce(t.tokens, 0) >= 20000 AS complete FROM (SELECT 'src' || i AS source FROM range(21) r(i)) p LEFT JOIN (SELECT source, sum(len(regexp_extract_all(text, '\\S+')))::BIGINT AS tokens FROM documents GROUP BY 1) t USING (source)")
+def build_status(spark, d):
+    targets = spark.range(21).select(F.concat(F.lit("src"), "id").alias("source"), F.lit(20000).alias("target"))
+    have = docs(spark, d).groupBy("source").agg(F.sum(T.whitespace_tokens(F.col("text"))).alias("tokens"))
+    return audit.status_table(targets, have)
+
+
+@query("SELECT source, audited, approved FROM (SELECT source, count(*) AS audited FROM documents GROUP BY 1) a FULL JOIN (SELECT source, count(*) AS approved FROM documents WHERE lang <> 'fr' GROUP BY 1) b USING (source) WHERE audited IS DISTINCT FROM approved")
+def approval_differences(spark, d):
+    rows = docs(spark, d)
+    count = lambda df: df.groupBy("source").agg(F.count(F.lit(1)).alias("allocation"))
+    return audit.approval_differences(count(rows), count(rows.where("lang <> 'fr'")))
+
+
+@query("WITH s AS (SELECT 'o' || lpad((o_orderkey // 1000)::VARCHAR, 6, '0') AS path, count(*) AS tokens FROM orders GROUP BY 1), o AS (SELECT *, sum(tokens) OVER (ORDER BY path) AS upto FROM s) SELECT pos, path, (pos - (upto - tokens))::BIGINT AS off FROM range(0, 1500, 37) r(pos) JOIN o ON pos >= upto - tokens AND pos < upto")
+def token_location(spark, d):
+    """Positions of a token stream to their shard and offset."""
+    parts = _t(spark, d, "orders").groupBy(F.concat(F.lit("o"), F.lpad(F.floor(F.col("o_orderkey") / 1000).cast("string"), 6, "0")).alias("path")).agg(F.count(F.lit(1)).alias("tokens"))
+    return tokens.locate(spark.range(0, 1500, 37).withColumnRenamed("id", "pos"), tokens.shard_offsets(parts)).select("pos", "path", F.col("offset").alias("off"))
+
+
+@query("SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS most, round(avg(value), 9) AS mean FROM events GROUP BY 1")
+def reduced_metrics(spark, d):
+    return _t(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.avg("value"), 9).alias("mean"))
