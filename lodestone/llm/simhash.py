@@ -172,36 +172,40 @@ class Tree:
         return (*rule, a, b)
 
     def route(self, points: np.ndarray, sizes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Parallel arrays: point, leaf, whether it is the point's own leaf. Visits go to later leaves only."""
-        out: list[tuple[np.ndarray, int, np.ndarray]] = []
-        logs = None if sizes is None else np.log(np.maximum(sizes, 1))
-        todo = [(self.root, np.arange(len(points)), np.ones(len(points), bool))]
-        while todo:
-            node, at, own = todo.pop()
-            if not len(at):
-                continue
-            if isinstance(node, int):
-                out.append((at, node, own))
-                continue
-            kind, vantage, bound, near, far = node
-            if kind == "size":
-                d, margin = logs[at], self.margin + 1e-9
-                inner, outer = d <= bound, d > bound
-                visits = inner & (d + margin > bound)
-            else:
-                d, margin = distances(points[at], vantage), self.radius
-                inner, outer = d <= bound, d > bound
-                visits = inner & (d + margin > bound)
-            # Nearer leaves come first, so points of the near side visit the far side and never the other way round;
-            # a visitor keeps on visiting on both sides where its ball overlaps both.
-            near_too = outer & ~own & (d - margin <= bound)
-            go_near = inner | near_too
-            todo.append((near, at[go_near], own[go_near] & inner[go_near]))
-            go_far = outer | visits
-            todo.append((far, at[go_far], own[go_far] & outer[go_far]))
-        if not out:
-            return np.array([], np.int64), np.array([], np.int64), np.array([], bool)
-        return np.concatenate([x[0] for x in out]), np.concatenate([np.full(len(x[0]), x[1]) for x in out]), np.concatenate([x[2] for x in out])
+        return route_points(self.root, self.radius, self.margin, points, sizes)
+
+
+def route_points(root, radius: int, size_margin: float | None, points: np.ndarray, sizes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parallel arrays: point, leaf, whether it is the point's own leaf. Visits go to later leaves only."""
+    out: list[tuple[np.ndarray, int, np.ndarray]] = []
+    logs = None if sizes is None else np.log(np.maximum(sizes, 1))
+    todo = [(root, np.arange(len(points)), np.ones(len(points), bool))]
+    while todo:
+        node, at, own = todo.pop()
+        if not len(at):
+            continue
+        if isinstance(node, int):
+            out.append((at, node, own))
+            continue
+        kind, vantage, bound, near, far = node
+        if kind == "size":
+            d, margin = logs[at], size_margin + 1e-9
+            inner, outer = d <= bound, d > bound
+            visits = inner & (d + margin > bound)
+        else:
+            d, margin = distances(points[at], vantage), radius
+            inner, outer = d <= bound, d > bound
+            visits = inner & (d + margin > bound)
+        # Nearer leaves come first, so points of the near side visit the far side and never the other way round;
+        # a visitor keeps on visiting on both sides where its ball overlaps both.
+        near_too = outer & ~own & (d - margin <= bound)
+        go_near = inner | near_too
+        todo.append((near, at[go_near], own[go_near] & inner[go_near]))
+        go_far = outer | visits
+        todo.append((far, at[go_far], own[go_far] & outer[go_far]))
+    if not out:
+        return np.array([], np.int64), np.array([], np.int64), np.array([], bool)
+    return np.concatenate([x[0] for x in out]), np.concatenate([np.full(len(x[0]), x[1]) for x in out]), np.concatenate([x[2] for x in out])
 
 
 # --- the join within a leaf ---
@@ -325,7 +329,7 @@ def linked_points(points: DataFrame, radius: int, words: int, factor: float | No
     leaves = int(min(MOST_LEAVES, max(min(LEAST_LEAVES, n // 64 + 1), n // LEAF_POINTS + 1)))
     fps = np.array([r.fp for r in sample], np.int64).reshape(-1, words).view(np.uint64)
     tree = Tree(fps, np.array([r.size for r in sample]) if factor else None, leaves, radius, factor)
-    sent = spark.sparkContext.broadcast(tree)
+    sent = spark.sparkContext.broadcast((tree.root, tree.radius, tree.margin))  # at most 2 * MOST_LEAVES nodes
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -334,7 +338,7 @@ def linked_points(points: DataFrame, radius: int, words: int, factor: float | No
             ids = batch.column(0).to_numpy()
             fp = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, words)
             sizes = batch.column(2).to_numpy()
-            at, leaf, own = sent.value.route(fp, sizes if factor else None)
+            at, leaf, own = route_points(*sent.value, fp, sizes if factor else None)
             for i in range(0, len(at), 100_000):
                 j = at[i : i + 100_000]
                 flat = pa.array(np.ascontiguousarray(fp[j]).view(np.int64).ravel())
