@@ -378,7 +378,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 12, words: int =
     points = written(rows.groupBy("id").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.min("doc_id").alias("first_id")), "points")
     found = connected_components(linked_points(points, radius, words, min_similarity)).select(F.col("node").alias("id"), "component")
     known = written(points.select("id", "first_id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "known")
-    smallest = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
+    # Written, so that the join below shuffles both sides anew and Spark can split a large component's rows.
+    smallest = written(known.groupBy("component").agg(F.min("first_id").alias("component_id")), "smallest")
     named = known.join(smallest, "component").select("id", "component_id")
     return rows.join(named, "id").select("doc_id", "fp", "component_id")
 
