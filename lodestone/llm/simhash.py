@@ -12,8 +12,10 @@
    the links found there, not the links: fewer rows than points came in, however dense a group of copies is.
 5. Contraction joins the forests to components.
 
-If sizes are given, points are also told apart by their number of distinct shingles: two sets with a Jaccard
-similarity of s have sizes within a factor of s, a one-dimensional metric with the same triangle bound.
+If a Jaccard similarity s is asked for, a point is a set of distinct shingles, told apart by its size too: two such
+sets have sizes within a factor of s, a one-dimensional metric with the same triangle bound. The links of steps 3 and 4
+are candidates then: within each of their components the sets themselves are compared, and only pairs that have the
+similarity are linked. A component with more than `BLOCK_SHINGLES` shingles is dealt out as pairs of blocks.
 
 Null texts count as empty; a null identifier is never a component's smallest one unless the whole component lacks
 identifiers. Repeated rows give repeated results. An empty table gives no rows.
@@ -27,7 +29,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import documents, written
@@ -40,6 +42,8 @@ SAMPLE, MOST_LEAVES, LEAF_POINTS = 8192, 1024, 4096
 LEAST_LEAVES = 64
 #: Comparisons below which a pair of point sets is compared as a whole.
 WHOLE = 1 << 16
+#: Shingles (and 100 more for each set) of a block, where the sets of a component are compared.
+BLOCK_SHINGLES = 2_000_000
 
 
 def _spread(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -106,15 +110,17 @@ def shingle_hashes(text: str | None, k: int) -> list[int]:
 
 
 def fingerprints(texts: list[str | None], k: int, words: int, sizes: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(n, words) fingerprints, and the number of distinct shingles of each text where `sizes` asks for it."""
-    fps, counts = [], []
+    """(n, words) fingerprints, and (n, 2) the number of distinct shingles and a hash of their set where `sizes` asks for them."""
+    fps, about = [], []
     held: list[list[int]] = []
     n = 0
 
     def flush() -> None:
         flat = np.array([h for x in held for h in x], np.uint64)
         fps.append(majority(flat, np.array([len(x) for x in held], np.int64), words))
-        counts.extend(len(set(x)) if sizes else 0 for x in held)
+        for x in held:
+            distinct = np.unique(np.array(x, np.uint64)) if sizes else ()
+            about.append((len(distinct), xxhash.xxh64_intdigest(distinct.tobytes(), SEED) if sizes else 0))
 
     for text in texts:
         held.append(shingle_hashes(text, k))
@@ -123,7 +129,7 @@ def fingerprints(texts: list[str | None], k: int, words: int, sizes: bool = Fals
             flush()
             held, n = [], 0
     flush()
-    return np.concatenate(fps), np.array(counts, np.int64)
+    return np.concatenate(fps), np.array(about, np.uint64).reshape(-1, 2).view(np.int64)
 
 
 def distances(a: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -255,7 +261,7 @@ class LeafJoin:
         hit = out <= self.radius
         if self.sizes is not None:
             x, y = self.sizes[a][:, None], self.sizes[b][None, :]
-            hit &= np.minimum(x, y) >= self.factor * np.maximum(x, y)
+            hit &= np.minimum(x, y) >= self.factor * np.maximum(x, y) - 1e-9
         return hit
 
     def _whole(self, a: np.ndarray, b: np.ndarray) -> None:
@@ -356,27 +362,103 @@ def linked_points(points: DataFrame, radius: int, words: int, factor: float | No
 
 
 def simhash_fingerprints(docs: DataFrame, k: int, words: int, sizes: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (array<long> of `words` words), size (distinct shingles, or 0) for every row."""
+    """doc_id, fp (array<long> of `words` words), size (distinct shingles, or 0), set (their hash, or 0), text_hash for every row."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
             for a, b in _slices([t.as_buffer().size if t.is_valid else 0 for t in texts], 1 << 23):
-                fp, n = fingerprints(texts.slice(a, b - a).to_pylist(), k, words, sizes)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1, dtype=np.int32) * words), pa.array(fp.view(np.int64).ravel())), pa.array(n)], ["doc_id", "fp", "size"])
+                fp, about = fingerprints(texts.slice(a, b - a).to_pylist(), k, words, sizes)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1, dtype=np.int32) * words), pa.array(fp.view(np.int64).ravel())), pa.array(about[:, 0]), pa.array(about[:, 1]), batch.column(2).slice(a, b - a)], ["doc_id", "fp", "size", "set", "text_hash"])
+
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), _text_hash(text).alias("text_hash")).mapInArrow(emit, "doc_id long, fp array<long>, size long, set long, text_hash long")
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+# --- comparing the sets of candidates ---
+
+
+def similar_sets(lengths: np.ndarray, hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """label: for sets given as consecutive runs of distinct hashes, the same number for those that links of the Jaccard similarity connect."""
+    n = len(lengths)
+    order = np.argsort(lengths, kind="stable")
+    size = lengths[order]
+    begins = np.cumsum(lengths) - lengths
+    starts = np.concatenate([[0], np.cumsum(size)])
+    codes = np.unique(hashes, return_inverse=True)[1][np.repeat(begins[order] - starts[:-1], size) + np.arange(starts[-1])]
+    marks = np.zeros(codes.max(initial=0) + 1, np.int64)
+    label, waits = np.arange(n), np.ones(n, bool)
+    # All links of a set that has been compared with those that wait are known; what waits in one component needs no more.
+    while True:
+        waiting = np.bincount(label[waits], minlength=n)
+        if np.count_nonzero(waiting) < 2:
+            break
+        smallest = np.argmin(np.where(waiting, waiting, n + 1))
+        p = np.flatnonzero(waits & (label == smallest))[0]
+        waits[p] = False
+        a, b = np.searchsorted(size, similarity * size[p] - 1e-9), np.searchsorted(size, size[p] / similarity + 1e-9, "right")
+        at = np.arange(a, b)[(waits & (label != smallest))[a:b]]
+        if not len(at):
+            continue
+        marks[codes[starts[p] : starts[p + 1]]] = 1
+        held = np.repeat(starts[at] - (np.cumsum(size[at]) - size[at]), size[at]) + np.arange(size[at].sum())
+        both = np.add.reduceat(marks[codes[held]], np.cumsum(size[at]) - size[at])
+        marks[codes[starts[p] : starts[p + 1]]] = 0
+        found = np.unique(label[at[both >= similarity * (size[at] + size[p] - both) - 1e-9]])
+        label[np.isin(label, found)] = smallest
+    out = np.empty(n, np.int64)
+    out[order] = label
+    return out
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(emit, "doc_id long, fp array<long>, size long")
+
+def verified_links(candidates: DataFrame, points: DataFrame, docs: DataFrame, k: int, similarity: float, text_col: str) -> DataFrame:
+    """candidates: node, component; points: id, size, text_hash. Links a, b that connect the sets of a component with that similarity."""
+    members = candidates.join(points, candidates.node == points.id).select("id", "component", "size", "text_hash")
+    total = members.groupBy("component").agg(F.ceil(F.sum(F.col("size") + 100) / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    wanted = written(members.join(total, "component"), "candidates")
+    text = F.col(text_col).cast("string")
+    # Of texts with equal hashes any will do: combined before they are sent.
+    texts = docs.select(F.coalesce(text, F.lit("")).alias("text"), _text_hash(text).alias("text_hash")).join(wanted.select("text_hash"), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+
+    def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                sets = [np.unique(np.array(shingle_hashes(t, k), np.uint64)) for t in part.column(3).to_pylist()]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "component", "blocks", "shingles"])
+
+    def compare(rows: pa.Table) -> pa.Table:
+        sets = rows.column("shingles").combine_chunks()
+        ids = rows.column("id").to_numpy()
+        label = similar_sets(sets.value_lengths().to_numpy().astype(np.int64), sets.flatten().to_numpy().view(np.uint64), similarity)
+        _, first, of = np.unique(label, return_index=True, return_inverse=True)
+        a, b = ids[first[of]], ids
+        return pa.table({"a": a[a != b], "b": b[a != b]})
+
+    sets = wanted.select("id", "component", "blocks", "text_hash").join(texts, "text_hash").select("id", "component", "blocks", "text").mapInArrow(shingle, "id long, component long, blocks int, shingles array<long>")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = sets.withColumn("own", own).withColumn("other", F.explode_outer(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("id", "component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "shingles")
+    return dealt.groupBy("component", "x", "y").applyInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 12, words: int = 1, min_similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id for every row: the smallest identifier reachable over links of fingerprints.
 
-    min_similarity: texts whose numbers of distinct shingles rule out this Jaccard similarity aren't linked."""
+    min_similarity: links are those within the radius whose sets of distinct shingles have this Jaccard similarity."""
     # A point's id: the fingerprint itself if it is one word and all that counts, else a 64-bit hash of what tells it apart.
-    point = F.get("fp", 0) if words == 1 and min_similarity is None else F.xxhash64("fp", "size")
+    point = F.col("set") if min_similarity is not None else F.get("fp", 0) if words == 1 else F.xxhash64("fp")
     rows = written(simhash_fingerprints(docs, k, words, min_similarity is not None, id_col, text_col).withColumn("id", point), "fingerprints")
-    points = written(rows.groupBy("id").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.min("doc_id").alias("first_id")), "points")
-    found = connected_components(linked_points(points, radius, words, min_similarity)).select(F.col("node").alias("id"), "component")
+    points = written(rows.groupBy("id").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("first_id")), "points")
+    found = connected_components(linked_points(points, radius, words, min_similarity))
+    if min_similarity is not None:
+        found = connected_components(verified_links(found, points, docs, k, min_similarity, text_col))
+    found = found.select(F.col("node").alias("id"), "component")
     known = written(points.select("id", "first_id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "known")
     # Written, so that the join below shuffles both sides anew and Spark can split a large component's rows.
     smallest = written(known.groupBy("component").agg(F.min("first_id").alias("component_id")), "smallest")

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 
+from lodestone.llm import simhash
 from lodestone.llm.components import connected_components
 from lodestone.llm.simhash import Tree, fingerprints, near_duplicates
 
@@ -92,6 +93,49 @@ def test_similarity_of_shingle_sets(spark):
     assert {x.doc_id: x.component_id for x in got} == family
 
 
+def shingles(text):
+    w = text.encode().lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def similar(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def test_only_sets_of_the_similarity_are_linked(spark, monkeypatch):
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(5000)]
+    rows = []
+    for _ in range(12):
+        base = [r.choice(words) for _ in range(300)]
+        for changes in (0, 3, 6, 7, 8, 10):
+            copy = list(base)
+            for j in range(changes):
+                copy[20 * j + 10] = r.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    for _ in range(12):  # unlike sizes
+        longer = [r.choice(words) for _ in range(r.randrange(100, 200))]
+        rows += [(len(rows), " ".join(longer)), (len(rows) + 1, " ".join(longer[:-10]))]
+    sets = [shingles(t) for _, t in rows]
+    want = components(range(len(rows)), lambda a, b: similar(sets[a], sets[b]))
+    assert len(set(want.values())) > 12
+    docs = spark.createDataFrame([*rows, (None, rows[0][1]), (900, rows[0][1])], "doc_id long, text string")
+    for most in (simhash.BLOCK_SHINGLES, 700):
+        monkeypatch.setattr(simhash, "BLOCK_SHINGLES", most)
+        got = near_duplicates(docs, k=5, radius=136, words=8, min_similarity=0.8).collect()
+        assert {x.doc_id: x.component_id for x in got} == want | {None: 0, 900: 0}
+
+
+def test_similar_sets_are_those_of_brute_force():
+    r = random.Random(6)
+    sets = [set(r.sample(range(30), r.randrange(8, 22))) for _ in range(40)]
+    sets += [(s | {r.randrange(30)}) - {r.randrange(30)} for s in sets for _ in range(4)]
+    flat = np.concatenate([np.array(sorted(s), np.uint64) for s in sets])
+    label = simhash.similar_sets(np.array([len(s) for s in sets]), flat, 0.8)
+    want = components(range(len(sets)), lambda a, b: similar(sets[a], sets[b]))
+    assert len({(label[i], c) for i, c in want.items()}) == len(set(label.tolist())) == len(set(want.values())) > 5
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(1000, 1000 + i) for i in range(1, 30)] + [(7, 7), (2001, 2000)]
     r = random.Random(1)
