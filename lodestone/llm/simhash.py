@@ -1,7 +1,8 @@
 """SimHash near-dedup (operator 5): fingerprints of word shingles, linked within a Hamming radius by vantage-point trees.
 
 1. Every text becomes a fingerprint of one or more 64-bit words: each bit is 1 if it is set in over half of the
-   shingle hashes. Texts with fewer words than a shingle are one shingle; texts without words have fingerprint zero.
+   shingle hashes (of the distinct ones, if a Jaccard similarity is asked for). Texts with fewer words than a shingle
+   are one shingle; texts without words have fingerprint zero.
 2. Equal fingerprints become one point.
 3. A bounded sample of points (`SAMPLE`) shapes a tree: an inner node holds a vantage fingerprint and a radius and
    sends closer points one way, others the other way. Only the shape depends on the sample: every point goes to its
@@ -110,20 +111,20 @@ def shingle_hashes(text: str | None, k: int) -> list[int]:
 
 
 def fingerprints(texts: list[str | None], k: int, words: int, sizes: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(n, words) fingerprints, and (n, 2) the number of distinct shingles and a hash of their set where `sizes` asks for them."""
+    """(n, words) fingerprints, and (n, 2) the number of distinct shingles and a hash of their set where `sizes` asks for them.
+
+    With `sizes` each distinct shingle votes once, else as often as it stands in the text."""
     fps, about = [], []
-    held: list[list[int]] = []
+    held: list[np.ndarray] = []
     n = 0
 
     def flush() -> None:
-        flat = np.array([h for x in held for h in x], np.uint64)
-        fps.append(majority(flat, np.array([len(x) for x in held], np.int64), words))
-        for x in held:
-            distinct = np.unique(np.array(x, np.uint64)) if sizes else ()
-            about.append((len(distinct), xxhash.xxh64_intdigest(distinct.tobytes(), SEED) if sizes else 0))
+        fps.append(majority(np.concatenate([np.empty(0, np.uint64), *held]), np.array([len(x) for x in held], np.int64), words))
+        about.extend((len(x), xxhash.xxh64_intdigest(x.tobytes(), SEED)) if sizes else (0, 0) for x in held)
 
     for text in texts:
-        held.append(shingle_hashes(text, k))
+        hashes = np.array(shingle_hashes(text, k), np.uint64)
+        held.append(np.unique(hashes) if sizes else hashes)
         n += len(held[-1])
         if n > 200_000:
             flush()

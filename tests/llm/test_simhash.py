@@ -126,6 +126,24 @@ def test_only_sets_of_the_similarity_are_linked(spark, monkeypatch):
         assert {x.doc_id: x.component_id for x in got} == want | {None: 0, 900: 0}
 
 
+def test_repeated_lines_vote_once(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(50_000)]
+    rows, want = [], {}
+    for i in range(0, 40, 4):
+        a, line, own = r.sample(words, 204), r.sample(words, 18), [r.sample(words, 154) for _ in range(2)]
+        rows += [(i, a), (i + 1, a + line * 10), (i + 2, own[0] + line * 10), (i + 3, own[1] + line * 10)]
+        want |= {i: i, i + 1: i, i + 2: i + 2, i + 3: i + 3}
+    texts = [" ".join(t) for _, t in rows]
+    fp, about = fingerprints(texts, 5, 8, True)
+    assert about[:, 0].tolist() == [len(shingles(t)) for t in texts]
+    bits = lambda x, y: int(np.bitwise_count(fp[x] ^ fp[y]).sum())
+    assert all(bits(i, i + 1) <= 136 < bits(i + 2, i + 3) for i in range(0, 40, 4))
+    docs = spark.createDataFrame([(i, t) for (i, _), t in zip(rows, texts, strict=True)], "doc_id long, text string")
+    got = near_duplicates(docs, k=5, radius=136, words=8, min_similarity=0.8).collect()
+    assert {x.doc_id: x.component_id for x in got} == want
+
+
 def test_similar_sets_are_those_of_brute_force():
     r = random.Random(6)
     sets = [set(r.sample(range(30), r.randrange(8, 22))) for _ in range(40)]
