@@ -532,7 +532,7 @@ def token_range_read(spark, d):
 
 @query(f"{_STREAM}, b AS (SELECT pos // 65 AS block, list(token ORDER BY pos) AS t FROM p WHERE pos < 15000 GROUP BY 1 HAVING count(*) = 65) SELECT block, array_to_string(t[1:64], ',') AS inputs, array_to_string(t[2:65], ',') AS targets FROM b")
 def packed_batches(spark, d):
-    stream = tokens.read_range(_shards(spark, d), 0, min(15_000, _t(spark, d, "orders").count()))
+    stream = tokens.read_range(_shards(spark, d), 0, _t(spark, d, "orders").count())
     return tokens.training_rows(stream, 64).select("block", F.array_join("inputs", ",").alias("inputs"), F.array_join("targets", ",").alias("targets"))
 
 

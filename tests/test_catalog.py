@@ -36,3 +36,13 @@ def test_other_queries_run(spark, name):
         assert rows and all(r.ok for r in rows)
     if name == "scaling_fit":
         assert rows[0].rmse < 0.15 and rows[0].runs == 9
+
+
+def test_all_tokens_are_packed(spark):
+    """150,000 orders: more than the SQL's first 15,000."""
+    keys = sorted(r[0] for r in duckdb.sql("SELECT o_orderkey FROM '/root/testdata/sf0.1/orders.parquet'").fetchall())
+    tokens = [k % 32000 for k in keys]
+    got = {r.block: (r.inputs, r.targets) for r in QUERIES["packed_batches"](spark, "/root/testdata/sf0.1").collect()}
+    text = lambda v: ",".join(map(str, v))
+    assert got == {i: (text(tokens[65 * i : 65 * i + 64]), text(tokens[65 * i + 1 : 65 * i + 65])) for i in range(len(tokens) // 65)}
+    assert len(got) == 2307
