@@ -16,6 +16,7 @@ from lodestone.functions import schemas
 from lodestone.functions.hashing import split_90_5_5
 from lodestone.functions.text import lexical_words
 from lodestone.operators.near_dup import greedy_accepted
+from lodestone.operators.ordered import global_position
 
 CATEGORIES = ["valid_call", "missing_required_fields", "no_applicable_tool", "confusable_tools", "schema_constraints", "injection_resistance"]
 #: How a request is put to the model; fixed values.
@@ -56,23 +57,20 @@ INJECTIONS = [
 MOST_TOOLS = 6
 
 
-def overlap_candidates(items: DataFrame, sample: int, scope: list[str]) -> DataFrame:
+def overlap_candidates(items: DataFrame, count: int, scope: list[str]) -> DataFrame:
     """items: id, name, words and the columns of `scope`. Ordered pairs (id, other) of the scope that share a word, and a
-    hash-ranked sample of `sample` others for each, with the number of shared words; never an item of the same name.
+    hash-ranked sample of max(100, 24 * count) others for each, with the number of shared words; never an item of the same name.
 
-    Words that more than half of a scope has tell nothing apart from the sample; they count, but don't find pairs."""
+    Every shared word finds pairs, so a word that many items have gives the square of their number."""
     words = items.select(*scope, "id", F.explode("words").alias("word"))
-    sizes = items.groupBy(*scope).agg(F.count(F.lit(1)).alias("_size"))
-    rare = words.groupBy(*scope, "word").agg(F.count(F.lit(1)).alias("_n")).join(sizes, scope).where((F.col("_n") * 2 <= F.col("_size")) | (F.col("_n") <= 64)).select(*scope, "word")
-    told = words.join(rare, [*scope, "word"])
-    shared = told.join(told.withColumnRenamed("id", "other"), [*scope, "word"]).where("id != other").select(*scope, "id", "other").distinct()
-    ring = Window.partitionBy(*scope, "_salt").orderBy(F.sha2("id", 256))
-    ranked = items.select(*scope, "id", F.pmod(F.xxhash64("id"), F.lit(16)).alias("_salt")).withColumn("_at", F.row_number().over(ring))
-    # The sample of an item: the next ones in the hash order of its part of the pool.
-    near = ranked.withColumn("_to", F.explode(F.sequence(F.lit(1), F.lit(max(1, sample)))))
-    of = ranked.select(*scope, "_salt", F.col("id").alias("other"), (F.col("_at")).alias("_there"))
-    count = ranked.groupBy(*scope, "_salt").agg(F.count(F.lit(1)).alias("_count"))
-    sampled = near.join(count, [*scope, "_salt"]).withColumn("_there", F.pmod(F.col("_at") + F.col("_to") - 1, F.col("_count")) + 1).join(of, [*scope, "_salt", "_there"]).where("id != other").select(*scope, "id", "other")
+    shared = words.join(words.withColumnRenamed("id", "other"), [*scope, "word"]).where("id != other").select(*scope, "id", "other").distinct()
+    # The sample of an item: the next ones in the hash order of its scope, as a ring.
+    placed = global_position(items.select(*scope, "id", F.sha2("id", 256).alias("_hash")), [*scope, "_hash", "id"])
+    rings = placed.groupBy(*scope).agg(F.min("position").alias("_from"), F.count(F.lit(1)).alias("_count"))
+    ranked = placed.join(rings, scope).select(*scope, "id", "_count", (F.col("position") - F.col("_from")).alias("_at"))
+    near = ranked.withColumn("_to", F.explode(F.sequence(F.lit(1), F.lit(max(100, 24 * count)))))
+    of = ranked.select(*scope, F.col("id").alias("other"), F.col("_at").alias("_there"))
+    sampled = near.withColumn("_there", F.pmod(F.col("_at") + F.col("_to"), F.col("_count"))).join(of, [*scope, "_there"]).where("id != other").select(*scope, "id", "other")
     pairs = shared.unionByName(sampled).distinct()
     a = items.select(*scope, "id", F.col("name").alias("_name"), F.col("words").alias("_words"))
     b = items.select(F.col("id").alias("other"), F.col("name").alias("other_name"), F.col("words").alias("_other_words"), *(F.col(c) for c in scope))
@@ -202,7 +200,7 @@ def candidates(seeds: DataFrame, rounds: int, categories: list[str] = CATEGORIES
     from lodestone.functions.hashing import _majority
 
     tools = seed_tools(seeds)
-    pairs = overlap_candidates(tools.select("split", "id", "name", "words"), 24, ["split"])
+    pairs = overlap_candidates(tools.select("split", "id", "name", "words"), most, ["split"])
     texts = tools.select("split", F.col("id").alias("other"), F.col("tool").alias("text"))
 
     def listed(similar: bool, name: str) -> DataFrame:

@@ -124,3 +124,16 @@ def test_stream_resumes_and_refuses_other_configurations(spark, tmp_path):
     assert all(sum(r.kept for r in got if r.source == s) <= 250 for s in ("s0", "s1"))
     with pytest.raises(build.ConfigChanged):
         build.build(spark, source, docs.schema, folder, 300)
+
+
+def test_hot_words_find_partners(spark):
+    """Every item has the words h0 to h2 or some of them; one rarer word is shared by few."""
+    from lodestone.operators.dialogs import overlap_candidates
+
+    rows = [(f"i{i}", f"n{i}", [f"h{j}" for j in range(3) if (i >> j) % 8] + [f"r{i // 2}"], "all") for i in range(300)]
+    items = spark.createDataFrame(rows, "id string, name string, words array<string>, split string")
+    got = {(r.id, r.other): r.overlap for r in overlap_candidates(items, 1, ["split"]).collect()}
+    sets = {i: set(w) for i, _, w, _ in rows}
+    want = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a != b}
+    assert all(got.get(p) == n for p, n in want.items() if n)
+    assert all(sum((a, b) in got for b in sets) >= 100 for a in sets)
