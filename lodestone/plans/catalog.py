@@ -515,6 +515,12 @@ def slugs(spark, d):
     return rows.select("doc_id", F.lower(T.safe_slug(F.substring("text", 1, 60))).alias("slug"), T.run_filename(F.concat(F.lit("run "), "source", F.lit("/a"))).alias("file"))
 
 
+@query()
+def document_slugs(spark, d):
+    """The slug of the whole text of every document. `slugs` is held to what its ASCII SQL covers; no SQL here, since DuckDB's pattern would have to match Unicode alike."""
+    return docs(spark, d).select("doc_id", T.safe_slug(F.col("text")).alias("slug"))
+
+
 def _shards(spark, d):
     """Every 100 orders as a shard of their keys' low bits."""
     o = _t(spark, d, "orders").select("o_orderkey")

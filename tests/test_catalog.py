@@ -46,3 +46,12 @@ def test_all_tokens_are_packed(spark):
     text = lambda v: ",".join(map(str, v))
     assert got == {i: (text(tokens[65 * i : 65 * i + 64]), text(tokens[65 * i + 1 : 65 * i + 65])) for i in range(len(tokens) // 65)}
     assert len(got) == 2307
+
+
+def test_every_document_has_its_slug(spark):
+    def slug(text):
+        flat = "".join(c if c.isalnum() else "_" for c in text or "")
+        return "_".join(x for x in flat.split("_") if x)[:120] or "tool"
+
+    rows = duckdb.sql("SELECT doc_id, text FROM '/root/testdata/sf0.1/documents.parquet'").fetchall()
+    assert sorted((r.doc_id, r.slug) for r in QUERIES["document_slugs"](spark, "/root/testdata/sf0.1").collect()) == sorted((i, slug(t)) for i, t in rows)
