@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,16 +35,29 @@ def rolling_hashes(hashes: Column, k: int) -> Column:
     return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*(F.get(hashes, i + j) for j in range(k))))).otherwise(F.array().cast("array<bigint>"))
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Names for an operator's own columns that no column of the frame has, in whichever case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        name = stem
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The shared folder that the session names in spark.checkpoint.dir; where it is unset, one beside the warehouse's
+    tables, which is shared wherever tables are."""
     said = spark.conf.get("spark.checkpoint.dir", None)
-    if not said:
-        if (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
-            return own.get()
-        said = tempfile.mkdtemp(prefix="lodestone-")
-        spark.sparkContext.setCheckpointDir(said)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return said
+    if said:
+        return said
+    if not (own := spark.sparkContext._jsc.sc().getCheckpointDir()).isDefined():
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/lodestone-scratch")
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+    return own.get()
 
 
 def _forget(spark: SparkSession, path: str) -> None:

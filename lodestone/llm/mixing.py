@@ -8,13 +8,15 @@ and single tokens that are left go to the children in order of the largest remai
 
 A leaf with a budget of q tokens and T tokens of its own takes all its documents q // T times, and of the next epoch
 the longest prefix of at most q % T tokens, in an order that a hash of seed, epoch and row gives. The prefix is
-found by sums over `BUCKETS` buckets of that hash; only rows of the bucket in which the prefix ends are sorted, so
-no task ever holds a leaf, whichever share of all rows it has.
+found by sums over `BUCKETS` buckets of that hash, coarse ones first and then those inside the one in which the
+prefix ends; only rows of that last bucket are sorted, so no task ever holds a leaf, whichever share of all rows it
+has, nor more than `SIDE` sums of it.
 
 Null languages, sources and domains are nodes like others, with the weight for names that aren't listed. Null and
 empty texts have no tokens and are taken with the epochs they belong to. Rows of equal order are taken as they
-come, which can only be equal rows. An empty table gives no rows. Columns named copies, n_tokens or domain are
-replaced by the operator's own.
+come, which can only be equal rows. An empty table gives no rows. A tree of more than `MOST_LEAVES` leaves is
+refused. Columns named as the results (`names`) are replaced by them; all other columns, whatever they are called,
+stay as they are.
 """
 
 from __future__ import annotations
@@ -25,9 +27,11 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import documents, written
+from lodestone.llm.common import documents, fresh, written
 
-BUCKETS = 4096
+#: Buckets of the order of a leaf: SIDE coarse ones of SIDE each.
+SIDE = 64
+BUCKETS = SIDE * SIDE
 #: Leaves of the tree, which the driver holds, at most.
 MOST_LEAVES = 200_000
 SEED = 42
@@ -95,47 +99,55 @@ def count_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def mix(docs: DataFrame, domain: Column, weights: Weights, budget: int | None = None, share: float = 1.0, max_epochs: int = 1, seed: int = SEED, tokens: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows with domain, n_tokens and copies (how many times the mixture takes the row; 0: not at all).
+def mix(docs: DataFrame, domain: Column, weights: Weights, budget: int | None = None, share: float = 1.0, max_epochs: int = 1, seed: int = SEED, tokens: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", names: tuple[str, str, str] = ("domain", "n_tokens", "copies")) -> DataFrame:
+    """The rows with domain, n_tokens and copies (how many times the mixture takes the row; 0: not at all), called `names`.
 
     budget: tokens of the mixture; if not given, `share` of all tokens there are."""
     spark = docs.sparkSession
-    leaf = ["domain", lang_col, source_col]
-    rows = docs.withColumns({"domain": domain.cast("string"), "n_tokens": tokens if tokens is not None else count_words(F.col(text_col))}).drop("copies")
+    d, l, s, n, ident, sha, full, rest, order, bucket, kd, kl, ks, cut, before, more, copies = fresh(docs, *(f"m_{x}" for x in ("domain", "lang", "source", "tokens", "id", "text", "full", "rest", "order", "bucket", "kd", "kl", "ks", "cut", "before", "more", "copies")))
+    leaf = [d, l, s]
     # Each row's place in the order of any epoch depends on the seed, the epoch, its identifier and its text.
-    rows = rows.withColumn("_text", F.xxhash64(text_col))
-    have = written(rows.select(*leaf, F.col(id_col).alias("_id"), "_text", "n_tokens"), "tokens")
-    sums = have.groupBy(*leaf).agg(F.sum("n_tokens").alias("t")).collect()  # one row for each leaf
+    rows = docs.withColumns({d: domain.cast("string"), l: F.col(lang_col).cast("string"), s: F.col(source_col).cast("string"), n: tokens if tokens is not None else count_words(F.col(text_col)), ident: F.col(id_col), sha: F.xxhash64(text_col)})
+    have = written(rows.select(*leaf, n, ident, sha), "tokens")
+    sums = have.groupBy(*leaf).agg(F.sum(n).alias("t")).limit(MOST_LEAVES + 1).collect()  # one row for each leaf
     if len(sums) > MOST_LEAVES:
         raise ValueError(f"the tree has more than {MOST_LEAVES} leaves")
     amounts = {tuple(r[c] for c in leaf): int(r.t) for r in sums}
     total = sum(amounts.values())
     quota = budgets(amounts, weights, int(total * share) if budget is None else budget, max_epochs)
     plan = [(*p, q // amounts[p] if amounts[p] else max_epochs, q % amounts[p] if amounts[p] else 0) for p, q in quota.items()]
-    plan_schema = "_domain string, _lang string, _source string, _full long, _rest long"
-    plans = F.broadcast(spark.createDataFrame(plan, plan_schema))  # at most MOST_LEAVES rows
-
-    def placed(df: DataFrame, ident: str) -> DataFrame:
-        same = F.col("domain").eqNullSafe(F.col("_domain")) & F.col(lang_col).eqNullSafe(F.col("_lang")) & F.col(source_col).eqNullSafe(F.col("_source"))
-        order = F.xxhash64(F.lit(seed), F.col("_full"), F.col(ident), F.col("_text"))
-        return df.join(plans, same, "left").withColumn("_order", order).withColumn("_bucket", F.shiftrightunsigned("_order", 64 - 12).cast("int")).drop("_domain", "_lang", "_source")
-
-    in_bucket = placed(have, "_id").where("_rest > 0").groupBy(*leaf, "_bucket", "_rest").agg(F.sum("n_tokens").alias("n"))
-    running = F.sum("n").over(Window.partitionBy(*leaf).orderBy("_unsigned").rowsBetween(Window.unboundedPreceding, 0))  # BUCKETS rows of a leaf at most
-    upto = in_bucket.withColumn("_unsigned", F.col("_bucket")).withColumn("upto", running)
-    # The prefix ends in the first bucket whose sum goes beyond what is left.
-    cut = upto.where("upto > _rest").groupBy(*leaf).agg(F.min_by(F.struct("_bucket", (F.col("upto") - F.col("n")).alias("before")), "_unsigned").alias("c"))
-    cuts = [(*(r[c] for c in leaf), r.c["_bucket"], r.c["before"]) for r in cut.collect()]  # one row for each leaf
-    cut_table = F.broadcast(spark.createDataFrame(cuts, "_domain string, _lang string, _source string, _cut int, _before long"))
-    same = F.col("domain").eqNullSafe(F.col("_domain")) & F.col(lang_col).eqNullSafe(F.col("_lang")) & F.col(source_col).eqNullSafe(F.col("_source"))
-    known = placed(rows, id_col).join(cut_table, same, "left").drop("_domain", "_lang", "_source")
-    taken = F.when(F.col("_rest") == 0, 0).when(F.col("_cut").isNull() | (F.col("_bucket") < F.col("_cut")), 1).otherwise(0)
-    edge = (F.col("_rest") > 0) & F.col("_cut").isNotNull() & (F.col("_bucket") == F.col("_cut"))
-    by = Window.partitionBy(*leaf).orderBy("_order", id_col, "_text").rowsBetween(Window.unboundedPreceding, 0)
-    sure = known.where(~edge).withColumn("_more", taken)
-    unsure = known.where(edge).withColumn("_more", F.when(F.col("_before") + F.sum("n_tokens").over(by) <= F.col("_rest"), 1).otherwise(0))
-    out = sure.unionByName(unsure).withColumn("copies", (F.col("_full") + F.col("_more")).cast("long"))
-    return out.select(*(c for c in docs.columns if c not in ("domain", "n_tokens", "copies")), "domain", "n_tokens", "copies")
+    keys = f"{kd} string, {kl} string, {ks} string"
+    same = F.col(d).eqNullSafe(F.col(kd)) & F.col(l).eqNullSafe(F.col(kl)) & F.col(s).eqNullSafe(F.col(ks))
+    plans = F.broadcast(spark.createDataFrame(plan, f"{keys}, {full} long, {rest} long"))  # at most MOST_LEAVES rows
+
+    def placed(df: DataFrame) -> DataFrame:
+        at = F.xxhash64(F.lit(seed), F.col(full), F.col(ident), F.col(sha))
+        return df.join(plans, same, "left").withColumn(order, at).withColumn(bucket, F.shiftrightunsigned(order, 64 - 12).cast("int")).drop(kd, kl, ks)
+
+    def ends(sums: DataFrame, ahead: Column) -> list:
+        """The bucket (of SIDE at most in a leaf) in which each leaf's prefix ends: where the running sum exceeds what is left."""
+        upto = F.sum("sum").over(Window.partitionBy(*leaf).orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+        over = sums.withColumn("upto", upto + ahead).where(F.col("upto") > F.col(rest))
+        found = over.groupBy(*leaf).agg(F.min(F.struct("at", (F.col("upto") - F.col("sum")).alias("before"))).alias("c"))
+        return [(*(r[c] for c in leaf), r.c["at"], r.c["before"]) for r in found.collect()]  # one row for each leaf
+
+    def known_cuts(cuts: list) -> DataFrame:
+        return F.broadcast(spark.createDataFrame(cuts, f"{keys}, {cut} int, {before} long"))
+
+    wanted = placed(have).where(F.col(rest) > 0)
+    side = F.floor(F.col(bucket) / SIDE).cast("int")
+    coarse = ends(wanted.groupBy(*leaf, rest, side.alias("at")).agg(F.sum(n).alias("sum")), F.lit(0))
+    inside = wanted.join(known_cuts(coarse), same & (side == F.col(cut))).groupBy(*leaf, rest, before, F.col(bucket).alias("at")).agg(F.sum(n).alias("sum"))
+    fine = ends(inside, F.col(before))
+    known = placed(rows).join(known_cuts(fine), same, "left").drop(kd, kl, ks)
+    taken = F.when(F.col(rest) == 0, 0).when(F.col(cut).isNull() | (F.col(bucket) < F.col(cut)), 1).otherwise(0)
+    edge = (F.col(rest) > 0) & F.col(cut).isNotNull() & (F.col(bucket) == F.col(cut))
+    by = Window.partitionBy(*leaf).orderBy(order, ident, sha).rowsBetween(Window.unboundedPreceding, 0)
+    sure = known.where(~edge).withColumn(more, taken)
+    unsure = known.where(edge).withColumn(more, F.when(F.col(before) + F.sum(n).over(by) <= F.col(rest), 1).otherwise(0))
+    out = sure.unionByName(unsure).withColumn(copies, (F.col(full) + F.col(more)).cast("long"))
+    replaced = {x.lower() for x in names}
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() not in replaced), F.col(d).alias(names[0]), F.col(n).alias(names[1]), F.col(copies).alias(names[2]))
 
 
 #: The domains of the sources in the test tables, by the number in a source's name, and the target weights of the query.
@@ -149,5 +161,5 @@ WEIGHTS = Weights(domain={"web": 0.5, "reference": 0.3, "forum": 0.2}, lang={"en
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A mixture of half of all tokens, with at most two epochs of a source."""
-    out = mix(documents(spark, sf_dir), source_domain(F.col("source")), WEIGHTS, share=0.5, max_epochs=2)
+    out = mix(documents(spark, sf_dir).select("doc_id", "text", "lang", "source"), source_domain(F.col("source")), WEIGHTS, share=0.5, max_epochs=2)
     return out.select("doc_id", "domain", "lang", "source", "n_tokens", "copies")

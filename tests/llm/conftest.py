@@ -4,8 +4,10 @@ import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
-#: Names that operators use themselves must not disturb them.
-CLASHING = "doc_id long, text string, lang string, source string, n_chars long, row long, shard int, size int, words string, component_id long, copies int, _hashes string, key string"
+#: Names that operators use themselves must not disturb them: plain ones, results, and the marks of internal columns.
+OWN = "row id fp set size sizes words word shard slot law place copies domain n_tokens component component_id key print line last data block bucket anchors h m at ctx off t k p votes template kind label diagonal begin end share spans items hits severity p_toxic toxic text_hash text_sha text_crc32 grown_shard leaf own a b".split()
+MARKED = "_text _full _rest _order _bucket _cut _before _more _domain _lang _source _counter _place _start _severity _s _hashes _grams _packed _kept _all _base m_domain m_tokens m_cut m_order".split()
+CLASHING = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` string" for c in [*OWN, *MARKED])
 
 
 @pytest.fixture(scope="session")
@@ -32,4 +34,14 @@ def no_docs(spark):
 
 @pytest.fixture(scope="session")
 def clashing_docs(spark, odd_rows):
-    return spark.createDataFrame([(*r, 1, 2, 3, "w", 4, 5, "h", "k") for r in odd_rows], CLASHING).repartition(2)
+    return spark.createDataFrame([(*r, *(f"user's {c}" for c in [*OWN, *MARKED])) for r in odd_rows], CLASHING).repartition(2)
+
+
+@pytest.fixture(scope="session")
+def unharmed():
+    """Whether the user's columns, but for those named as results, still hold the user's values."""
+
+    def check(row, results):
+        return all(row[c] == f"user's {c}" for c in [*OWN, *MARKED] if c not in results)
+
+    return check
