@@ -7,13 +7,15 @@ compact arrays: a 64-bit fingerprint that tells members from strangers, the numb
 identifier among them. Documents probe those arrays and never meet other documents' lines.
 
 Shards up to `broadcast_bytes` in all are sent to every task. Beyond that size the probes travel instead: hashes of
-a document's lines go to the shard that can answer them, and only answers that drop a line come back. Probes of a
-hot line are spread over copies of its shard.
+a document's lines go to the shard that can answer them, and only answers that drop a line come back. Probes are
+dealt to copies of their shard, as many as its load asks for: the lines of the shard that are known to be frequent,
+by their counts, and an even part of all others. Both ways give the same rows.
 
 A null text is one empty line. Keys are lines without white space at their ends, A-Z lower-cased. A row is a
-document; rows without an identifier don't count
-towards `min_docs` and keep no line that must go, since no identifier is theirs. Repeated rows count
-as one document of that identifier.
+document; rows without an identifier don't count towards `min_docs` and keep no line that must go, since no
+identifier is theirs. Rows that share an identifier are one document where documents are counted, and each keeps the
+lines whose largest identifier is theirs. An empty table gives no rows. Columns besides the identifier and the text
+are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -22,10 +24,10 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import SPACES, documents, written
@@ -33,8 +35,8 @@ from lodestone.llm.common import SPACES, documents, written
 #: Keys in a shard, and bits of a level for each key that is left.
 SHARD_KEYS, GAMMA = 50_000, 1.6
 BROADCAST_BYTES = 96 << 20
-#: Copies of each shard to which probes are dealt when they travel.
-SALTS = 16
+#: Probes that meet one copy of a shard, about, when they travel.
+COPY_PROBES = 200_000
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 
@@ -173,13 +175,12 @@ def frequent_lines(docs: DataFrame, min_chars: int, min_docs: int, unique_ids: b
 def build_shards(frequent: DataFrame, n_shards: int) -> DataFrame:
     """shard, data: packed shards, each built in a task of its own."""
 
-    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        keys = rows["key"].to_numpy(np.int64).view(np.uint64)
-        rest = [rows[c].to_numpy(np.int64) for c in ("print", "n_docs", "last")]
-        shard = Shard.build(keys, rest[0].view(np.uint64), rest[1], rest[2])
-        return pd.DataFrame({"shard": [key[0]], "data": [shard.pack()]})
+    def build(key: tuple, rows: pa.Table) -> pa.Table:
+        keys, prints, counts, last = (rows.column(c).to_numpy() for c in ("key", "print", "n_docs", "last"))
+        shard = Shard.build(keys.view(np.uint64), prints.view(np.uint64), counts, last)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([shard.pack()], pa.binary())})
 
-    return frequent.withColumn("shard", F.pmod(F.col("print"), F.lit(n_shards)).cast("int")).groupBy("shard").applyInPandas(build, "shard int, data binary")
+    return frequent.withColumn("shard", _home(n_shards)).groupBy("shard").applyInArrow(build, "shard int, data binary")
 
 
 def _kept(text: str | None, drop: np.ndarray) -> tuple[int, int, str]:
@@ -191,7 +192,7 @@ def _kept(text: str | None, drop: np.ndarray) -> tuple[int, int, str]:
 RESULT = "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept string"
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, keep_text: bool = True) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES, keep_text: bool = True, copy_probes: int = COPY_PROBES) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 and the kept text of every row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     frequent = written(frequent_lines(rows, min_chars, min_docs), "lines")
@@ -201,7 +202,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
     size = shards.agg(F.sum(F.length("data"))).first()[0] or 0
     if size <= broadcast_bytes:
         return _probe_all(rows, {r.shard: bytes(r.data) for r in shards.collect()}, n_shards, min_chars, keep_text)
-    return _probe_travelling(rows, shards, n_shards, min_chars, keep_text)
+    # A probe takes min_chars bytes of text and a line feed at least.
+    others = (rows.agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0) // (min_chars + 1) // n_shards
+    load = frequent.groupBy(_home(n_shards).alias("shard")).agg(F.sum("n_docs").alias("n"))
+    copies = {r.shard: 1 + (r.n + others) // copy_probes for r in load.collect()}  # one number for each shard
+    return _probe_travelling(rows, shards, [copies.get(i, 1) for i in range(n_shards)], min_chars, keep_text)
+
+
+def _home(n_shards: int) -> Column:
+    return F.pmod(F.col("print"), F.lit(n_shards)).cast("int")
 
 
 def _probe_all(rows: DataFrame, packed: dict[int, bytes], n_shards: int, min_chars: int, keep_text: bool) -> DataFrame:
@@ -221,13 +230,14 @@ def _probe_all(rows: DataFrame, packed: dict[int, bytes], n_shards: int, min_cha
                     keys, prints = hashes_of(flat)
                     # pmod of the signed print, as in build_shards
                     home = np.mod(prints.view(np.int64), n_shards)
-                    own = np.repeat(np.array([-(2**62) if ids[i] is None else ids[i] for i in part], np.int64), [len(js) for js in longs])
+                    own = np.repeat(np.array([0 if ids[i] is None else ids[i] for i in part], np.int64), [len(js) for js in longs])
+                    nameless = np.repeat(np.array([ids[i] is None for i in part]), [len(js) for js in longs])
                     gone = np.zeros(len(flat), bool)
                     for s in np.unique(home):
                         if (shard := shards.get(int(s))) is not None:
                             at = np.flatnonzero(home == s)
                             member, last = shard.last_document(keys[at], prints[at])
-                            gone[at] = member & (last != own[at])
+                            gone[at] = member & (nameless[at] | (last != own[at]))
                     k = 0
                     for js, flag in zip(longs, flags, strict=True):
                         flag[js] = gone[k : k + len(js)]
@@ -239,48 +249,56 @@ def _probe_all(rows: DataFrame, packed: dict[int, bytes], n_shards: int, min_cha
     return rows.mapInArrow(probe, RESULT)
 
 
-def _probe_travelling(rows: DataFrame, shards: DataFrame, n_shards: int, min_chars: int, keep_text: bool) -> DataFrame:
+def _probe_travelling(rows: DataFrame, shards: DataFrame, copies: list[int], min_chars: int, keep_text: bool) -> DataFrame:
     """The way for arrays of any size: hashes of lines go to copies of their shard; lines to drop come back by row.
 
-    Rows are told apart by identifier and text, so that repeated identifiers don't mix."""
-    keyed = rows.withColumn("row_key", F.xxhash64("doc_id", "text", F.octet_length("text")))
+    Rows are named by a 128-bit hash of identifier and text: only equal rows share a name, and they share all answers.
+    copies: how many of each shard there are (one number for each `SHARD_KEYS` frequent lines)."""
+    n_shards = len(copies)
+    keyed = rows.withColumn("row_key", F.unhex(F.md5(F.concat_ws("\x1f", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text").isNull().cast("string"), "text"))))
+    sent = rows.sparkSession.sparkContext.broadcast(np.array(copies, np.int64))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row_keys, ids, texts = (batch.column(i) for i in range(3))
-            for row, doc, text in zip(row_keys.to_pylist(), ids.to_pylist(), texts, strict=True):
-                lines, all_keys = line_keys(text.as_py())
-                js = _long(all_keys, min_chars)
-                if js:
+            for i in range(batch.num_rows):
+                _, all_keys = line_keys(texts[i].as_py())
+                if js := _long(all_keys, min_chars):
                     keys, prints = hashes_of([all_keys[j] for j in js])
-                    n = len(js)
                     home = np.mod(prints.view(np.int64), n_shards)
-                    yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(np.full(n, row % SALTS, np.int32)), pa.array([row] * n, pa.int64()), pa.array([doc] * n, pa.int64()), pa.array(js, pa.int32()), pa.array(keys.view(np.int64)), pa.array(prints.view(np.int64)), pa.array([None] * n, pa.binary())], ["shard", "salt", "row_key", "doc_id", "line", "key", "print", "data"])
-
-    schema = "shard int, salt int, row_key long, doc_id long, line int, key long, print long, data binary"
-    probes = keyed.select("row_key", "doc_id", "text").mapInArrow(emit, schema)
-    copies = shards.select("shard", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "data")
-
-    def answer(key: tuple, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        if not len(held) or not len(asked):
-            return pd.DataFrame({"row_key": [], "line": []}).astype({"row_key": "int64", "line": "int32"})
-        shard = Shard.unpack(bytes(held["data"].iloc[0]))
-        member, last = shard.last_document(asked["key"].to_numpy(np.int64).view(np.uint64), asked["print"].to_numpy(np.int64).view(np.uint64))
-        own = asked["doc_id"].isna().to_numpy() | (asked["doc_id"].fillna(0).to_numpy(np.int64) != last)
-        return asked.loc[member & own, ["row_key", "line"]]
-
-    dropped = probes.drop("data").groupBy("shard", "salt").cogroup(copies.groupBy("shard", "salt")).applyInPandas(answer, "row_key long, line int")
+                    name = row_keys[i].as_py()
+                    salt = np.mod(int.from_bytes(name[:7], "big"), sent.value[home])
+                    same = pa.array(np.full(len(js), i))
+                    yield pa.RecordBatch.from_arrays([pa.array(home.astype(np.int32)), pa.array(salt.astype(np.int32)), row_keys.take(same), ids.take(same), pa.array(js, pa.int32()), pa.array(keys.view(np.int64)), pa.array(prints.view(np.int64))], ["shard", "salt", "row_key", "doc_id", "line", "key", "print"])
+
+    probes = keyed.select("row_key", "doc_id", "text").mapInArrow(emit, "shard int, salt int, row_key binary, doc_id long, line int, key long, print long")
+    numbers = rows.sparkSession.createDataFrame(list(enumerate(copies)), "shard int, copies long")
+    held = shards.join(numbers, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("salt"), "data")
+
+    def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
+        out = asked.select(["row_key", "line"])
+        if not held.num_rows or not asked.num_rows:
+            return out.slice(0, 0)
+        shard = Shard.unpack(held.column("data")[0].as_py())
+        member, last = shard.last_document(asked.column("key").to_numpy().view(np.uint64), asked.column("print").to_numpy().view(np.uint64))
+        # Identifiers stay 64-bit integers; a missing one equals none.
+        own = pc.fill_null(pc.equal(asked.column("doc_id"), pa.array(last)), False).to_numpy()
+        return out.filter(pa.array(member & ~own))
+
+    dropped = probes.groupBy("shard", "salt").cogroup(held.groupBy("shard", "salt")).applyInArrow(answer, "row_key binary, line int")
     gone = dropped.groupBy("row_key").agg(F.collect_set("line").alias("lines"))
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids, texts, lines = (batch.column(i) for i in range(3))
             out = []
-            for doc, text, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                flag = np.zeros((text or "").count("\n") + 1, bool)
-                flag[lines or []] = True
-                kept = "\n".join(x for x, g in zip((text or "").split("\n"), flag, strict=True) if not g) if keep_text else None
-                out.append((doc, *_kept(text, flag), kept))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()))], ["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept"])
+            for i in range(batch.num_rows):
+                text = texts[i].as_py() or ""
+                flag = np.zeros(text.count("\n") + 1, bool)
+                flag[lines[i].as_py() or []] = True
+                kept = "\n".join(x for x, g in zip(text.split("\n"), flag, strict=True) if not g) if keep_text else None
+                out.append((*_kept(text, flag), kept))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string(), pa.string())))], ["doc_id", "n_lines", "n_dropped", "kept_sha256", "kept"])
 
     return keyed.join(gone, "row_key", "left").select("doc_id", "text", "lines").mapInArrow(apply, RESULT)
 

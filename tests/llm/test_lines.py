@@ -44,9 +44,20 @@ def test_lines_of_both_ways_are_those_of_brute_force(spark, odd_rows, clashing_d
     rows += [(None, common[0]), (100, rows[-80][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = brute(rows, 40, 5)
-    for room in (1 << 20, 0):
-        got = dedup_lines(docs, broadcast_bytes=room).collect()
+    for room, probes in ((1 << 20, 200_000), (0, 200_000), (0, 30)):
+        got = dedup_lines(docs, broadcast_bytes=room, copy_probes=probes).collect()
         assert sorted((str(x.doc_id), x.n_lines, x.n_dropped, x.kept_sha256) for x in got) == want
         assert all(hashlib.sha256(x.kept.encode()).hexdigest() == x.kept_sha256 for x in got)
     assert dedup_lines(clashing_docs, 5, 2).count() == len(odd_rows)
     assert dedup_lines(no_docs).count() == 0
+
+
+def test_large_identifiers_and_missing_ones_agree_on_both_ways(spark):
+    line = "a line of more than forty characters, which stands in many documents"
+    rows = [(2**53 + 3 + i, f"{line}\nown {i}") for i in range(8)] + [(None, line), (None, None), (-(2**62), line), (-(2**63), "x\n" + line)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows, 40, 5)
+    for room in (1 << 20, 0):
+        got = dedup_lines(docs, broadcast_bytes=room).collect()
+        assert sorted((str(x.doc_id), x.n_lines, x.n_dropped, x.kept_sha256) for x in got) == want
+        assert sum(line in x.kept for x in got) == 1
