@@ -4,7 +4,8 @@ Words are hashed, runs of `K` word hashes are hashed again, and of every `WINDOW
 is kept with its place (the first of equal ones). Two texts that share `WINDOW` words therefore keep the same hash
 at the same place of the shared words, so joining kept hashes finds every such span. Hits are extended word by word,
 by at most WINDOW - K words to each side, and count if the words (their 64-bit hashes, one by one) agree over at
-least WINDOW words.
+least WINDOW words. The benchmark's side of that join holds each kept hash with the words around it once, however
+many items have them; items are looked up after a hit has been verified.
 
 Benchmark items of fewer words than a window are windows themselves: they are looked up by the hash of all their
 words among the document's runs of that length. This costs nothing where there are none.
@@ -14,6 +15,7 @@ hash.
 
 Null texts have no words, null and repeated item ids and repeated items are items like others (a null id adds
 nothing to items_sha256). A row is a document, so repeated rows give repeated results. Empty tables give no hits.
+Columns besides identifiers and texts are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ascii_words, documents, rolling_hashes
+from lodestone.llm.common import ascii_words, documents, rolling_hashes, written
 
 WINDOW, K = 10, 5
 BROADCAST_ROWS = 200_000
-#: Low bits of a kept hash that hold its place; texts of up to 2 ** 27 words.
-PLACE_BITS = 27
+#: Low bits of a kept hash that hold its place; a string has less than 2 ** 31 bytes, so any place fits.
+PLACE_BITS = 31
 
 
 def _packed(grams: Column) -> Column:
@@ -58,7 +60,7 @@ def _prints(rows: DataFrame, lengths: list[int], window: int, k: int) -> DataFra
     def around(x: Column) -> Column:
         at = _place(x)
         begin = F.greatest(at - side, F.lit(0))
-        return F.struct(F.lit(0).alias("m"), at.alias("at"), F.shiftright(x, PLACE_BITS).alias("h"), F.slice("_hashes", begin + 1, F.lit(window + side)).alias("ctx"), (at - begin).alias("off"))
+        return F.struct(F.lit(0).alias("m"), at.alias("at"), F.get("_grams", at).alias("h"), F.slice("_hashes", begin + 1, F.lit(window + side)).alias("ctx"), (at - begin).alias("off"))
 
     def run(m: int) -> Column:
         return F.transform(rolling_hashes(F.col("_hashes"), m), lambda h, i: F.struct(F.lit(m).alias("m"), i.alias("at"), h.alias("h"), F.slice("_hashes", i + 1, F.lit(m)).alias("ctx"), F.lit(0).alias("off")))
@@ -67,13 +69,15 @@ def _prints(rows: DataFrame, lengths: list[int], window: int, k: int) -> DataFra
     return hashed.withColumn("probes", F.concat(kept, *map(run, lengths)) if lengths else kept).drop("_hashes", "_grams", "_packed", "_kept")
 
 
-def benchmark_prints(items: DataFrame, window: int = WINDOW, k: int = K) -> tuple[DataFrame, list[int]]:
-    """m, h, item_id, item_ctx, item_off as in `_prints`; and the lengths of items shorter than a window."""
+def benchmark_prints(items: DataFrame, window: int = WINDOW, k: int = K) -> tuple[DataFrame, DataFrame, list[int]]:
+    """m, h, item_ctx, item_off as in `_prints`, each once, under the number `print`; print and item_id; and the lengths of items shorter than a window."""
     words = items.select(F.col("item_id").cast("string").alias("item_id"), ascii_words(F.col("text")).alias("words")).where(F.size("words") > 0)
     short = sorted(r[0] for r in words.where(F.size("words") < window).select(F.size("words").alias("m")).distinct().collect())  # numbers below the window
     runs = _prints(words, short, window, k).select("item_id", F.size("words").alias("n"), F.explode_outer("probes").alias("p")).select("item_id", "n", "p.*")
-    own = runs.where((F.col("m") == 0) | (F.col("m") == F.col("n")))
-    return own.select("m", "h", "item_id", F.col("ctx").alias("item_ctx"), F.col("off").alias("item_off")).distinct(), short
+    own = runs.where((F.col("m") == 0) | (F.col("m") == F.col("n"))).select("m", "h", F.col("ctx").alias("item_ctx"), F.col("off").alias("item_off"), "item_id")
+    what = ["m", "h", "item_ctx", "item_off"]
+    prints = written(own.groupBy(*what).agg(F.count(F.lit(1)).alias("n")).withColumn("print", F.monotonically_increasing_id()), "prints")
+    return prints.select(*what, "print"), own.distinct().join(prints, what).select("print", "item_id"), short
 
 
 def _extended(window: int, k: int) -> tuple[Column, Column]:
@@ -98,8 +102,9 @@ def _extended(window: int, k: int) -> tuple[Column, Column]:
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """One row for each row of `docs`: doc_id, n_words, n_hit, spans (merged hit words as begin, end), items (sorted ids)."""
-    prints, short = benchmark_prints(items, window, k)
-    small = prints.limit(broadcast_rows + 1).count() <= broadcast_rows
+    prints, holders, short = benchmark_prints(items, window, k)
+    holders = written(holders, "holders")
+    small = max(prints.limit(broadcast_rows + 1).count(), holders.limit(broadcast_rows + 1).count()) <= broadcast_rows
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), ascii_words(F.col(text_col)).alias("words"))
     # explode_outer: for explode, Spark would infer a filter that computes all of this a second time, inlined.
     # The first probe stands for the row itself, whatever it hits; its hash is the row's number, so no task gets all.
@@ -107,7 +112,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
     probes = _prints(rows, short, window, k).select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.explode_outer(F.concat(itself, F.col("probes"))).alias("p")).select("row", "doc_id", "n_words", "p.*")
     hits = probes.join(F.broadcast(prints) if small else prints, ["m", "h"], "left").where((F.col("m") == -1) | F.col("item_off").isNotNull())
     begin, end = _extended(window, k)
-    found = hits.select("row", "doc_id", "n_words", "m", "item_id", begin.alias("begin"), end.alias("end")).where((F.col("m") == -1) | F.col("begin").isNotNull())
+    # A row's own probe has no print; it gets a number of its own, lest one task of the next join receive all of them.
+    found = hits.select("row", "doc_id", "n_words", "m", F.coalesce("print", F.lit(-1) - F.col("row")).alias("print"), begin.alias("begin"), end.alias("end")).where((F.col("m") == -1) | F.col("begin").isNotNull())
+    found = found.join(F.broadcast(holders) if small else holders, "print", "left")
     per_row = found.groupBy("row", "doc_id", "n_words").agg(F.collect_set(F.when(F.col("begin").isNotNull(), F.struct("begin", "end"))).alias("hits"), F.collect_set("item_id").alias("items"))
     # One pass over a row's spans in order: (merged spans so far, the open span).
     nothing = F.struct(F.array().cast("array<struct<begin:int,end:int>>").alias("done"), F.lit(-1).alias("begin"), F.lit(-1).alias("end"))
