@@ -2,15 +2,19 @@
 
 Phrases and notices are templates. Every run of k words of a text is hashed and joined to the places of the same
 runs in the templates (k is 2 for phrases, 4 for notices). A match at word i of the text and word j of the template
-votes for the diagonal i - j. Votes are counted by row, template and diagonal; neighbouring diagonals of a notice
-are merged, so a few inserted or lost words don't break it; and spans are verified: a phrase needs all its votes
-on one diagonal, a notice the stated share of its runs over a span of about its length. Runs agree if their 64-bit
-hashes do: with a few hundred template places, chance agreement stays below one in 10^16 runs.
+votes for the diagonal i - j. Votes are gathered by row, template and diagonal; neighbouring diagonals of a notice
+are merged, so a few inserted or lost words don't break it; and spans are verified word by word: a phrase needs all
+its places on one diagonal, and of a notice the words that agreeing runs cover are counted once each, in the notice
+and in the text. Their share of the notice's words, and of the words of the span, must both reach `SHARE`: runs that
+a text repeats count once, and words between agreeing runs count against it. Runs agree if their 64-bit hashes do:
+with a few hundred template places, chance agreement stays below one in 10^16 runs.
 
 Templates are a fixed table (`PHRASES`, `NOTICES`), whose size is checked before it is broadcast.
 
 Null texts have no words. A row is a document; repeated rows give repeated results; an empty table gives no rows.
-Score: 1.0 where a phrase stands, else the largest covered share of a notice, 0.0 where no vote was cast.
+Columns besides the identifier and the text are not read, whatever they are called.
+Score: 1.0 where a phrase stands, else the largest share of a notice's words that one place of the text has, halved
+where the place fails the verification; 0.0 where no vote was cast.
 """
 
 from __future__ import annotations
@@ -42,7 +46,7 @@ NOTICES = {
     "proprietary": "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form or by any means without the prior written permission of the publisher",
 }
 PHRASE_K, NOTICE_K = 2, 4
-#: Share of a notice's runs that must be found, and how far diagonals of one place may lie apart.
+#: Share of a notice's words, and of a span's, that must agree, and how far diagonals of one place may lie apart.
 SHARE, DRIFT = 0.6, 6
 MOST_TEMPLATE_ROWS = 20_000
 
@@ -70,7 +74,7 @@ def _templates(spark: SparkSession, phrases: dict[str, str], notices: dict[str,
 
 
 def license_votes(docs: DataFrame, phrases: dict[str, str], notices: dict[str, str], id_col: str, text_col: str) -> DataFrame:
-    """row, doc_id, n_words, template, kind, label, size, diagonal, votes, begin, end; a row without votes stays with nulls."""
+    """row, doc_id, n_words, template, kind, label, size, diagonal, places (of the template, ascending: one vote each), begin, end; a row without votes stays with nulls."""
     spark = docs.sparkSession
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), ascii_words(F.col(text_col)).alias("words"))
     rows = rows.withColumn("_hashes", F.transform("words", lambda w: F.xxhash64(w)))
@@ -84,23 +88,34 @@ def license_votes(docs: DataFrame, phrases: dict[str, str], notices: dict[str, s
     flat = runs.select("row", "doc_id", "n_words", "p.*")
     votes = flat.join(F.broadcast(_templates(spark, phrases, notices)), ["k", "h"], "left").where((F.col("k") == 0) | F.col("t").isNotNull())
     diagonal = F.col("at") - F.col("t")
-    return votes.groupBy("row", "doc_id", "n_words", "template", "kind", "label", "size", diagonal.alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.min("at").alias("begin"), (F.max("at") + F.max("k")).alias("end"))
+    return votes.groupBy("row", "doc_id", "n_words", "template", "kind", "label", "size", diagonal.alias("diagonal")).agg(F.sort_array(F.collect_set("t")).alias("places"), F.min("at").alias("begin"), (F.max("at") + F.max("k")).alias("end"))
+
+
+def _covered(starts: Column, k: int) -> Column:
+    """How many words the runs of k words cover that begin at these distinct ascending places."""
+    gaps = F.transform(starts, lambda x, i: F.when(i == 0, F.lit(k)).otherwise(F.least(x - F.get(starts, i - 1), F.lit(k))))
+    return F.aggregate(gaps, F.lit(0), lambda acc, g: acc + g)
 
 
 def license_spans(votes: DataFrame) -> DataFrame:
     """Verified spans of each row: row, doc_id, n_words, kind, label, begin, end, share; a row without any stays once with nulls."""
     phrase_runs = F.col("size") - PHRASE_K + 1
-    phrase = (F.col("kind") == "phrase") & (F.col("votes") == phrase_runs)
+    phrase = (F.col("kind") == "phrase") & (F.size("places") == phrase_runs)
     plain = votes.where(F.col("kind").isNull() | phrase).select("row", "doc_id", "n_words", "kind", "label", "begin", "end", F.when(F.col("kind").isNull(), 0.0).otherwise(1.0).alias("share"))
     order = Window.partitionBy("row", "template").orderBy("diagonal")
     before = Window.partitionBy("row", "template").orderBy("diagonal").rowsBetween(Window.unboundedPreceding, -1)
     near = (F.col("diagonal") - F.lag("diagonal").over(order) <= DRIFT) & (F.col("begin") <= F.max("end").over(before) + F.col("size"))
     placed = votes.where("kind = 'notice'").withColumn("_new", F.when(near, 0).otherwise(1)).withColumn("_place", F.sum("_new").over(order))
-    merged = placed.groupBy("row", "doc_id", "n_words", "kind", "label", "template", "size", "_place").agg(F.sum("votes").alias("votes"), F.min("begin").alias("begin"), F.max("end").alias("end"))
-    share = F.least(F.lit(1.0), F.col("votes") / (F.col("size") - NOTICE_K + 1))
-    # Far fewer words than the votes claim, or far more than the notice has, is another text that repeats its runs.
-    fits = (F.col("end") - F.col("begin")).between(SHARE * F.col("size"), 1.5 * F.col("size"))
-    found = merged.select("row", "doc_id", "n_words", F.when(fits & (share >= SHARE), F.col("kind")).alias("kind"), F.when(fits & (share >= SHARE), F.col("label")).alias("label"), "begin", "end", F.when(fits, share).otherwise(share * 0.5).alias("share"))
+    # What is gathered is one text's agreement with one template: fewer places than the text has words.
+    merged = placed.groupBy("row", "doc_id", "n_words", "kind", "label", "template", "size", "_place").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("places")))).alias("there"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.transform("places", lambda t: t + F.col("diagonal")))))).alias("here"), F.min("begin").alias("begin"), F.max("end").alias("end")
+    )
+    share = _covered(F.col("there"), NOTICE_K) / F.col("size")
+    dense = _covered(F.col("here"), NOTICE_K) / (F.col("end") - F.col("begin"))
+    # A span far longer than the notice is another text that repeats its runs.
+    fits = (F.col("end") - F.col("begin") <= 1.5 * F.col("size")) & (dense >= SHARE)
+    sound = fits & (share >= SHARE)
+    found = merged.select("row", "doc_id", "n_words", F.when(sound, F.col("kind")).alias("kind"), F.when(sound, F.col("label")).alias("label"), "begin", "end", F.when(fits, share).otherwise(share * 0.5).alias("share"))
     return plain.unionByName(found)
 
 
