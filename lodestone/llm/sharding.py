@@ -10,12 +10,19 @@ those sums and from the largest group of each prefix; only prefixes inside such
 digits, until each interval ends at a known group. Rows then find their shard by comparing their hash with at most
 n - 1 boundaries, without a join.
 
-A group that is larger than the mean of what is left gets a shard of its own, and the others are divided among the
-remaining shards; the largest shard stays as small as it can be, and the rest is as even as it can be.
+What is contiguous is the order of the groups that remain: a group above the mean of what is left (there are fewer of
+those than shards) is taken out first, largest first, and is a shard of its own. Were it left in the order, its size
+would be the capacity, the greedy run would fill a few shards up to it and leave the others empty. No shard of the
+others is above the least capacity that whole groups in this order allow; the last one holds what remains and may be
+smaller.
+
+Slots are numbered where rows lie: a task sorts its rows by shard and writes them, and the counts of tasks and shards
+give each run of rows its first slot. Neither texts nor rows are shuffled, and a hot group is numbered by all tasks
+that read it.
 
 Null texts count as empty ones. Rows without an identifier are placed like others. Repeated rows are of one group
-and get slots of their own. An empty table gives no rows. Other columns are kept by `assign_shards`, whose results
-replace columns of the same names.
+and get slots of their own. An empty table gives no rows. Other columns are kept by `assign_shards`, whatever they
+are called; columns named as its results are replaced by them.
 """
 
 from __future__ import annotations
@@ -26,13 +33,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import documents, written
+from lodestone.llm.common import documents, fresh, written
 
 #: Bytes that a row costs besides its text.
 ROW_BYTES = 16
 FIRST_DIGITS, MORE_DIGITS = 3, 2
-#: Rows that share a slot counter, at most, where identifiers are spread evenly.
-SLOT_ROWS = 2_000_000
+#: Runs of rows (one for each task and shard) whose first slots are broadcast; more are joined by a shuffle.
+BROADCAST_RUNS = 1_000_000
 
 
 class Runs:
@@ -130,35 +137,42 @@ def shard_boundaries(groups: DataFrame, shards: int) -> tuple[int, list[str], li
     return max(capacity, least), alone, begins
 
 
-def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows with size, text_crc32, text_sha, law, shard (from 0), slot (gapless from 0 in each shard), grown_shard (null)."""
+RESULTS = ["size", "text_crc32", "text_sha", "law", "shard", "slot", "grown_shard"]
+
+
+def assign_shards(docs: DataFrame, shards: int = 40, id_col: str = "doc_id", text_col: str = "text", drop: list[str] | None = None, broadcast_runs: int = BROADCAST_RUNS) -> DataFrame:
+    """The rows with size, text_crc32, text_sha, law, shard (from 0), slot (gapless from 0 in each shard), grown_shard (null).
+
+    drop: columns that the result need not have, which are not written then."""
     if shards < 1:
         raise ValueError("there must be a shard")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    own = ["size", "text_crc32", "text_sha", "law", "shard", "slot", "grown_shard"]
-    rows = docs.drop(*(c for c in own if c not in (id_col, text_col))).withColumns({"size": (F.octet_length(text) + ROW_BYTES).cast("long"), "text_crc32": F.crc32(text.cast("binary")), "text_sha": F.sha2(text.cast("binary"), 256)})
-    keys = rows.select("text_sha", "size")
-    groups = written(keys.groupBy("text_sha").agg(F.sum("size").alias("group_size"), F.count(F.lit(1)).alias("n")), "groups")
+    named = {id_col.lower(), text_col.lower()}
+    own = [c for c in RESULTS if c not in named]
+    kept = [c for c in docs.columns if c.lower() in named or c.lower() not in RESULTS]
+    part, at, first, start = fresh(docs, "s_part", "s_at", "s_first", "s_start")
+    values = {"size": (F.octet_length(text) + ROW_BYTES).cast("long"), "text_crc32": F.crc32(text.cast("binary")), "text_sha": F.sha2(text.cast("binary"), 256)}
+    rows = docs.select(*(F.col(f"`{c}`") for c in kept), *(v.alias(c) for c, v in values.items()))
+    groups = written(rows.groupBy("text_sha").agg(F.sum("size").alias("group_size")), "groups")
     _, alone, begins = shard_boundaries(groups, shards)
     shard = F.lit(len(alone)).cast("int")
     for i, prefix in enumerate(begins, len(alone) + 1):
         shard = F.when(F.col("text_sha") >= prefix, F.lit(i)).otherwise(shard)
     for i, sha in enumerate(alone):
         shard = F.when(F.col("text_sha") == sha, F.lit(i)).otherwise(shard)
-    # Slots: rows of a shard are dealt over counters by a hash of the row, so no counter holds a hot group.
-    n_rows = groups.agg(F.sum("n")).first()[0] or 0
-    counters = max(8, -(-n_rows // (shards * SLOT_ROWS)))
-    placed = rows.withColumns({"shard": shard.cast("int"), "_counter": F.pmod(F.xxhash64(F.col(id_col), F.col("text_sha")), F.lit(counters)).cast("int")})
-    sums = placed.groupBy("shard", "_counter").agg(F.count(F.lit(1)).alias("n"))  # shards x counters rows
-    before = F.sum("n").over(Window.partitionBy("shard").orderBy("_counter").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sums.select("shard", "_counter", F.coalesce(before, F.lit(0)).alias("_start"))
-    order = Window.partitionBy("shard", "_counter").orderBy(F.col(id_col), F.col("text_sha"))
-    slots = placed.withColumn("_place", F.row_number().over(order) - 1).join(starts, ["shard", "_counter"])
-    return slots.withColumns({"law": F.lit("bytes"), "slot": (F.col("_start") + F.col("_place")).cast("long"), "grown_shard": F.lit(None).cast("int")}).select(*(c for c in docs.columns if c not in own or c in (id_col, text_col)), *(c for c in own if c not in (id_col, text_col)))
+    held = rows.drop(*(drop or [])).withColumn("shard", shard.cast("int")).sortWithinPartitions("shard")
+    # Written, so that rows and counts come from one run of the tasks.
+    held = written(held.withColumns({part: F.spark_partition_id(), at: F.monotonically_increasing_id()}), "placed")
+    runs = held.groupBy(part, "shard").agg(F.min(at).alias(first), F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("shard").orderBy(part).rowsBetween(Window.unboundedPreceding, -1))  # one row for each task
+    starts = written(runs.select(part, "shard", first, F.coalesce(before, F.lit(0)).alias(start)), "starts")
+    if starts.count() <= broadcast_runs:
+        starts = F.broadcast(starts)
+    slots = held.join(starts, [part, "shard"]).withColumns({"law": F.lit("bytes"), "slot": (F.col(start) + F.col(at) - F.col(first)).cast("long"), "grown_shard": F.lit(None).cast("int")})
+    return slots.select(*(F.col(f"`{c}`") for c in kept if c not in (drop or [])), *own)
 
 
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes are near equal (`bytes`): the largest of 40 shards is as small as whole groups in hash order allow."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    # The text itself isn't shuffled: the operator runs over digests of the rows.
-    return assign_shards(docs, 40).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return assign_shards(docs, 40, drop=["text"]).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

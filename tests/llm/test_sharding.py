@@ -4,7 +4,7 @@ import zlib
 from bisect import bisect_right
 from collections import defaultdict
 
-from lodestone.llm.sharding import Runs, assign_shards, minimax_boundaries
+from lodestone.llm.sharding import RESULTS, Runs, assign_shards, minimax_boundaries
 
 
 def smallest(sizes, shards):
@@ -43,9 +43,10 @@ def test_search_is_exact():
         assert max(sums.values()) == capacity and len(begins) < shards
 
 
-def test_odd_rows(spark, odd_rows, odd_docs, clashing_docs, no_docs):
-    for docs in (odd_docs, clashing_docs):
-        rows = assign_shards(docs, 4).collect()
+def test_odd_rows(spark, odd_rows, odd_docs, clashing_docs, no_docs, unharmed):
+    for docs, room in ((odd_docs, 10), (clashing_docs, 10), (odd_docs, 0)):
+        rows = assign_shards(docs, 4, broadcast_runs=room).collect()
+        assert docs is odd_docs or all(unharmed(r, set(RESULTS)) for r in rows)
         assert len(rows) == len(odd_rows)
         shard_of, slots, sizes = {}, defaultdict(list), defaultdict(int)
         for r in rows:
@@ -72,3 +73,29 @@ def test_a_group_above_the_mean_is_a_shard_of_its_own(spark):
     assert len(sizes) == 5 and all(len(k) == 1 for k in kinds.values())
     rest = sorted(s for k, s in sizes.items() if kinds[k] == {False})
     assert rest[-1] - rest[0] < 400
+
+
+def test_shards_are_contiguous_runs_and_the_largest_is_least(spark):
+    r = random.Random(8)
+    texts = ["t%d " % i * r.choice([1, 5, 40, 300]) for i in range(300)]
+    docs = spark.createDataFrame([(i, r.choice(texts)) for i in range(900)], "doc_id long, text string").repartition(5)
+    rows = assign_shards(docs, 7).collect()
+    groups, shard = defaultdict(int), {}
+    for x in rows:
+        groups[x.text_sha] += x["size"]
+        shard[x.text_sha] = x.shard
+    order = sorted(groups)
+    assert [shard[k] for k in order] == sorted(shard.values())
+    sums = defaultdict(int)
+    for k in order:
+        sums[shard[k]] += groups[k]
+    assert max(sums.values()) == smallest([groups[k] for k in order], 7)
+
+
+def test_a_hot_text_without_identifiers(spark):
+    docs = spark.createDataFrame([(None, "same")] * 300 + [(i, f"text {i}") for i in range(300)], "doc_id long, text string").repartition(6)
+    rows = assign_shards(docs, 3).collect()
+    for k in {r.shard for r in rows}:
+        slots = [r.slot for r in rows if r.shard == k]
+        assert sorted(slots) == list(range(len(slots)))
+    assert len({r.shard for r in rows if r.text == "same"}) == 1
