@@ -3,15 +3,22 @@
 Features are whole words and their first 4, 5 and 6 letters (lower case), so inflected and compounded forms count.
 Out of the labelled sample come the cues: features of at least `CUE_SHARE` of the toxic rows (and `CUE_ROWS`) that
 are rarely seen in clean ones. A row's vector holds log(1 + occurrences) of each cue and log(1 + cues per 100
-words). Grades are ordered: 0 for rows labelled clean, 1 and up for toxic rows by quantiles of their cue density.
-One weight vector serves all thresholds, P(grade <= k) = sigmoid(threshold_k - w x), and the expected severity is
-the sum over k of P(grade > k). A row is toxic if P(grade > 0) is at least `cut`.
-
-Training takes at most `TRAIN_ROWS` labelled rows (by the order of a hash of the identifier); every row of the
-documents is scored, over its whole text.
-
-Null texts have no words. Labels that are null are left out, of several labels of an identifier the largest counts.
-Without any toxic label, or without cues, every row has severity 0. Repeated rows give repeated results.
+words). One weight vector serves all thresholds, P(grade <= k) = sigmoid(threshold_k - w x), and the expected
+severity is the sum over k of P(grade > k). A row is toxic if P(grade > 0) is at least `cut`.
+
+Grades are the labels' own: 0 for clean rows, 1 and up in order of severity (those above the highest grade count as
+it). Where labels tell toxic rows from clean ones only, grades above 1 are quantiles of the density of cues among
+toxic rows. Such grades are made of a feature: they spread the expected severity by density, and only the first
+threshold, on which `toxic` rests, then carries what labels say.
+
+Training takes at most `TRAIN_ROWS` labelled rows (by the order of a hash of the identifier) and, of those that share
+the three least hashes of their long words, one row: the most severe. Every row of the documents is scored, over its
+whole text.
+
+Null texts have no words and severity near 0. Labels that are null are left out, of several labels of an identifier
+the largest counts. At the bound of the training rows, equal hashes are ordered by identifier. Without any toxic label,
+or without cues, every row has severity 0; a table without rows gives none. Repeated rows give repeated results.
+Columns besides the identifier and the text are not read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -25,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import documents, written
@@ -116,8 +123,10 @@ def fit_ordinal(rows: list[dict[int, float]], grades: np.ndarray, multiplicity:
 
 
 def signature(words: list[str]) -> int | None:
-    """The least hash of the long words; copies of a text nearly always share it, other texts hardly ever."""
-    return min((zlib.crc32(w.encode()) for w in set(words) if len(w) >= 8), default=None)
+    """Made of the three least hashes of the long words; copies of a text, near ones too, mostly share it, other texts
+    hardly ever. Texts of fewer long words have none: only equal ones are copies."""
+    least = sorted({zlib.crc32(w.encode()) for w in set(words) if len(w) >= 8})[:3]
+    return zlib.crc32(repr(least).encode()) if len(least) == 3 else None
 
 
 def _without_copies(sample: DataFrame) -> DataFrame:
@@ -128,8 +137,9 @@ def _without_copies(sample: DataFrame) -> DataFrame:
         return pd.Series([signature(words_of(x)) for x in texts], dtype="Int64")
 
     signed = sample.withColumn("_sign", F.coalesce(sign("text"), F.xxhash64("text")))
-    best = F.row_number().over(Window.partitionBy("_sign").orderBy(F.desc("toxic"), F.xxhash64("text")))
-    return signed.withColumn("_best", best).where("_best = 1").select("text", "toxic")
+    # Of a group one row is kept while it is aggregated, so a large group is no burden.
+    best = signed.groupBy("_sign").agg(F.max_by("text", F.struct("grade", F.xxhash64("text"))).alias("text"), F.max("grade").alias("grade"))
+    return best.select("text", "grade")
 
 
 def _amounts(sample: DataFrame, among: list[str] | None) -> DataFrame:
@@ -141,31 +151,31 @@ def _amounts(sample: DataFrame, among: list[str] | None) -> DataFrame:
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 own = features(words_of(text.as_py()))
-                held[0 if toxic else 1].update(own if wanted is None else own & wanted)
+                held[0 if toxic > 0 else 1].update(own if wanted is None else own & wanted)
         names = list(held[0].keys() | held[1].keys())
         for i in range(0, len(names), 50_000):
             part = names[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), *(pa.array([c[x] for x in part], pa.int64()) for c in held)], ["feature", "toxic", "clean"])
 
-    found = sample.select("text", "toxic").mapInArrow(count, _AMOUNTS)
+    found = sample.select("text", "grade").mapInArrow(count, _AMOUNTS)
     return found.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def train(docs: DataFrame, labels: DataFrame, grades: int = GRADES, train_rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
-    """labels: doc_id and toxic (0 or 1; larger numbers count as 1)."""
+    """labels: doc_id and toxic (0: clean; larger numbers: grades)."""
     if grades < 2:
         raise ValueError("an ordinal model needs two grades")
     nothing = OrdinalModel([], np.zeros(1), np.full(grades - 1, 500.0))
-    marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    marked = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.greatest(F.lit(0), F.least(F.lit(grades - 1), F.max("toxic"))).cast("int").alias("grade"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sample = written(_without_copies(rows.join(F.broadcast(chosen), "doc_id").select("text", "toxic")), "labelled")  # at most train_rows identifiers
-    n = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    sample = written(_without_copies(rows.join(F.broadcast(chosen), "doc_id").select("text", "grade")), "labelled")  # at most train_rows identifiers
+    n = {r.toxic: r["count"] for r in sample.groupBy((F.col("grade") > 0).alias("toxic")).count().collect()}
     if not n.get(True):
         return nothing
     least = max(CUE_ROWS, CUE_SHARE * n[True])
     # A row has as many features as words, so those of one toxic row in a hundred are boundedly many.
-    often = [r.feature for r in _amounts(sample.where("toxic"), None).where(F.col("toxic") >= least).collect()]
+    often = [r.feature for r in _amounts(sample.where("grade > 0"), None).where(F.col("toxic") >= least).collect()]
     share = {r.feature: r.toxic / n[True] / (r.toxic / n[True] + (r.clean + 0.5) / (n.get(False, 0) + 1)) for r in _amounts(sample, often).collect()}
     cues = sorted(f for f, s in share.items() if s >= CUE_PURITY)
     if not cues:
@@ -176,20 +186,22 @@ def train(docs: DataFrame, labels: DataFrame, grades: int = GRADES, train_rows:
         automaton = model.automaton()
         for batch in batches:
             out = []
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            for text, grade in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 words = words_of(text.as_py())
                 v = vector(cue_counts(words, automaton), len(words), len(cues))
-                if v or toxic:
-                    out.append((toxic, list(v.keys()), list(v.values())))
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.bool_()), pa.array([x[1] for x in out], pa.list_(pa.int32())), pa.array([x[2] for x in out], pa.list_(pa.float64()))], ["toxic", "at", "value"])
+                if v or grade:
+                    out.append((grade, list(v.keys()), list(v.values())))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.list_(pa.int32())), pa.array([x[2] for x in out], pa.list_(pa.float64()))], ["grade", "at", "value"])
 
-    found = sample.mapInArrow(vectors, "toxic boolean, at array<int>, value array<double>").collect()  # at most train_rows
-    found.sort(key=lambda r: (r.toxic, r["at"], r.value))
+    found = sample.mapInArrow(vectors, "grade int, at array<int>, value array<double>").collect()  # at most train_rows
+    found.sort(key=lambda r: (r.grade, r["at"], r.value))
     sparse = [dict(zip(r["at"], r.value, strict=True)) for r in found]
-    toxic = np.array([r.toxic for r in found])
-    density = np.array([v.get(len(cues), 0.0) for v in sparse])
-    bounds = np.quantile(density[toxic], np.arange(1, grades - 1) / (grades - 1)) if grades > 2 else np.array([])
-    grade = np.where(toxic, 1 + np.searchsorted(bounds, density, side="left"), 0)
+    grade = np.array([r.grade for r in found])
+    toxic = grade > 0
+    if grades > 2 and len(np.unique(grade[toxic])) == 1:
+        density = np.array([v.get(len(cues), 0.0) for v in sparse])
+        bounds = np.quantile(density[toxic], np.arange(1, grades - 1) / (grades - 1))
+        grade = np.where(toxic, 1 + np.searchsorted(bounds, density, side="left"), 0)
     clean = n.get(False, 0) - int((~toxic).sum())
     w, theta = fit_ordinal([*sparse, {}], np.append(grade, 0), np.append(np.ones(len(sparse)), max(clean, 0)), len(cues) + 1, grades)
     return OrdinalModel(cues, w, theta)

@@ -48,3 +48,28 @@ def test_odd_tables(spark, odd_rows, odd_docs, clashing_docs, no_docs):
             assert len(got) == len(odd_rows) and all(0 <= r.p_toxic <= 1 for r in got)
         assert X.score_toxicity(no_docs, X.train(no_docs, marked)).count() == 0
     assert not any(r.toxic for r in X.score_toxicity(odd_docs, X.train(odd_docs, none)).collect())
+
+
+def test_grades_of_the_labels_are_learnt(spark):
+    r = random.Random(3)
+    plain = [f"word{i}" for i in range(300)]
+    mild, harsh = ["silly", "stupidly"], ["murderous", "hatefully"]
+    rows, labels = [], []
+    for i in range(900):
+        grade = r.choice([0, 0, 0, 1, 2])
+        words = [r.choice(plain) for _ in range(40)] + [r.choice(mild if grade == 1 else harsh) for _ in range(3 if grade else 0)]
+        r.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels.append((i, grade))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.severity for x in X.score_toxicity(docs, X.train(docs, spark.createDataFrame(labels[:500], "doc_id long, toxic int"))).collect()}
+    by = [[got[i] for i, g in labels[500:] if g == k] for k in range(3)]
+    assert max(by[0]) < 0.5 < min(by[1]) and np.mean(by[1]) < 1.4 < 1.6 < np.mean(by[2])
+
+
+def test_held_out_labels_of_the_documents(spark):
+    """Trained on every second labelled row; the figures in the README come from this way of measuring, on check_s."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = X.score_toxicity(docs, X.train(docs, labels.where("doc_id % 2 = 0"))).join(labels.where("doc_id % 2 = 1").withColumnRenamed("toxic", "said"), "doc_id").collect()
+    toxic, clean = [x.toxic for x in got if x.said], [x.toxic for x in got if not x.said]
+    assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.01 * len(clean), (sum(toxic), len(toxic), sum(clean), len(clean))
