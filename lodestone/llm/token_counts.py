@@ -1,16 +1,19 @@
 """Token counts (operator 2): batch encoding in Arrow functions that returns lengths only.
 
-A text is cut before every run of white space that follows another character. The tokenizer's own pattern never
-joins what stands on the two sides of such a place, and special strings hold no white space, so the counts of the
-pieces add up to the count of the text, however long it is. Each distinct piece is encoded once per worker, in
-batches of nearly equal bytes.
+A text is cut before every run of white space that follows another character, and a piece that is still long also
+between an ASCII letter and an ASCII digit. The byte-level pattern never joins what stands on the two sides of such
+places, and special strings hold no white space and no digit, so the counts of the pieces add up to the count of the
+text, however long it is. Each distinct piece is encoded once per worker, in batches of nearly equal bytes. Whether a
+file has that pattern, no normalizer and such special strings is read from the file (`cuts_are_safe`); texts of other
+files are encoded whole, as are those of sentencepiece models, whose words are not independent.
 
 Null and empty texts have no bytes and no tokens; repeated rows are counted each; a table without rows gives none.
-Columns besides the identifier and the text are not read.
+Columns besides the identifier and the text are not read, whatever they are called.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections.abc import Iterator
@@ -28,6 +31,9 @@ _PIECES = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Where none of these occurs, a blank always follows another character than white space.
 _UNUSUAL = ["  ", "\n ", *(c for c in WHITE if c not in " \n")]
 _UNUSUAL_ASCII = [x for x in _UNUSUAL if x.isascii()]
+#: A piece of more characters is cut further.
+LONG_PIECE = 4096
+_CUTS = re.compile(f"(?<=[^{WHITE}])(?=[{WHITE}])|(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Distinct pieces that a worker remembers, and their longest length; others are encoded each time.
 REMEMBERED, LONGEST = 600_000, 64
@@ -38,10 +44,26 @@ BATCH_BYTES = 1 << 18
 def pieces(text: str) -> list[str]:
     """The text cut at safe boundaries; joined they are the text."""
     if any(x in text for x in (_UNUSUAL_ASCII if text.isascii() else _UNUSUAL)):
-        return _PIECES.findall(text)
-    first, *rest = text.split(" ")
-    cut = [" " + x for x in rest]
-    return [first, *cut] if first else cut
+        out = _PIECES.findall(text)
+    else:
+        first, *rest = text.split(" ")
+        out = [" " + x for x in rest]
+        out = [first, *out] if first else out
+    if len(text) > LONG_PIECE and any(len(x) > LONG_PIECE for x in out):
+        # Line feeds that follow another character are safe places too, which the quick way above leaves alone.
+        out = [y for x in out for y in (_CUTS.split(x) if len(x) > LONG_PIECE else [x])]
+    return out
+
+
+def cuts_are_safe(path: str) -> bool:
+    """Whether the tokenizer of a .json file splits texts by the byte-level pattern alone."""
+    with open(path, encoding="utf-8") as f:
+        said = json.load(f)
+    first = said.get("pre_tokenizer") or {}
+    plain = first.get("type") == "ByteLevel" and first.get("use_regex", True) and not first.get("add_prefix_space")
+    own = said.get("added_tokens") or []
+    alone = not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in own)
+    return plain and said.get("normalizer") is None and alone and not any(c.isspace() or c.isdigit() for t in own for c in t["content"])
 
 
 def balanced(items: list[str], most: int = BATCH_BYTES) -> Iterator[list[str]]:
@@ -64,8 +86,9 @@ class Counter:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.known: dict[str, int] = {}
-        self.whole = path.endswith(".model")
-        if self.whole:
+        self.sentences = path.endswith(".model")
+        self.whole = self.sentences or not cuts_are_safe(path)
+        if self.sentences:
             import sentencepiece
 
             self.model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -75,12 +98,12 @@ class Counter:
             self.model = Tokenizer.from_file(path)
 
     def lengths(self, texts: list[str]) -> list[int]:
-        if self.whole:
+        if self.sentences:
             return [len(x) for x in self.model.encode(texts, num_threads=1)]
         return [len(x) for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def counts(self, texts: list[str]) -> list[int]:
-        """The number of tokens of each text. Pieces of a sentencepiece model aren't independent, so it gets whole texts."""
+        """The number of tokens of each text. Where pieces aren't independent, texts are encoded whole."""
         if self.whole:
             return [n for batch in balanced(texts) for n in self.lengths(batch)]
         if len(self.known) > REMEMBERED:  # what came first is what comes often

@@ -4,7 +4,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from lodestone.llm.token_counts import Counter, balanced, pieces, token_counts
+from lodestone.llm.token_counts import Counter, balanced, cuts_are_safe, pieces, token_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -45,3 +45,19 @@ def test_sentencepiece_models_get_whole_texts():
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = ["a  b", "", "Hello there, world"]
     assert Counter(path).counts(texts) == [len(x) for x in model.encode(texts)]
+
+
+def test_long_texts_without_blanks_are_cut_and_counted_right(whole):
+    r, counter = random.Random(2), Counter(PATH)
+    for letters in ("ab1\n", "ab12", "ab!\t1", "ab'sé1"):
+        text = "".join(r.choice(letters) for _ in range(30_000))
+        cut = pieces(text)
+        assert "".join(cut) == text and max(map(len, cut)) < 3000 and counter.counts([text]) == [len(whole.encode(text, add_special_tokens=False))]
+
+
+def test_files_of_another_pattern_get_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert cuts_are_safe(PATH) and not cuts_are_safe(path)
+    model = Tokenizer.from_file(path)
+    texts = ["A  b\n.", "", "it's 12 of\nthe...\n\nworld"]
+    assert Counter(path).counts(texts) == [len(model.encode(x, add_special_tokens=False)) for x in texts]
