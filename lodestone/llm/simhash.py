@@ -7,38 +7,51 @@
 3. A bounded sample of points (`SAMPLE`) shapes a tree: an inner node holds a vantage fingerprint and a radius and
    sends closer points one way, others the other way. Only the shape depends on the sample: every point goes to its
    own leaf (a shard), and as a visitor to every later leaf whose region its ball can overlap by the triangle
-   inequality. A pair within the radius therefore meets in exactly one leaf.
+   inequality. A pair within the radius therefore meets in exactly one leaf. A leaf that received more than `LEAF_ROWS`
+   rows is divided again by a tree of its own, until it has fewer or no vantage point tells its points apart; so leaves
+   stay bounded however many points there are. (Rows sent to several leaves grow with the depth of the tree: at
+   radius 2 by a factor of about 1.3 for each level.)
 4. Within a leaf the same pruning goes on: a recursive join of vantage-point halves, in which only points near a
    boundary are compared across it, ends in small exact comparisons. What leaves a leaf is a spanning forest of
    the links found there, not the links: fewer rows than points came in, however dense a group of copies is.
 5. Contraction joins the forests to components.
 
 If a Jaccard similarity s is asked for, a point is a set of distinct shingles, told apart by its size too: two such
-sets have sizes within a factor of s, a one-dimensional metric with the same triangle bound. The links of steps 3 and 4
-are candidates then: within each of their components the sets themselves are compared, and only pairs that have the
-similarity are linked. A component with more than `BLOCK_SHINGLES` shingles is dealt out as pairs of blocks.
+sets have sizes within a factor of s, a one-dimensional metric with the same triangle bound. Fingerprints of such sets
+differ in so many bits that balls overlap all regions of a tree, which then divides nothing. So shards are made by
+the sets themselves: sets that agree in the `BAND_ROWS` least hashes of one of `BANDS` bands meet in a shard (a pair
+of similarity 0.8 meets nowhere with probability 3e-5, a pair of 0.2 meets with 0.03), and the tree only divides
+shards that are heavy. The links of steps 3 and 4 are candidates then: within each of their components the sets
+themselves are compared, and only pairs that have the similarity are linked. A component with more than
+`BLOCK_SHINGLES` shingles is dealt out as pairs of blocks.
 
 Null texts count as empty; a null identifier is never a component's smallest one unless the whole component lacks
-identifiers. Repeated rows give repeated results. An empty table gives no rows.
+identifiers. Repeated rows give repeated results. An empty table gives no rows. Columns besides the identifier and the
+text are not read, whatever they are called.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import documents, written
+from lodestone.llm.common import documents, drop_written, written
 from lodestone.llm.components import connected_components
 
 SEED = 42
-#: Points that shape the tree; most leaves; points of a leaf aimed at.
-SAMPLE, MOST_LEAVES, LEAF_POINTS = 8192, 1024, 4096
+#: Points that shape the first tree; its leaves at most; points of a leaf aimed at.
+SAMPLE, FIRST_LEAVES, LEAF_POINTS = 8192, 1024, 4096
+#: Rows of a leaf beyond which it is divided again; points that shape its tree, about; leaves of that tree; such trees
+#: that are broadcast at once (about 10 KB each; further leaves are divided in further rounds).
+LEAF_ROWS, LEAF_SAMPLE, LEAF_PARTS, ROUND_LEAVES = 32_768, 2048, 32, 1024
+#: Where sets are compared: bands, and least hashes that a band joins.
+BANDS, BAND_ROWS = 20, 4
 #: Leaves at least, so that work spreads, where there are points enough.
 LEAST_LEAVES = 64
 #: Comparisons below which a pair of point sets is compared as a whole.
@@ -110,16 +123,34 @@ def shingle_hashes(text: str | None, k: int) -> list[int]:
     return [digest(joined[a:b], SEED) for a, b in zip(begins, (ends[k - 1 :] - 1).tolist(), strict=True)]
 
 
-def fingerprints(texts: list[str | None], k: int, words: int, sizes: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(n, words) fingerprints, and (n, 2) the number of distinct shingles and a hash of their set where `sizes` asks for them.
+_FACTORS = np.random.default_rng(SEED).integers(0, 2**63, BANDS * BAND_ROWS).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def band_keys(hashes: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """(n, BANDS) keys of sets, given as consecutive runs of hashes: each joins the least hashes in `BAND_ROWS` orders."""
+    out = np.zeros((len(lengths), BANDS), np.uint64)
+    filled = np.flatnonzero(lengths)
+    starts = (np.cumsum(lengths) - lengths)[filled]
+    for f, factor in enumerate(_FACTORS if len(filled) else []):
+        band = f // BAND_ROWS
+        x = hashes * factor
+        key = out[filled, band] * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(x ^ (x >> np.uint64(32)), starts) + np.uint64(band)
+        out[filled, band] = key ^ (key >> np.uint64(29))
+    return out.view(np.int64)
+
+
+def fingerprints(texts: list[str | None], k: int, words: int, sizes: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n, words) fingerprints; where `sizes` asks for them, (n, 2) the number of distinct shingles and a hash of their set, and (n, BANDS) keys.
 
     With `sizes` each distinct shingle votes once, else as often as it stands in the text."""
-    fps, about = [], []
+    fps, about, bands = [], [], []
     held: list[np.ndarray] = []
     n = 0
 
     def flush() -> None:
-        fps.append(majority(np.concatenate([np.empty(0, np.uint64), *held]), np.array([len(x) for x in held], np.int64), words))
+        flat, lengths = np.concatenate([np.empty(0, np.uint64), *held]), np.array([len(x) for x in held], np.int64)
+        fps.append(majority(flat, lengths, words))
+        bands.append(band_keys(flat, lengths) if sizes else np.empty((len(held), 0), np.int64))
         about.extend((len(x), xxhash.xxh64_intdigest(x.tobytes(), SEED)) if sizes else (0, 0) for x in held)
 
     for text in texts:
@@ -130,7 +161,7 @@ def fingerprints(texts: list[str | None], k: int, words: int, sizes: bool = Fals
             flush()
             held, n = [], 0
     flush()
-    return np.concatenate(fps), np.array(about, np.uint64).reshape(-1, 2).view(np.int64)
+    return np.concatenate(fps), np.array(about, np.uint64).reshape(-1, 2).view(np.int64), np.concatenate(bands)
 
 
 def distances(a: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -182,11 +213,13 @@ class Tree:
         return route_points(self.root, self.radius, self.margin, points, sizes)
 
 
-def route_points(root, radius: int, size_margin: float | None, points: np.ndarray, sizes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Parallel arrays: point, leaf, whether it is the point's own leaf. Visits go to later leaves only."""
+def route_points(root, radius: int, size_margin: float | None, points: np.ndarray, sizes: np.ndarray | None, owned: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parallel arrays: point, leaf, whether it is the point's own leaf. Visits go to later leaves only.
+
+    owned: which points have a leaf of their own here; the others only visit."""
     out: list[tuple[np.ndarray, int, np.ndarray]] = []
     logs = None if sizes is None else np.log(np.maximum(sizes, 1))
-    todo = [(root, np.arange(len(points)), np.ones(len(points), bool))]
+    todo = [(root, np.arange(len(points)), np.ones(len(points), bool) if owned is None else owned)]
     while todo:
         node, at, own = todo.pop()
         if not len(at):
@@ -276,7 +309,10 @@ class LeafJoin:
             return
         split = self._halves(at, at, depth)
         if split is None:
-            self._whole(at, at)
+            if len(at) > 4096 and self._crowded(at):
+                self._pivots(at)
+            else:
+                self._whole(at, at)
             return
         d, _, mid = split
         near, far = at[d <= mid], at[d > mid]
@@ -298,6 +334,25 @@ class LeafJoin:
         self.across(an[da[da <= mid] + self.radius > mid], bf[db[db > mid] - self.radius <= mid], depth + 1)
         self.across(af[da[da > mid] - self.radius <= mid], bn[db[db <= mid] + self.radius > mid], depth + 1)
 
+    def _crowded(self, at: np.ndarray) -> bool:
+        """Whether some point has a third of all the others near it."""
+        return any(self._near(at[i : i + 1], at).mean() > 0.33 for i in range(0, len(at), max(1, len(at) // 16)))
+
+    def _pivots(self, at: np.ndarray) -> None:
+        """Points are compared with what isn't in their component yet, so a crowd costs a few passes over it."""
+        label, waits = np.arange(len(at)), np.ones(len(at), bool)
+        while True:
+            waiting = np.bincount(label[waits], minlength=len(at))
+            if np.count_nonzero(waiting) < 2:
+                break
+            own = np.argmin(np.where(waiting, waiting, len(at) + 1))
+            p = np.flatnonzero(waits & (label == own))[0]
+            waits[p] = False
+            others = np.flatnonzero(waits & (label != own))
+            hit = others[self._near(at[p : p + 1], at[others])[0]]
+            label[np.isin(label, np.unique(label[hit]))] = own
+        self.forest.add(at[label], at)
+
     def _halves(self, a: np.ndarray, b: np.ndarray, depth: int):
         """Distances from a vantage point and a radius, if a split spares comparisons."""
         if len(a) * len(b) <= WHOLE or depth > 40:
@@ -328,52 +383,135 @@ def _leaf_links(points: np.ndarray, sizes: np.ndarray | None, own: np.ndarray, r
     return join.forest.label
 
 
-def linked_points(points: DataFrame, radius: int, words: int, factor: float | None = None) -> DataFrame:
-    """points: id (long), fp (array<long>), size (long), all ids distinct. Links a, b that connect what lies within the radius."""
+ROUTED = "leaf long, own boolean, id long, fp array<long>, size long"
+
+
+def _routed_batches(ids: np.ndarray, fp: np.ndarray, sizes: np.ndarray, at: np.ndarray, leaf: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+    words = fp.shape[1]
+    for i in range(0, len(at), 100_000):
+        j = at[i : i + 100_000]
+        flat = pa.array(np.ascontiguousarray(fp[j]).view(np.int64).ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(leaf[i : i + 100_000].astype(np.int64)), pa.array(own[i : i + 100_000]), pa.array(ids[j]), pa.ListArray.from_arrays(pa.array(np.arange(len(j) + 1, dtype=np.int32) * words), flat), pa.array(sizes[j])], ["leaf", "own", "id", "fp", "size"])
+
+
+def _columns(rows: pa.RecordBatch | pa.Table, words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """id, fp (n, words) and size of rows."""
+    fp = rows.column("fp")
+    fp = fp.combine_chunks() if isinstance(fp, pa.ChunkedArray) else fp
+    return rows.column("id").to_numpy(), fp.flatten().to_numpy().view(np.uint64).reshape(-1, words), rows.column("size").to_numpy()
+
+
+def first_leaves(points: DataFrame, radius: int, words: int, factor: float | None) -> DataFrame:
+    """points: id, fp, size. Every point in its own leaf of the first tree, and as a visitor in later ones."""
     spark = points.sparkSession
     n = points.count()
     sample = points.orderBy(F.xxhash64("id", F.lit(SEED))).limit(SAMPLE).collect()
-    leaves = int(min(MOST_LEAVES, max(min(LEAST_LEAVES, n // 64 + 1), n // LEAF_POINTS + 1)))
+    leaves = int(min(FIRST_LEAVES, max(min(LEAST_LEAVES, n // 64 + 1), n // LEAF_POINTS + 1)))
     fps = np.array([r.fp for r in sample], np.int64).reshape(-1, words).view(np.uint64)
     tree = Tree(fps, np.array([r.size for r in sample]) if factor else None, leaves, radius, factor)
-    sent = spark.sparkContext.broadcast((tree.root, tree.radius, tree.margin))  # at most 2 * MOST_LEAVES nodes
+    sent = spark.sparkContext.broadcast((tree.root, tree.radius, tree.margin))  # at most 2 * FIRST_LEAVES nodes
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            ids = batch.column(0).to_numpy()
-            fp = batch.column(1).flatten().to_numpy().view(np.uint64).reshape(-1, words)
-            sizes = batch.column(2).to_numpy()
-            at, leaf, own = route_points(*sent.value, fp, sizes if factor else None)
-            for i in range(0, len(at), 100_000):
-                j = at[i : i + 100_000]
-                flat = pa.array(np.ascontiguousarray(fp[j]).view(np.int64).ravel())
-                yield pa.RecordBatch.from_arrays([pa.array(leaf[i : i + 100_000].astype(np.int32)), pa.array(own[i : i + 100_000]), pa.array(ids[j]), pa.ListArray.from_arrays(pa.array(np.arange(len(j) + 1, dtype=np.int32) * words), flat), pa.array(sizes[j])], ["leaf", "own", "id", "fp", "size"])
-
-    def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        fp = np.stack(rows["fp"].to_numpy()).astype(np.int64).view(np.uint64).reshape(-1, words)
-        ids = rows["id"].to_numpy(np.int64)
-        label = _leaf_links(fp, rows["size"].to_numpy(np.int64) if factor else None, rows["own"].to_numpy(bool), radius, factor)
+            if batch.num_rows:
+                ids, fp, sizes = _columns(batch, words)
+                yield from _routed_batches(ids, fp, sizes, *route_points(*sent.value, fp, sizes if factor else None))
+
+    return points.select("id", "fp", "size").mapInArrow(route, ROUTED)
+
+
+def divided(rows: DataFrame, radius: int, words: int, factor: float | None, leaf_rows: int | None = None) -> DataFrame:
+    """Rows as `ROUTED`, with leaves of more than `leaf_rows` rows divided by trees of their own.
+
+    A leaf stays as it is where its largest part got nearly all of it: its points are too close for a boundary."""
+    leaf_rows = leaf_rows or LEAF_ROWS
+    spark = rows.sparkSession
+    rows = written(rows, "routed")
+    done = None  # leaves that can't be divided
+    while True:
+        sizes = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("owned")).where(F.col("n") > leaf_rows)
+        if done is not None:
+            sizes = sizes.join(done, "leaf", "left_anti")
+        heavy = {r.leaf: (r.n, r.owned) for r in sizes.orderBy(F.desc("n"), "leaf").limit(ROUND_LEAVES).collect()}
+        if not heavy:
+            return rows
+        named = F.broadcast(spark.createDataFrame([(k, float(LEAF_SAMPLE) / max(1, o)) for k, (_, o) in heavy.items()], "leaf long, part double"))
+        place = (F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.lit(1 << 20)) / float(1 << 20)) < F.col("part")
+
+        def grow(key: tuple, sample: pa.Table) -> pa.Table:
+            _, fp, held = _columns(sample, words)
+            order = np.lexsort(fp.T)
+            tree = Tree(fp[order], held[order] if factor else None, LEAF_PARTS, radius, factor)
+            return pa.table({"leaf": pa.array([key[0].as_py()], pa.int64()), "tree": pa.array([pickle.dumps((tree.root, tree.radius, tree.margin))], pa.binary())})
+
+        trees = rows.where("own").join(named, "leaf").where(place).select("leaf", "own", "id", "fp", "size").groupBy("leaf").applyInArrow(grow, "leaf long, tree binary")
+        sent = spark.sparkContext.broadcast({r.leaf: bytes(r.tree) for r in trees.collect()})  # ROUND_LEAVES trees at most
+
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = {k: pickle.loads(v) for k, v in sent.value.items()}
+            for batch in batches:
+                leaf = batch.column("leaf").to_numpy()
+                ids, fp, held = _columns(batch, words)
+                own = batch.column("own").to_numpy(zero_copy_only=False)
+                for k in np.unique(leaf).tolist():
+                    at = np.flatnonzero(leaf == k)
+                    if k not in known:
+                        yield from _routed_batches(ids, fp, held, at, leaf[at], own[at])
+                        continue
+                    point, part, mine = route_points(*known[k], fp[at], held[at] if factor else None, own[at])
+                    # Leaves that chance gives one name are compared as one, which finds the same links.
+                    name = (part.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(k % 2**64) * np.uint64(0xBF58476D1CE4E5B9)
+                    yield from _routed_batches(ids, fp, held, at[point], name.view(np.int64), mine)
+
+        stuck = [k for k in heavy if k not in sent.value]
+        new = written(rows.mapInArrow(route, ROUTED), "routed")
+        # What one part of a leaf got, against the leaf: parts are known by their names.
+        parts = {}
+        for k in sent.value:
+            for j in range(LEAF_PARTS):
+                name = (j + 1) * 0x9E3779B97F4A7C15 % 2**64 ^ k % 2**64 * 0xBF58476D1CE4E5B9 % 2**64
+                parts[name - 2**64 if name >= 2**63 else name] = heavy[k][0]
+        table = F.broadcast(spark.createDataFrame(list(parts.items()), "leaf long, whole long"))
+        full = new.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).join(table, "leaf").where(F.col("n") > 0.9 * F.col("whole")).select("leaf")
+        stuck = full.unionByName(spark.createDataFrame([(k,) for k in stuck], "leaf long"))
+        done = written(stuck if done is None else done.unionByName(stuck), "undivided")
+        drop_written(rows)
+        rows = new
+
+
+def linked_points(routed: DataFrame, radius: int, words: int, factor: float | None = None) -> DataFrame:
+    """routed: rows as `ROUTED`. Links a, b that connect what lies within the radius and meets in a leaf."""
+
+    def meet(rows: pa.Table) -> pa.Table:
+        ids, fp, sizes = _columns(rows, words)
+        label = _leaf_links(fp, sizes if factor else None, rows.column("own").to_numpy(), radius, factor)
         linked = np.flatnonzero(label != np.arange(len(label)))
-        return pd.DataFrame({"a": ids[label[linked]], "b": ids[linked]})
+        return pa.table({"a": ids[label[linked]], "b": ids[linked]})
+
+    return divided(routed, radius, words, factor).groupBy("leaf").applyInArrow(meet, "a long, b long")
+
 
-    routed = points.select("id", "fp", "size").mapInArrow(route, "leaf int, own boolean, id long, fp array<long>, size long")
-    return routed.groupBy("leaf").applyInPandas(meet, "a long, b long")
+def band_shards(points: DataFrame) -> DataFrame:
+    """points: id, fp, size, bands. Rows as `ROUTED` for shards in which several points meet, each set of points once."""
+    keyed = points.select("id", F.explode("bands").alias("leaf"))
+    about = keyed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    once = about.groupBy("n", "x", "low", "high").agg(F.min("leaf").alias("leaf")).select("leaf")
+    return keyed.join(once, "leaf").join(points.select("id", "fp", "size"), "id").select("leaf", F.lit(True).alias("own"), "id", "fp", "size")
 
 
 def simhash_fingerprints(docs: DataFrame, k: int, words: int, sizes: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (array<long> of `words` words), size (distinct shingles, or 0), set (their hash, or 0), text_hash for every row."""
+    """doc_id, fp (array<long> of `words` words), size (distinct shingles, or 0), set (their hash, or 0), bands (or none), text_hash for every row."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1)
             for a, b in _slices([t.as_buffer().size if t.is_valid else 0 for t in texts], 1 << 23):
-                fp, about = fingerprints(texts.slice(a, b - a).to_pylist(), k, words, sizes)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1, dtype=np.int32) * words), pa.array(fp.view(np.int64).ravel())), pa.array(about[:, 0]), pa.array(about[:, 1]), batch.column(2).slice(a, b - a)], ["doc_id", "fp", "size", "set", "text_hash"])
+                fp, about, bands = fingerprints(texts.slice(a, b - a).to_pylist(), k, words, sizes)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1, dtype=np.int32) * bands.shape[1]), pa.array(bands.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1, dtype=np.int32) * words), pa.array(fp.view(np.int64).ravel())), pa.array(about[:, 0]), pa.array(about[:, 1]), keys, batch.column(2).slice(a, b - a)], ["doc_id", "fp", "size", "set", "bands", "text_hash"])
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), _text_hash(text).alias("text_hash")).mapInArrow(emit, "doc_id long, fp array<long>, size long, set long, text_hash long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), _text_hash(text).alias("text_hash")).mapInArrow(emit, "doc_id long, fp array<long>, size long, set long, bands array<long>, text_hash long")
 
 
 def _text_hash(text: Column) -> Column:
@@ -449,22 +587,24 @@ def verified_links(candidates: DataFrame, points: DataFrame, docs: DataFrame, k:
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 12, words: int = 1, min_similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id for every row: the smallest identifier reachable over links of fingerprints.
+    """doc_id, text_hash, fp, component (a number), component_id for every row: the smallest identifier reachable over links of fingerprints.
 
     min_similarity: links are those within the radius whose sets of distinct shingles have this Jaccard similarity."""
     # A point's id: the fingerprint itself if it is one word and all that counts, else a 64-bit hash of what tells it apart.
-    point = F.col("set") if min_similarity is not None else F.get("fp", 0) if words == 1 else F.xxhash64("fp")
-    rows = written(simhash_fingerprints(docs, k, words, min_similarity is not None, id_col, text_col).withColumn("id", point), "fingerprints")
-    points = written(rows.groupBy("id").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("first_id")), "points")
-    found = connected_components(linked_points(points, radius, words, min_similarity))
-    if min_similarity is not None:
+    sets = min_similarity is not None
+    point = F.col("set") if sets else F.get("fp", 0) if words == 1 else F.xxhash64("fp")
+    rows = written(simhash_fingerprints(docs, k, words, sets, id_col, text_col).withColumn("id", point), "fingerprints")
+    points = written(rows.groupBy("id").agg(F.first("fp").alias("fp"), F.first("size").alias("size"), F.first("bands").alias("bands"), F.min("text_hash").alias("text_hash"), F.min("doc_id").alias("first_id")), "points")
+    routed = band_shards(points) if sets else first_leaves(points, radius, words, None)
+    found = connected_components(linked_points(routed, radius, words, min_similarity))
+    if sets:
         found = connected_components(verified_links(found, points, docs, k, min_similarity, text_col))
     found = found.select(F.col("node").alias("id"), "component")
     known = written(points.select("id", "first_id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "known")
     # Written, so that the join below shuffles both sides anew and Spark can split a large component's rows.
     smallest = written(known.groupBy("component").agg(F.min("first_id").alias("component_id")), "smallest")
-    named = known.join(smallest, "component").select("id", "component_id")
-    return rows.join(named, "id").select("doc_id", "fp", "component_id")
+    named = known.join(smallest, "component").select("id", "component", "component_id")
+    return rows.join(named, "id").select("doc_id", "text_hash", "fp", "component", "component_id")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

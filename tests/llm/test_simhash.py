@@ -33,7 +33,7 @@ def components(points, linked):
 
 def test_fingerprints_are_bit_majorities(odd_rows):
     texts = [r[1] for r in odd_rows]
-    got, _ = fingerprints(texts, 3, 1)
+    got, *_ = fingerprints(texts, 3, 1)
     assert [int(x) for x in got[:, 0]] == [fingerprint(t, 3) for t in texts]
 
 
@@ -135,7 +135,7 @@ def test_repeated_lines_vote_once(spark):
         rows += [(i, a), (i + 1, a + line * 10), (i + 2, own[0] + line * 10), (i + 3, own[1] + line * 10)]
         want |= {i: i, i + 1: i, i + 2: i + 2, i + 3: i + 3}
     texts = [" ".join(t) for _, t in rows]
-    fp, about = fingerprints(texts, 5, 8, True)
+    fp, about, _ = fingerprints(texts, 5, 8, True)
     assert about[:, 0].tolist() == [len(shingles(t)) for t in texts]
     bits = lambda x, y: int(np.bitwise_count(fp[x] ^ fp[y]).sum())
     assert all(bits(i, i + 1) <= 136 < bits(i + 2, i + 3) for i in range(0, 40, 4))
@@ -161,3 +161,50 @@ def test_components_of_chains_and_stars(spark):
     got = {x.node: x.component for x in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {1000 + i: 1000 for i in range(30)} | {2000: 2000, 2001: 2000}
     assert connected_components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
+def test_heavy_leaves_are_divided_and_no_link_is_lost(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    base = r.integers(0, 2**63, 1500)
+    flip = lambda x: x ^ (1 << r.integers(0, 60, len(x))) ^ (1 << r.integers(0, 60, len(x)))
+    crowd = flip(np.full(300, base[0]))  # a cluster that no boundary divides well
+    points = np.unique(np.concatenate([base, flip(base[:500]), flip(flip(base[500:700])), crowd]))
+    table = spark.createDataFrame([(int(p), [int(p)], 0) for p in points], "id long, fp array<long>, size long").repartition(4)
+    monkeypatch.setattr(simhash, "LEAST_LEAVES", 1)
+    monkeypatch.setattr(simhash, "LEAF_SAMPLE", 128)
+    want = components(points.tolist(), lambda a, b: (a ^ b).bit_count() <= 2)
+    largest = []
+    for most in (10**6, 700, 250):
+        monkeypatch.setattr(simhash, "LEAF_ROWS", most)
+        routed = simhash.divided(simhash.first_leaves(table, 2, 1, None), 2, 1, None)
+        largest.append(routed.groupBy("leaf").count().agg({"count": "max"}).first()[0])
+        assert routed.where("own").count() == len(points) == routed.where("own").select("id").distinct().count()
+        found = {x.node: x.component for x in connected_components(simhash.linked_points(simhash.first_leaves(table, 2, 1, None), 2, 1, None)).collect()}
+        assert {p: found.get(p, p) for p in points.tolist()} == want
+    assert largest[0] == len(points) and largest[1] <= 700 and largest[2] < 0.25 * len(points)
+
+
+def test_a_crowd_is_linked_as_by_whole_comparison():
+    r = np.random.default_rng(6)
+    base = r.integers(0, 2**63, 3).astype(np.uint64)
+    points = np.concatenate([base[i] ^ (np.uint64(1) << r.integers(0, 64, 2500).astype(np.uint64)) ^ (np.uint64(1) << r.integers(0, 64, 2500).astype(np.uint64)) for i in range(3)] + [r.integers(0, 2**63, 200).astype(np.uint64)])[:, None]
+    whole, quick = simhash.LeafJoin(points, None, 4, None), simhash.LeafJoin(points, None, 4, None)
+    whole._whole(np.arange(len(points)), np.arange(len(points)))
+    quick._pivots(np.arange(len(points)))
+    whole.forest.reduce(), quick.forest.reduce()
+    assert np.array_equal(whole.forest.label, quick.forest.label) and len(set(quick.forest.label.tolist())) > 100
+
+
+def test_sets_of_the_similarity_meet_in_a_band():
+    r = np.random.default_rng(7)
+    lost = tried = 0
+    for n in (5, 40, 400):
+        sets = r.integers(0, 2**63, (600, n)).astype(np.uint64) * np.uint64(2)
+        other = sets.copy()
+        other[:, : n // 9] = r.integers(0, 2**63, (600, n // 9)).astype(np.uint64)  # Jaccard similarity 0.8 or a little more
+        a, b = (simhash.band_keys(x.ravel(), np.full(600, n)) for x in (sets, other))
+        lost += int((~(a == b).any(axis=1)).sum())
+        tried += 600
+        assert (a == np.roll(b, 1, axis=0)).sum() == 0
+    assert lost <= 0.001 * tried
+    assert simhash.band_keys(np.empty(0, np.uint64), np.zeros(2, np.int64)).shape == (2, simhash.BANDS)
