@@ -29,6 +29,11 @@ def ascii_words(text: Column) -> Column:
     return F.array_remove(F.split(flat, " "), "")
 
 
+def text_hash(text: Column) -> Column:
+    """Tells texts of one identifier apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def rolling_hashes(hashes: Column, k: int) -> Column:
     """64-bit hashes of all k consecutive elements of an array of word hashes; element i starts at word i."""
     n = F.size(hashes)

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import ascii_words, documents, rolling_hashes, written
+from lodestone.llm.common import ascii_words, documents, rolling_hashes, text_hash, written
 
 WINDOW, K = 10, 5
 BROADCAST_ROWS = 200_000
@@ -101,21 +101,21 @@ def _extended(window: int, k: int) -> tuple[Column, Column]:
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: int = K, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """One row for each row of `docs`: doc_id, n_words, n_hit, spans (merged hit words as begin, end), items (sorted ids)."""
+    """One row for each row of `docs`: doc_id, text_hash, n_words, n_hit, spans (merged hit words as begin, end), items (sorted ids)."""
     prints, holders, short = benchmark_prints(items, window, k)
     holders = written(holders, "holders")
     small = max(prints.limit(broadcast_rows + 1).count(), holders.limit(broadcast_rows + 1).count()) <= broadcast_rows
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), ascii_words(F.col(text_col)).alias("words"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), text_hash(F.col(text_col)).alias("text_hash"), ascii_words(F.col(text_col)).alias("words"))
     # explode_outer: for explode, Spark would infer a filter that computes all of this a second time, inlined.
     # The first probe stands for the row itself, whatever it hits; its hash is the row's number, so no task gets all.
     itself = F.array(F.struct(F.lit(-1).alias("m"), F.lit(0).alias("at"), F.col("row").alias("h"), F.array().cast("array<bigint>").alias("ctx"), F.lit(0).alias("off")))
-    probes = _prints(rows, short, window, k).select("row", "doc_id", F.size("words").cast("long").alias("n_words"), F.explode_outer(F.concat(itself, F.col("probes"))).alias("p")).select("row", "doc_id", "n_words", "p.*")
+    probes = _prints(rows, short, window, k).select("row", "doc_id", "text_hash", F.size("words").cast("long").alias("n_words"), F.explode_outer(F.concat(itself, F.col("probes"))).alias("p")).select("row", "doc_id", "text_hash", "n_words", "p.*")
     hits = probes.join(F.broadcast(prints) if small else prints, ["m", "h"], "left").where((F.col("m") == -1) | F.col("item_off").isNotNull())
     begin, end = _extended(window, k)
     # A row's own probe has no print; it gets a number of its own, lest one task of the next join receive all of them.
-    found = hits.select("row", "doc_id", "n_words", "m", F.coalesce("print", F.lit(-1) - F.col("row")).alias("print"), begin.alias("begin"), end.alias("end")).where((F.col("m") == -1) | F.col("begin").isNotNull())
+    found = hits.select("row", "doc_id", "text_hash", "n_words", "m", F.coalesce("print", F.lit(-1) - F.col("row")).alias("print"), begin.alias("begin"), end.alias("end")).where((F.col("m") == -1) | F.col("begin").isNotNull())
     found = found.join(F.broadcast(holders) if small else holders, "print", "left")
-    per_row = found.groupBy("row", "doc_id", "n_words").agg(F.collect_set(F.when(F.col("begin").isNotNull(), F.struct("begin", "end"))).alias("hits"), F.collect_set("item_id").alias("items"))
+    per_row = found.groupBy("row", "doc_id", "text_hash", "n_words").agg(F.collect_set(F.when(F.col("begin").isNotNull(), F.struct("begin", "end"))).alias("hits"), F.collect_set("item_id").alias("items"))
     # One pass over a row's spans in order: (merged spans so far, the open span).
     nothing = F.struct(F.array().cast("array<struct<begin:int,end:int>>").alias("done"), F.lit(-1).alias("begin"), F.lit(-1).alias("end"))
 
@@ -128,9 +128,9 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, k: in
         return F.when(acc["end"] < 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(F.struct(acc["begin"].alias("begin"), acc["end"].alias("end")))))
 
     spans = F.aggregate(F.array_sort("hits"), nothing, merge, finish)
-    merged = per_row.select("doc_id", "n_words", spans.alias("spans"), F.array_sort("items").alias("items"))
+    merged = per_row.select("doc_id", "text_hash", "n_words", spans.alias("spans"), F.array_sort("items").alias("items"))
     hit_words = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["begin"]))
-    return merged.select("doc_id", "n_words", hit_words.alias("n_hit"), "spans", "items")
+    return merged.select("doc_id", "text_hash", "n_words", hit_words.alias("n_hit"), "spans", "items")
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

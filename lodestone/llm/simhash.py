@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import documents, drop_written, written
+from lodestone.llm.common import documents, drop_written, text_hash, written
 from lodestone.llm.components import connected_components
 
 SEED = 42
@@ -511,11 +511,7 @@ def simhash_fingerprints(docs: DataFrame, k: int, words: int, sizes: bool = Fals
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(np.arange(len(fp) + 1, dtype=np.int32) * words), pa.array(fp.view(np.int64).ravel())), pa.array(about[:, 0]), pa.array(about[:, 1]), keys, batch.column(2).slice(a, b - a)], ["doc_id", "fp", "size", "set", "bands", "text_hash"])
 
     text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), _text_hash(text).alias("text_hash")).mapInArrow(emit, "doc_id long, fp array<long>, size long, set long, bands array<long>, text_hash long")
-
-
-def _text_hash(text: Column) -> Column:
-    return F.xxhash64(F.coalesce(text, F.lit("")))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), text_hash(text).alias("text_hash")).mapInArrow(emit, "doc_id long, fp array<long>, size long, set long, bands array<long>, text_hash long")
 
 
 # --- comparing the sets of candidates ---
@@ -561,7 +557,7 @@ def verified_links(candidates: DataFrame, points: DataFrame, docs: DataFrame, k:
     wanted = written(members.join(total, "component"), "candidates")
     text = F.col(text_col).cast("string")
     # Of texts with equal hashes any will do: combined before they are sent.
-    texts = docs.select(F.coalesce(text, F.lit("")).alias("text"), _text_hash(text).alias("text_hash")).join(wanted.select("text_hash"), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+    texts = docs.select(F.coalesce(text, F.lit("")).alias("text"), text_hash(text).alias("text_hash")).join(wanted.select("text_hash"), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

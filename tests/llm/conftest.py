@@ -45,3 +45,8 @@ def unharmed():
         return all(row[c] == f"user's {c}" for c in [*OWN, *MARKED] if c not in results)
 
     return check
+
+
+@pytest.fixture(scope="session")
+def clashing_schema():
+    return CLASHING, [*OWN, *MARKED]

@@ -41,3 +41,74 @@ def test_stages_take_effect_and_keep_clean_documents(spark):
 
 def test_all_operators_are_registered():
     assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 11)] and set(ORACLES) <= set(QUERIES)
+
+
+@pytest.fixture
+def odd_folder(spark, odd_rows, clashing_schema, tmp_path):
+    """Tables of a pipeline over odd rows: nulls, repeated rows and identifiers, clashing columns."""
+    plain = [f"word{i}" for i in range(200)]
+    import random
+
+    r = random.Random(4)
+    text = lambda n: " ".join(r.choice(plain) for _ in range(n))
+    same, other = text(60), text(60)
+    item = " ".join(f"q{i}" for i in range(14))
+    extra = [(500, same), (501, same + " tail"), (500, other), (None, other + " tail"), (None, text(50)), (600, item + " " + text(20)), (600, text(30)), (None, item), (None, item), (700, None), (701, "")]
+    rows = [*odd_rows, *((i, t, "en", f"src{k % 20}", None) for k, (i, t) in enumerate(extra))]
+    schema, names = clashing_schema
+    full = spark.createDataFrame([(*x, *(f"user's {c}" for c in names)) for x in rows], schema)
+    full.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0), (1, 1, None), (None, 0, 1), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, item), (2, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    return str(tmp_path), rows
+
+
+def test_odd_tables_pass_all_stages(spark, odd_folder, unharmed):
+    folder, rows = odd_folder
+    results = set()
+    docs = P.documents(spark, folder)
+    columns = docs.columns
+    left = [(i, t or "") for i, t, *_ in rows]
+    for name, stage in P.STAGES:
+        docs = P.written(stage(spark, docs, folder), f"odd-{name}")
+        got = [(x.doc_id, x.text or "") for x in docs.collect()]
+        if name == "simhash_near_dedup":
+            sets = {t: shingles(t) if t.split() else frozenset() for _, t in left}
+            near = lambda a, b: a == b or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+            root = {t: t for t in sets}
+
+            def find(t):
+                while root[t] != t:
+                    t = root[t]
+                return t
+
+            for a in sets:
+                for b in sets:
+                    if near(a, b):
+                        root[max(find(a), find(b))] = min(find(a), find(b))
+            groups = {}
+            for i, t in left:
+                groups.setdefault(find(t), []).append(i)
+            assert sorted(find(t) for _, t in got) == sorted(groups)
+            for i, t in got:
+                least = min((x for x in groups[find(t)] if x is not None), default=None)
+                assert i == least
+            assert sum(i == 500 for i, _ in got) == 2, "rows of one identifier and unlike texts both stay"
+        elif name == "benchmark_decontamination":
+            want = [x for x in left if "q0 q1" not in x[1]]
+            assert sorted(map(str, got)) == sorted(map(str, want))
+        if name == "sharding":
+            results = {"size", "text_crc32", "law", "shard", "slot", "text_sha", "grown_shard"}
+        else:
+            assert docs.columns == columns
+        assert all(unharmed(x, results) for x in docs.collect())
+        left = got
+    assert len(left) > 10
+
+
+def test_empty_tables_pass_all_stages(spark, odd_folder, no_docs):
+    folder, _ = odd_folder
+    docs = no_docs
+    for name, stage in P.STAGES:
+        docs = P.written(stage(spark, docs, folder), f"none-{name}")
+        assert docs.count() == 0
