@@ -55,12 +55,17 @@ def _majority(tokens: list[bytes], at_least_half: bool, order: str) -> int:
     return int(np.packbits(on, bitorder="little").view(np.int64)[0])
 
 
+def simhash_of_words(text: str | None) -> int:
+    """64-bit SimHash of the [a-z0-9]+ tokens of a text (with repeats) by BLAKE2b; as a signed number."""
+    return _majority([w.encode() for w in re.findall("[a-z0-9]+", (text or "").casefold())], True, "big")
+
+
 def simhash_words(text: Column) -> Column:
     """64-bit SimHash of [a-z0-9]+ tokens (with repeats) by BLAKE2b; as bigint, the bit pattern."""
 
     @F.pandas_udf("long")
     def sim(x: pd.Series) -> pd.Series:
-        return pd.Series([_majority([w.encode() for w in re.findall("[a-z0-9]+", (t or "").casefold())], True, "big") for t in x], dtype="int64")
+        return pd.Series([simhash_of_words(t) for t in x], dtype="int64")
 
     return sim(text)
 

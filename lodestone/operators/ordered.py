@@ -31,9 +31,19 @@ def prefix_sum(df: DataFrame, by: list[str], ordinal: str, value: Column, name:
 def global_position(df: DataFrame, order: list, name: str = "position", partitions: int | None = None) -> DataFrame:
     """Adds each row's place, from 0, in a total order: range partitions are sorted apart and counted."""
     n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumns({"_global_part": F.spark_partition_id(), "_global_at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
     held = table(ranged, "ranged")  # the bounds of ranges are sampled: rows and counts must come from one run
-    counts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return held.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + F.col("_at")).cast("long")).drop("_part", "_at", "_start")
+    counts = held.groupBy("_global_part").agg(F.count(F.lit(1)).alias("_global_n"))
+    before = Window.orderBy("_global_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
+    starts = counts.select("_global_part", F.coalesce(F.sum("_global_n").over(before), F.lit(0)).alias("_global_start"))
+    return held.join(F.broadcast(starts), "_global_part").withColumn(name, (F.col("_global_start") + F.col("_global_at")).cast("long")).drop("_global_part", "_global_at", "_global_start")
+
+
+def place_in_group(df: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds each row's place, from 0, within its group: its global position less the group's first. No task holds a group."""
+    placed = table(global_position(df, [*by, *order], name), "placed")
+    first = placed.groupBy(*(F.col(c).alias(f"_group_by_{c}") for c in by)).agg(F.min(name).alias("_group_first"))
+    match = F.lit(True)
+    for c in by:
+        match = match & F.col(c).eqNullSafe(F.col(f"_group_by_{c}"))
+    return placed.join(first, match).withColumn(name, F.col(name) - F.col("_group_first")).drop("_group_first", *(f"_group_by_{c}" for c in by))

@@ -289,7 +289,7 @@ _WORDS = "list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+'))"
 def lexical_overlap_topk(spark, d):
     """The five part names most like each one of a brand-less pool, by shared words."""
     parts = _t(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").cast("string").alias("id")).select("id", F.col("p_name").alias("name"), T.lexical_words(F.col("p_name")).alias("words"), F.lit("all").alias("split"))
-    return dialogs.top_overlaps(dialogs.overlap_candidates(parts, 5, ["split"]), ["split"], 5).select("id", "other", "overlap", "rank")
+    return dialogs.partners(parts, ["split"], 5).select("id", "other", "overlap", "rank")
 
 
 @query(rf"WITH t AS (SELECT lang, {TOK} AS n FROM documents), g AS (SELECT lang, list_sort(list(n)) AS v, median(n) AS median FROM t GROUP BY 1) SELECT lang, v[1] AS least, median, v[1 + floor(0.95::DOUBLE * (len(v) - 1))::INT] AS p95, v[1 + floor(0.99::DOUBLE * (len(v) - 1))::INT] AS p99, v[len(v)] AS most, len(v) AS n FROM g")
@@ -349,7 +349,7 @@ def category_split_targets(spark, d):
 #: Tools of both parameter conventions, and arguments for them.
 TOOLS = [
     ("typed", {"type": "function", "function": {"name": "weather", "description": " Look up ", "parameters": {"type": "object", "properties": {"city": {"type": "str"}, "days": {"type": "int, optional"}}, "required": ["city", "gone"]}}}, {"city": "Bonn", "days": 3}),
-    ("older", {"name": "growth", "parameters": {"initial_amount": {"type": "float"}, "years": {"type": "int"}, "rate": {"type": "float, optional"}, "steps": {"type": "int", "default": 2}}}, {"initial_amount": 1.5}),
+    ("older", {"name": "brew", "parameters": {"beans": {"type": "float"}, "water": {"type": "int"}, "heat": {"type": "float, optional"}, "cups": {"type": "int", "default": 2}}}, {"beans": 1.5}),
     ("nameless", {"parameters": {}}, {}),
 ]
 

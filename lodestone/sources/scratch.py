@@ -2,25 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset, a temporary folder (tests)."""
+    """spark.checkpoint.dir of the session; where it is unset, a folder beside the warehouse's tables, which is shared
+    wherever tables are."""
     said = spark.conf.get("spark.checkpoint.dir", None)
     if said:
         return said
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not own.isDefined():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lodestone-"))
+        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/lodestone-scratch")
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
     return own.get()
 
 
+def _forget(spark: SparkSession, path: str) -> None:
+    try:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session may have ended, and its folder with it
+        pass
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
+    """The frame as a table in that folder; it is deleted when the driver's Python ends."""
     path = f"{scratch_dir(df.sparkSession)}/core-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_forget, df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

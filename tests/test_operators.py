@@ -1,3 +1,4 @@
+import hashlib
 import heapq
 import json
 import random
@@ -5,7 +6,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators import audit, corpus, near_dup, openapi, tokens
+from lodestone.functions import schemas
+from lodestone.operators import audit, corpus, dialogs, near_dup, openapi, tokens
 from lodestone.operators.ordered import global_position, prefix_sum
 from lodestone.sources import jsonl, shards
 from lodestone.streaming import build
@@ -126,14 +128,131 @@ def test_stream_resumes_and_refuses_other_configurations(spark, tmp_path):
         build.build(spark, source, docs.schema, folder, 300)
 
 
-def test_hot_words_find_partners(spark):
-    """Every item has the words h0 to h2 or some of them; one rarer word is shared by few."""
-    from lodestone.operators.dialogs import overlap_candidates
+def best_by_hand(rows, k, similar=True):
+    """The k best others of each item by comparing all pairs; ties by the hash of the other."""
+    out = {}
+    for i, name, words, split in rows:
+        found = {}
+        for j, other, held, scope in rows:
+            if scope == split and other != name and i != j:
+                key = ((-1 if similar else 1) * len(set(words) & set(held)), hashlib.sha256(j.encode()).hexdigest(), j)
+                found[other] = min(found.get(other, key), key)
+        out[i] = [(x[2], abs(x[0])) for x in sorted(found.values())[:k]]
+    return out
 
-    rows = [(f"i{i}", f"n{i}", [f"h{j}" for j in range(3) if (i >> j) % 8] + [f"r{i // 2}"], "all") for i in range(300)]
-    items = spark.createDataFrame(rows, "id string, name string, words array<string>, split string")
-    got = {(r.id, r.other): r.overlap for r in overlap_candidates(items, 1, ["split"]).collect()}
-    sets = {i: set(w) for i, _, w, _ in rows}
-    want = {(a, b): len(sets[a] & sets[b]) for a in sets for b in sets if a != b}
-    assert all(got.get(p) == n for p, n in want.items() if n)
-    assert all(sum((a, b) in got for b in sets) >= 100 for a in sets)
+
+@pytest.mark.parametrize("frequent", [1000, 4])
+def test_partners_are_those_of_comparing_all_pairs(spark, frequent):
+    """Hot words, rare words, equal word sets, equal names, and two scopes, in each of which all items are in every sample."""
+    r = random.Random(4)
+    hot, rare = [f"h{i}" for i in range(4)], [f"r{i}" for i in range(30)]
+    rows = [(f"i{i}", f"n{i % 50}", sorted({*(w for w in hot if r.random() < 0.6), *r.sample(rare, r.choice([0, 0, 1, 2]))}), "ab"[i % 2]) for i in range(140)]
+    items = spark.createDataFrame(rows, "id string, name string, words array<string>, split string").repartition(3)
+    for similar in (True, False):
+        got = {}
+        for x in sorted(dialogs.partners(items, ["split"], 5, similar, frequent).collect(), key=lambda x: x["rank"]):
+            got.setdefault(x.id, []).append((x.other, x.overlap))
+        assert got == best_by_hand(rows, 5, similar)
+    assert dialogs.partners(items.limit(0), ["split"], 5).count() == 0
+
+
+def test_neighbours_are_a_sample_of_the_scope(spark):
+    items = spark.createDataFrame([(f"i{i}", "a" if i < 300 else "b") for i in range(330)], "id string, split string")
+    got = {}
+    for x in dialogs.neighbours(items, ["split"], 1).collect():
+        got.setdefault(x.id, []).append(x.other)
+    assert all(len(v) == len(set(v)) == (100 if int(k[1:]) < 300 else 29) and k not in v for k, v in got.items())
+
+
+def tool(name, **fields):
+    return {"name": name, "description": f"Do {name}", "parameters": {"properties": fields, "required": [k for k, v in fields.items() if v.get("must")]}}
+
+
+def test_seeds_are_checked_in_order():
+    a, b = tool("a", x={"type": "int", "must": True}), tool("b", y={"type": "str"})
+    one = [{"name": " a ", "arguments": json.dumps({"x": 1})}]
+    cases = [("", [a], one, "empty_query"), (None, "[", one, "empty_query"), ("q", "[", one, "unparseable_tools_or_answers"), ("q", [a], {"name": "a"}, "unparseable_tools_or_answers"), ("q", [a], one * 2, "not_single_call"), ("q", [a], [], "not_single_call"), ("q", [a], ["a"], "invalid_answer"), ("q", [a, a], one, "called_tool_not_unique"), ("q", [b], one, "called_tool_not_unique"), ("q", [a, b], [{"name": "a", "arguments": {}}], "invalid_arguments"), ("q", [a], [{"name": "a"}], "invalid_arguments"), ("q", [a], [{"name": "a", "arguments": {"x": True}}], "invalid_arguments")]
+    for query, tools, answers, fault in cases:
+        text = lambda v: v if isinstance(v, str) else json.dumps(v)
+        assert dialogs.seed_of(query, text(tools), text(answers)) == (fault, None, None)
+    fault, found, given = dialogs.seed_of("q", json.dumps([b, a]), json.dumps(one))
+    assert fault is None and found["name"] == "a" and given == {"x": 1}
+
+
+def case(category, turn, fields, given, similar=4, unlike=7):
+    seed = {"source_id": "s", "source_position": 3, "query": "do it", "tool": schemas.tidy_tool(tool("own", **fields)), "arguments": given}
+    others = [schemas.tidy_tool(tool(f"t{i}", z={"type": "str"})) for i in range(8)]
+    return dialogs.Case(category, seed, turn, others[:similar], others[:unlike])
+
+
+def test_every_category_makes_sound_records():
+    fields, given = {"city": {"type": "str", "must": True}, "days": {"type": "int"}}, {"city": "Bonn", "days": 3}
+    for turn in range(12):
+        made = {c: dialogs.make_candidate(case(c, turn, fields, given)) for c in dialogs.CATEGORIES}
+        for c, parts in made.items():
+            assert schemas.target_fault(parts.target, parts.tools) is None, c
+            assert len({t["name"] for t in parts.tools}) == len(parts.tools) <= 6
+            assert dialogs.rendered_fault(schemas.canonical(parts.target), parts.target) is None
+        names = {c: {t["name"] for t in p.tools} for c, p in made.items()}
+        assert len(names["valid_call"]) == 1 + min(5, turn % 6) and len(names["confusable_tools"]) == 5
+        assert "own" not in names["no_applicable_tool"] and len(names["no_applicable_tool"]) == 2 + turn % 5
+        assert (made["no_applicable_tool"].request in dialogs.CHATTER) == (turn % 3 == 0)
+        gap = made["missing_required_fields"]
+        (gone,) = gap.target["missing_required_fields"]
+        assert gone not in gap.target["arguments"] and next(t for t in gap.tools if t["name"] == "own")["parameters"]["required"] == sorted({"city", gone})
+        assert made["schema_constraints"].about["constraint_fields"] == ["days"] and ('{"city":"Bonn","days":3}' in made["schema_constraints"].request) == bool(turn % 2)
+        assert sum(t["description"].startswith(tuple(dialogs.INTRUSIONS)) for t in made["injection_resistance"].tools) == 1
+    plain = dialogs.make_candidate(case("schema_constraints", 0, {"city": {"type": "str", "must": True}}, {"city": "Bonn"}))
+    shown = next(t for t in plain.tools if t["name"] == "own")
+    assert "Bonn" in shown["parameters"]["properties"]["city"]["enum"] and plain.target["arguments"] == {"city": "Bonn"}
+    assert [dialogs.make_candidate(case(c, 0, fields, {}, 0, 0)) is None for c in dialogs.CATEGORIES] == [False, True, True, True, True, True]
+
+
+def test_rendered_targets():
+    target = {"decision": "no_call", "tool_name": None, "arguments": {}, "missing_required_fields": []}
+    text = schemas.canonical(target)
+    assert [dialogs.rendered_fault(t, target) for t in (text, text + " ", text.replace("no_call", "call"), "[]", None)] == [None, "not canonical", "another target", "not an object", "not an object"]
+
+
+def test_quotas_take_the_first_records_and_no_near_duplicates(spark):
+    rows = [(f"r{i}", "train", "c" if i % 2 else "d", i // 4, f"s{i}", "call", "q", "[]", "{}", None if i % 7 else "odd", (i // 6) << 20 if i % 2 else i << 8, f"k{i:03}") for i in range(120)]
+    rows += [rows[9], (*rows[9][:3], 99, *rows[9][4:])]
+    made = spark.createDataFrame(rows, dialogs.RECORDS).repartition(3)
+    want = []
+    for c in "cd":
+        kept, sound = [], sorted({x[0]: x for x in sorted(rows, key=lambda x: -x[3]) if x[2] == c and x[9] is None}.values(), key=lambda x: (x[3], x[11], x[0]))
+        for x in sound:
+            if all((x[10] ^ y[10]).bit_count() > 2 for y in kept):
+                kept.append(x)
+        want += [x[0] for x in kept[:5]]
+    assert sorted(x.id for x in dialogs.accepted_records(made, 5).collect()) == sorted(want)
+
+
+def test_context_limits_and_identifiers(spark):
+    talk = spark.createDataFrame([(i, 0, "user", f"please handle request number{i} quickly today") for i in range(12)], "conv_id long, turn long, role string, text string")
+    seeds = dialogs.synthetic_seeds(spark, talk)
+    wide, tight = (dialogs.candidates(seeds, 2, context=c).collect() for c in (2048, 12))
+    assert {x.fault for x in wide} == {None} and all(x.id.startswith("tc_sft_v1_") and len(x.id) == 34 for x in wide)
+    assert {x.fault for x in tight} == {"over_context"} and len(tight) == len(wide)
+
+
+def test_audit_sample_looks_back_at_recent_rows_only(spark):
+    from lodestone.functions.hashing import simhash_shingles
+
+    texts = [f"text number {i % 40} of the sample with several words" for i in range(400)]
+    docs = spark.createDataFrame([(i, f"s{i % 3}", t) for i, t in enumerate(texts)], "doc_id long, source string, text string").repartition(3)
+    prints = {x.text: x.f for x in docs.select("text", simhash_shingles(F.col("text")).alias("f")).distinct().collect()}
+    got = {x.source: (x.sampled, x.near_duplicates) for x in near_dup.audit_sample(docs, simhash_shingles(F.col("text")), 1.0, 90, 3, recent=4).collect()}
+    want = {}
+    for s in ("s0", "s1", "s2"):
+        held, near, n = {}, 0, 0
+        for i in range(400):
+            if f"s{i % 3}" != s or n == 90:
+                continue
+            f, n = prints[texts[i]] % 2**64, n + 1
+            bands = [(b, f >> 16 * b & 0xFFFF) for b in range(4)]
+            near += any((f ^ g).bit_count() <= 3 for b in bands for g in held.get(b, [])[-4:])
+            for b in bands:
+                held.setdefault(b, []).append(f)
+        want[s] = (n, near)
+    assert got == want
