@@ -50,8 +50,8 @@ SAMPLE, FIRST_LEAVES, LEAF_POINTS = 8192, 1024, 4096
 #: Rows of a leaf beyond which it is divided again; points that shape its tree, about; leaves of that tree; such trees
 #: that are broadcast at once (about 10 KB each; further leaves are divided in further rounds).
 LEAF_ROWS, LEAF_SAMPLE, LEAF_PARTS, ROUND_LEAVES = 32_768, 2048, 32, 1024
-#: Where sets are compared: bands, and least hashes that a band joins.
-BANDS, BAND_ROWS = 20, 4
+#: Where sets are compared: bands, and least hashes that a band joins; keys of several sets that are broadcast, at most.
+BANDS, BAND_ROWS, BROADCAST_KEYS = 20, 4, 1_000_000
 #: Leaves at least, so that work spreads, where there are points enough.
 LEAST_LEAVES = 64
 #: Comparisons below which a pair of point sets is compared as a whole.
@@ -491,12 +491,16 @@ def linked_points(routed: DataFrame, radius: int, words: int, factor: float | No
     return divided(routed, radius, words, factor).groupBy("leaf").applyInArrow(meet, "a long, b long")
 
 
-def band_shards(points: DataFrame) -> DataFrame:
+def band_shards(points: DataFrame, broadcast_keys: int | None = None) -> DataFrame:
     """points: id, fp, size, bands. Rows as `ROUTED` for shards in which several points meet, each set of points once."""
     keyed = points.select("id", F.explode("bands").alias("leaf"))
-    about = keyed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
+    # Most keys belong to one point: they are counted, and only points of the others travel with them.
+    shared = written(keyed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("leaf"), "keys")
+    few = shared.count() <= (BROADCAST_KEYS if broadcast_keys is None else broadcast_keys)
+    met = written(keyed.join(F.broadcast(shared) if few else shared, "leaf"), "shards")
+    about = met.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("id")).alias("x"), F.min("id").alias("low"), F.max("id").alias("high"))
     once = about.groupBy("n", "x", "low", "high").agg(F.min("leaf").alias("leaf")).select("leaf")
-    return keyed.join(once, "leaf").join(points.select("id", "fp", "size"), "id").select("leaf", F.lit(True).alias("own"), "id", "fp", "size")
+    return met.join(once, "leaf").join(points.select("id", "fp", "size"), "id").select("leaf", F.lit(True).alias("own"), "id", "fp", "size")
 
 
 def simhash_fingerprints(docs: DataFrame, k: int, words: int, sizes: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

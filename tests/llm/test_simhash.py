@@ -120,8 +120,9 @@ def test_only_sets_of_the_similarity_are_linked(spark, monkeypatch):
     want = components(range(len(rows)), lambda a, b: similar(sets[a], sets[b]))
     assert len(set(want.values())) > 12
     docs = spark.createDataFrame([*rows, (None, rows[0][1]), (900, rows[0][1])], "doc_id long, text string")
-    for most in (simhash.BLOCK_SHINGLES, 700):
+    for most, keys in ((simhash.BLOCK_SHINGLES, 10**6), (700, 0)):
         monkeypatch.setattr(simhash, "BLOCK_SHINGLES", most)
+        monkeypatch.setattr(simhash, "BROADCAST_KEYS", keys)
         got = near_duplicates(docs, k=5, radius=136, words=8, min_similarity=0.8).collect()
         assert {x.doc_id: x.component_id for x in got} == want | {None: 0, 900: 0}
 
