@@ -28,11 +28,14 @@ def fraction_bound(fraction: float) -> str:
 
 def in_fraction(text: Column, fraction: float) -> Column:
     """Deterministic Bernoulli choice by content: the first 8 bytes of SHA-256 over 2^64 are below the fraction."""
-    if fraction <= 0:
-        return F.lit(False)
-    if fraction >= 1:
-        return F.lit(True)
-    return F.substring(content_hash(text), 1, 16) < fraction_bound(fraction)
+    return hash_in_fraction(content_hash(text), fraction)
+
+
+def hash_in_fraction(sha: Column, fraction: float) -> Column:
+    """The same of a content hash that is known already."""
+    if 0 < fraction < 1:
+        return F.substring(sha, 1, 16) < fraction_bound(fraction)
+    return F.lit(fraction >= 1)
 
 
 def split_90_5_5(signature: Column) -> Column:

@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.hashing import dedup_key
-from lodestone.functions.text import normalize_corpus, whitespace_tokens
-from lodestone.operators.corpus import MIN_CHARS
+from lodestone.functions.text import whitespace_tokens
+from lodestone.operators.corpus import MIN_CHARS, measured
+
 
+def capacity_audit(docs: DataFrame, longest: int = 16384, tokens: Callable[[Column], Column] = whitespace_tokens) -> DataFrame:
+    """One row for each source: what was read, accepted, short or duplicate, characters, and tokens before and after cutting.
 
-def capacity_audit(docs: DataFrame, longest: int = 16384) -> DataFrame:
-    """One row for each source: what was read, accepted, short or duplicate, characters, and tokens before and after cutting."""
-    rows = docs.withColumn("_text", normalize_corpus(F.col("text"))).withColumn("_key", dedup_key(F.col("_text")))
-    slim = rows.select("source", "doc_id", "_key", F.length("_text").cast("long").alias("chars"), (whitespace_tokens(F.col("_text")) + 1).alias("tokens"))
-    firsts = slim.where(F.col("chars") >= MIN_CHARS).groupBy("source", "_key").agg(F.min("doc_id").alias("_first"))
-    state = slim.join(firsts, ["source", "_key"], "left")
+    tokens: how many a text has, its end not included."""
+    slim = measured(docs, ["source", "doc_id"], tokens)
+    firsts = slim.where(F.col("chars") >= MIN_CHARS).groupBy("source", "key").agg(F.min("doc_id").alias("_first"))
+    state = slim.join(firsts, ["source", "key"], "left")
     good = (F.col("chars") >= MIN_CHARS) & (F.col("doc_id") == F.col("_first"))
-    kept = F.least(F.col("tokens"), F.lit(longest))
+    kept = F.least(F.col("n_tokens"), F.lit(longest))
     out = state.groupBy("source").agg(
         F.count(F.lit(1)).alias("emitted"), F.count_if(good).alias("accepted"), F.count_if(F.col("chars") < MIN_CHARS).alias("short"), F.count_if((F.col("chars") >= MIN_CHARS) & (F.col("doc_id") != F.col("_first"))).alias("duplicate"),
-        F.count_if(good & (F.col("tokens") > longest)).alias("truncated"), F.coalesce(F.sum(F.when(good, F.col("chars"))), F.lit(0)).alias("characters"),
-        F.coalesce(F.sum(F.when(good, F.col("tokens"))), F.lit(0)).alias("tokens_before"), F.coalesce(F.sum(F.when(good, kept)), F.lit(0)).alias("tokens_after"),
+        F.count_if(good & (F.col("n_tokens") > longest)).alias("truncated"), F.coalesce(F.sum(F.when(good, F.col("chars"))), F.lit(0)).alias("characters"),
+        F.coalesce(F.sum(F.when(good, F.col("n_tokens"))), F.lit(0)).alias("tokens_before"), F.coalesce(F.sum(F.when(good, kept)), F.lit(0)).alias("tokens_after"),
     )
     return out.withColumns({"duplicate_fraction": F.round(F.try_divide(F.col("duplicate"), F.col("accepted") + F.col("duplicate")), 9), "tokens_per_document": F.round(F.try_divide(F.col("tokens_after"), F.col("accepted")), 6)})
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.functions.hashing import dedup_key, in_fraction
+from lodestone.functions.hashing import content_hash, hash_in_fraction
 from lodestone.functions.text import normalize_corpus, whitespace_tokens
 from lodestone.operators.ordered import prefix_sum
+from lodestone.sources.scratch import table
 
 #: Licences that the code source accepts; fixed values.
 ALLOWED_LICENSES = ["mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "cc0-1.0", "unlicense"]
@@ -57,20 +60,30 @@ def normalized(docs: DataFrame, unicode_form: bool = True) -> DataFrame:
     return docs.withColumn("text", normalize_corpus(F.col("text"), unicode_form))
 
 
+def measured(docs: DataFrame, keep: list[str], tokens: Callable[[Column], Column] = whitespace_tokens, validation_fraction: float = 0.05) -> DataFrame:
+    """What later steps need to know of each text, written once: the columns of `keep`, key (16 bytes of the normalized
+    text's hash), chars, n_tokens (its end included) and validation. Texts are normalized once and never shuffled."""
+    text = F.col("_normal")
+    rows = docs.withColumn("_normal", normalize_corpus(F.col("text")))
+    hashed = rows.select(*keep, content_hash(text).alias("_sha"), F.length(text).cast("long").alias("chars"), (tokens(text) + 1).alias("n_tokens"))
+    return table(hashed.select(*keep, F.unhex(F.substring("_sha", 1, 32)).alias("key"), "chars", "n_tokens", hash_in_fraction(F.col("_sha"), validation_fraction).alias("validation")), "measured")
+
+
 def rejection_reasons(docs: DataFrame, allowed: list[str] | None, validation_fraction: float, mode: str = "train", scope: list[str] | None = None, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs: doc_id, source, text, license. Adds `reason`: license, not_text, short, duplicate, split, or null if accepted.
+    """docs: doc_id, source, text, license. doc_id, source, the columns of `scope`, key, chars, n_tokens and `reason`:
+    license, not_text, short, duplicate, split, or null if accepted.
 
     The order of checks is the builder's: split-rejected documents are never remembered, so of equal texts each is
     rejected by split, and a duplicate is one of an accepted document."""
     scope = scope or ["source"]
-    rows = docs.withColumn("_text", normalize_corpus(F.col("text"))).withColumn("_key", dedup_key(F.col("_text")))
-    in_validation = in_fraction(F.col("_text"), validation_fraction)
-    wrong_split = {"train": in_validation, "validation": ~in_validation, "all": F.lit(False)}[mode]
-    early = F.when(~license_allowed(F.col("license"), allowed), "license").when(F.col("text").isNull(), "not_text").when(F.length("_text") < min_chars, "short").when(wrong_split, "split")
+    about = {"_refused": ~license_allowed(F.col("license"), allowed), "_null": F.col("text").isNull()}
+    rows = measured(docs.withColumns(about), [*dict.fromkeys(["doc_id", "source", *scope, *about])], validation_fraction=validation_fraction)
+    wrong_split = {"train": F.col("validation"), "validation": ~F.col("validation"), "all": F.lit(False)}[mode]
+    early = F.when(F.col("_refused"), "license").when(F.col("_null"), "not_text").when(F.col("chars") < min_chars, "short").when(wrong_split, "split")
     rows = rows.withColumn("_early", early)
-    firsts = rows.where("_early IS NULL").groupBy(*scope, "_key").agg(F.min("doc_id").alias("_first"))
+    firsts = rows.where("_early IS NULL").groupBy(*scope, "key").agg(F.min("doc_id").alias("_first"))
     reason = F.coalesce("_early", F.when(F.col("doc_id") != F.col("_first"), "duplicate"))
-    return rows.join(firsts, [*scope, "_key"], "left").withColumn("reason", reason).select(*docs.columns, "reason", F.col("_text").alias("normalized"))
+    return rows.join(firsts, [*scope, "key"], "left").withColumn("reason", reason).drop("_early", "_first", *about)
 
 
 def reason_counters(reasons: DataFrame) -> DataFrame:
@@ -96,6 +109,7 @@ def shard_pieces(cut: DataFrame, shard_tokens: int) -> DataFrame:
 
 
 def shard_manifest(pieces: DataFrame, by: list[str]) -> DataFrame:
+    """One row for each shard: tokens, bytes (two for each token), pieces, first and last document."""
     return pieces.groupBy(*by, "shard").agg(F.sum("tokens").alias("tokens"), (F.sum("tokens") * 2).alias("bytes"), F.count(F.lit(1)).alias("pieces"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
 
 
@@ -171,6 +185,8 @@ def byte_budget(docs: DataFrame, ordinal: str, budget: int, mark: str = "\n<|end
 
 def slice_counts(docs: DataFrame, validation_fraction: float = 0.05) -> DataFrame:
     """The minimum corpus slice: normalize, length, first-wins, split, tokens by source and split."""
-    rows = normalized(docs).where(F.length("text") >= MIN_CHARS).withColumn("key", dedup_key(F.col("text")))
-    kept = first_wins(rows, ["source", "key"], "doc_id").withColumn("split", F.when(in_fraction(F.col("text"), validation_fraction), "validation").otherwise("train"))
-    return kept.groupBy("source", "split").agg(F.count(F.lit(1)).alias("documents"), F.sum(whitespace_tokens(F.col("text")) + 1).alias("tokens"))
+    rows = measured(docs, ["source", "doc_id"], validation_fraction=validation_fraction).where(F.col("chars") >= MIN_CHARS)
+    # Rows of one key have one text, and so one split and one number of tokens: the first stands for all.
+    kept = rows.groupBy("source", "key").agg(F.first("n_tokens").alias("n_tokens"), F.first("validation").alias("validation"))
+    split = F.when(F.col("validation"), "validation").otherwise("train")
+    return kept.groupBy("source", split.alias("split")).agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"))

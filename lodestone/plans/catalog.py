@@ -39,6 +39,22 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
 
 
+#: A table of fewer bytes may lie in one row group, which one task reads; its rows are dealt out before costly work.
+SPREAD_BYTES = 64 << 20
+
+
+def spread_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, over all cores; a table of some size is read by many tasks anyway, and its texts are not shuffled."""
+    rows = docs(spark, sf_dir)
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    size = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+    return rows.repartition(spark.sparkContext.defaultParallelism) if size < SPREAD_BYTES else rows
+
+
+def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.measured(spread_docs(spark, sf_dir), ["source", "doc_id"]).withColumn("key", F.lower(F.hex("key")))
+
+
 # Pieces of SQL that queries share.
 _SPACE = r"\t\x0b\x0c\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _NORM = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(0), ''), '\r\n?', chr(10), 'g'), '[{_SPACE}]+(\n|$)', '\1', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^[{_SPACE}\n]+|[{_SPACE}\n]+$', '', 'g')"
@@ -51,22 +67,22 @@ F05, F10 = H.fraction_bound(0.05), H.fraction_bound(0.10)
 
 @query(rf"{N}, k AS (SELECT *, substr(sha256(text), 1, 32) AS key FROM n WHERE length(text) >= 120), f AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY source, key ORDER BY doc_id) = 1) SELECT source, CASE WHEN substr(sha256(text), 1, 16) < '{F05}' THEN 'validation' ELSE 'train' END AS split, count(*) AS documents, sum({TOK} + 1)::BIGINT AS tokens FROM f GROUP BY ALL")
 def corpus_slice(spark, d):
-    return corpus.slice_counts(docs(spark, d))
+    return corpus.slice_counts(spread_docs(spark, d))
 
 
 @query(f"{N} SELECT doc_id, text FROM n")
 def normalize_documents(spark, d):
-    return corpus.normalized(docs(spark, d)).select("doc_id", "text")
+    return corpus.normalized(spread_docs(spark, d)).select("doc_id", "text")
 
 
 @query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\n{4,}', chr(10) || chr(10) || chr(10), 'g'), E' \t\n') AS text FROM documents")
 def normalize_tokenizer(spark, d):
-    return docs(spark, d).select("doc_id", T.normalize_tokenizer(F.col("text")).alias("text"))
+    return spread_docs(spark, d).select("doc_id", T.normalize_tokenizer(F.col("text")).alias("text"))
 
 
 @query(f"{N} SELECT doc_id, length(text) AS chars FROM n WHERE length(text) >= 120")
 def min_length_filter(spark, d):
-    return corpus.normalized(docs(spark, d)).where(F.length("text") >= 120).select("doc_id", F.length("text").cast("long").alias("chars"))
+    return corpus.normalized(spread_docs(spark, d)).where(F.length("text") >= 120).select("doc_id", F.length("text").cast("long").alias("chars"))
 
 
 @query(f"SELECT doc_id, {LICENSE} AS license FROM documents WHERE coalesce({LICENSE}, 'none') IN ({ALLOWED})")
@@ -82,14 +98,12 @@ def license_filter_blank(spark, d):
 
 @query(f"{N} SELECT min(doc_id) AS doc_id, substr(sha256(text), 1, 32) AS key FROM n GROUP BY 2")
 def exact_dedup_first_wins(spark, d):
-    rows = corpus.normalized(docs(spark, d)).select("doc_id", H.dedup_key(F.col("text")).alias("key"))
-    return corpus.first_wins(rows, ["key"], "doc_id")
+    return corpus.first_wins(_keys(spark, d).select("doc_id", "key"), ["key"], "doc_id")
 
 
 @query(f"{N} SELECT source, min(doc_id) AS doc_id, substr(sha256(text), 1, 32) AS key FROM n GROUP BY source, 3")
 def dedup_per_source(spark, d):
-    rows = corpus.normalized(docs(spark, d)).select("source", "doc_id", H.dedup_key(F.col("text")).alias("key"))
-    return corpus.first_wins(rows, ["source", "key"], "doc_id")
+    return corpus.first_wins(_keys(spark, d).select("source", "doc_id", "key"), ["source", "key"], "doc_id")
 
 
 @query("SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0)")
@@ -119,7 +133,7 @@ def split_leakage_check(spark, d):
 
 
 def _licensed(spark, d):
-    return docs(spark, d).withColumn("license", F.coalesce(corpus.text_license(F.col("text")), F.lit("MIT")))
+    return spread_docs(spark, d).withColumn("license", F.coalesce(corpus.text_license(F.col("text")), F.lit("MIT")))
 
 
 _REASONS = rf"""WITH n AS (SELECT doc_id, source, coalesce({LICENSE}, 'mit') AS license, {_NORM} AS text FROM documents),
@@ -144,7 +158,7 @@ SELECT source, count(*) AS emitted, count(*) FILTER (WHERE good) AS accepted, co
 coalesce(sum(chars) FILTER (WHERE good), 0)::BIGINT AS characters, coalesce(sum(tokens) FILTER (WHERE good), 0)::BIGINT AS tokens_before, coalesce(sum(least(tokens, 16384)) FILTER (WHERE good), 0)::BIGINT AS tokens_after,
 round((count(*) FILTER (WHERE chars >= 120 AND doc_id <> first))::DOUBLE / nullif(count(*) FILTER (WHERE chars >= 120), 0), 9) AS duplicate_fraction, round((sum(least(tokens, 16384)) FILTER (WHERE good))::DOUBLE / nullif(count(*) FILTER (WHERE good), 0), 6) AS tokens_per_document FROM g GROUP BY source""")
 def capacity_audit(spark, d):
-    return audit.capacity_audit(docs(spark, d))
+    return audit.capacity_audit(spread_docs(spark, d))
 
 
 #: Sources of the approved mixture: weight, finite, audited tokens, share of the shortfall. Fixed values.
@@ -178,7 +192,7 @@ _CUT = rf"{N}, p AS (SELECT source, doc_id, {TOK} + 1 AS n_tokens, coalesce(sum(
 
 
 def _cut(spark, d):
-    return corpus.budget_cut(corpus.normalized(docs(spark, d)).select("source", "doc_id", "text"), ["source"], "doc_id", T.whitespace_tokens(F.col("text")) + 1, 5000)
+    return corpus.budget_cut(corpus.measured(spread_docs(spark, d), ["source", "doc_id"]), ["source"], "doc_id", F.col("n_tokens"), 5000)
 
 
 @query(f"{_CUT} SELECT source, doc_id, n_tokens, start, kept FROM c WHERE kept > 0")
