@@ -49,31 +49,35 @@ def seeded_order(*parts: Column | str) -> Column:
     return F.sha2(F.concat_ws("\x1f", *(p if isinstance(p, Column) else F.lit(p) for p in parts)), 256)
 
 
-def _majority(tokens: list[bytes], at_least_half: bool, order: str) -> int:
+#: 64-bit hashes of a token. The published fingerprints use BLAKE2b; the SHA-256 ones can be computed in SQL as well.
+DIGESTS = {"blake2b": lambda t: hashlib.blake2b(t, digest_size=8).digest(), "sha256": lambda t: hashlib.sha256(t).digest()[:8]}
+
+
+def _majority(tokens: list[bytes], digest: str = "blake2b") -> int:
+    """Each bit is 1 if it is set in half of the hashes or more; no tokens give 0. A signed number."""
     if not tokens:
         return 0
-    h = np.array([int.from_bytes(hashlib.blake2b(t, digest_size=8).digest(), order) for t in tokens], np.uint64)
+    h = np.array([int.from_bytes(DIGESTS[digest](t), "big") for t in tokens], np.uint64)
     ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    on = ones * 2 >= len(tokens) if at_least_half else ones * 2 > len(tokens)
-    return int(np.packbits(on, bitorder="little").view(np.int64)[0])
+    return int(np.packbits(ones * 2 >= len(tokens), bitorder="little").view(np.int64)[0])
 
 
-def simhash_of_words(text: str | None) -> int:
-    """64-bit SimHash of the [a-z0-9]+ tokens of a text (with repeats) by BLAKE2b; as a signed number."""
-    return _majority([w.encode() for w in re.findall("[a-z0-9]+", (text or "").casefold())], True, "big")
+def simhash_of_words(text: str | None, digest: str = "blake2b") -> int:
+    """64-bit SimHash of the [a-z0-9]+ tokens of a text (with repeats); as a signed number."""
+    return _majority([w.encode() for w in re.findall("[a-z0-9]+", (text or "").casefold())], digest)
 
 
-def simhash_words(text: Column) -> Column:
-    """64-bit SimHash of [a-z0-9]+ tokens (with repeats) by BLAKE2b; as bigint, the bit pattern."""
+def simhash_words(text: Column, digest: str = "blake2b") -> Column:
+    """64-bit SimHash of [a-z0-9]+ tokens (with repeats); as bigint, the bit pattern."""
 
     @F.pandas_udf("long")
     def sim(x: pd.Series) -> pd.Series:
-        return pd.Series([simhash_of_words(t) for t in x], dtype="int64")
+        return pd.Series([simhash_of_words(t, digest) for t in x], dtype="int64")
 
     return sim(text)
 
 
-def simhash_shingles(text: Column, width: int = 5, most_words: int = 4000) -> Column:
+def simhash_shingles(text: Column, width: int = 5, most_words: int = 4000, digest: str = "blake2b") -> Column:
     """64-bit SimHash of word shingles (of single words if there are fewer than `width`); the first words only, as the audit defines it."""
 
     @F.pandas_udf("long")
@@ -82,7 +86,7 @@ def simhash_shingles(text: Column, width: int = 5, most_words: int = 4000) -> Co
         for t in x:
             w = re.findall(r"[A-Za-z0-9_./:{}-]+", (t or "").lower())[:most_words]
             k = width if len(w) >= width else 1
-            out.append(_majority(["\x1f".join(w[i : i + k]).encode() for i in range(len(w) - k + 1)], True, "big"))
+            out.append(_majority(["\x1f".join(w[i : i + k]).encode() for i in range(len(w) - k + 1)], digest))
         return pd.Series(out, dtype="int64")
 
     return sim(text)

@@ -162,3 +162,19 @@ def approval_differences(audited: DataFrame, approved: DataFrame) -> DataFrame:
     """Sources whose audited and approved allocations differ, or that only one side has."""
     a, b = audited.select("source", F.col("allocation").alias("audited")), approved.select("source", F.col("allocation").alias("approved"))
     return a.join(b, "source", "full_outer").where(~F.col("audited").eqNullSafe(F.col("approved")))
+
+
+class MissingReport(ValueError):
+    """A finite source has no complete audit report of this configuration."""
+
+
+def merge_reports(config: DataFrame, reports: DataFrame, config_sha: str) -> DataFrame:
+    """config: pos, source, weight, finite, fill; reports: source, status, config_sha, usable. The rows that
+    `cap_and_fill` takes; a finite source without a complete report of the same configuration is an error."""
+    mine = reports.where((F.col("status") == "complete") & (F.col("config_sha") == config_sha)).select("source", "usable")
+    lacking = [r.source for r in config.where("finite").join(mine, "source", "left_anti").orderBy("pos").select("source").collect()]  # a row for each source
+    if lacking:
+        raise MissingReport(", ".join(lacking))
+    if abs((config.agg(F.sum("fill")).first()[0] or 0) - 1) > 1e-9:
+        raise ValueError("shares of the shortfall must sum to 1")
+    return config.join(F.broadcast(mine), "source", "left").withColumn("usable", F.when(F.col("finite"), F.col("usable")))  # a row for each source

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import math
+from fractions import Fraction
 
 #: Kinds of sources a build knows.
 KINDS = {"huggingface", "openapi_raw", "openapi_docs", "openapi_actions"}
@@ -32,9 +33,9 @@ def validate(config: dict) -> None:
     if abs(math.fsum(float(s["weight"]) for s in sources) - 1) > 1e-8:
         raise ConfigError("weights must sum to 1")
     for category, want in (config.get("category_weights") or {}).items():
-        have = math.fsum(float(s["weight"]) for s in sources if s["category"] == category)
-        if abs(have - float(want)) > 1e-8:
-            raise ConfigError(f"category {category}: {have} instead of {want}")
+        have = sum((Fraction(str(s["weight"])) for s in sources if s["category"] == category), Fraction())
+        if have != Fraction(str(want)):
+            raise ConfigError(f"category {category}: {float(have)} instead of {want}")
 
 
 def approve(config: dict, approval: dict, tokenizer_sha: str) -> None:

@@ -368,6 +368,16 @@ def rendered_fault(target_text: str | None, target: dict) -> str | None:
     return None if target_text == schemas.canonical(target) else "not canonical"
 
 
+def distilled_fault(text: str | None, tools) -> str | None:
+    """Why a distilled answer fails its checks, or null: it must parse, name a tool that there is, fit its schema, and
+    give all required fields or list the missing ones."""
+    target = schemas.parse_or(text)
+    if not isinstance(target, dict):
+        return "no JSON object"
+    known = [t for t in map(schemas.tidy_tool, schemas.parse_or(tools) or []) if t]
+    return schemas.target_fault(target, known)
+
+
 RECORDS = "id string, split string, category string, round int, source_id string, decision string, request string, tools string, target string, fault string, fp long, order_key string"
 
 

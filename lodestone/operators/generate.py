@@ -26,8 +26,9 @@ DROP_OPTIONAL, CLARIFY, NO_CALL = 0.45, 0.15, 0.07
 
 
 def draw(seed: int, row: Column, purpose: str) -> Column:
-    """A number in [0, 1) that depends on seed, row and purpose only."""
-    return F.pmod(F.xxhash64(F.lit(seed), row, F.lit(purpose)), F.lit(1 << 30)) / float(1 << 30)
+    """A number in [0, 1) that depends on seed, row and purpose only: the first 48 bits of a SHA-256."""
+    sha = F.sha2(F.concat_ws(":", F.lit(str(seed)), row.cast("string"), F.lit(purpose)), 256)
+    return F.conv(F.substring(sha, 1, 12), 16, 10).cast("long") / float(1 << 48)
 
 
 def tool_dialogs(spark: SparkSession, rows: int, seed: int = 42, start: int = 0) -> DataFrame:
@@ -41,7 +42,7 @@ def tool_dialogs(spark: SparkSession, rows: int, seed: int = 42, start: int = 0)
         schema = json.dumps({"description": about, "name": name, "parameters": {"properties": {k: {"type": "string"} for k in fields}, "required": [k for k, must in fields.items() if must], "type": "object"}}, sort_keys=True)
         must = [k for k, m in fields.items() if m]
         gone = F.element_at(F.array(*map(F.lit, must)), F.floor(draw(seed, i, "gone") * len(must)).cast("int") + 1)
-        values = F.array(*(F.struct(F.lit(k).alias("k"), F.when(F.lit(m) | (draw(seed, i, f"drop {k}") >= DROP_OPTIONAL), F.concat(F.lit(f"{k}_"), F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), i, F.lit(k)), 256), 1, 6))).alias("v")) for k, m in fields.items()))
+        values = F.array(*(F.struct(F.lit(k).alias("k"), F.when(F.lit(m) | (draw(seed, i, f"drop {k}") >= DROP_OPTIONAL), F.concat(F.lit(f"{k}_"), F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), i.cast("string"), F.lit(k)), 256), 1, 6))).alias("v")) for k, m in fields.items()))
         given = F.filter(values, lambda x: x["v"].isNotNull() & ((decision != "ask_clarification") | (x["k"] != gone)))  # noqa: B023
         pairs = F.array_join(F.transform(given, lambda x: F.concat(F.lit('"'), x["k"], F.lit('": "'), x["v"], F.lit('"'))), ", ")
         known = F.array_join(F.transform(given, lambda x: F.concat(x["k"], F.lit(" "), x["v"])), ", ")
@@ -75,3 +76,51 @@ def filled(source: DataFrame, filler: DataFrame, order: str, target: int) -> Dat
     both = source.withColumn("_prio", F.lit(0)).unionByName(filler.withColumn("_prio", F.lit(1)), allowMissingColumns=True)
     placed = both.withColumns({"_all": F.lit(0), "_at": (F.col("_prio") * (1 << 40) + F.col(order)).cast("long")})
     return budget_cut(placed, ["_all"], "_at", F.col("n_tokens"), target).withColumn("filled", F.col("_prio") == 1).drop("_all", "_at", "_prio")
+
+
+def web_documents(rows: DataFrame) -> DataFrame:
+    """Texts of a web source: empty and missing ones go."""
+    return rows.where(F.coalesce("text", F.lit("")) != "")
+
+
+def spec_documents(specs: DataFrame, seed: int) -> DataFrame:
+    """API descriptions as texts under their path, in a reproducible random order."""
+    placed = specs.where(F.lower("path").rlike(r"\.(json|ya?ml)$"))
+    return placed.select("path", F.concat(F.lit("# API description: "), "path", F.lit("\n"), "text").alias("text"), seeded_order(F.lit(str(seed)), F.col("path")).alias("turn"))
+
+
+def call_documents(rows: DataFrame) -> DataFrame:
+    """rows: query, tools, answers (JSON texts). One rendered exchange for each row, JSON without blanks."""
+    from lodestone.functions.schemas import canonical_json
+
+    tools, answers = (F.coalesce(canonical_json(F.col(c)), F.lit("null")) for c in ("tools", "answers"))
+    return rows.withColumn("text", F.concat(F.lit("<|user|>\n"), F.coalesce("query", F.lit("")), F.lit("\n<|tool_schema|>\n"), tools, F.lit("\n<|tool_call|>\n"), answers, F.lit("\n<|end|>")))
+
+
+def example_value(name: Column, examples: dict[str, str]) -> Column:
+    """The example of a parameter, or one made of its name."""
+    known = F.create_map(*(F.lit(x) for kv in sorted(examples.items()) for x in kv)) if examples else F.lit(None).cast("map<string,string>")
+    return F.coalesce(F.element_at(known, name), F.concat(F.lit("example_"), name))
+
+
+#: Example values of the older generator's parameters; others get one made of their name.
+EXAMPLES = {"city": "Bonn", "date": "2026-05-04", "people": "4", "recipient": "sam@example.org", "severity": "low"}
+
+
+def older_dialogs(spark: SparkSession, rows: int, seed: int = 42) -> DataFrame:
+    """doc_id, decision, text of the older generator: calls (75 %), clarifications (15 %) and refusals (10 %), with example values."""
+    kind, pick = draw(seed, F.col("doc_id"), "older kind"), F.floor(draw(seed, F.col("doc_id"), "older tool") * len(TOOLS)).cast("int")
+    decision = F.when(kind < 0.75, "call").when(kind < 0.9, "ask_clarification").otherwise("no_call")
+    shown = F.lit(None).cast("struct<name:string,about:string,fields:array<string>>")
+    for t, (name, about, fields) in enumerate(TOOLS):
+        shown = F.when(pick == t, F.struct(F.lit(name).alias("name"), F.lit(about).alias("about"), F.array(*map(F.lit, fields)).alias("fields"))).otherwise(shown)
+    base = spark.range(rows).withColumnRenamed("id", "doc_id").withColumns({"decision": decision, "tool": shown})
+    fields = F.col("tool.fields")
+    gone = F.get(fields, F.floor(draw(seed, F.col("doc_id"), "older gone") * F.size(fields)).cast("int"))
+    quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    schema = F.concat(F.lit('{"description":'), quoted(F.col("tool.about")), F.lit(',"name":'), quoted(F.col("tool.name")), F.lit(',"required":['), F.array_join(F.transform(fields, quoted), ","), F.lit("]}"))
+    given = F.when(F.col("decision") == "call", F.array_join(F.transform(fields, lambda f: F.concat(quoted(f), F.lit(":"), quoted(example_value(f, EXAMPLES)))), ",")).otherwise("")
+    missing = F.when(F.col("decision") == "ask_clarification", quoted(gone)).otherwise("")
+    tool = F.when(F.col("decision") == "no_call", "null").otherwise(quoted(F.col("tool.name")))
+    target = F.concat(F.lit('{"arguments":{'), given, F.lit('},"decision":'), quoted(F.col("decision")), F.lit(',"missing_required_fields":['), missing, F.lit('],"tool_name":'), tool, F.lit("}"))
+    return base.select("doc_id", "decision", F.concat(F.lit("<|user|>\n"), "tool.about", F.lit(".\n<|tool_schema|>\n"), schema, F.lit("\n<|tool_call|>\n"), target, F.lit("\n<|end|>")).alias("text"))

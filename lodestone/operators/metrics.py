@@ -38,6 +38,7 @@ def last_validation(log: DataFrame, series: str, order: list[str], kind: str, va
 def decimated(log: DataFrame, series: str, order: list[str], value: str, points: int = 1000) -> DataFrame:
     """At most `points` records of a series: of each of as many equal runs the one farthest from the run's mean."""
     rows = log.withColumn("_run", F.ntile(points).over(Window.partitionBy(series).orderBy(*order)))
-    far = F.abs(F.col(value) - F.avg(value).over(Window.partitionBy(series, "_run")))
+    # Rounded, so that points equally far but for the last bits tie; of those the last in order counts.
+    far = F.round(F.abs(F.col(value) - F.avg(value).over(Window.partitionBy(series, "_run"))), 9)
     best = rows.withColumn("_far", far).groupBy(series, "_run").agg(F.max(F.struct("_far", *order, value)).alias("b"))
     return best.select(series, *(F.col(f"b.{c}").alias(c) for c in (*order, value)))

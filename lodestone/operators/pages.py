@@ -10,3 +10,25 @@ def main_text(html: Column) -> Column:
     """The text of a page without scripts, styles and navigation; runs of white space become one blank."""
     out = F.regexp_replace(html, r"(?is)<(script|style|nav|header|footer|aside)\b.*?</(script|style|nav|header|footer|aside)>", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(out, "<[^>]*>", " "), "[ \\t\\r\\n]+", " "))
+
+
+def spam_score(text: Column) -> Column:
+    """How much of a text repeats itself, from 0 to 1: the largest of the share of its commonest word, of repeated
+    lines, and of repeated word pairs. Made text that fills pages scores high; texts of fewer than 20 words score 0."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "")
+
+    def repeated(items: Column) -> Column:
+        return F.lit(1.0) - F.size(F.array_distinct(items)) / F.greatest(F.size(items), F.lit(1))
+
+    ordered = F.array_sort(words)
+    # Equal neighbours in order: the longest run is the commonest word's count.
+    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("most"))
+
+    def step(acc: Column, w: Column) -> Column:
+        n = F.when(acc["w"] == w, acc["n"] + 1).otherwise(1)
+        return F.struct(w.alias("w"), n.alias("n"), F.greatest(acc["most"], n).alias("most"))
+
+    commonest = F.aggregate(ordered, start, step, lambda acc: acc["most"]) / F.greatest(F.size(words), F.lit(1))
+    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(F.size(words) < 20, F.lit(0.0)).otherwise(F.greatest(commonest, repeated(lines), repeated(pairs)))

@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import hashing as H
-from lodestone.functions import schemas
 from lodestone.functions import text as T
 from lodestone.functions import training as R
-from lodestone.operators import audit, corpus, dialogs, generate, metrics, near_dup, openapi, pages, tokens
+from lodestone.operators import audit, corpus, dialogs, metrics, pages, tokens
 from lodestone.operators.ordered import global_position, prefix_sum
 
 QUERIES: dict = {}
@@ -256,56 +250,11 @@ def chunk_document(spark, d):
     return corpus.chunked(docs(spark, d), 2000, F.col("source")).select("doc_id", "part", "chunk")
 
 
-@query()
-def chunk_paragraph_pack(spark, d):
-    return corpus.paragraph_chunks(docs(spark, d), 8192, 20).select("doc_id", "part", "chunk")
-
-
 @query("WITH p AS (SELECT doc_id, strlen(text) + 15 AS b, sum(strlen(text) + 15) OVER (ORDER BY doc_id) AS upto FROM documents) SELECT doc_id, (upto - b)::BIGINT AS start FROM p WHERE upto <= 200000")
 def tokenizer_byte_budget(spark, d):
     return corpus.byte_budget(docs(spark, d), "doc_id", 200_000).select("doc_id", "start")
 
 
-@query()
-def simhash_a(spark, d):
-    return docs(spark, d).select("doc_id", H.simhash_words(F.col("text")).alias("fp"))
-
-
-@query()
-def simhash_b(spark, d):
-    return docs(spark, d).select("doc_id", H.simhash_shingles(F.col("text")).alias("fp"))
-
-
-def _prints(spark, d):
-    return docs(spark, d).select(F.col("doc_id").alias("id"), H.simhash_shingles(F.col("text")).alias("fp"))
-
-
-@query()
-def near_dup_pairs(spark, d):
-    """Pairs of classes of equal fingerprints within 3 bits."""
-    return near_dup.near_pairs(near_dup.classes(_prints(spark, d)).select("id", "fp"), 3)
-
-
-@query()
-def near_dup_greedy(spark, d):
-    return near_dup.greedy_accepted(_prints(spark, d), 2)
-
-
-@query()
-def near_dup_audit_sample(spark, d):
-    return near_dup.audit_sample(docs(spark, d), H.simhash_shingles(F.col("text")), 0.5, 10_000, 3)
-
-
-_WORDS = "list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+'))"
-
-
-@query()
-def lexical_overlap_topk(spark, d):
-    """The five part names most like each one of a brand-less pool, by shared words."""
-    parts = _t(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").cast("string").alias("id")).select("id", F.col("p_name").alias("name"), T.lexical_words(F.col("p_name")).alias("words"), F.lit("all").alias("split"))
-    return dialogs.partners(parts, ["split"], 5).select("id", "other", "overlap", "rank")
-
-
 @query(rf"WITH t AS (SELECT lang, {TOK} AS n FROM documents), g AS (SELECT lang, list_sort(list(n)) AS v, median(n) AS median FROM t GROUP BY 1) SELECT lang, v[1] AS least, median, v[1 + floor(0.95::DOUBLE * (len(v) - 1))::INT] AS p95, v[1 + floor(0.99::DOUBLE * (len(v) - 1))::INT] AS p99, v[len(v)] AS most, len(v) AS n FROM g")
 def token_length_stats(spark, d):
     return audit.length_stats(docs(spark, d).select("lang", T.whitespace_tokens(F.col("text")).alias("n_tokens")), ["lang"], "n_tokens")
@@ -334,25 +283,6 @@ def single_turn_pairs(spark, d):
     return c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("request")).join(b, ["conv_id", "turn"]).select("conv_id", "turn", "request", "answer")
 
 
-def _records(spark, d):
-    return dialogs.candidates(dialogs.synthetic_seeds(spark, _t(spark, d, "conversations")), 3)
-
-
-@query()
-def sft_records(spark, d):
-    return _records(spark, d).select("id", "split", "category", "round", "source_id", "decision", "request", "tools", "target", "fault")
-
-
-@query()
-def sft_quota(spark, d):
-    return dialogs.accepted_records(_records(spark, d), 40).select("id", "split", "category", "round", "decision")
-
-
-@query()
-def sft_leakage(spark, d):
-    return dialogs.split_leaks(dialogs.synthetic_seeds(spark, _t(spark, d, "conversations")), "family")
-
-
 @query("SELECT * FROM (VALUES ('valid_call', 900, 50, 50), ('no_applicable_tool', 111, 6, 7)) t(category, train, validation, test)")
 def category_split_targets(spark, d):
     rows = spark.createDataFrame([("valid_call", 1000), ("no_applicable_tool", 124)], "category string, total int")
@@ -360,66 +290,6 @@ def category_split_targets(spark, d):
     return rows.select("category", train.cast("int").alias("train"), held.cast("int").alias("validation"), (F.col("total") - train - held).cast("int").alias("test"))
 
 
-#: Tools of both parameter conventions, and arguments for them.
-TOOLS = [
-    ("typed", {"type": "function", "function": {"name": "weather", "description": " Look up ", "parameters": {"type": "object", "properties": {"city": {"type": "str"}, "days": {"type": "int, optional"}}, "required": ["city", "gone"]}}}, {"city": "Bonn", "days": 3}),
-    ("older", {"name": "brew", "parameters": {"beans": {"type": "float"}, "water": {"type": "int"}, "heat": {"type": "float, optional"}, "cups": {"type": "int", "default": 2}}}, {"beans": 1.5}),
-    ("nameless", {"parameters": {}}, {}),
-]
-
-
-def _tools(spark):
-    return spark.createDataFrame([(k, json.dumps(t), json.dumps(a)) for k, t, a in TOOLS], "id string, tool string, arguments string")
-
-
-@query()
-def tool_schema_normalize(spark, d):
-    return _tools(spark).select("id", schemas.tool_json(F.col("tool")).alias("tool")).withColumn("signature", F.sha2("tool", 256))
-
-
-@query()
-def arguments_valid(spark, d):
-    rows = _tools(spark).withColumn("tool", schemas.tool_json(F.col("tool"))).where("tool IS NOT NULL")
-    return rows.select("id", schemas.arguments_valid(F.col("tool"), F.col("arguments")).alias("valid"))
-
-
-@query()
-def target_contract(spark, d):
-    made = _records(spark, d)
-    return made.select("category", schemas.contract_fault(F.col("target"), F.col("tools")).alias("fault")).groupBy("category", "fault").count()
-
-
-#: A description with two operations; its date isn't one and must stay text.
-SPEC = {
-    "openapi": "3.0.0", "info": {"title": "Calendar", "version": "1", "created": "2026-02-31"},
-    "paths": {"/events": {"parameters": [{"name": "trace", "in": "header"}], "post": {"operationId": "createEvent", "summary": "Create an event", "parameters": [{"name": "calendar_id", "in": "query", "required": True, "schema": {"type": "string"}}], "requestBody": {"required": True, "content": {"application/json": {"schema": {"type": "object"}}}}, "responses": {"200": {"description": "ok"}}}, "get": {"responses": {}}}},
-}
-
-
-def _specs(spark):
-    return spark.createDataFrame([("apis/calendar/1/openapi.json", json.dumps(SPEC)), ("apis/broken/1/openapi.yaml", ": : :")], "path string, text string")
-
-
-@query()
-def openapi_views(spark, d):
-    return openapi.expand(_specs(spark), "views")
-
-
-@query()
-def openapi_operations(spark, d):
-    return openapi.expand(_specs(spark), "operations")
-
-
-@query()
-def openapi_docs(spark, d):
-    return openapi.expand(_specs(spark), "documents")
-
-
-@query()
-def openapi_dialogs(spark, d):
-    return openapi.expand(_specs(spark), "dialogs")
-
-
 @query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
 def json_props_extract(spark, d):
     return _t(spark, d, "events").select("event_id", F.try_variant_get(F.try_parse_json("props"), "$.k", "long").alias("k"))
@@ -478,11 +348,6 @@ def metrics_last_validation(spark, d):
     return metrics.last_validation(_t(spark, d, "events"), "user_id", _EV, "event_type", "value", "purchase", "c")
 
 
-@query()
-def metrics_decimated(spark, d):
-    return metrics.decimated(_t(spark, d, "events").select("user_id", "ts", "event_id", "value"), "user_id", _EV, "value", 20)
-
-
 _RUNS = ", ".join(f"('{r}', '{f}', '{t}', {n}, {k}, {x}::DOUBLE)" for r, f, t, n, k, x in audit.STUDY_RUNS)
 
 
@@ -523,16 +388,9 @@ def retry_delays(spark, d):
     return spark.range(1, 9).select(F.col("id").cast("int").alias("attempt"), R.retry_delay(F.col("id"), 2.0, 60.0).alias("delay"))
 
 
-@query("SELECT doc_id, lower(trim(regexp_replace(substr(text, 1, 60), '[^a-zA-Z0-9]+', '_', 'g'), '_')) AS slug, regexp_replace(regexp_replace('run ' || source || '/a', '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') || '.json' AS file FROM documents WHERE regexp_matches(substr(text, 1, 60), '^[ -~\n]*$') AND regexp_matches(text, '[a-zA-Z0-9]')")
+@query(r"SELECT doc_id, coalesce(nullif(left(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g'), 120), ''), 'tool') AS slug, regexp_replace(regexp_replace('run ' || source || '/a', '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') || '.json' AS file FROM documents")
 def slugs(spark, d):
-    rows = docs(spark, d).where(F.substring("text", 1, 60).rlike("^[ -~\\n]*$") & F.col("text").rlike("[a-zA-Z0-9]"))
-    return rows.select("doc_id", F.lower(T.safe_slug(F.substring("text", 1, 60))).alias("slug"), T.run_filename(F.concat(F.lit("run "), "source", F.lit("/a"))).alias("file"))
-
-
-@query()
-def document_slugs(spark, d):
-    """The slug of the whole text of every document. `slugs` is held to what its ASCII SQL covers; no SQL here, since DuckDB's pattern would have to match Unicode alike."""
-    return docs(spark, d).select("doc_id", T.safe_slug(F.col("text")).alias("slug"))
+    return docs(spark, d).select("doc_id", T.safe_slug(F.col("text")).alias("slug"), T.run_filename(F.concat(F.lit("run "), "source", F.lit("/a"))).alias("file"))
 
 
 def _shards(spark, d):
@@ -550,7 +408,7 @@ def token_range_read(spark, d):
     return tokens.read_range(_shards(spark, d), 990, 500)
 
 
-@query(f"{_STREAM}, b AS (SELECT pos // 65 AS block, list(token ORDER BY pos) AS t FROM p WHERE pos < 15000 GROUP BY 1 HAVING count(*) = 65) SELECT block, array_to_string(t[1:64], ',') AS inputs, array_to_string(t[2:65], ',') AS targets FROM b")
+@query(f"{_STREAM}, b AS (SELECT pos // 65 AS block, list(token ORDER BY pos) AS t FROM p GROUP BY 1 HAVING count(*) = 65) SELECT block, array_to_string(t[1:64], ',') AS inputs, array_to_string(t[2:65], ',') AS targets FROM b")
 def packed_batches(spark, d):
     stream = tokens.read_range(_shards(spark, d), 0, _t(spark, d, "orders").count())
     return tokens.training_rows(stream, 64).select("block", F.array_join("inputs", ",").alias("inputs"), F.array_join("targets", ",").alias("targets"))
@@ -566,34 +424,6 @@ def corpus_fingerprint(spark, d):
     return tokens.corpus_fingerprint(_shards(spark, d))
 
 
-@query()
-def token_shard_roundtrip(spark, d):
-    """Writes the order keys' low bits as exact shards, and checks files against the manifest."""
-    from lodestone.sources import shards
-
-    folder = tempfile.mkdtemp(prefix="lodestone-shards-", dir=os.path.dirname(tempfile.mkdtemp()))
-    stream = global_position(_t(spark, d, "orders").select("o_orderkey"), ["o_orderkey"]).select(F.col("position").alias("pos"), (F.col("o_orderkey") % 32000).alias("token"))
-    shards.write_shards(stream, folder, 1000, 32000)
-    return shards.verify_shards(spark, folder)
-
-
-@query()
-def synthetic_tokens(spark, d):
-    return spark.range(5000).select(F.col("id").alias("pos"), F.pmod(F.xxhash64(F.lit(42), "id"), F.lit(32000)).cast("int").alias("token"))
-
-
-@query()
-def stream_build(spark, d):
-    """The streaming build over the documents, run to its end."""
-    from lodestone.sources.scratch import scratch_dir
-    from lodestone.streaming import build
-
-    folder = f"{scratch_dir(spark)}/stream-{hashlib.sha256(os.urandom(8)).hexdigest()[:12]}"
-    source = f"{d}/documents*.parquet"  # a pattern, since the table may be one file or a folder
-    schema = _t(spark, d, "documents").schema
-    return build.build(spark, source, schema, folder, 5000)
-
-
 @query("SELECT source, min(doc_id) AS doc_id FROM documents WHERE trim(text) <> '' GROUP BY 1")
 def source_probe(spark, d):
     from lodestone.sources.jsonl import probe
@@ -603,11 +433,6 @@ def source_probe(spark, d):
 
 
 
-@query()
-def tool_dialogs(spark, d):
-    return generate.tool_dialogs(spark, 500)
-
-
 @query("SELECT p.source, coalesce(t.tokens, 0)::BIGINT AS tokens, 20000 AS target, least(1.0::DOUBLE, coalesce(t.tokens, 0) / 20000.0::DOUBLE) AS fraction, coalesce(t.tokens, 0) >= 20000 AS complete FROM (SELECT 'src' || i AS source FROM range(21) r(i)) p LEFT JOIN (SELECT source, sum(len(regexp_extract_all(text, '\\S+')))::BIGINT AS tokens FROM documents GROUP BY 1) t USING (source)")
 def build_status(spark, d):
     targets = spark.range(21).select(F.concat(F.lit("src"), "id").alias("source"), F.lit(20000).alias("target"))

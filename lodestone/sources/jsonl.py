@@ -64,3 +64,17 @@ def probe(rows: DataFrame, allowed: list[str] | None) -> DataFrame:
 
     usable = rows.where(license_allowed(F.col("license"), allowed) & (F.trim("text") != ""))
     return usable.groupBy("source").agg(F.min("doc_id").alias("doc_id"))
+
+
+def append_metrics(records: DataFrame, folder: str) -> None:
+    """Records as canonical JSON lines with the time at which they are written, appended as new files: a reader sees all
+    of an append or nothing."""
+    from lodestone.functions.schemas import canonical_json
+
+    stamped = records.withColumn("timestamp", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"))
+    stamped.select(canonical_json(F.to_json(F.struct(*sorted(stamped.columns)))).alias("value")).coalesce(1).write.mode("append").text(folder)
+
+
+def live_tail(spark: SparkSession, folder: str, schema: str, name: str):
+    """What is there now, and, as a query that goes on, what is appended: the table `name` in memory."""
+    return spark.readStream.schema(schema).json(folder).writeStream.format("memory").queryName(name).outputMode("append").start()

@@ -54,3 +54,15 @@ def markdown(table: DataFrame, title: str, most: int = 200) -> str:
         raise ValueError("a report is for aggregates")
     lines = [f"# {title}", "", f"| {' | '.join(table.columns)} |", f"|{' --- |' * len(table.columns)}"]
     return "\n".join([*lines, *(f"| {' | '.join('' if v is None else str(v) for v in r)} |" for r in rows), ""])
+
+
+def latest_checkpoint(paths: DataFrame, by: str, path: str = "path") -> DataFrame:
+    """The final checkpoint of each group, else the one of the highest step; other files don't count."""
+    name = F.element_at(F.split(path, "/"), -1)
+    step = F.when(name == "checkpoint_final.pt", F.lit(2**62)).otherwise(F.nullif(F.regexp_extract(name, r"^checkpoint_step_([0-9]+)\.pt$", 1), F.lit("")).cast("long"))
+    return paths.withColumn("_step", step).where("_step IS NOT NULL").groupBy(by).agg(F.max_by(path, "_step").alias(path))
+
+
+def data_card(parts: DataFrame, title: str, splits: DataFrame) -> str:
+    """A data card: what the corpus is made of, and how it is split."""
+    return "\n".join([markdown(parts, title), markdown(splits, "Splits")])

@@ -3,23 +3,24 @@
 register(spark) makes `spark.read.format("token_shards").load(folder)` and the writer known. Reading gives one
 partition for each shard, in path order. Writing takes rows (shard long, pos long, token int), repartitioned by shard
 and sorted by pos; each task writes whole files to temporary names, and the commit renames them and writes the
-manifest last, so a reader never sees a half-written corpus. Folders are paths that all executors share."""
+manifest last, so a reader never sees a half-written corpus. Folders may lie in any store that `files` reaches."""
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
 import uuid
 from dataclasses import dataclass, field
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileInfo, FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
+from lodestone.sources import files
+
 BATCH = 1 << 16
 
 
@@ -27,20 +28,21 @@ class ShardError(ValueError):
     pass
 
 
-def shard_files(folder: str) -> list[Path]:
+def shard_files(folder: str) -> list[FileInfo]:
     """shards/*.bin, else *.bin, by name; an empty or odd file is an error."""
-    files = sorted(Path(folder, "shards").glob("*.bin")) or sorted(Path(folder).glob("*.bin"))
-    if not files:
+    found = files.listed(f"{folder}/shards", ".bin") or files.listed(folder, ".bin")
+    if not found:
         raise ShardError(f"no shards in {folder}")
-    for f in files:
-        if not f.stat().st_size or f.stat().st_size % 2:
-            raise ShardError(f"{f} is empty or of an odd size")
-    return files
+    for f in found:
+        if not f.size or f.size % 2:
+            raise ShardError(f"{f.path} is empty or of an odd size")
+    return found
 
 
 @dataclass
 class ShardPart(InputPartition):
     path: str = ""
+    name: str = ""
     start: int = 0
 
 
@@ -52,16 +54,19 @@ class _Reader(DataSourceReader):
         out, at = [], 0
         for f in shard_files(self.folder):
             part = ShardPart(None)
-            part.path, part.start = str(f), at
+            part.path, part.name, part.start = f.path, f.base_name, at
             out.append(part)
-            at += f.stat().st_size // 2
+            at += f.size // 2
         return out
 
     def read(self, partition):
-        values = np.fromfile(partition.path, "<u2")
-        for i in range(0, len(values), BATCH):
-            part = values[i : i + BATCH].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([os.path.basename(partition.path)] * len(part)), pa.array(np.arange(partition.start + i, partition.start + i + len(part))), pa.array(part)], ["shard", "pos", "token"])
+        store, _ = files.store(self.folder)
+        at = partition.start
+        with store.open_input_stream(partition.path) as f:
+            while raw := f.read(2 * BATCH):
+                part = np.frombuffer(raw, "<u2").astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array([partition.name] * len(part)), pa.array(np.arange(at, at + len(part))), pa.array(part)], ["shard", "pos", "token"])
+                at += len(part)
 
 
 @dataclass
@@ -74,13 +79,14 @@ class _Writer(DataSourceArrowWriter):
         self.folder, self.vocabulary = folder, vocabulary
 
     def write(self, iterator):
-        os.makedirs(self.folder, exist_ok=True)
-        done, current, handle, count, digest = Written([]), None, None, 0, None
+        store, where = files.store(self.folder)
+        store.create_dir(where, recursive=True)
+        done, current, handle, part, count, digest = Written([]), None, None, "", 0, None
 
         def close():
             if handle:
                 handle.close()
-                done.files.append({"file": f"shard_{current:05d}.bin", "part": handle.name, "tokens": count, "bytes": 2 * count, "sha256": digest.hexdigest()})
+                done.files.append({"file": f"shard_{current:05d}.bin", "part": part, "tokens": count, "bytes": 2 * count, "sha256": digest.hexdigest()})
 
         for batch in iterator:
             shards = batch.column("shard").to_numpy()
@@ -94,7 +100,8 @@ class _Writer(DataSourceArrowWriter):
                 if shards[a] != current:
                     close()
                     current, count, digest = int(shards[a]), 0, hashlib.sha256()
-                    handle = open(os.path.join(self.folder, f".{uuid.uuid4().hex}.part"), "wb")  # noqa: SIM115
+                    part = f"{where}/.{uuid.uuid4().hex}.part"
+                    handle = store.open_output_stream(part)
                 raw = tokens[a:b].astype("<u2").tobytes()
                 handle.write(raw)
                 digest.update(raw)
@@ -103,20 +110,24 @@ class _Writer(DataSourceArrowWriter):
         return done
 
     def commit(self, messages):
-        files = sorted((f for m in messages if m for f in m.files), key=lambda f: f["file"])
-        if len({f["file"] for f in files}) < len(files):
+        found = sorted((f for m in messages if m for f in m.files), key=lambda f: f["file"])
+        if len({f["file"] for f in found}) < len(found):
             self.abort(messages)
             raise ShardError("a shard came from two tasks: repartition by shard before writing")
-        for f in files:
-            os.replace(f.pop("part"), os.path.join(self.folder, f["file"]))
-        part = os.path.join(self.folder, ".manifest.part")
-        Path(part).write_text(json.dumps({"format_version": 1, "shards": files, "tokens": sum(f["tokens"] for f in files)}, sort_keys=True))
-        os.replace(part, os.path.join(self.folder, "manifest.json"))
+        store, where = files.store(self.folder)
+        for f in found:
+            store.move(f.pop("part"), f"{where}/{f['file']}")
+        write_manifest(self.folder, found)
 
     def abort(self, messages):
-        for m in messages:
-            for f in m.files if m else []:
-                Path(f.get("part", "")).unlink(missing_ok=True) if f.get("part") else None
+        store, _ = files.store(self.folder)
+        for f in (f for m in messages if m for f in m.files):
+            if f.get("part") and store.get_file_info(f["part"]).type == FileType.File:
+                store.delete_file(f["part"])
+
+
+def write_manifest(folder: str, found: list[dict]) -> None:
+    files.write(f"{folder}/manifest.json", json.dumps({"format_version": 1, "shards": found, "tokens": sum(f["tokens"] for f in found)}, sort_keys=True).encode())
 
 
 class TokenShards(DataSource):
@@ -147,7 +158,55 @@ def write_shards(tokens: DataFrame, folder: str, shard_tokens: int, vocabulary:
 
 def verify_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Manifest rows against the files: size and digest, both ways."""
-    told = json.loads(Path(folder, "manifest.json").read_text())["shards"]
+    told = files.read_object(f"{folder}/manifest.json")["shards"]
     manifest = spark.createDataFrame([(x["file"], x["bytes"], x["sha256"]) for x in told], "file string, bytes long, sha256 string")
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("real_bytes"), F.sha2("content", 256).alias("real_sha256"))
-    return manifest.join(files, "file", "full_outer").withColumn("ok", F.col("bytes").eqNullSafe(F.col("real_bytes")) & F.col("sha256").eqNullSafe(F.col("real_sha256")))
+    there = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("real_bytes"), F.sha2("content", 256).alias("real_sha256"))
+    return manifest.join(there, "file", "full_outer").withColumn("ok", F.col("bytes").eqNullSafe(F.col("real_bytes")) & F.col("sha256").eqNullSafe(F.col("real_sha256")))
+
+
+def copied(source: str, target: str, told: dict) -> None:
+    """A shard under another path, byte for byte what its manifest row says; one that is there already is left alone."""
+    def same(path: str) -> bool:
+        store, where = files.store(path)
+        info = store.get_file_info(where)
+        return info.type == FileType.File and info.size == told["bytes"] and hashlib.sha256(files.read(path)).hexdigest() == told["sha256"]
+
+    if same(target):
+        return
+    if not same(source):
+        raise ShardError(f"{source} isn't what its manifest says")
+    files.write(target, files.read(source))
+    if not same(target):
+        raise ShardError(f"{target} wasn't written as it was read")
+
+
+def assemble(spark: SparkSession, folders: dict[str, str], plan: DataFrame, target: str) -> list[dict]:
+    """plan: source, shard (its number in the source), position (from 0). The planned shards of several builds as one
+    corpus, copied by tasks of their own, each verified against its source's manifest; the manifest comes last, and
+    a run that is repeated goes on where files are missing."""
+    rows = [(source, i, json.dumps(x)) for source, folder in folders.items() for i, x in enumerate(files.read_object(f"{folder}/manifest.json")["shards"])]  # one row for each shard file
+    told = spark.createDataFrame(rows, "source string, shard long, told string")
+    asked = plan.select("source", "shard", "position").join(told, ["source", "shard"], "left")
+
+    def copy(batches):
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if row["told"] is None:
+                    raise ShardError(f"{row['source']} has no shard {row['shard']}")
+                told = json.loads(row["told"])
+                name = f"shard_{row['position']:05d}.bin"
+                copied(f"{folders[row['source']]}/{told['file']}", f"{target}/{name}", told)
+                out.append((row["position"], json.dumps(told | {"file": name, "source": row["source"]})))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string())], ["position", "row"])
+
+    done = [json.loads(r.row) for r in sorted(asked.repartition("position").mapInArrow(copy, "position long, row string").collect(), key=lambda r: r.position)]
+    write_manifest(target, done)
+    return done
+
+
+def manifest_rows(documents: DataFrame, tokens: str, split: str, stage: str, steps: list[str]) -> DataFrame:
+    """One row for each source and license, as a data card lists them: documents, tokens, processing steps, and a hash
+    over the hashes of its texts (columns source, license, key)."""
+    by = documents.groupBy("source", "license").agg(F.count(F.lit(1)).alias("document_count"), F.sum(tokens).alias("estimated_tokens"), F.bit_xor(F.conv(F.substring("key", 1, 15), 16, 10).cast("long")).alias("_keys"))
+    return by.select("source", F.lit(split).alias("split"), F.lit(stage).alias("stage"), "license", "document_count", "estimated_tokens", F.array(*map(F.lit, steps)).alias("processing_steps"), F.sha2(F.concat_ws(":", "source", F.col("document_count").cast("string"), F.col("_keys").cast("string")), 256).alias("sha256"))

@@ -9,12 +9,13 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.hashing import dedup_key
-from lodestone.functions.text import normalize_corpus, whitespace_tokens
-from lodestone.operators.corpus import MIN_CHARS, first_wins
+from lodestone.operators.corpus import MIN_CHARS, first_wins, measured
+from lodestone.operators.ordered import prefix_sum
+from lodestone.sources.scratch import table
 
 COLUMNS = "source string, doc_id long, key string, tokens long, kept long, batch long"
 
@@ -57,17 +58,27 @@ def accept_batch(batch: DataFrame, batch_id: int, folder: str, target: int) -> N
     if fs.exists(marker):
         return
     before = committed(spark, folder)
-    rows = batch.withColumn("text", normalize_corpus(F.col("text"))).where(F.length("text") >= MIN_CHARS).withColumn("key", dedup_key(F.col("text")))
+    # Sums are carried from batch to batch; keys are compared with all that were kept.
+    sums = sorted((int(s.getPath().getName()) for s in fs.listStatus(_fs(spark, f"{folder}/sums")[1])), reverse=True) if fs.exists(_fs(spark, f"{folder}/sums")[1]) else []
+    last = next((i for i in sums if i < batch_id and fs.exists(_fs(spark, f"{folder}/done/{i}")[1])), None)
+    written = spark.createDataFrame([], "source string, written long") if last is None else spark.read.parquet(f"{folder}/sums/{last}")
+    rows = measured(batch, ["source", "doc_id"]).where(F.col("chars") >= MIN_CHARS).withColumn("key", F.lower(F.hex("key")))
     new = first_wins(rows, ["source", "key"], "doc_id").join(before.select("source", "key"), ["source", "key"], "left_anti")
-    written = before.groupBy("source").agg(F.sum("kept").alias("_written"))
-    sized = new.select("source", "doc_id", "key", (whitespace_tokens(F.col("text")) + 1).alias("tokens")).join(F.broadcast(written), "source", "left")  # one row for each source
-    # A micro-batch is bounded by the source's options, and so are these windows.
-    start = F.coalesce("_written", F.lit(0)) + F.coalesce(F.sum("tokens").over(Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sized = table(new.select("source", "doc_id", "key", F.col("n_tokens").alias("tokens")), "batch")
+    placed = prefix_sum(sized, ["source"], "doc_id", F.col("tokens"), "ahead").join(F.broadcast(written), "source", "left")  # one row for each source
+    start = F.coalesce("written", F.lit(0)) + F.col("ahead")
     kept = F.least(F.col("tokens"), F.greatest(F.lit(0), F.lit(target) - start)).cast("long")
-    sized.withColumn("kept", kept).where("kept > 0").select("source", "doc_id", "key", "tokens", "kept", F.lit(batch_id).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{folder}/batches/{batch_id}")
+    placed.withColumn("kept", kept).where("kept > 0").select("source", "doc_id", "key", "tokens", "kept", F.lit(batch_id).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{folder}/batches/{batch_id}")
+    added = spark.read.schema(COLUMNS).parquet(f"{folder}/batches/{batch_id}").select("source", F.col("kept").alias("written"))
+    added.unionByName(written).groupBy("source").agg(F.sum("written").alias("written")).write.mode("overwrite").parquet(f"{folder}/sums/{batch_id}")
     fs.mkdirs(marker)
 
 
+def remaining(rows: DataFrame, ordinal: str, read: int) -> DataFrame:
+    """A finite source from where an earlier run stopped: rows whose ordinal (from 0, without gaps) was not read yet."""
+    return rows.where(F.col(ordinal) >= read)
+
+
 def build(spark: SparkSession, source: str, schema, folder: str, target: int, files_per_batch: int = 4) -> DataFrame:
     """Runs over all files that are there now and stops; call again to go on where it stopped."""
     guard(spark, folder, {"target": target, "min_chars": MIN_CHARS, "source": source})
