@@ -3,11 +3,14 @@
 Decoding reads the blocks of a GIF87a or GIF89a stream, LZW code streams of any code width with early and late
 clear codes, global and local palettes, interlaced rows, transparency, and the four disposal methods; each frame is
 what a viewer would show at that time. Encoding writes raw samples without loss: rows of 192 grey samples, split into
-frames, compressed with LZW.
+frames, compressed with LZW. Frames leave the canvas, clear it or bring back what was there, in turns, and a row of
+samples that the canvas already shows is stored as transparent, so reading back goes through all of these rules.
 
 `gif_frames` gives one row for each frame, and one row with `error` for a stream that can't be read (frames before
-the fault are kept). A null stream gives no rows. Payloads of null and empty texts are one row of blanks. Repeated
-rows give repeated results; an empty table gives none.
+the fault are kept), which includes canvases and frames of more than `MOST_PIXELS` pixels: a viewer would set aside
+three bytes for each. A null stream gives no rows. Payloads of null and empty texts are one row of blanks. Repeated
+rows give repeated results; an empty table gives none. Columns besides the identifier and the text or stream are not
+read, whatever they are called.
 """
 
 from __future__ import annotations
@@ -158,15 +161,32 @@ def _palette(raw: bytes) -> np.ndarray:
 GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
 
 
+#: What becomes of a frame when the next one is shown, in turns: it stays, the canvas comes back, or its area is cleared.
+DISPOSALS = (1, 3, 2)
+
+
 def encode_gif(samples: bytes, width: int = ROW, frame_rows: int = FRAME_ROWS, delay: int = DELAY) -> bytes:
-    """8-bit samples in rows of `width` as an animated grey GIF; frames lie at the top left corner, the last may be lower."""
+    """8-bit samples in rows of `width` as an animated grey GIF; frames lie at the top left corner, the last may be lower.
+
+    If some value is no sample, it stands for transparency, and rows that the canvas shows already are stored so."""
     rows, rest = divmod(len(samples), width)
     if rest or not rows:
         raise ValueError("samples must fill at least one row")
+    image = np.frombuffer(samples, np.uint8).reshape(rows, width)
+    free = np.flatnonzero(np.bincount(image.ravel(), minlength=256) == 0)
+    clear = int(free[-1]) if len(free) else None
+    canvas = np.zeros((min(rows, frame_rows), width), np.uint8)
     out = [b"GIF89a", width.to_bytes(2, "little"), min(rows, frame_rows).to_bytes(2, "little"), b"\xf7\0\0", GREY]
-    for begin in range(0, rows, frame_rows):
-        part = samples[begin * width : (begin + frame_rows) * width]
-        out += [b"\x21\xf9\x04\x04", delay.to_bytes(2, "little"), b"\0\0", b"\x2c\0\0\0\0", width.to_bytes(2, "little"), (len(part) // width).to_bytes(2, "little"), b"\0\x08", _block(lzw_encode(part))]
+    for k, begin in enumerate(range(0, rows, frame_rows)):
+        part, disposal = image[begin : begin + frame_rows], DISPOSALS[k % len(DISPOSALS)]
+        area = canvas[: len(part)]
+        stored = part
+        if clear is not None and (shown := (part == area).all(axis=1)).any():
+            stored = part.copy()
+            stored[shown] = clear
+        out += [b"\x21\xf9\x04", bytes([disposal << 2 | (clear is not None)]), delay.to_bytes(2, "little"), bytes([clear or 0]), b"\0", b"\x2c\0\0\0\0", width.to_bytes(2, "little"), len(part).to_bytes(2, "little"), b"\0\x08", _block(lzw_encode(stored.tobytes()))]
+        if disposal != 3:
+            area[...] = part if disposal == 1 else 0
     return b"".join([*out, b"\x3b"])
 
 

@@ -93,3 +93,17 @@ def test_faults():
         with pytest.raises(G.GifError):
             list(G.decode_gif(bad))
     assert np.array_equal(np.sort(G._row_order(9)), np.arange(9))
+
+
+def test_stored_payloads_use_disposal_and_transparency():
+    r = random.Random(9)
+    rows = [bytes([r.randrange(250)]) * 192 for _ in range(4)]
+    samples = b"".join(r.choice(rows) for _ in range(64 * 7 + 5))
+    stored = G.encode_gif(samples)
+    frames = list(G.decode_gif(stored))
+    assert {f.disposal for f in frames} == {1, 2, 3} and all(f.transparent >= 0 for f in frames)
+    assert G.read_back(stored)[0] == samples
+    every = bytes(range(256)) * 192  # no value is free
+    assert all(f.transparent == -1 for f in G.decode_gif(G.encode_gif(every))) and G.read_back(G.encode_gif(every))[0] == every
+    black = bytes(192 * 70)  # the canvas is black before anything is drawn
+    assert G.read_back(G.encode_gif(black))[0] == black
