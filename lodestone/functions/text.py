@@ -95,12 +95,21 @@ def chat_prompt(request: Column, tools_json: Column) -> Column:
     return F.concat(F.lit("<|user|>\n"), request, F.lit("\n<|tool_schema|>\n"), tools_json, F.lit("\n<|assistant|>\n"))
 
 
-def format_tokens(n: Column) -> Column:
-    def scaled(by: float, unit: str, digits: int) -> Column:
-        return F.concat(F.format_string(f"%.{digits}f", n / by), F.lit(unit))
+def fixed(x: Column, digits: int) -> Column:
+    """A number with so many decimals, rounded from its exact binary value; exact ties go up."""
+    x = x.cast("double")
+    tie = F.pmod(x * float(2 ** (digits + 1)), F.lit(2.0)) == 1.0
+    return F.regexp_replace(F.format_number(F.when(tie, x + 10.0 ** -(digits + 1)).otherwise(x), digits), ",", "")
+
 
-    return F.when(n.isNull(), "—").when(n >= 1e9, scaled(1e9, "B", 2)).when(n >= 1e6, scaled(1e6, "M", 1)).when(n >= 1e3, scaled(1e3, "K", 1)).otherwise(n.cast("long").cast("string"))
+def format_tokens(n: Column) -> Column:
+    scales = ((1e9, "B", 2), (1e6, "M", 1), (1e3, "K", 1))
+    out = n.cast("long").cast("string")
+    for by, unit, digits in reversed(scales):
+        out = F.when(n >= by, F.concat(fixed(n / by, digits), F.lit(unit))).otherwise(out)
+    return F.coalesce(out, F.lit("—"))
 
 
 def format_duration(seconds: Column) -> Column:
-    return F.when(seconds.isNull(), "—").when(seconds < 60, F.format_string("%.0fs", seconds.cast("double"))).when(seconds < 3600, F.format_string("%.1fm", seconds / 60.0)).otherwise(F.format_string("%.2fh", seconds / 3600.0))
+    short, minutes, hours = (F.concat(fixed(seconds / by, digits), F.lit(unit)) for by, unit, digits in ((1.0, "s", 0), (60.0, "m", 1), (3600.0, "h", 2)))
+    return F.coalesce(F.when(seconds < 60, short).when(seconds < 3600, minutes).otherwise(hours), F.lit("—"))

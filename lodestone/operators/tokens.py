@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a list of shard files that is broadcast, at most.
+BROADCAST_SHARDS = 200_000
+
+
 class CorpusExhausted(ValueError):
     """A read went beyond the last token."""
 
@@ -19,8 +21,17 @@ def shard_offsets(shards: DataFrame) -> DataFrame:
 
 
 def locate(positions: DataFrame, offsets: DataFrame) -> DataFrame:
-    """positions: pos. The shard of each and the offset inside it, by a range join."""
-    return positions.join(F.broadcast(offsets), (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end"))).select(*positions.columns, "path", (F.col("pos") - F.col("start")).alias("offset"))  # shard lists are file lists
+    """positions: pos. The shard of each and the offset inside it, by a range join.
+
+    A list of at most `BROADCAST_SHARDS` files is broadcast. A longer one is dealt into stretches of the stream, in which
+    positions meet the shards that reach into them."""
+    inside = (F.col("pos") >= F.col("start")) & (F.col("pos") < F.col("end"))
+    out = [*positions.columns, "path", (F.col("pos") - F.col("start")).alias("offset")]
+    if offsets.limit(BROADCAST_SHARDS + 1).count() <= BROADCAST_SHARDS:
+        return positions.join(F.broadcast(offsets), inside).select(*out)
+    longest = max(1, offsets.agg(F.max(F.col("end") - F.col("start"))).first()[0])
+    spread = offsets.withColumn("_stretch", F.explode(F.sequence(F.floor(F.col("start") / longest), F.floor((F.col("end") - 1) / longest))))
+    return positions.withColumn("_stretch", F.floor(F.col("pos") / longest)).join(spread, "_stretch").where(inside).select(*out)
 
 
 def read_range(shards: DataFrame, start: int, count: int) -> DataFrame:
@@ -52,9 +63,11 @@ def corpus_fingerprint(shards: DataFrame) -> DataFrame:
     return shards.agg(F.sha2(F.array_join(lines, "\n"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("shards"), F.sum("tokens").alias("tokens"), F.min("path").alias("first"), F.max("path").alias("last"))
 
 
-def random_windows(total: int, windows: int, length: int, seed: int) -> list[int]:
-    """Start positions of reproducible windows."""
-    return [int.from_bytes(hashlib.sha256(f"{seed}\x1f{i}".encode()).digest()[:8], "big") % max(1, total - length) for i in range(windows)]
+def random_windows(spark: SparkSession, total: int, windows: int, length: int, seed: int) -> DataFrame:
+    """window, start: reproducible windows of a stream of `total` tokens; the start is the first 48 bits of a SHA-256 of
+    seed and window, over the places that there are."""
+    sha = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string")), 256)
+    return spark.range(windows).select(F.col("id").alias("window"), (F.conv(F.substring(sha, 1, 12), 16, 10).cast("long") % max(1, total - length)).alias("start"))
 
 
 def token_range(stream: DataFrame, vocabulary: int) -> DataFrame:

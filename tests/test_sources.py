@@ -123,8 +123,17 @@ def test_token_streams(spark):
     stream = generate.random_tokens(spark, 500, 100, 7)
     row = tokens.token_range(stream, 100).first()
     assert row.within and 0 <= row.least <= row.most < 100 and not tokens.token_range(stream, 50).first().within
-    starts = tokens.random_windows(1000, 8, 65, 3)
-    assert starts == tokens.random_windows(1000, 8, 65, 3) and all(0 <= s <= 935 for s in starts) and len(set(starts)) > 4
+    starts = [[r.start for r in tokens.random_windows(spark, 1000, 8, 65, 3).orderBy("window").collect()] for _ in range(2)]
+    assert starts[0] == starts[1] and all(0 <= s < 935 for s in starts[0]) and len(set(starts[0])) > 4
+
+
+def test_positions_find_their_shards_however_many_there_are(spark, monkeypatch):
+    sizes = spark.createDataFrame([(f"s{i:03}", 1 + 7 * i % 40) for i in range(60)], "path string, tokens long")
+    offsets = tokens.shard_offsets(sizes)
+    at = spark.range(0, 1100, 7).withColumnRenamed("id", "pos")
+    some = sorted(map(tuple, tokens.locate(at, offsets).collect()))
+    monkeypatch.setattr(tokens, "BROADCAST_SHARDS", 5)
+    assert sorted(map(tuple, tokens.locate(at, offsets).collect())) == some and len(some) > 100
 
 
 def test_older_sources(spark):
