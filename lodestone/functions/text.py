@@ -66,9 +66,19 @@ def run_filename(name: Column) -> Column:
     return F.concat(F.regexp_replace(F.regexp_replace(name, "[^A-Za-z0-9._-]+", "-"), "^-+|-+$", ""), F.lit(".json"))
 
 
+def casefolded(text: Column) -> Column:
+    """Case-folded text. Only texts beyond ASCII reach Python: there folding differs from lower case (ß becomes ss)."""
+
+    @F.pandas_udf("string")
+    def fold(x: pd.Series) -> pd.Series:
+        return x.map(str.casefold, na_action="ignore")
+
+    return F.coalesce(fold(F.when(text.rlike(r"[^\x00-\x7F]"), text)), F.lower(text))
+
+
 def lexical_words(text: Column) -> Column:
-    """Distinct [a-z0-9]+ of the lower-cased text."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
+    """Distinct [a-z0-9]+ of the case-folded text."""
+    return F.array_distinct(F.regexp_extract_all(casefolded(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)))
 
 
 def whitespace_tokens(text: Column) -> Column:

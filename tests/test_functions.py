@@ -98,3 +98,9 @@ def test_canonical_text_parses_back(value):
     assert S.parse_or(S.canonical(value)) == value
     with pytest.raises(ValueError):
         S.canonical([float("nan")])
+
+
+def test_words_are_folded(spark):
+    texts = ["Straße STRASSE", "ﬁne K2 ſee", "A-b_C a", None]
+    got = [r.w for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(T.lexical_words(F.col("t")).alias("w")).collect()]
+    assert got == [["strasse"], ["fine", "k2", "see"], ["a", "b", "c"], []]
