@@ -63,7 +63,9 @@ def odd_folder(spark, odd_rows, clashing_schema, tmp_path):
     return str(tmp_path), rows
 
 
-def test_odd_tables_pass_all_stages(spark, odd_folder, unharmed):
+@pytest.mark.parametrize("room", [2_000_000, 0])
+def test_odd_tables_pass_all_stages(spark, odd_folder, unharmed, monkeypatch, room):
+    monkeypatch.setattr(P, "BROADCAST_VERDICTS", room)
     folder, rows = odd_folder
     results = set()
     docs = P.documents(spark, folder)
