@@ -70,9 +70,9 @@ def report_merge(spark, d):
 
 @query("""WITH m AS (SELECT user_id, ts, event_id, value, ntile(20) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS run FROM events),
 f AS (SELECT *, abs(value - avg(value) OVER (PARTITION BY user_id, run)) AS far FROM m)
-SELECT user_id, ts, event_id, value FROM f QUALIFY row_number() OVER (PARTITION BY user_id, run ORDER BY round(far, 9) DESC, ts DESC, event_id DESC) = 1""")
+SELECT user_id, event_id, value FROM f QUALIFY row_number() OVER (PARTITION BY user_id, run ORDER BY round(far, 9) DESC, ts DESC, event_id DESC) = 1""")
 def metrics_decimated(spark, d):
-    return metrics.decimated(_t(spark, d, "events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], "value", 20)
+    return metrics.decimated(_t(spark, d, "events").select("user_id", "ts", "event_id", "value"), "user_id", ["ts", "event_id"], "value", 20).select("user_id", "event_id", "value")
 
 
 @query("SELECT user_id, 'runs/u' || user_id || '/checkpoint_' || CASE WHEN user_id % 7 = 0 THEN 'final' ELSE 'step_' || max(event_id) END || '.pt' AS path FROM events GROUP BY 1")
