@@ -135,3 +135,38 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: d
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(documents(spark, sf_dir)).drop("spans")
+
+
+def _sql() -> str:
+    """The same in SQL: runs of words are compared as text, places are merged and verified as above."""
+
+    def table(items: list[tuple[str, str]]) -> str:
+        return ", ".join(f"('{text}', '{label}')" for text, label in items)
+
+    k = NOTICE_K
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), phrases AS (SELECT string_split(p, ' ') AS p, label FROM (VALUES {table(list(PHRASES.items()))}) v(p, label)
+), notices AS (SELECT row_number() OVER () AS notice, string_split(p, ' ') AS p, label FROM (VALUES {table([(text, label) for label, text in NOTICES.items()])}) v(p, label)
+), starts AS (SELECT r, w, unnest(range(0, len(w))) AS i FROM d
+), base AS (SELECT r, i, label FROM starts JOIN phrases ON w[i + 1] = p[1] AND w[i + 1 : i + len(p)] = p
+), runs AS (SELECT notice, label, len(p) AS size, j, array_to_string(p[j + 1 : j + {k}], ' ') AS run FROM (SELECT *, unnest(range(0, len(p) - {k} + 1)) AS j FROM notices)
+), votes AS (SELECT r, notice, label, size, i, j, i - j AS diagonal FROM (SELECT r, i, array_to_string(w[i + 1 : i + {k}], ' ') AS run FROM starts WHERE i + {k} <= len(w)) JOIN runs USING (run)
+), diagonals AS (SELECT r, notice, diagonal, min(i) AS b, max(i) + {k} AS e FROM votes GROUP BY ALL
+), near AS (SELECT *, diagonal - lag(diagonal) OVER o <= {DRIFT} AND b <= max(e) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + size AS same FROM diagonals JOIN (SELECT DISTINCT notice, size FROM runs) USING (notice) WINDOW o AS (PARTITION BY r, notice ORDER BY diagonal)
+), places AS (SELECT r, notice, diagonal, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER (PARTITION BY r, notice ORDER BY diagonal) AS place FROM near
+), marks AS (SELECT r, notice, label, size, place, i, j FROM votes JOIN places USING (r, notice, diagonal)
+), cover AS (SELECT r, notice, place, count(DISTINCT i + x) AS here, count(DISTINCT j + x) AS there, min(i) AS b, max(i) + {k} AS e FROM marks, range({k}) t(x) GROUP BY ALL
+), judged AS (SELECT r, label, there / size::DOUBLE AS share, e - b <= 1.5::DOUBLE * size AND here / (e - b)::DOUBLE >= {SHARE}::DOUBLE AS fits FROM cover JOIN (SELECT DISTINCT notice, label, size FROM runs) USING (notice)
+), named AS (
+  SELECT r, label, 1.0::DOUBLE AS score FROM base UNION ALL
+  SELECT r, CASE WHEN fits AND share >= {SHARE}::DOUBLE THEN label END, CASE WHEN fits THEN share ELSE share * 0.5::DOUBLE END FROM judged
+), b AS (SELECT r, count(*) AS n, min(i) AS first, max(i) AS last, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM base GROUP BY 1
+), n AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM named GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(b.n, 0) AS n_base, first AS first_word, last AS last_word, coalesce(b.labels, '') AS base_labels, coalesce(n.labels, '') AS labels, coalesce(score, 0.0::DOUBLE) AS score
+FROM d LEFT JOIN b USING (r) LEFT JOIN n USING (r)
+"""
+
+
+OP3_SQL = _sql()

@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_licenses": licenses.OP3_SQL,
+    "op8_repeats": repeats.OP8_SQL,
     "op9_decontamination": decontamination.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
