@@ -1,19 +1,24 @@
 """A resumable corpus build as a stream: filter, deduplicate for ever, cut at a token budget, commit by batch.
 
-Each micro-batch writes its accepted documents and its token sums under its batch id and then a marker; a batch that
-runs again after a failure replaces what it wrote. Documents already kept (by key) and tokens already written are
-read from committed batches only, so state survives restarts. A changed configuration refuses to resume."""
+Texts are normalized and measured as they come; which keys were seen is the stream's state, one entry for each source
+and key, kept with the checkpoint and looked up for the keys of a batch only. Each micro-batch writes its accepted
+documents and its token sums under its batch id and then a marker; a batch that runs again after a failure replaces
+what it wrote, since state goes back with it. A changed configuration refuses to resume."""
 
 from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.functions.hashing import dedup_key
-from lodestone.operators.corpus import MIN_CHARS, first_wins, measured
+from lodestone.functions.text import normalize_corpus, whitespace_tokens
+from lodestone.operators.corpus import MIN_CHARS
 from lodestone.operators.ordered import prefix_sum
 from lodestone.sources.scratch import table
 
@@ -52,20 +57,37 @@ def committed(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(COLUMNS).parquet(*[f"{folder}/batches/{b}" for b in batches]) if batches else spark.createDataFrame([], COLUMNS)
 
 
-def accept_batch(batch: DataFrame, batch_id: int, folder: str, target: int) -> None:
-    spark = batch.sparkSession
+FIRST = "source string, key string, doc_id long, tokens long"
+
+
+def first_documents(stream: DataFrame) -> DataFrame:
+    """Of each source and key, the first document: of those that come in one batch the one of least doc_id, and none of a
+    key that an earlier batch had. Short texts don't count."""
+    text = F.col("_normal")
+    rows = stream.withColumn("_normal", normalize_corpus(F.col("text"))).select("source", F.col("doc_id").cast("long").alias("doc_id"), dedup_key(text).alias("key"), F.length(text).alias("chars"), (whitespace_tokens(text) + 1).alias("tokens"))
+
+    def first(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.exists:
+            return
+        state.update((True,))
+        doc, tokens = min(x for part in parts for x in zip(part["doc_id"].tolist(), part["tokens"].tolist(), strict=True))
+        yield pd.DataFrame({"source": [name[0]], "key": [name[1]], "doc_id": [doc], "tokens": [tokens]})
+
+    return rows.where(F.col("chars") >= MIN_CHARS).groupBy("source", "key").applyInPandasWithState(first, FIRST, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+
+
+def accept_batch(new: DataFrame, batch_id: int, folder: str, target: int) -> None:
+    """new: rows of `first_documents`. What the budgets of their sources still take of them, in the order of documents."""
+    spark = new.sparkSession
     fs, marker = _fs(spark, f"{folder}/done/{batch_id}")
     if fs.exists(marker):
         return
-    before = committed(spark, folder)
-    # Sums are carried from batch to batch; keys are compared with all that were kept.
-    sums = sorted((int(s.getPath().getName()) for s in fs.listStatus(_fs(spark, f"{folder}/sums")[1])), reverse=True) if fs.exists(_fs(spark, f"{folder}/sums")[1]) else []
-    last = next((i for i in sums if i < batch_id and fs.exists(_fs(spark, f"{folder}/done/{i}")[1])), None)
+    # Sums are carried from batch to batch.
+    _, sums = _fs(spark, f"{folder}/sums")
+    earlier = sorted((int(s.getPath().getName()) for s in fs.listStatus(sums)), reverse=True) if fs.exists(sums) else []  # one for each micro-batch
+    last = next((i for i in earlier if i < batch_id and fs.exists(_fs(spark, f"{folder}/done/{i}")[1])), None)
     written = spark.createDataFrame([], "source string, written long") if last is None else spark.read.parquet(f"{folder}/sums/{last}")
-    rows = measured(batch, ["source", "doc_id"]).where(F.col("chars") >= MIN_CHARS).withColumn("key", F.lower(F.hex("key")))
-    new = first_wins(rows, ["source", "key"], "doc_id").join(before.select("source", "key"), ["source", "key"], "left_anti")
-    sized = table(new.select("source", "doc_id", "key", F.col("n_tokens").alias("tokens")), "batch")
-    placed = prefix_sum(sized, ["source"], "doc_id", F.col("tokens"), "ahead").join(F.broadcast(written), "source", "left")  # one row for each source
+    placed = prefix_sum(table(new, "batch"), ["source"], "doc_id", F.col("tokens"), "ahead").join(F.broadcast(written), "source", "left")  # one row for each source
     start = F.coalesce("written", F.lit(0)) + F.col("ahead")
     kept = F.least(F.col("tokens"), F.greatest(F.lit(0), F.lit(target) - start)).cast("long")
     placed.withColumn("kept", kept).where("kept > 0").select("source", "doc_id", "key", "tokens", "kept", F.lit(batch_id).cast("long").alias("batch")).write.mode("overwrite").parquet(f"{folder}/batches/{batch_id}")
@@ -83,7 +105,7 @@ def build(spark: SparkSession, source: str, schema, folder: str, target: int, fi
     """Runs over all files that are there now and stops; call again to go on where it stopped."""
     guard(spark, folder, {"target": target, "min_chars": MIN_CHARS, "source": source})
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    query = stream.writeStream.foreachBatch(lambda df, i: accept_batch(df, i, folder, target)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query = first_documents(stream).writeStream.foreachBatch(lambda df, i: accept_batch(df, i, folder, target)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return committed(spark, folder)
 

@@ -128,6 +128,23 @@ def test_stream_resumes_and_refuses_other_configurations(spark, tmp_path):
         build.build(spark, source, docs.schema, folder, 300)
 
 
+def test_a_batch_takes_the_first_documents_and_runs_again_alike(spark, tmp_path):
+    text = lambda k: f"text {k} " + "word " * 40
+    schema = "doc_id long, source string, text string"
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([(9, "a", text(1)), (3, "a", text(1)), (5, "b", text(1)), (4, "a", "short"), (6, None, text(2))], schema).coalesce(1).write.parquet(source)
+    got = build.build(spark, source, schema, folder, 10**6).collect()
+    assert sorted((r.doc_id, str(r.source), r.batch) for r in got) == [(3, "a", 0), (5, "b", 0), (6, "None", 0)]
+    spark.createDataFrame([(1, "a", text(1)), (2, "a", text(2)), (7, None, text(2))], schema).coalesce(1).write.mode("append").parquet(source)
+    got = build.build(spark, source, schema, folder, 10**6)
+    assert sorted((r.doc_id, str(r.source), r.batch) for r in got.collect()) == [(2, "a", 1), (3, "a", 0), (5, "b", 0), (6, "None", 0)]
+    # A batch whose marker is missing is written anew, with the sums of the batch before it.
+    fs, marker = build._fs(spark, f"{folder}/done/1")
+    fs.delete(marker, True)
+    build.accept_batch(spark.createDataFrame([("a", "k", 2, 43)], build.FIRST), 1, folder, 10**6)
+    assert sorted(r.doc_id for r in build.committed(spark, folder).collect()) == [2, 3, 5, 6]
+
+
 def best_by_hand(rows, k, similar=True):
     """The k best others of each item by comparing all pairs; ties by the hash of the other."""
     out = {}
