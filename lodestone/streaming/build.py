@@ -9,12 +9,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestone.functions.hashing import dedup_key
 from lodestone.functions.text import normalize_corpus, whitespace_tokens
@@ -61,23 +58,22 @@ FIRST = "source string, key string, doc_id long, tokens long"
 
 
 def first_documents(stream: DataFrame) -> DataFrame:
-    """Of each source and key, the first document: of those that come in one batch the one of least doc_id, and none of a
-    key that an earlier batch had. Short texts don't count."""
+    """For each source and key of a batch: the least doc_id so far, the tokens of its text, and the times of the first and
+    the last batch that had it (`new_documents` are those of one batch). Short texts don't count."""
     text = F.col("_normal")
     rows = stream.withColumn("_normal", normalize_corpus(F.col("text"))).select("source", F.col("doc_id").cast("long").alias("doc_id"), dedup_key(text).alias("key"), F.length(text).alias("chars"), (whitespace_tokens(text) + 1).alias("tokens"))
+    # In a stream, the current time is that of the batch, also when the batch runs again.
+    timed = rows.where(F.col("chars") >= MIN_CHARS).withColumn("time", F.current_timestamp())
+    return timed.groupBy("source", "key").agg(F.min("doc_id").alias("doc_id"), F.min("tokens").alias("tokens"), F.min("time").alias("first"), F.max("time").alias("last"))
 
-    def first(name: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            return
-        state.update((True,))
-        doc, tokens = min(x for part in parts for x in zip(part["doc_id"].tolist(), part["tokens"].tolist(), strict=True))
-        yield pd.DataFrame({"source": [name[0]], "key": [name[1]], "doc_id": [doc], "tokens": [tokens]})
 
-    return rows.where(F.col("chars") >= MIN_CHARS).groupBy("source", "key").applyInPandasWithState(first, FIRST, "seen boolean", "append", GroupStateTimeout.NoTimeout)
+def new_documents(batch: DataFrame) -> DataFrame:
+    """Of a batch's rows of `first_documents`, those whose key no earlier batch had."""
+    return batch.where(F.col("first") == F.col("last")).select("source", "key", "doc_id", "tokens")
 
 
 def accept_batch(new: DataFrame, batch_id: int, folder: str, target: int) -> None:
-    """new: rows of `first_documents`. What the budgets of their sources still take of them, in the order of documents."""
+    """new: rows of `new_documents`. What the budgets of their sources still take of them, in the order of documents."""
     spark = new.sparkSession
     fs, marker = _fs(spark, f"{folder}/done/{batch_id}")
     if fs.exists(marker):
@@ -105,7 +101,7 @@ def build(spark: SparkSession, source: str, schema, folder: str, target: int, fi
     """Runs over all files that are there now and stops; call again to go on where it stopped."""
     guard(spark, folder, {"target": target, "min_chars": MIN_CHARS, "source": source})
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    query = first_documents(stream).writeStream.foreachBatch(lambda df, i: accept_batch(df, i, folder, target)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query = first_documents(stream).writeStream.outputMode("update").foreachBatch(lambda df, i: accept_batch(new_documents(df), i, folder, target)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return committed(spark, folder)
 
