@@ -100,13 +100,13 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-#: A table of fewer bytes may lie in one row group, which one task reads; its rows are dealt out.
+#: A file of fewer bytes may be one row group, which one task reads; if it is the whole table, its rows are dealt out.
 SPREAD_BYTES = 64 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, over all cores; a table of some size is read by many tasks anyway, and is not shuffled."""
+    """The documents, over all cores; a table of some files or some size is read by many tasks anyway, and is not shuffled."""
     rows = spark.read.parquet(path := f"{sf_dir}/documents.parquet")
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    size = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
-    return rows.repartition(spark.sparkContext.defaultParallelism) if size < SPREAD_BYTES else rows
+    about = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where)
+    return rows.repartition(spark.sparkContext.defaultParallelism) if about.getFileCount() <= 1 and about.getLength() < SPREAD_BYTES else rows
