@@ -33,16 +33,17 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _t(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
 
 
-#: A table of fewer bytes may lie in one row group, which one task reads; its rows are dealt out before costly work.
+#: A file of fewer bytes may be one row group, which one task reads; if it is the whole table, its rows are dealt out
+#: before costly work.
 SPREAD_BYTES = 64 << 20
 
 
 def spread_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, over all cores; a table of some size is read by many tasks anyway, and its texts are not shuffled."""
+    """The documents, over all cores; a table of some files or some size is read by many tasks anyway, and is not shuffled."""
     rows = docs(spark, sf_dir)
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
-    size = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
-    return rows.repartition(spark.sparkContext.defaultParallelism) if size < SPREAD_BYTES else rows
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet")
+    about = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where)
+    return rows.repartition(spark.sparkContext.defaultParallelism) if about.getFileCount() <= 1 and about.getLength() < SPREAD_BYTES else rows
 
 
 def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
