@@ -104,9 +104,13 @@ def free_shuffles(spark: SparkSession) -> None:
 SPREAD_BYTES = 64 << 20
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents, over all cores; a table of some files or some size is read by many tasks anyway, and is not shuffled."""
-    rows = spark.read.parquet(path := f"{sf_dir}/documents.parquet")
+def spread_table(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a Parquet table, over all cores; one of some files or some size is read by many tasks anyway, and is not shuffled."""
+    rows = spark.read.parquet(path)
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     about = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(where)
     return rows.repartition(spark.sparkContext.defaultParallelism) if about.getFileCount() <= 1 and about.getLength() < SPREAD_BYTES else rows
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread_table(spark, f"{sf_dir}/documents.parquet")
