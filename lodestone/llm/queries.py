@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.llm import decontamination, gif, licenses, line_dedup, mixing, repeats, sharding, simhash, token_counts, top_k, toxicity, vector_codes
+from lodestone.llm import decontamination, gif, lexical, licenses, line_dedup, mixing, repeats, sharding, simhash, token_counts, top_k, toxicity, vector_codes
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontamination": decontamination.op9_decontamination,
     "op10_line_dedup": line_dedup.op10_line_dedup,
     "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_lexical": lexical.op12_lexical,
     "op13_top_k": top_k.op13_top_k,
 }
 
@@ -25,5 +26,6 @@ ORACLES = {
     "op9_decontamination": decontamination.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
     "op11_vector_codes": vector_codes.OP11_SQL,
+    "op12_lexical": lexical.OP12_SQL,
     "op13_top_k": top_k.OP13_SQL,
 }
