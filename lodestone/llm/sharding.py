@@ -10,11 +10,15 @@ those sums and from the largest group of each prefix; only prefixes inside such
 digits, until each interval ends at a known group. Rows then find their shard by comparing their hash with at most
 n - 1 boundaries, without a join.
 
+The greedy run itself fills shards up to the capacity and leaves the last ones small or empty. The cut is therefore the
+most even one within that capacity: each cut has a window of places that leave no shard above it, prefixes inside the
+windows are opened, and a second binary search finds the largest size that the least shard can have.
+
 What is contiguous is the order of the groups that remain: a group above the mean of what is left (there are fewer of
 those than shards) is taken out first, largest first, and is a shard of its own. Were it left in the order, its size
 would be the capacity, the greedy run would fill a few shards up to it and leave the others empty. No shard of the
-others is above the least capacity that whole groups in this order allow; the last one holds what remains and may be
-smaller.
+others is above the least capacity that whole groups in this order allow, and none is empty unless there are fewer
+groups than shards.
 
 Slots are numbered where rows lie: a task sorts its rows by shard and writes them, and the counts of tasks and shards
 give each run of rows its first slot. Neither texts nor rows are shuffled, and a hot group is numbered by all tasks
@@ -27,9 +31,10 @@ are called; columns named as its results are replaced by them.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +43,8 @@ from lodestone.llm.common import documents, fresh, written
 #: Bytes that a row costs besides its text.
 ROW_BYTES = 16
 FIRST_DIGITS, MORE_DIGITS = 3, 2
+#: Runs that are opened at once in search of the most even cuts.
+MOST_OPEN = 4096
 #: Runs of rows (one for each task and shard) whose first slots are broadcast; more are joined by a shuffle.
 BROADCAST_RUNS = 1_000_000
 
@@ -84,7 +91,7 @@ class Runs:
 
 
 def minimax_boundaries(runs: Runs, shards: int, opened: Callable[[list[str]], list[tuple[str, int, int, int]]]) -> tuple[int, list[str]]:
-    """The smallest capacity, and the hash prefixes with which the second and later shards begin.
+    """The smallest capacity, and the hash prefixes with which the second and later shards begin in the most even partition within it.
 
     opened: gives the next finer runs of the named prefixes."""
     while True:
@@ -103,8 +110,68 @@ def minimax_boundaries(runs: Runs, shards: int, opened: Callable[[list[str]], li
         if not fuzzy:
             break
         runs = Runs([r for r in runs.runs if r[0] not in fuzzy] + opened(sorted(fuzzy)))
-    begins = {runs.ends[i] - r[2]: r[0] for i, r in reversed(list(enumerate(runs.runs)))}
-    return low, [begins[at] for at in runs.cuts(low, shards, late=False) if at < runs.total]
+    runs, cuts = even_cuts(runs, low, min(shards, sum(r[1] for r in runs.runs)), opened)
+    begins = {runs.ends[i] - r[2]: r[0] for i, r in enumerate(runs.runs)}
+    return low, [begins[at] for at in cuts]
+
+
+def _windows(total: int, capacity: int, shards: int, reach: int) -> list[tuple[int, int]]:
+    """Where cut j of a partition into shards of at most `capacity` bytes can lie, at most `reach` from an even share."""
+    return [(max(total - (shards - j) * capacity, total * j // shards - reach), min(j * capacity, total * j // shards + reach)) for j in range(1, shards)]
+
+
+def even_cuts(runs: Runs, capacity: int, shards: int, opened: Callable[[list[str]], list[tuple[str, int, int, int]]], most_open: int = MOST_OPEN) -> tuple[Runs, list[int]]:
+    """Of all partitions into `shards` runs of at most `capacity` bytes one whose least run is largest: its cuts, and the runs that know them.
+
+    Runs of more groups inside the windows are opened. Where that would be more than `most_open` at once, windows are
+    halved around even shares; then there are thousands of groups in each, and the least shard is short of the best
+    one by less than their size."""
+    total, reach = runs.total, runs.total
+    while True:
+        windows = _windows(total, capacity, shards, reach)
+        fuzzy = set()
+        for low, high in windows:
+            i = bisect_right(runs.ends, low)
+            while i < len(runs.runs) and runs.ends[i] - runs.runs[i][2] < high:
+                if runs.runs[i][1] > 1:
+                    fuzzy.add(runs.runs[i][0])
+                i += 1
+        if len(fuzzy) > most_open and reach > 1:
+            reach //= 2
+        elif fuzzy:
+            runs = Runs([r for r in runs.runs if r[0] not in fuzzy] + opened(sorted(fuzzy)))
+        else:
+            break
+    edges = [runs.ends[i] - r[2] for i, r in enumerate(runs.runs)] + [total]
+    # Cuts of the greedy run are known edges, too, so that there is a partition however narrow the windows are.
+    greedy = runs.cuts(capacity, shards, late=False)
+    choices = [np.unique([*edges[bisect_left(edges, low) : bisect_right(edges, high)], *([at] if at < total else [])]) for (low, high), at in zip(windows, greedy, strict=False)]
+    choices = [np.zeros(1, np.int64), *choices, np.array([total])]
+
+    def reached(least: int) -> list[np.ndarray] | None:
+        """Of each cut the places that shards of `least` to `capacity` bytes can reach."""
+        out = [choices[0]]
+        for places in choices[1:]:
+            before = out[-1]
+            places = places[np.searchsorted(before, places - least, "right") > np.searchsorted(before, places - capacity, "left")]
+            if not len(places):
+                return None
+            out.append(places)
+        return out
+
+    low, high = 0, total // shards
+    while low < high:
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if reached(mid) is not None else (low, mid - 1)
+    found = reached(low)
+    if found is None:  # the greedy run takes fewer shards, and narrow windows have no better partition
+        return runs, [at for at in greedy if at < total]
+    cuts, at = [], total
+    for j in range(shards - 1, 0, -1):
+        places = found[j][(found[j] >= at - capacity) & (found[j] <= at - low)]
+        at = int(places[np.abs(places - at * j // (j + 1)).argmin()])
+        cuts.append(at)
+    return runs, sorted({at for at in cuts if 0 < at < total})
 
 
 def _runs_of(groups: DataFrame, digits: int) -> list[tuple[str, int, int, int]]:
