@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import whitespace_tokens
 from lodestone.operators.corpus import MIN_CHARS, measured
+from lodestone.operators.ordered import null_safe_join
 
 
 def capacity_audit(docs: DataFrame, longest: int = 16384, tokens: Callable[[Column], Column] = whitespace_tokens) -> DataFrame:
@@ -17,7 +18,7 @@ def capacity_audit(docs: DataFrame, longest: int = 16384, tokens: Callable[[Colu
     tokens: how many a text has, its end not included."""
     slim = measured(docs, ["source", "doc_id"], tokens)
     firsts = slim.where(F.col("chars") >= MIN_CHARS).groupBy("source", "key").agg(F.min("doc_id").alias("_first"))
-    state = slim.join(firsts, ["source", "key"], "left")
+    state = null_safe_join(slim, firsts, ["source", "key"], "left")
     good = (F.col("chars") >= MIN_CHARS) & (F.col("doc_id") == F.col("_first"))
     kept = F.least(F.col("n_tokens"), F.lit(longest))
     out = state.groupBy("source").agg(
@@ -58,14 +59,6 @@ def mixture_targets(parts: DataFrame, total: int, rest: str) -> DataFrame:
     return rows.withColumn("target", (F.col("_t") + F.when(F.col("source") == rest, left).otherwise(0)).cast("long")).drop("_t")
 
 
-def indexed_percentile(value: Column, q: float) -> Column:
-    """The element at floor(q (n - 1)) of the sorted values: no interpolation.
-
-    percentile with that exact fraction falls on an element, so values are counted, not collected."""
-    n = F.count(value)
-    return F.percentile(value, F.lit(0.5)) if q == 0.5 else F.element_at(F.array_sort(F.collect_list(value)), (F.floor(F.lit(q) * (n - 1)) + 1).cast("int"))
-
-
 def length_stats(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """min, median (mean of the middle two), p95, p99 and max by group.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.hashing import content_hash, hash_in_fraction
 from lodestone.functions.text import normalize_corpus, whitespace_tokens
-from lodestone.operators.ordered import prefix_sum
+from lodestone.operators.ordered import null_safe_join, prefix_sum
 from lodestone.sources.scratch import table
 
 #: Licences that the code source accepts; fixed values.
@@ -83,7 +83,7 @@ def rejection_reasons(docs: DataFrame, allowed: list[str] | None, validation_fra
     rows = rows.withColumn("_early", early)
     firsts = rows.where("_early IS NULL").groupBy(*scope, "key").agg(F.min("doc_id").alias("_first"))
     reason = F.coalesce("_early", F.when(F.col("doc_id") != F.col("_first"), "duplicate"))
-    return rows.join(firsts, [*scope, "key"], "left").withColumn("reason", reason).drop("_early", "_first", *about)
+    return null_safe_join(rows, firsts, [*scope, "key"], "left").withColumn("reason", reason).drop("_early", "_first", *about)
 
 
 def reason_counters(reasons: DataFrame) -> DataFrame:
@@ -114,7 +114,11 @@ def shard_manifest(pieces: DataFrame, by: list[str]) -> DataFrame:
 
 
 def fair_order(docs: DataFrame, weights: DataFrame, ordinal: str = "doc_id") -> DataFrame:
-    """docs: source, ordinal, n_tokens; weights: source, weight. Adds `turn`: tokens written before over weight; ascending turn is the schedule."""
+    """docs: source, ordinal, n_tokens; weights: source, weight. Adds `turn`: tokens written before over weight; ascending turn is the schedule.
+
+    A source without a weight raises an error, as its documents would have no turn."""
+    if unknown := docs.select("source").distinct().join(weights, "source", "left_anti").take(5):
+        raise ValueError(f"sources without a weight: {', '.join(map(str, sorted(str(r.source) for r in unknown)))}")
     rows = prefix_sum(docs, ["source"], ordinal, F.col("n_tokens"), "written").join(F.broadcast(weights), "source")  # one row for each configured source
     return rows.withColumn("turn", F.col("written") / F.col("weight"))
 

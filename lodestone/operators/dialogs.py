@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from lodestone.functions import schemas
 from lodestone.functions.hashing import simhash_of_words, split_90_5_5
 from lodestone.functions.text import lexical_words
-from lodestone.operators.near_dup import greedy_accepted
-from lodestone.operators.ordered import global_position, place_in_group
+from lodestone.operators.ordered import place_in_group
+from lodestone.operators.quotas import first_within_quotas
 from lodestone.sources.scratch import table
 
 #: Tools shown in a record, at most.
@@ -426,15 +426,20 @@ def candidates(seeds: DataFrame, rounds: int, categories: list[str] | None = Non
     return rows.select("split", "source_id", "source_position", "query", "tool", "arguments", "similar", "unlike").mapInPandas(make, RECORDS)
 
 
-def accepted_records(made: DataFrame, quota: int, distance: int = 2) -> DataFrame:
-    """Records of sound contract, each id once, no near-duplicate of an earlier one of the category, first `quota` by round and hash of each split and category."""
-    turn = F.struct("category", "round", "order_key")
-    columns = [c for c in made.columns if c != "id"]
-    once = made.where("fault IS NULL").groupBy("id").agg(F.min_by(F.struct(*columns), turn).alias("r")).select("id", "r.*")
-    held = table(global_position(once, ["category", "round", "order_key", "id"], "place"), "records")
-    verdicts = greedy_accepted(held.select("category", F.col("place").alias("id"), "fp"), distance, ["category"]).where("accepted").select(F.col("id").alias("place"))
-    kept = place_in_group(held.join(verdicts, "place"), ["split", "category"], ["place"], "_q")
-    return kept.where(F.col("_q") < quota).drop("_q")
+#: Splits in the order in which they are built; fixed values.
+SPLITS = ["train", "validation", "test"]
+
+
+def accepted_records(made: DataFrame, quota: DataFrame | int, distance: int = 2, allow_short: bool = False) -> DataFrame:
+    """Records of sound contract that fill the buckets one after another, by split, then category, round and hash: no id
+    twice, no near-duplicate of a record accepted before in its category. A record that a full bucket turned away blocks
+    nobody. quota: of every bucket, or a table of split, category and quota. Short buckets raise an error, unless allowed."""
+
+    def ranks(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({f"_{c}": F.array_position(F.array(*map(F.lit, names)), F.col(c)).cast("int") for c, names in (("split", SPLITS), ("category", CATEGORIES))})
+
+    goals = quota if isinstance(quota, int) else ranks(quota)
+    return first_within_quotas(ranks(made.where("fault IS NULL")), ["_split", "_category"], ["round", "order_key"], goals, ["_category"], distance, allow_short=allow_short).drop("_split", "_category")
 
 
 def split_leaks(rows: DataFrame, key: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.hashing import band_values, hamming, in_fraction
-from lodestone.operators.ordered import place_in_group
+from lodestone.operators.ordered import null_safe_join, place_in_group
 from lodestone.sources.scratch import table
 
 #: Blocks of bits that agree in a candidate pair, at least; a key joins so many.
@@ -77,5 +77,5 @@ def audit_sample(docs: DataFrame, fingerprint: Column, rate: float, most: int, d
     banded = table(banded.withColumn("stretch", F.floor(F.col("rank") / recent)), "bands")
     a = banded.select("source", "band", "value", F.explode(F.array("stretch", F.col("stretch") + 1)).alias("stretch"), F.col("fp").alias("fa"), F.col("rank").alias("ra"))
     near = (F.col("rank") - F.col("ra")).between(1, recent) & (hamming(F.col("fp"), F.col("fa")) <= distance)
-    hits = banded.join(a, ["source", "band", "value", "stretch"]).where(near).select("source", "doc_id").distinct().withColumn("near", F.lit(1))
-    return rows.join(hits, ["source", "doc_id"], "left").groupBy("source").agg(F.count(F.lit(1)).alias("sampled"), F.count("near").alias("near_duplicates")).withColumn("fraction", F.col("near_duplicates") / F.col("sampled"))
+    hits = null_safe_join(banded, a, ["source", "band", "value", "stretch"], "inner").where(near).select("source", "doc_id").distinct().withColumn("near", F.lit(1))
+    return null_safe_join(rows, hits, ["source", "doc_id"], "left").groupBy("source").agg(F.count(F.lit(1)).alias("sampled"), F.count("near").alias("near_duplicates")).withColumn("fraction", F.col("near_duplicates") / F.col("sampled"))

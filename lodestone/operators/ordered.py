@@ -11,6 +11,14 @@ from lodestone.sources.scratch import table
 SPAN = 1 << 16
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join in which missing keys match each other; the keys are those of the left side."""
+    match = F.lit(True)
+    for c in keys:
+        match = match & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return left.join(right.withColumnsRenamed({c: f"_of_{c}" for c in keys}), match, how).drop(*(f"_of_{c}" for c in keys))
+
+
 def prefix_sum(df: DataFrame, by: list[str], ordinal: str, value: Column, name: str = "before", span: int = SPAN) -> DataFrame:
     """Adds the sum of `value` over earlier rows of the group (`ordinal`: unique bigint within the group).
 

@@ -13,7 +13,7 @@ from lodestone.operators import corpus, dialogs, near_dup
 from lodestone.plans.catalog import _t, docs, query, spread_docs
 
 
-def _fingerprint_sql(tokens: str) -> str:
+def fingerprint_sql(tokens: str) -> str:
     """A CTE fp (doc_id, fp) over t (doc_id, tok list): majorities of the bits of hashes, as a signed number."""
     return f"""t AS ({tokens}), u AS (SELECT doc_id, unnest(tok) AS w FROM t), h AS (SELECT doc_id, ('0x' || substr(sha256(w), 1, 16))::UBIGINT AS h FROM u),
 bits AS (SELECT doc_id, b, 2 * count(*) FILTER (WHERE (h >> b) & 1 = 1) >= count(*) AS one FROM h, range(64) r(b) GROUP BY ALL),
@@ -21,8 +21,8 @@ v AS (SELECT doc_id, sum(CASE WHEN one THEN (1::HUGEINT << b) ELSE 0 END)::HUGEI
 fp AS (SELECT t.doc_id, (CASE WHEN coalesce(v, 0) >= 9223372036854775808 THEN v - 18446744073709551616 ELSE coalesce(v, 0) END)::BIGINT AS fp FROM t LEFT JOIN v USING (doc_id))"""
 
 
-_A = _fingerprint_sql("SELECT doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+') AS tok FROM documents")
-_B = _fingerprint_sql(r"SELECT doc_id, list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], chr(31))) AS tok FROM (SELECT *, CASE WHEN len(w) >= 5 THEN 5 ELSE 1 END AS k FROM (SELECT doc_id, regexp_extract_all(lower(text), '[A-Za-z0-9_./:{}-]+')[1:4000] AS w FROM documents))")
+_A = fingerprint_sql("SELECT doc_id, regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9]+') AS tok FROM documents")
+_B = fingerprint_sql(r"SELECT doc_id, list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i : i + k - 1], chr(31))) AS tok FROM (SELECT *, CASE WHEN len(w) >= 5 THEN 5 ELSE 1 END AS k FROM (SELECT doc_id, regexp_extract_all(lower(text), '[A-Za-z0-9_./:{}-]+')[1:4000] AS w FROM documents))")
 
 
 @query()
