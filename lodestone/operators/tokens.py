@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.ordered import global_position, prefix_sum
 
 #: Rows of a list of shard files that is broadcast, at most.
 BROADCAST_SHARDS = 200_000
@@ -16,8 +17,8 @@ class CorpusExhausted(ValueError):
 
 def shard_offsets(shards: DataFrame) -> DataFrame:
     """shards: path, tokens (one row for each file). Adds start and end in the global stream, in path order."""
-    by = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, 0)  # one row for each shard file
-    return shards.withColumn("end", F.sum("tokens").over(by)).withColumn("start", F.col("end") - F.col("tokens"))
+    placed = global_position(shards, ["path"], "_file")
+    return prefix_sum(placed.withColumn("_all", F.lit(0)), ["_all"], "_file", F.col("tokens"), "start").withColumn("end", F.col("start") + F.col("tokens")).drop("_all", "_file")
 
 
 def locate(positions: DataFrame, offsets: DataFrame) -> DataFrame:
@@ -34,6 +35,26 @@ def locate(positions: DataFrame, offsets: DataFrame) -> DataFrame:
     return positions.withColumn("_stretch", F.floor(F.col("pos") / longest)).join(spread, "_stretch").where(inside).select(*out)
 
 
+def overlapping(windows: DataFrame, offsets: DataFrame, length: int) -> DataFrame:
+    """windows: window, start. A row for each shard that holds some of the `length` tokens from there: window, path, place
+    (in the window), offset (in the shard) and n tokens. Joined like `locate`."""
+    begin, end = F.greatest(F.col("_from"), F.col("start")), F.least(F.col("_from") + length, F.col("end"))
+    asked = windows.select("window", F.col("start").cast("long").alias("_from"))
+    meets = (F.col("_from") < F.col("end")) & (F.col("_from") + length > F.col("start"))
+    out = ["window", "path", (begin - F.col("_from")).alias("place"), (begin - F.col("start")).alias("offset"), (end - begin).alias("n")]
+    if offsets.limit(BROADCAST_SHARDS + 1).count() <= BROADCAST_SHARDS:
+        return asked.join(F.broadcast(offsets), meets).select(*out)
+    longest = max(1, offsets.agg(F.max(F.col("end") - F.col("start"))).first()[0])
+
+    def stretches(first, last) -> Column:
+        return F.explode(F.sequence(F.floor(first / longest), F.floor(last / longest)))
+
+    spread = offsets.withColumn("_stretch", stretches(F.col("start"), F.col("end") - 1))
+    met = asked.withColumn("_stretch", stretches(F.col("_from"), F.col("_from") + length - 1)).join(spread, "_stretch").where(meets)
+    # A window and a shard may share several stretches; the one where their common part begins counts.
+    return met.where(F.col("_stretch") == F.floor(begin / longest)).select(*out)
+
+
 def read_range(shards: DataFrame, start: int, count: int) -> DataFrame:
     """shards: path, tokens, values (array<int>). The tokens start .. start + count - 1 as rows of pos and token."""
     total = shards.agg(F.sum("tokens")).first()[0] or 0
@@ -58,7 +79,7 @@ def rank_slices(blocks: DataFrame, world: int, per_step: int) -> DataFrame:
 
 
 def corpus_fingerprint(shards: DataFrame) -> DataFrame:
-    """One hash over all names and sizes in order; a row for each file is gathered, not data."""
+    """One hash over all names and sizes in order; names are gathered, not data (a gigabyte for ten million files)."""
     lines = F.array_sort(F.collect_list(F.concat("path", F.lit(":"), F.col("tokens").cast("string"))))
     return shards.agg(F.sha2(F.array_join(lines, "\n"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("shards"), F.sum("tokens").alias("tokens"), F.min("path").alias("first"), F.max("path").alias("last"))
 

@@ -13,7 +13,8 @@ from lodestone.functions import text as T
 from lodestone.functions import training as R
 from lodestone.operators import audit, config, corpus, dialogs, generate, metrics, tokens
 from lodestone.plans.catalog import _REASONS, _t, docs, query
-from lodestone.sources import files, jsonl, runs
+from lodestone.operators.ordered import global_position
+from lodestone.sources import files, jsonl, runs, shards
 from lodestone.sources.scratch import scratch_dir
 
 
@@ -244,9 +245,27 @@ def budget_filled(spark, d):
     return generate.filled(o.where("i % 9 <> 0"), o.where("i % 9 = 0"), "i", 18_000).select("i", "filled", "kept")
 
 
-@query("SELECT i AS window, (('0x' || substr(sha256('5:' || i), 1, 12))::BIGINT % (n - 65))::BIGINT AS start FROM range(40) r(i), (SELECT count(*) AS n FROM orders)")
+def _order_shards(spark, d, shard_tokens):
+    folder = f"{scratch_dir(spark)}/windows-{uuid.uuid4().hex}"
+    stream = global_position(_t(spark, d, "orders").select("o_orderkey"), ["o_orderkey"]).select(F.col("position").alias("pos"), (F.col("o_orderkey") % 32000).alias("token"))
+    shards.write_shards(stream, folder, shard_tokens, 32000)
+    return folder
+
+
+@query("""WITH t AS (SELECT o_orderkey % 32000 AS token, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos FROM orders), w AS (SELECT i AS window, (('0x' || substr(sha256('5:' || i), 1, 12))::BIGINT % (n - 65))::BIGINT AS start FROM range(40) r(i), (SELECT count(*) AS n FROM orders))
+SELECT w.window, start, string_agg(token::VARCHAR, ' ' ORDER BY pos) AS tokens FROM w JOIN t ON pos >= start AND pos < start + 65 GROUP BY ALL""")
 def token_windows(spark, d):
-    return tokens.random_windows(spark, _t(spark, d, "orders").count(), 40, 65, 5)
+    """Random windows of 65 tokens, read from the shards that hold them."""
+    windows = tokens.random_windows(spark, _t(spark, d, "orders").count(), 40, 65, 5)
+    read = shards.read_windows(spark, _order_shards(spark, d, 500), windows, 65)
+    return read.select("window", "start", F.array_join(F.transform("tokens", lambda x: x.cast("string")), " ").alias("tokens"))
+
+
+@query("WITH t AS (SELECT (o_orderkey % 32000)::INT AS token, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, count(*) OVER () AS n FROM orders) SELECT pos, token FROM t WHERE pos >= n // 3 AND pos < n // 3 + n // 5")
+def token_shard_range(spark, d):
+    """A fifth of the stream from its first third on; other shards aren't opened."""
+    n = _t(spark, d, "orders").count()
+    return shards.read_tokens(spark, _order_shards(spark, d, 700), n // 3, n // 3 + n // 5).select("pos", "token")
 
 
 @query("SELECT min(l_orderkey % 32000)::INT AS least, max(l_orderkey % 32000)::INT AS most, max(l_orderkey % 32000) < 20000 AS within FROM lineitem")

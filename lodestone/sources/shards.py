@@ -15,10 +15,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyarrow.fs import FileInfo, FileType
+from pyspark import Accumulator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, IsNotNull, LessThan, LessThanOrEqual, WriterCommitMessage
 
+from lodestone.operators.tokens import CorpusExhausted, overlapping, shard_offsets
 from lodestone.sources import files
 
 BATCH = 1 << 16
@@ -41,30 +43,53 @@ def shard_files(folder: str) -> list[FileInfo]:
 
 @dataclass
 class ShardPart(InputPartition):
+    """Tokens first .. last - 1 of the stream, which lie in a file that begins with token `start`."""
+
     path: str = ""
     name: str = ""
     start: int = 0
+    first: int = 0
+    last: int = 0
 
 
 class _Reader(DataSourceReader):
+    """Filters on `pos` choose files and places in them; what they leave out is never opened or read."""
+
     def __init__(self, folder: str):
-        self.folder = folder
+        self.folder, self.low, self.high = folder, 0, None
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if getattr(f, "attribute", None) == ("pos",) and isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual | LessThan | LessThanOrEqual):
+                if isinstance(f, EqualTo | GreaterThan | GreaterThanOrEqual):
+                    self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+                if isinstance(f, EqualTo | LessThan | LessThanOrEqual):
+                    end = f.value + (not isinstance(f, LessThan))
+                    self.high = end if self.high is None else min(self.high, end)
+            elif not isinstance(f, IsNotNull):  # no column is ever null
+                yield f
 
     def partitions(self):
         out, at = [], 0
         for f in shard_files(self.folder):
-            part = ShardPart(None)
-            part.path, part.name, part.start = f.path, f.base_name, at
-            out.append(part)
-            at += f.size // 2
-        return out
+            end = at + f.size // 2
+            first, last = max(at, self.low), end if self.high is None else min(end, self.high)
+            if first < last:
+                part = ShardPart(None)
+                part.path, part.name, part.start, part.first, part.last = f.path, f.base_name, at, first, last
+                out.append(part)
+            at = end
+        return out or [ShardPart(None)]
 
     def read(self, partition):
+        if partition.first >= partition.last:
+            return
         store, _ = files.store(self.folder)
-        at = partition.start
-        with store.open_input_stream(partition.path) as f:
-            while raw := f.read(2 * BATCH):
-                part = np.frombuffer(raw, "<u2").astype(np.int32)
+        at = partition.first
+        with store.open_input_file(partition.path) as f:
+            f.seek(2 * (at - partition.start))
+            while at < partition.last:
+                part = np.frombuffer(f.read(2 * min(BATCH, partition.last - at)), "<u2").astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array([partition.name] * len(part)), pa.array(np.arange(at, at + len(part))), pa.array(part)], ["shard", "pos", "token"])
                 at += len(part)
 
@@ -156,6 +181,54 @@ def write_shards(tokens: DataFrame, folder: str, shard_tokens: int, vocabulary:
     rows.repartition("shard").sortWithinPartitions("shard", "pos").write.format("token_shards").option("path", folder).option("vocabulary", vocabulary).mode("append").save()
 
 
+def read_tokens(spark: SparkSession, folder: str, start: int = 0, end: int | None = None) -> DataFrame:
+    """shard, pos, token of the tokens start .. end - 1 (null: to the last): only files that hold some of them are opened."""
+    register(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    rows = spark.read.format("token_shards").load(folder).where(F.col("pos") >= start)
+    return rows if end is None else rows.where(F.col("pos") < end)
+
+
+#: Tokens of a file that one task reads for windows, about.
+WINDOW_STRETCH = 1 << 24
+
+
+def read_windows(spark: SparkSession, folder: str, windows: DataFrame, length: int, opened: Accumulator | None = None) -> DataFrame:
+    """windows: window (unique), start. Adds `tokens`, the `length` tokens from there, also across shards.
+
+    A window meets the shards that hold a part of it (`tokens.overlapping`); pieces go to tasks by file and place, and a
+    task opens a file once. Shards that no window touches are never opened. opened: counts files as they are opened."""
+    sizes = [(f.path, f.size // 2) for f in shard_files(folder)]  # a row for each file
+    offsets = shard_offsets(spark.createDataFrame(sizes, "path string, tokens long"))
+    total = sum(n for _, n in sizes)
+    if windows.where((F.col("start") < 0) | (F.col("start") + length > total)).take(1):
+        raise CorpusExhausted(f"a window of {length} tokens leaves the {total} of {folder}")
+    pieces = overlapping(windows.select("window", "start"), offsets, length)
+
+    def read(batches):
+        store, _ = files.store(folder)
+        path, file = None, None
+        for batch in batches:
+            out = []
+            for window, place, name, offset, n in zip(*(batch.column(c).to_pylist() for c in ("window", "place", "path", "offset", "n")), strict=True):
+                if name != path:
+                    if file:
+                        file.close()
+                    path, file = name, store.open_input_file(name)
+                    if opened is not None:
+                        opened.add(1)
+                file.seek(2 * offset)
+                out.append((window, place, np.frombuffer(file.read(2 * n), "<u2").astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.list_(pa.int32()))], ["window", "place", "tokens"])
+        if file:
+            file.close()
+
+    dealt = pieces.select(F.col("window").cast("long"), "place", "path", "offset", "n").repartition(F.col("path"), F.floor(F.col("offset") / WINDOW_STRETCH)).sortWithinPartitions("path", "offset")
+    parts = dealt.mapInArrow(read, "window long, place long, tokens array<int>")
+    whole = parts.groupBy("window").agg(F.array_sort(F.collect_list(F.struct("place", "tokens"))).alias("_parts"))
+    return windows.join(whole, "window").withColumn("tokens", F.flatten(F.col("_parts.tokens"))).drop("_parts")
+
+
 def verify_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Manifest rows against the files: size and digest, both ways."""
     told = files.read_object(f"{folder}/manifest.json")["shards"]
