@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.operators.ordered import place_in_group
+from lodestone.sources.scratch import table
+
 
 def ema(log: DataFrame, series: str, order: list[str], value: str, keep: float = 0.98) -> DataFrame:
     """The last exponential moving average of each series, seeded with its first value; a fold in order, bit for bit sequential.
@@ -42,3 +46,69 @@ def decimated(log: DataFrame, series: str, order: list[str], value: str, points:
     far = F.round(F.abs(F.col(value) - F.avg(value).over(Window.partitionBy(series, "_run"))), 9)
     best = rows.withColumn("_far", far).groupBy(series, "_run").agg(F.max(F.struct("_far", *order, value)).alias("b"))
     return best.select(series, *(F.col(f"b.{c}").alias(c) for c in (*order, value)))
+
+
+def hull(points: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """points: (x, y, place). Those that can be the first of the farthest ones from any line: corners of the convex hull,
+    and of the leftmost and the rightmost points the first in place; of equal points the first in place."""
+    firsts: dict[tuple[int, int], int] = {}
+    for x, y, place in points:
+        firsts[x, y] = min(place, firsts.get((x, y), place))
+    ordered = sorted((x, y, place) for (x, y), place in firsts.items())
+    corners = set()
+    for side in (ordered, ordered[::-1]):
+        chain: list[tuple[int, int, int]] = []
+        for p in side:
+            while len(chain) > 1 and (chain[-1][0] - chain[-2][0]) * (p[1] - chain[-2][1]) - (chain[-1][1] - chain[-2][1]) * (p[0] - chain[-2][0]) <= 0:
+                chain.pop()
+            chain.append(p)
+        corners |= set(chain)
+    for x in (ordered[0][0], ordered[-1][0]):
+        corners.add(min((p for p in ordered if p[0] == x), key=lambda p: p[2]))
+    return sorted(corners, key=lambda p: p[2])
+
+
+def largest_triangles(log: DataFrame, series: str, order: list[str], x: Column, y: Column, points: int = 1000, span: int = 1 << 16) -> DataFrame:
+    """`points` records of each series that keep its shape, or all where it has no more: the first, the last, and of each
+    equal run between them the one that makes the largest triangle with the one chosen before and the next run's mean;
+    of equal ones the first. x, y: whole numbers, x never falling in the order. Adds place, from 0.
+
+    What a run offers does not depend on what was chosen before it, but for a line: the largest triangle lies at a corner
+    of the run's convex hull. So runs are cut down to hulls by many tasks, whatever a run's size, and only hulls, at most
+    `points` of a series, are gone through in order. All of it is whole numbers, so no rounding decides."""
+    if points < 3:
+        raise ValueError("a series keeps three points at least")
+    n_cols = [series, *order]
+    placed = table(place_in_group(log.select(*n_cols, x.cast("long").alias("_x"), y.cast("long").alias("_y")), [series], order, "place"), "series")
+    sizes = placed.groupBy(F.col(series).alias("_series")).agg(F.count(F.lit(1)).alias("_n"))
+    rows = placed.join(sizes, F.col(series).eqNullSafe(F.col("_series"))).drop("_series")
+    inner = F.floor((F.col("place") - 1) * F.lit(points - 2) / (F.col("_n") - 2)) + 1
+    runs = rows.where(F.col("_n") > points).withColumn("_run", F.when(F.col("place") == 0, 0).when(F.col("place") == F.col("_n") - 1, points - 1).otherwise(inner).cast("long"))
+    means = runs.groupBy(series, "_run").agg(F.sum("_x").cast("decimal(38,0)").alias("sx"), F.sum("_y").cast("decimal(38,0)").alias("sy"), F.count(F.lit(1)).alias("n"))
+
+    def corners(some: pd.DataFrame) -> pd.DataFrame:
+        held = hull([tuple(map(int, p)) for p in zip(some["_x"], some["_y"], some["place"], strict=True)])
+        return pd.DataFrame({series: [some[series].iloc[0]] * len(held), "_run": some["_run"].iloc[0], "_x": [p[0] for p in held], "_y": [p[1] for p in held], "place": [p[2] for p in held]})
+
+    kind = log.schema[series].dataType.simpleString()
+    schema = f"`{series}` {kind}, _run long, _x long, _y long, place long"
+    few = runs.select(series, "_run", "_x", "_y", "place").groupBy(series, "_run", F.floor(F.col("place") / span)).applyInPandas(corners, schema)
+    hulls = few.groupBy(series, "_run").applyInPandas(corners, schema)
+
+    def fold(some: pd.DataFrame) -> pd.DataFrame:
+        by: dict[int, list] = {}
+        for run, px, py, place, sx, sy, n in zip(*(some[c] for c in ("_run", "_x", "_y", "place", "sx", "sy", "n")), strict=True):
+            by.setdefault(int(run), []).append((int(px), int(py), int(place), int(sx), int(sy), int(n)))
+        ax, ay, at = by[0][0][:3]
+        chosen = [at]
+        for run in range(1, points - 1):
+            _, _, _, sx, sy, n = by[run + 1][0]
+            ax, ay, at = max(((px, py, place) for px, py, place, *_ in by[run]), key=lambda p: (abs((ax * n - sx) * (p[1] - ay) - (ax - p[0]) * (sy - ay * n)), -p[2]))  # noqa: B023
+            chosen.append(at)
+        chosen.append(by[points - 1][0][2])
+        return pd.DataFrame({series: [some[series].iloc[0]] * len(chosen), "place": chosen})
+
+    told = hulls.join(means.withColumnsRenamed({series: "_series", "_run": "_of"}), F.col(series).eqNullSafe(F.col("_series")) & (F.col("_run") == F.col("_of"))).drop("_series", "_of")
+    chosen = told.groupBy(series).applyInPandas(fold, f"`{series}` {kind}, place long").select(F.col(series).alias("_series"), F.col("place").alias("_place"))
+    kept = rows.join(chosen, F.col(series).eqNullSafe(F.col("_series")) & (F.col("place") == F.col("_place")), "left_semi")
+    return rows.where(F.col("_n") <= points).unionByName(kept).select(*n_cols, "place")
