@@ -19,7 +19,7 @@ FORMS = r"(AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,}|-----BEGIN [
 #: Identifiers of this form are no secrets.
 PLAIN = "^[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}$"
 #: Least bits of entropy, least runs of classes for each character, most other characters.
-ENTROPY, RUNS, OTHERS = 3.2, 0.4, 0.15
+ENTROPY, RUNS, OTHERS = 3.2, 0.3, 0.1
 RUN = "a+|A+|0+|[^aA0]+"
 
 

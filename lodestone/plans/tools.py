@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import schemas
 from lodestone.functions import text as T
-from lodestone.operators import dialogs, generate, openapi
+from lodestone.operators import dialogs, generate
 from lodestone.plans.catalog import _t, query
 
 #: Tools of both parameter conventions, arguments for them, and what is expected of each.
@@ -140,91 +140,6 @@ def argument_rendering(spark, d):
     return c.select(F.col("c_custkey").alias("id"), F.concat(T.humanized(F.concat(F.lit("acct_-"), "c_mktsegment")), F.lit(": "), T.known_arguments(given)).alias("line"), F.upper("c_mktsegment").alias("segment"))
 
 
-# --- API descriptions, one for each nation ---
-
-_PATH = "'apis/' || n_nationkey || '/1/openapi.json'"
-_SPEC = """'{"openapi": "3.0.0", "info": {"title": "' || n_name || '", "version": "1", "created": "2026-02-31"}, "paths": {"/nations/' || n_nationkey || '": {"parameters": [{"name": "trace", "in": "header"}], "get": {"operationId": "read.' || n_nationkey || '", "summary": "Read ' || n_name || '", "parameters": [{"name": "lang", "in": "query", "required": true, "schema": {"type": "string"}}], "responses": {}}, "head": {"responses": {}}, "x-note": {}}}}'"""
-
-
-def _specs(spark, d):
-    """The same texts as in SQL, and one that can't be read."""
-    rows = _t(spark, d, "nation").withColumn("n_nationkey", F.col("n_nationkey").cast("string"))
-    return rows.select(F.expr(_PATH).alias("path"), F.expr(_SPEC.replace("\n", "")).alias("text")).unionByName(spark.createDataFrame([("apis/broken/openapi.yaml", ": : :")], "path string, text string"))
-
-
-_TRACE, _LANG = '{"in": "header", "name": "trace"}', '{"in": "query", "name": "lang", "required": true, "schema": {"type": "string"}}'
-_SLUG = "regexp_replace(n_name, '[^A-Za-z0-9]+', '_', 'g')"
-
-
-def _tool_sql(route: str) -> str:
-    if route == "get":
-        return f"""'{{"description": "Read ' || n_name || '", "name": "' || {_SLUG} || '_read_' || n_nationkey || '", "parameters": {{"properties": {{"lang": {{"description": "", "type": "string"}}, "trace": {{"description": "", "type": "string"}}}}, "required": ["lang"], "type": "object"}}}}'"""
-    return f"""'{{"description": "HEAD /nations/' || n_nationkey || '", "name": "' || {_SLUG} || '_HEAD_nations_' || n_nationkey || '", "parameters": {{"properties": {{"trace": {{"description": "", "type": "string"}}}}, "required": [], "type": "object"}}}}'"""
-
-
-@query(f"SELECT {_PATH} AS path, part, kind || n_nationkey AS kind, CASE part WHEN 0 THEN {_tool_sql('get')} ELSE {_tool_sql('head')} END AS text FROM nation, (VALUES (0, 'GET /nations/'), (1, 'HEAD /nations/')) k(part, kind)")
-def openapi_operations(spark, d):
-    return openapi.expand(_specs(spark, d), "operations")
-
-
-_PARAMETERS = {
-    "get": """'"parameters": [\n    {\n      "in": "header",\n      "name": "trace"\n    },\n    {\n      "in": "query",\n      "name": "lang",\n      "required": true,\n      "schema": {\n        "type": "string"\n      }\n    }\n  ]'""",
-    "head": """'"parameters": [\n    {\n      "in": "header",\n      "name": "trace"\n    }\n  ]'""",
-}
-
-
-def _documents_sql(route: str, first: int) -> str:
-    place = f"'API: ' || n_name || '\nRoute: {route.upper()} /nations/' || n_nationkey || '\nName: ' || " + ("'read.' || n_nationkey" if route == "get" else "'HEAD_/nations/' || n_nationkey")
-    words = "'\nRead ' || n_name" if route == "get" else "''"
-    call = "'read_' || n_nationkey || '(trace, lang)'" if route == "get" else "'HEAD_nations_' || n_nationkey || '(trace)'"
-    p = _PARAMETERS[route]
-    bodies = {
-        "reference": f"'Operation in full\n' || {place} || {words} || '\n{{\n  ' || {p} || ',\n  \"requestBody\": null,\n  \"responses\": {{}},\n  \"security\": null\n}}'",
-        "request": f"'What an operation takes\n' || {place} || '\n{{\n  ' || {p} || ',\n  \"requestBody\": null\n}}'",
-        "response": f"'What an operation gives\n' || {place} || '\n{{\n  \"responses\": {{}}\n}}'",
-        "signature": f"'An operation as a function\n' || {call} || '\n' || {place} || {words}",
-    }
-    return " UNION ALL ".join(f"SELECT {_PATH} AS path, {first + i}::INT AS part, '{kind}' AS kind, {body} AS text FROM nation" for i, (kind, body) in enumerate(bodies.items()))
-
-
-@query(f"{_documents_sql('get', 0)} UNION ALL {_documents_sql('head', 4)}")
-def openapi_docs(spark, d):
-    return openapi.expand(_specs(spark, d), "documents")
-
-
-def _dialogs_sql() -> str:
-    def value(tool: str, name: str) -> str:
-        return f"'sample_{name}_' || substr(sha256('42' || chr(31) || {tool} || chr(31) || '/nations/' || n_nationkey || chr(31) || '{name}'), 1, 8)"
-
-    out, part = [], 0
-    for route in ("get", "head"):
-        tool = f"{_SLUG} || " + ("'_read_' || n_nationkey" if route == "get" else "'_HEAD_nations_' || n_nationkey")
-        names = ["lang", "trace"] if route == "get" else ["trace"]
-        shown = lambda keep, tool=tool: "'{' || " + " || ', ' || ".join(f"'\"{n}\": \"' || {value(tool, n)} || '\"'" for n in keep) + " || '}'"
-        kinds = [("call", f"n_name || ': {route.upper()} /nations/' || n_nationkey || ', with the values I gave.'", shown(names), "0.93", "[]", f"'\"' || {tool} || '\"'")]
-        if route == "get":
-            kinds.append(("ask_clarification", f"{tool} || ' is what I need, though I left something out.'", shown(["trace"]), "0.97", '["lang"]', f"'\"' || {tool} || '\"'"))
-        kinds.append(("no_call", f"'No ' || {tool} || ' today. A haiku about autumn instead, please.'", "'{}'", "0.91", "[]", "'null'"))
-        for kind, request, given, sure, missing, name in kinds:
-            target = f"""'{{"arguments": ' || {given} || ', "confidence": {sure}, "decision": "{kind}", "missing_required_fields": {missing}, "tool_name": ' || {name} || '}}'"""
-            out.append(f"SELECT {_PATH} AS path, {part}::INT AS part, '{kind}' AS kind, '<|user|>\n' || {request} || '\n<|tool_schema|>\n' || {_tool_sql(route)} || '\n<|assistant|>\n' || {target} AS text FROM nation")
-            part += 1
-    return " UNION ALL ".join(out)
-
-
-@query(_dialogs_sql())
-def openapi_dialogs(spark, d):
-    return openapi.expand(_specs(spark, d), "dialogs")
-
-
-@query(f"""WITH s AS (SELECT {_PATH} AS path, {_SPEC} AS text, n_name, n_nationkey FROM nation) SELECT path, 0 AS part, 'source' AS kind, 'API description ' || path || ' as written (JSON)\n' || text AS text FROM s
-UNION ALL SELECT 'apis/broken/openapi.yaml', 0, 'source', 'API description apis/broken/openapi.yaml as written (YAML)\n: : :'
-UNION ALL SELECT path, 2, 'components', 'Shared parts of the API description ' || path || '\n{{\n  "components": {{}},\n  "definitions": {{}},\n  "info": {{\n    "created": "2026-02-31",\n    "title": "' || n_name || '",\n    "version": "1"\n  }},\n  "parameters": {{}},\n  "securityDefinitions": {{}}\n}}' FROM s""")
-def openapi_views(spark, d):
-    """The views as written and of the shared parts (tests look at the others)."""
-    return openapi.expand(_specs(spark, d), "views").where("kind IN ('source', 'components')")
-
-
 # --- generated rows ---
 
 

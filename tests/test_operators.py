@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.functions import schemas
-from lodestone.operators import audit, corpus, dialogs, near_dup, openapi, tokens
+from lodestone.operators import audit, corpus, dialogs, near_dup, tokens
 from lodestone.operators.ordered import global_position, prefix_sum
 from lodestone.sources import jsonl, shards
 from lodestone.streaming import build
@@ -75,16 +75,6 @@ def test_greedy_verdicts_are_sequential(spark):
     assert {x.id for x in got} == {i for i, _ in kept}
 
 
-def test_descriptions_expand(spark):
-    spec = {"openapi": "3.0.0", "info": {"title": "T", "version": "1", "created": "2026-02-31"}, "paths": {"/events": {"post": {"operationId": "createEvent", "summary": "x", "parameters": [{"name": "calendar_id", "in": "query", "required": True, "schema": {"type": "string"}}], "responses": {}}}}}
-    yaml = pytest.importorskip("yaml")
-    specs = spark.createDataFrame([("a/b/1/openapi.json", json.dumps(spec)), ("a/b/1/openapi.yaml", yaml.safe_dump(spec)), ("c/openapi.yaml", ": :"), ("d/openapi.json", None)], "path string, text string")
-    docs = openapi.expand(specs, "documents").collect()
-    assert len([d for d in docs if d.path.endswith("json")]) == 4 == len([d for d in docs if d.path == "a/b/1/openapi.yaml"])
-    assert {d.kind for d in openapi.expand(specs, "dialogs").collect()} == {"call", "ask_clarification", "no_call"}
-    assert any("2026-02-31" in d.text for d in openapi.expand(specs, "views").collect())
-
-
 def test_token_shards_round_trip(spark, tmp_path):
     stream = spark.range(23).select(F.col("id").alias("pos"), (F.col("id") * 3).alias("token"))
     shards.write_shards(stream, str(tmp_path), 10, 100)
@@ -231,20 +221,6 @@ def test_rendered_targets():
     assert [dialogs.rendered_fault(t, target) for t in (text, text + " ", text.replace("no_call", "call"), "[]", None)] == [None, "not canonical", "another target", "not an object", "not an object"]
 
 
-def test_quotas_take_the_first_records_and_no_near_duplicates(spark):
-    rows = [(f"r{i}", "train", "c" if i % 2 else "d", i // 4, f"s{i}", "call", "q", "[]", "{}", None if i % 7 else "odd", (i // 6) << 20 if i % 2 else i << 8, f"k{i:03}") for i in range(120)]
-    rows += [rows[9], (*rows[9][:3], 99, *rows[9][4:])]
-    made = spark.createDataFrame(rows, dialogs.RECORDS).repartition(3)
-    want = []
-    for c in "cd":
-        kept, sound = [], sorted({x[0]: x for x in sorted(rows, key=lambda x: -x[3]) if x[2] == c and x[9] is None}.values(), key=lambda x: (x[3], x[11], x[0]))
-        for x in sound:
-            if all((x[10] ^ y[10]).bit_count() > 2 for y in kept):
-                kept.append(x)
-        want += [x[0] for x in kept[:5]]
-    assert sorted(x.id for x in dialogs.accepted_records(made, 5).collect()) == sorted(want)
-
-
 def test_context_limits_and_identifiers(spark):
     talk = spark.createDataFrame([(i, 0, "user", f"please handle request number{i} quickly today") for i in range(12)], "conv_id long, turn long, role string, text string")
     seeds = dialogs.synthetic_seeds(spark, talk)
