@@ -34,21 +34,22 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import documents, drop_written, text_hash, written
+from lodestone.llm.common import documents, text_hash, written
 from lodestone.llm.components import connected_components
 
 SEED = 42
 #: Points that shape the first tree; its leaves at most; points of a leaf aimed at.
 SAMPLE, FIRST_LEAVES, LEAF_POINTS = 8192, 1024, 4096
 #: Rows of a leaf beyond which it is divided again; points that shape its tree, about; leaves of that tree; such trees
-#: that are broadcast at once (about 10 KB each; further leaves are divided in further rounds).
+#: that are broadcast (about 10 KB each; more of them are sent to the rows of their leaves).
 LEAF_ROWS, LEAF_SAMPLE, LEAF_PARTS, ROUND_LEAVES = 32_768, 2048, 32, 1024
 #: Where sets are compared: bands, and least hashes that a band joins; keys of several sets that are broadcast, at most.
 BANDS, BAND_ROWS, BROADCAST_KEYS = 20, 4, 1_000_000
@@ -56,8 +57,9 @@ BANDS, BAND_ROWS, BROADCAST_KEYS = 20, 4, 1_000_000
 LEAST_LEAVES = 64
 #: Comparisons below which a pair of point sets is compared as a whole.
 WHOLE = 1 << 16
-#: Shingles (and 100 more for each set) of a block, where the sets of a component are compared.
-BLOCK_SHINGLES = 2_000_000
+#: Shingles (and 100 more for each set) of a block, where the sets of a component are compared. Sets of a larger component
+#: that are compared with all others in a round, and rounds.
+BLOCK_SHINGLES, REPRESENTATIVES, ROUNDS = 2_000_000, 64, 6
 
 
 def _spread(hashes: np.ndarray, words: int) -> np.ndarray:
@@ -401,6 +403,11 @@ def _columns(rows: pa.RecordBatch | pa.Table, words: int) -> tuple[np.ndarray, n
     return rows.column("id").to_numpy(), fp.flatten().to_numpy().view(np.uint64).reshape(-1, words), rows.column("size").to_numpy()
 
 
+def renewed(df: DataFrame) -> DataFrame:
+    """The frame with columns of its own, so that it can meet another one of the same origin."""
+    return df.select(*(F.col(c).alias(c) for c in df.columns))
+
+
 def first_leaves(points: DataFrame, radius: int, words: int, factor: float | None) -> DataFrame:
     """points: id, fp, size. Every point in its own leaf of the first tree, and as a visitor in later ones."""
     spark = points.sparkSession
@@ -420,63 +427,69 @@ def first_leaves(points: DataFrame, radius: int, words: int, factor: float | Non
     return points.select("id", "fp", "size").mapInArrow(route, ROUTED)
 
 
-def divided(rows: DataFrame, radius: int, words: int, factor: float | None, leaf_rows: int | None = None) -> DataFrame:
+def divided(rows: DataFrame, radius: int, words: int, factor: float | None, leaf_rows: int | None = None, round_leaves: int | None = None) -> DataFrame:
     """Rows as `ROUTED`, with leaves of more than `leaf_rows` rows divided by trees of their own.
 
-    A leaf stays as it is where its largest part got nearly all of it: its points are too close for a boundary."""
-    leaf_rows = leaf_rows or LEAF_ROWS
-    spark = rows.sparkSession
-    rows = written(rows, "routed")
-    done = None  # leaves that can't be divided
+    A pass divides all heavy leaves of a level, and only their rows go on to the next; leaves that are light enough stay
+    in the table of their level. A leaf stays as it is where its largest part got nearly all of it: its points are too
+    close for a boundary. Up to `round_leaves` trees are broadcast; more meet the rows of their leaves by a shuffle,
+    where a leaf is dealt out as its size asks for."""
+    leaf_rows, round_leaves = leaf_rows or LEAF_ROWS, ROUND_LEAVES if round_leaves is None else round_leaves
+    names = [c.split()[0] for c in ROUTED.split(", ")]
+    rows, finished = written(rows.select(*names, F.lit(None).cast("long").alias("whole")), "routed"), []
+
+    def grow(key: tuple, sample: pa.Table) -> pa.Table:
+        _, fp, held = _columns(sample, words)
+        order = np.lexsort(fp.T)
+        tree = Tree(fp[order], held[order] if factor else None, LEAF_PARTS, radius, factor)
+        return pa.table({"leaf": pa.array([key[0].as_py()], pa.int64()), "tree": pa.array([pickle.dumps((tree.root, tree.radius, tree.margin))], pa.binary())})
+
+    def parts_of(leaf: int, tree: bytes, whole: int, ids: np.ndarray, fp: np.ndarray, held: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        point, part, mine = route_points(*pickle.loads(tree), fp, held if factor else None, own)
+        # Leaves that chance gives one name are compared as one, which finds the same links.
+        name = (part.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(leaf * 0xBF58476D1CE4E5B9 % 2**64)
+        for batch in _routed_batches(ids, fp, held, point, name.view(np.int64), mine):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, whole))], [*names, "whole"])
+
     while True:
-        sizes = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("owned")).where(F.col("n") > leaf_rows)
-        if done is not None:
-            sizes = sizes.join(done, "leaf", "left_anti")
-        heavy = {r.leaf: (r.n, r.owned) for r in sizes.orderBy(F.desc("n"), "leaf").limit(ROUND_LEAVES).collect()}
-        if not heavy:
-            return rows
-        named = F.broadcast(spark.createDataFrame([(k, float(LEAF_SAMPLE) / max(1, o)) for k, (_, o) in heavy.items()], "leaf long, part double"))
+        # Of two leaves of one name the larger parent counts.
+        sizes = rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("owned"), F.max("whole").alias("whole"))
+        heavy = written(sizes.where((F.col("n") > leaf_rows) & (F.col("whole").isNull() | (F.col("n") <= 0.9 * F.col("whole")))).select("leaf", "n", (F.lit(float(LEAF_SAMPLE)) / F.greatest("owned", F.lit(1))).alias("part")), "heavy")
+        few = heavy.count() <= round_leaves
         place = (F.pmod(F.xxhash64("id", F.lit(SEED + 1)), F.lit(1 << 20)) / float(1 << 20)) < F.col("part")
+        sample = rows.where("own").join(F.broadcast(heavy) if few else heavy, "leaf").where(place).select(*names)
+        trees = written(sample.groupBy("leaf").applyInArrow(grow, "leaf long, tree binary").join(heavy.select("leaf", "n"), "leaf"), "trees")
+        if trees.isEmpty():
+            return reduce(DataFrame.unionByName, [*finished, rows.select(*names)])
+        chosen = F.broadcast(trees.select("leaf")) if few else trees.select("leaf")
+        finished.append(rows.join(chosen, "leaf", "left_anti").select(*names))
+        if few:
+            sent = rows.sparkSession.sparkContext.broadcast({r.leaf: (bytes(r.tree), r.n) for r in trees.collect()})  # round_leaves trees at most
+
+            def route(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    leaf, own = batch.column("leaf").to_numpy(), batch.column("own").to_numpy(zero_copy_only=False)
+                    ids, fp, held = _columns(batch, words)
+                    for k in np.unique(leaf).tolist():
+                        at = np.flatnonzero(leaf == k)
+                        yield from parts_of(k, *sent.value[k], ids[at], fp[at], held[at], own[at])
+
+            routed = rows.join(chosen, "leaf", "left_semi").select(*names).mapInArrow(route, f"{ROUTED}, whole long")
+        else:
+            dealt = F.ceil(F.col("n") / leaf_rows).cast("int")
+            asked = rows.drop("whole").join(trees.select("leaf", "n"), "leaf").withColumn("salt", F.pmod(F.xxhash64("id"), dealt).cast("int")).drop("n")
+            copies = trees.withColumn("salt", F.explode(F.sequence(F.lit(0), dealt - 1)))
 
-        def grow(key: tuple, sample: pa.Table) -> pa.Table:
-            _, fp, held = _columns(sample, words)
-            order = np.lexsort(fp.T)
-            tree = Tree(fp[order], held[order] if factor else None, LEAF_PARTS, radius, factor)
-            return pa.table({"leaf": pa.array([key[0].as_py()], pa.int64()), "tree": pa.array([pickle.dumps((tree.root, tree.radius, tree.margin))], pa.binary())})
-
-        trees = rows.where("own").join(named, "leaf").where(place).select("leaf", "own", "id", "fp", "size").groupBy("leaf").applyInArrow(grow, "leaf long, tree binary")
-        sent = spark.sparkContext.broadcast({r.leaf: bytes(r.tree) for r in trees.collect()})  # ROUND_LEAVES trees at most
-
-        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = {k: pickle.loads(v) for k, v in sent.value.items()}
-            for batch in batches:
-                leaf = batch.column("leaf").to_numpy()
-                ids, fp, held = _columns(batch, words)
-                own = batch.column("own").to_numpy(zero_copy_only=False)
-                for k in np.unique(leaf).tolist():
-                    at = np.flatnonzero(leaf == k)
-                    if k not in known:
-                        yield from _routed_batches(ids, fp, held, at, leaf[at], own[at])
-                        continue
-                    point, part, mine = route_points(*known[k], fp[at], held[at] if factor else None, own[at])
-                    # Leaves that chance gives one name are compared as one, which finds the same links.
-                    name = (part.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ np.uint64(k % 2**64) * np.uint64(0xBF58476D1CE4E5B9)
-                    yield from _routed_batches(ids, fp, held, at[point], name.view(np.int64), mine)
-
-        stuck = [k for k in heavy if k not in sent.value]
-        new = written(rows.mapInArrow(route, ROUTED), "routed")
-        # What one part of a leaf got, against the leaf: parts are known by their names.
-        parts = {}
-        for k in sent.value:
-            for j in range(LEAF_PARTS):
-                name = (j + 1) * 0x9E3779B97F4A7C15 % 2**64 ^ k % 2**64 * 0xBF58476D1CE4E5B9 % 2**64
-                parts[name - 2**64 if name >= 2**63 else name] = heavy[k][0]
-        table = F.broadcast(spark.createDataFrame(list(parts.items()), "leaf long, whole long"))
-        full = new.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).join(table, "leaf").where(F.col("n") > 0.9 * F.col("whole")).select("leaf")
-        stuck = full.unionByName(spark.createDataFrame([(k,) for k in stuck], "leaf long"))
-        done = written(stuck if done is None else done.unionByName(stuck), "undivided")
-        drop_written(rows)
-        rows = new
+            def meet(some: pa.Table, trees: pa.Table) -> pa.Table:
+                empty = pa.schema([("leaf", pa.int64()), ("own", pa.bool_()), ("id", pa.int64()), ("fp", pa.list_(pa.int64())), ("size", pa.int64()), ("whole", pa.int64())]).empty_table()
+                if not some.num_rows or not trees.num_rows:
+                    return empty
+                ids, fp, held = _columns(some, words)
+                made = parts_of(trees.column("leaf")[0].as_py(), trees.column("tree")[0].as_py(), trees.column("n")[0].as_py(), ids, fp, held, some.column("own").to_numpy())
+                return pa.concat_tables([empty, *(pa.Table.from_batches([x]).cast(empty.schema) for x in made)])
+
+            routed = asked.groupBy("leaf", "salt").cogroup(renewed(copies).groupBy("leaf", "salt")).applyInArrow(meet, f"{ROUTED}, whole long")
+        rows = written(routed, "routed")
 
 
 def linked_points(routed: DataFrame, radius: int, words: int, factor: float | None = None) -> DataFrame:
@@ -554,14 +567,94 @@ def similar_sets(lengths: np.ndarray, hashes: np.ndarray, similarity: float) ->
     return out
 
 
+def linked_sets(lengths: np.ndarray, hashes: np.ndarray, asks: np.ndarray, similarity: float) -> np.ndarray:
+    """The same as `similar_sets`, by the links of those sets that ask (a mask) with all others only."""
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    codes = np.unique(hashes, return_inverse=True)[1]
+    marks, label = np.zeros(codes.max(initial=0) + 1, np.int64), np.arange(len(lengths))
+    for p in np.flatnonzero(asks):
+        at = np.flatnonzero((label != label[p]) & (lengths >= similarity * lengths[p] - 1e-9) & (lengths <= lengths[p] / similarity + 1e-9) & (lengths > 0))
+        if not len(at):
+            continue
+        marks[codes[starts[p] : starts[p + 1]]] = 1
+        begins = np.cumsum(lengths[at]) - lengths[at]
+        held = np.repeat(starts[at] - begins, lengths[at]) + np.arange(lengths[at].sum())
+        both = np.add.reduceat(marks[codes[held]], begins)
+        marks[codes[starts[p] : starts[p + 1]]] = 0
+        found = np.unique(label[at[both >= similarity * (lengths[at] + lengths[p] - both) - 1e-9]])
+        label[np.isin(label, found)] = label[p]
+    return label
+
+
+def _spanning(ids: np.ndarray, label: np.ndarray) -> pa.Table:
+    """Links of each row with the first of its label."""
+    _, first, of = np.unique(label, return_index=True, return_inverse=True)
+    a, b = ids[first[of]], ids
+    return pa.table({"a": a[a != b], "b": b[a != b]})
+
+
+def _sets(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """id, length, and all hashes of sets."""
+    held = rows.column("shingles").combine_chunks()
+    return rows.column("id").to_numpy(), held.value_lengths().to_numpy().astype(np.int64), held.flatten().to_numpy().view(np.uint64)
+
+
+def _asking(members: DataFrame, asking: DataFrame, similarity: float) -> DataFrame:
+    """members, asking: key columns component, own and (of both or neither) other, id, shingles. Links a, b of those that
+    ask with the members of their key."""
+    keys = [c for c in members.columns if c in ("component", "own", "other")]
+
+    def compare(some: pa.Table, asked: pa.Table) -> pa.Table:
+        if not some.num_rows or not asked.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        (ids, n, hashes), (own, m, more) = _sets(some), _sets(asked)
+        new = ~np.isin(own, ids)  # members that ask are there already
+        ids, asks = np.concatenate([ids, own[new]]), np.concatenate([np.isin(ids, own), np.ones(int(new.sum()), bool)])
+        return _spanning(ids, linked_sets(np.concatenate([n, m[new]]), np.concatenate([hashes, more[np.repeat(new, m)]]), asks, similarity))
+
+    return members.groupBy(*keys).cogroup(renewed(asking).groupBy(*keys)).applyInArrow(compare, "a long, b long")
+
+
+def large_links(sets: DataFrame, similarity: float, representatives: int = REPRESENTATIVES, rounds: int = ROUNDS) -> DataFrame:
+    """sets: id, component, blocks, shingles, a written table of components too large for one task. Links a, b that
+    connect the sets of a component with that similarity.
+
+    In each round a few representatives of every component are compared with all its sets, which is linear. What they
+    link is one group; of the sets outside a component's largest group, one for each group is a representative of the
+    next round. When those outside fill one block at most, or after `rounds` rounds, they are compared with all sets of
+    the component. Pairs within the largest group need no comparison, since it is connected."""
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    members = sets.select("component", own.alias("own"), "id", "shingles")
+    about = sets.select("id", "component", "blocks", (F.size("shingles") + 100).alias("load"))
+    order = Window.partitionBy("component").orderBy(F.xxhash64("id", F.lit(SEED)))
+    chosen, links = about.select("id", "component"), None
+    for turn in range(rounds):
+        few = chosen.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= representatives).select("id")
+        asking = sets.join(few, "id").select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), "id", "shingles")
+        found = _asking(members, asking, similarity)
+        links = written(found if links is None else links.unionByName(found), "set-links")
+        groups = connected_components(links).select(F.col("node").alias("id"), F.col("component").alias("label"))
+        labelled = written(about.join(groups, "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
+        largest = labelled.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
+        outside = written(labelled.join(largest, "component").where("label != largest").drop("largest"), "outside")
+        most = outside.groupBy("component").agg(F.sum("load").alias("load")).agg(F.max("load")).first()[0] or 0
+        if most <= BLOCK_SHINGLES:
+            break
+        chosen = outside.groupBy("component", "label").agg(F.min("id").alias("id")).select("id", "component")
+    loads = outside.groupBy("component").agg(F.ceil(F.sum("load") / BLOCK_SHINGLES).cast("int").alias("others"))
+    several = outside.select("id", "component").join(loads, "component")
+    asking = sets.drop("component").join(several, "id").withColumn("other", F.pmod(F.xxhash64("id", F.lit(SEED)), F.col("others")).cast("int"))
+    asking = asking.select("component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("own"), "other", "id", "shingles")
+    every = members.join(loads, "component").select("component", "own", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"), "id", "shingles")
+    return links.unionByName(_asking(every, asking, similarity))
+
+
 def verified_links(candidates: DataFrame, points: DataFrame, docs: DataFrame, k: int, similarity: float, text_col: str) -> DataFrame:
     """candidates: node, component; points: id, size, text_hash. Links a, b that connect the sets of a component with that similarity."""
     members = candidates.join(points, candidates.node == points.id).select("id", "component", "size", "text_hash")
     total = members.groupBy("component").agg(F.ceil(F.sum(F.col("size") + 100) / BLOCK_SHINGLES).cast("int").alias("blocks"))
     wanted = written(members.join(total, "component"), "candidates")
     text = F.col(text_col).cast("string")
-    # Of texts with equal hashes any will do: combined before they are sent.
-    texts = docs.select(F.coalesce(text, F.lit("")).alias("text"), text_hash(text).alias("text_hash")).join(wanted.select("text_hash"), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -571,19 +664,18 @@ def verified_links(candidates: DataFrame, points: DataFrame, docs: DataFrame, k:
                 ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["id", "component", "blocks", "shingles"])
 
+    def sets_of(some: DataFrame) -> DataFrame:
+        # Of texts with equal hashes any will do: combined before they are sent.
+        texts = docs.select(F.coalesce(text, F.lit("")).alias("text"), text_hash(text).alias("text_hash")).join(some.select("text_hash"), "text_hash", "left_semi").groupBy("text_hash").agg(F.first("text").alias("text"))
+        return some.select("id", "component", "blocks", "text_hash").join(texts, "text_hash").select("id", "component", "blocks", "text").mapInArrow(shingle, "id long, component long, blocks int, shingles array<long>")
+
     def compare(rows: pa.Table) -> pa.Table:
-        sets = rows.column("shingles").combine_chunks()
-        ids = rows.column("id").to_numpy()
-        label = similar_sets(sets.value_lengths().to_numpy().astype(np.int64), sets.flatten().to_numpy().view(np.uint64), similarity)
-        _, first, of = np.unique(label, return_index=True, return_inverse=True)
-        a, b = ids[first[of]], ids
-        return pa.table({"a": a[a != b], "b": b[a != b]})
-
-    sets = wanted.select("id", "component", "blocks", "text_hash").join(texts, "text_hash").select("id", "component", "blocks", "text").mapInArrow(shingle, "id long, component long, blocks int, shingles array<long>")
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = sets.withColumn("own", own).withColumn("other", F.explode_outer(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("id", "component", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "shingles")
-    return dealt.groupBy("component", "x", "y").applyInArrow(compare, "a long, b long")
+        ids, lengths, hashes = _sets(rows)
+        return _spanning(ids, similar_sets(lengths, hashes, similarity))
+
+    small = sets_of(wanted.where("blocks = 1")).select("component", "id", "shingles").groupBy("component").applyInArrow(compare, "a long, b long")
+    large = wanted.where("blocks > 1")
+    return small if large.isEmpty() else small.unionByName(large_links(written(sets_of(large), "large-sets"), similarity))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, radius: int = 12, words: int = 1, min_similarity: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 import xxhash
 
 from lodestone.llm import simhash
+from lodestone.llm.common import written as plain_written
 from lodestone.llm.components import connected_components
 from lodestone.llm.simhash import Tree, fingerprints, near_duplicates
 
@@ -155,6 +156,47 @@ def test_similar_sets_are_those_of_brute_force():
     assert len({(label[i], c) for i, c in want.items()}) == len(set(label.tolist())) == len(set(want.values())) > 5
 
 
+def test_finished_leaves_are_not_written_again(spark, monkeypatch):
+    """One pass a level, whatever the number of heavy leaves, and only their rows go on."""
+    r = np.random.default_rng(8)
+    points = np.unique(r.integers(0, 2**63, 6000))
+    routed = [(int(leaf), True, int(p), [int(p)], 0) for leaf, p in zip(np.minimum(r.integers(0, 60, len(points)), 40), points, strict=True)]
+    monkeypatch.setattr(simhash, "LEAF_SAMPLE", 64)
+    rows = []
+    plain = simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, name, *a: (rows.append((name, (out := plain(df, name, *a)).count())), out)[1])
+    for trees in (1024, 0):
+        rows.clear()
+        out = simhash.divided(spark.createDataFrame(routed, simhash.ROUTED).repartition(4), 2, 1, None, 600, trees)
+        assert sorted(x.id for x in out.where("own").collect()) == points.tolist()
+        levels = [n for name, n in rows if name == "routed"]
+        heavy = sum(n for n in np.bincount([x[0] for x in routed]) if n > 600)
+        assert levels[0] == len(points) and heavy <= levels[1] <= 3.5 * heavy and len(levels) == 2, (levels, heavy)
+
+
+def test_large_components_are_compared_by_representatives_first(spark, monkeypatch):
+    r = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for n, drift in ((60, False), (40, True), (1, False)):  # a crowd, a chain whose ends are unlike, a loner
+        base = [r.choice(words) for _ in range(120)]
+        for _ in range(n):
+            copy = list(base)
+            copy[r.randrange(120)] = r.choice(words)
+            rows.append((len(rows), copy))
+            base = copy if drift else base
+    sets = [shingles(" ".join(t)) for _, t in rows]
+    want = components(range(len(rows)), lambda a, b: similar(sets[a], sets[b]))
+    numbers = {x: i for i, x in enumerate(sorted(set().union(*sets)))}
+    table = spark.createDataFrame([(i, 7, 5, sorted(numbers[x] for x in s)) for i, s in enumerate(sets)], "id long, component long, blocks int, shingles array<long>").repartition(3)
+    whole = simhash.similar_sets(np.array([len(s) for s in sets]), np.concatenate([np.array(sorted(numbers[x] for x in s), np.uint64) for s in sets]), 0.8)
+    assert len(set(whole.tolist())) == len(set(want.values())) >= 3
+    for most, representatives, rounds in ((2000, 2, 3), (100, 1, 1)):
+        monkeypatch.setattr(simhash, "BLOCK_SHINGLES", most)
+        found = {x.node: x.component for x in connected_components(simhash.large_links(plain_written(table, "sets"), 0.8, representatives, rounds)).collect()}
+        assert {i: found.get(i, i) for i in want} == want
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(40)] + [(1000, 1000 + i) for i in range(1, 30)] + [(7, 7), (2001, 2000)]
     r = random.Random(1)
@@ -175,8 +217,9 @@ def test_heavy_leaves_are_divided_and_no_link_is_lost(spark, monkeypatch):
     monkeypatch.setattr(simhash, "LEAF_SAMPLE", 128)
     want = components(points.tolist(), lambda a, b: (a ^ b).bit_count() <= 2)
     largest = []
-    for most in (10**6, 700, 250):
+    for most, trees in ((10**6, 1024), (700, 1024), (250, 0)):
         monkeypatch.setattr(simhash, "LEAF_ROWS", most)
+        monkeypatch.setattr(simhash, "ROUND_LEAVES", trees)
         routed = simhash.divided(simhash.first_leaves(table, 2, 1, None), 2, 1, None)
         largest.append(routed.groupBy("leaf").count().agg({"count": "max"}).first()[0])
         assert routed.where("own").count() == len(points) == routed.where("own").select("id").distinct().count()
