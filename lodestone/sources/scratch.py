@@ -10,13 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 def scratch_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; where it is unset, a folder beside the warehouse's tables, which is shared
-    wherever tables are."""
+    wherever tables are. A folder of one machine is refused where there are several."""
     said = spark.conf.get("spark.checkpoint.dir", None)
     if said:
         return said
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not own.isDefined():
-        spark.sparkContext.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/lodestone-scratch")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/lodestone-scratch"
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        scheme = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getScheme()
+        if scheme == "file" and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"name a folder that all executors share in spark.checkpoint.dir; {folder} is one of this machine")
+        spark.sparkContext.setCheckpointDir(folder)
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
     return own.get()
 
