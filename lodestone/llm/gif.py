@@ -6,11 +6,11 @@ what a viewer would show at that time. Encoding writes raw samples without loss:
 frames, compressed with LZW. Frames leave the canvas, clear it or bring back what was there, in turns, and a row of
 samples that the canvas already shows is stored as transparent, so reading back goes through all of these rules.
 
-`gif_frames` gives one row for each frame, and one row with `error` for a stream that can't be read (frames before
-the fault are kept), which includes canvases and frames of more than `MOST_PIXELS` pixels: a viewer would set aside
-three bytes for each. A null stream gives no rows. Payloads of null and empty texts are one row of blanks. Repeated
-rows give repeated results; an empty table gives none. Columns besides the identifier and the text or stream are not
-read, whatever they are called.
+`gif_frames` gives one row for each frame, and one row with `error` for a stream that can't be read (frames before the
+fault are kept), which includes canvases and frames of more than `MOST_PIXELS` pixels: a viewer would set aside three
+bytes for each. Payloads of any length are stored, as more frames. A null stream gives no rows. Payloads of null and
+empty texts are one row of blanks. Repeated rows give repeated results; an empty table gives none. Columns besides the
+identifier and the text or stream are not read, whatever they are called.
 """
 
 from __future__ import annotations

@@ -11,10 +11,11 @@ with a few hundred template places, chance agreement stays below one in 10^16 ru
 
 Templates are a fixed table (`PHRASES`, `NOTICES`), whose size is checked before it is broadcast.
 
-Null texts have no words. A row is a document; repeated rows give repeated results; an empty table gives no rows.
-Columns besides the identifier and the text are not read, whatever they are called.
-Score: 1.0 where a phrase stands, else the largest share of a notice's words that one place of the text has, halved
-where the place fails the verification; 0.0 where no vote was cast.
+Null texts have no words. A text of any length is voted on and verified whole; its places and votes are rows and
+arrays of its own. A row is a document; repeated rows give repeated results; an empty
+table gives no rows. Columns besides the identifier and the text are not read, whatever they are called. Score: 1.0
+where a phrase stands, else the largest share of a notice's words that one place of the text has, halved where the
+place fails the verification; 0.0 where no vote was cast.
 """
 
 from __future__ import annotations

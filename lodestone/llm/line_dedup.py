@@ -11,11 +11,11 @@ a document's lines go to the shard that can answer them, and only answers that d
 dealt to copies of their shard, as many as its load asks for: the lines of the shard that are known to be frequent,
 by their counts, and an even part of all others. Both ways give the same rows.
 
-A null text is one empty line. Keys are lines without white space at their ends, A-Z lower-cased. A row is a
-document; rows without an identifier don't count towards `min_docs` and keep no line that must go, since no
-identifier is theirs. Rows that share an identifier are one document where documents are counted, and each keeps the
-lines whose largest identifier is theirs. An empty table gives no rows. Columns besides the identifier and the text
-are not read, whatever they are called.
+A null text is one empty line; a text of any length is split whole, and its long lines are hashed some at a time. Keys
+are lines without white space at their ends, A-Z lower-cased. A row is a document; rows without an identifier don't
+count towards `min_docs` and keep no line that must go, since no identifier is theirs. Rows that share an identifier
+are one document where documents are counted, and each keeps the lines whose largest identifier is theirs. An empty
+table gives no rows. Columns besides the identifier and the text are not read, whatever they are called.
 """
 
 from __future__ import annotations

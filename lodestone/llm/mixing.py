@@ -13,10 +13,11 @@ prefix ends; only rows of that last bucket are sorted, so no task ever holds a l
 has, nor more than `SIDE` sums of it.
 
 Null languages, sources and domains are nodes like others, with the weight for names that aren't listed. Null and
-empty texts have no tokens and are taken with the epochs they belong to. Rows of equal order are taken as they
-come, which can only be equal rows. An empty table gives no rows. A tree of more than `MOST_LEAVES` leaves is
-refused. Columns named as the results (`names`) are replaced by them; all other columns, whatever they are called,
-stay as they are.
+empty texts have no tokens and are taken with the epochs they belong to. Rows of equal order are taken as they come,
+which can only be equal rows. An empty table gives no rows. A tree of more than `MOST_LEAVES` leaves is refused.
+Columns named as the results (`names`) are replaced by them; all other columns, whatever they are called, stay as they
+are. A text of any length is one row, counted whole and never cut; the row whose tokens would exceed what a leaf may
+still take is the first that isn't taken.
 """
 
 from __future__ import annotations

@@ -24,9 +24,10 @@ Slots are numbered where rows lie: a task sorts its rows by shard and writes the
 give each run of rows its first slot. Neither texts nor rows are shuffled, and a hot group is numbered by all tasks
 that read it.
 
-Null texts count as empty ones. Rows without an identifier are placed like others. Repeated rows are of one group
-and get slots of their own. An empty table gives no rows. Other columns are kept by `assign_shards`, whatever they
-are called; columns named as its results are replaced by them.
+Null texts count as empty ones; a very long text is a group like others, or a shard of its own. Groups of equal size
+are ordered by their hash. Rows without an identifier are placed like others. Repeated rows are of one group and get
+slots of their own. An empty table gives no rows. Other columns are kept by `assign_shards`, whatever they are called;
+columns named as its results are replaced by them.
 """
 
 from __future__ import annotations

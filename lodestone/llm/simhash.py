@@ -22,12 +22,15 @@ differ in so many bits that balls overlap all regions of a tree, which then divi
 the sets themselves: sets that agree in the `BAND_ROWS` least hashes of one of `BANDS` bands meet in a shard (a pair
 of similarity 0.8 meets nowhere with probability 3e-5, a pair of 0.2 meets with 0.03), and the tree only divides
 shards that are heavy. The links of steps 3 and 4 are candidates then: within each of their components the sets
-themselves are compared, and only pairs that have the similarity are linked. A component with more than
-`BLOCK_SHINGLES` shingles is dealt out as pairs of blocks.
-
-Null texts count as empty; a null identifier is never a component's smallest one unless the whole component lacks
-identifiers. Repeated rows give repeated results. An empty table gives no rows. Columns besides the identifier and the
-text are not read, whatever they are called.
+themselves are compared, and only pairs that have the similarity are linked. In a component with more than
+`BLOCK_SHINGLES` shingles a few representatives are compared with all sets first, and only what they leave open is
+compared with all others then (`large_links`).
+
+Null texts count as empty; texts of any length vote with all their shingles, a piece of a batch at a time. A bit that
+is set in exactly half of the hashes is 0; of equal distances none is preferred, all within the radius link. A null
+identifier is never a component's smallest one unless the whole component lacks identifiers. Repeated rows give
+repeated results. An empty table gives no rows. Columns besides the identifier and the text are not read, whatever
+they are called.
 """
 
 from __future__ import annotations

@@ -17,11 +17,11 @@ and one group, whatever the table's size. Scores are exact: products run in floa
 2^53, else in int64. Nothing is dropped: bounds only skip blocks that can't hold a result. How much they skip is a matter
 of the data: vectors without any structure in many dimensions have bounds far above all scores, and every block is read.
 
-Vectors that are null, hold null or non-finite components or have another length than most take no part, nor do rows
-without an identifier, which no result could name. A candidate with the query's identifier is the query's own row.
-Repeated rows are candidates of their own, equal in score and identifier; a query that occurs twice is asked once, and
-of unlike queries of one identifier the lesser vector is asked. Equal scores are ordered by identifier. Empty tables
-give no rows. Other columns are not read, whatever they are called. Texts play no part.
+Vectors that are null, empty, hold null or non-finite components or have another length than most take no part, nor do
+rows without an identifier, which no result could name. A candidate with the query's identifier is the query's own
+row. Repeated rows are candidates of their own, equal in score and identifier; a query that occurs twice is asked
+once, and of unlike queries of one identifier the lesser vector is asked. Equal scores are ordered by identifier.
+Empty tables give no rows. Other columns are not read, whatever they are called. Texts play no part.
 """
 
 from __future__ import annotations

@@ -13,7 +13,7 @@ threshold, on which `toxic` rests, then carries what labels say.
 
 Training takes at most `TRAIN_ROWS` labelled rows (by the order of a hash of the identifier) and, of those that share
 the three least hashes of their long words, one row: the most severe. Every row of the documents is scored, over its
-whole text.
+whole text, however long; a long text's cues are set against all its words. Texts of equal scores have equal grades.
 
 Null texts have no words and severity near 0. Labels that are null are left out, of several labels of an identifier
 the largest counts. At the bound of the training rows, equal hashes are ordered by identifier. Without any toxic label,

@@ -12,11 +12,11 @@ Codebooks begin as the parts of the first vectors by identifier. A round sends o
 entry and component from each task, so what reaches the driver has the size of the codebooks and never that of the
 table. The integer vectors are written once; each round reads them again, and a lost executor costs its tasks only.
 
-Rows whose vector is null, holds null or non-finite components or has another length than most are left out. Rows
-without an identifier are coded, but give the codebooks their entries only where there are too few others. Of equal
-identifiers the lesser vector comes first. Repeated rows count as often as they occur. Fewer vectors than entries make
-smaller codebooks; equal entries are never told apart, the lower index wins. An empty table gives no rows. Null labels
-are equal to each other. Further columns are not read, whatever they are called. Texts play no part.
+Rows whose vector is null, empty, holds null or non-finite components or has another length than most are left out.
+Rows without an identifier are coded, but give the codebooks their entries only where there are too few others. Of
+equal identifiers the lesser vector comes first. Repeated rows count as often as they occur. Fewer vectors than
+entries make smaller codebooks; equal entries are never told apart, the lower index wins. An empty table gives no
+rows. Null labels are equal to each other. Further columns are not read, whatever they are called. Texts play no part.
 """
 
 from __future__ import annotations

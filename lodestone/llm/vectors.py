@@ -24,12 +24,12 @@ def largest_component(dim: int) -> int:
 def integer_vectors(rows: DataFrame, scale: int, vector_col: str = "embedding") -> tuple[DataFrame, int]:
     """The rows with `vector`, floor(scale * x) of each component x as a double, instead of the vector column; and its length.
 
-    Rows whose vector is null or holds null or non-finite components are left out. So are vectors of another length
+    Rows whose vector is null, empty or holds null or non-finite components are left out. So are vectors of another length
     than most have (of lengths that are as frequent, the longer one), since nothing compares with them. A component
     that leaves no room for 64-bit sums raises an error."""
     others = [c for c in rows.columns if c != vector_col]
     wide = rows.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{vector_col}`").cast("array<double>").alias("vector"))
-    sound = wide.where(F.col("vector").isNotNull() & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    sound = wide.where(F.col("vector").isNotNull() & (F.size("vector") > 0) & ~F.exists("vector", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
     most = sound.groupBy(F.size("vector").alias("dim")).count().orderBy(F.desc("count"), F.desc("dim")).first()
     dim = most.dim if most else 0
     limit = largest_component(dim)

@@ -107,3 +107,94 @@ def test_stored_payloads_use_disposal_and_transparency():
     assert all(f.transparent == -1 for f in G.decode_gif(G.encode_gif(every))) and G.read_back(G.encode_gif(every))[0] == every
     black = bytes(192 * 70)  # the canvas is black before anything is drawn
     assert G.read_back(G.encode_gif(black))[0] == black
+
+
+def plain_lzw(stream, bits):
+    """Codes one by one into a list of strings."""
+    value, n = int.from_bytes(stream, "little"), 8 * len(stream)
+    table, width, at, last, out = [], bits + 1, 0, None, bytearray()
+    while at + width <= n:
+        code, at = value >> at & (1 << width) - 1, at + width
+        if code == 1 << bits:
+            table, width, last = [bytes([i]) for i in range(1 << bits)] + [b"", b""], bits + 1, None
+        elif code == (1 << bits) + 1:
+            break
+        else:
+            entry = table[code] if code < len(table) else last + last[:1]
+            out += entry
+            if last is not None and len(table) < 4096:
+                table.append(last + entry[:1])
+                if len(table) == 1 << width and width < 12:
+                    width += 1
+            last = entry
+    return bytes(out)
+
+
+def plain_frames(data):
+    """What the format's text says, pixel by pixel: the canvas after each frame, as rows of colours."""
+    assert data[:6] == b"GIF89a"
+    width, height = (int.from_bytes(data[i : i + 2], "little") for i in (6, 8))
+    at = 13
+    common = data[at : at + (3 << (data[10] & 7) + 1)] if data[10] & 0x80 else b""
+    at += len(common)
+    canvas = [[(0, 0, 0)] * width for _ in range(height)]
+    control = (0, None)
+
+    def blocks():
+        nonlocal at
+        out = b""
+        while n := data[at]:
+            out, at = out + data[at + 1 : at + 1 + n], at + 1 + n
+        at += 1
+        return out
+
+    while data[at] != 0x3B:
+        kind, at = data[at], at + 1
+        if kind == 0x21:
+            label, at = data[at], at + 1
+            body = blocks()
+            if label == 0xF9:
+                control = (body[0] >> 2 & 7, body[3] if body[0] & 1 else None)
+            continue
+        left, top, w, h = (int.from_bytes(data[at + i : at + i + 2], "little") for i in (0, 2, 4, 6))
+        flags, at = data[at + 8], at + 9
+        palette = data[at : at + (3 << (flags & 7) + 1)] if flags & 0x80 else common
+        at += len(palette) if flags & 0x80 else 0
+        bits, at = data[at], at + 1
+        samples = plain_lzw(blocks(), bits)
+        order = [y for first, step in ((0, 8), (4, 8), (2, 4), (1, 2)) for y in range(first, h, step)] if flags & 0x40 else range(h)
+        before = [list(row) for row in canvas]
+        for i, y in enumerate(order):
+            for x in range(w):
+                s = samples[i * w + x]
+                if s != control[1] and top + y < height and left + x < width:
+                    canvas[top + y][left + x] = tuple(palette[3 * s : 3 * s + 3])
+        yield canvas
+        if control[0] == 3:
+            canvas = before
+        elif control[0] == 2:
+            for y in range(top, min(top + h, height)):
+                canvas[y][left : left + w] = [(0, 0, 0)] * len(canvas[y][left : left + w])
+        control = (0, None)
+
+
+def test_an_independent_reader_sees_the_same():
+    r = random.Random(12)
+    frames = [(r.randrange(4), r.randrange(4), w, h, [r.randrange(4) for _ in range(w * h)], r.randrange(4), r.choice([-1, 0, 2]), 5, r.random() < 0.5) for w, h in ((1 + r.randrange(6), 1 + r.randrange(6)) for _ in range(30))]
+    odd = picture(frames)
+    rows = [bytes([r.randrange(250)]) * 192 for _ in range(4)]
+    for data in (odd, G.encode_gif(b"".join(r.choice(rows) for _ in range(130))), G.encode_gif(bytes(r.randrange(256) for _ in range(192 * 66)))):
+        seen = 0
+        for frame, canvas in zip(G.decode_gif(data), plain_frames(data), strict=True):
+            assert frame.pixels.tolist() == [[list(c) for c in row] for row in canvas]
+            seen += 1
+        assert seen >= 2
+
+
+def test_payloads_come_back_through_the_independent_reader():
+    r = random.Random(13)
+    payload = G.payload_of(("süß und " * 700 + "".join(chr(r.randrange(32, 900)) for _ in range(3000))).encode())
+    stored, back = G.encode_gif(payload), b""
+    for frame, canvas in zip(G.decode_gif(stored), plain_frames(stored), strict=True):
+        back += bytes(c[0] for row in canvas[: frame.height] for c in row[: frame.width])
+    assert back == payload

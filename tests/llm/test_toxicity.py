@@ -73,3 +73,50 @@ def test_held_out_labels_of_the_documents(spark):
     got = X.score_toxicity(docs, X.train(docs, labels.where("doc_id % 2 = 0"))).join(labels.where("doc_id % 2 = 1").withColumnRenamed("toxic", "said"), "doc_id").collect()
     toxic, clean = [x.toxic for x in got if x.said], [x.toxic for x in got if not x.said]
     assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.01 * len(clean), (sum(toxic), len(toxic), sum(clean), len(clean))
+
+
+def loss(rows, grades, times, w, theta, l2=1e-3):
+    """The negative log-likelihood of a row, and the penalty, written out."""
+    total = 0.0
+    for row, grade, n in zip(rows, grades, times, strict=True):
+        score = sum(v * w[i] for i, v in row.items())
+        at_most = [1 / (1 + np.exp(-(t - score))) for t in theta] + [1.0]
+        total -= n * np.log(max(at_most[grade] - (at_most[grade - 1] if grade else 0.0), 1e-12))
+    return total / sum(times) + 0.5 * l2 * sum(x * x for x in w) / len(w)
+
+
+def test_the_fit_is_as_good_as_a_slow_minimizer():
+    """Pattern search over all numbers at once, from several starts, on labels that no line divides."""
+    r = random.Random(21)
+    rows = [{j: r.choice([0.7, 1.1, 2.0]) for j in range(2) if r.random() < 0.6} for _ in range(60)] + [{}]
+    grades = [min(2, max(0, int(sum(v * (1, -0.6)[j] for j, v in x.items()) + r.gauss(0.6, 1.0)))) for x in rows]
+    times = [1.0] * 60 + [7.0]
+    w, theta = X.fit_ordinal(rows, np.array(grades), np.array(times), 2, 3, steps=3000)
+    best = np.inf
+    for _ in range(3):
+        point, step = [r.uniform(-1, 1), r.uniform(-1, 1), r.uniform(-1, 1), r.uniform(-1, 1)], 1.0
+        value = lambda p: loss(rows, grades, times, p[:2], [p[2], p[2] + np.exp(p[3])])
+        here = value(point)
+        while step > 1e-4:
+            moved = False
+            for i in range(4):
+                for sign in (1, -1):
+                    other = [x + sign * step * (i == j) for j, x in enumerate(point)]
+                    if (there := value(other)) < here - 1e-12:
+                        point, here, moved = other, there, True
+            step = step if moved else step / 2
+        best = min(best, here)
+    assert loss(rows, grades, times, w, theta) <= best + 2e-4
+
+
+def test_training_takes_no_more_labels_than_its_bound(spark, monkeypatch):
+    """And which ones follows from identifiers: another order of the rows gives the same model."""
+    docs, labels = table(spark, 400)
+    sizes, plain = [], X.written
+    monkeypatch.setattr(X, "written", lambda df, *a: (sizes.append((out := plain(df, *a)).count()), out)[1])
+    marked = spark.createDataFrame(labels, "doc_id long, toxic int, quality int")
+    models = [X.train(d, m, train_rows=120) for d, m in ((docs, marked), (docs.orderBy("text"), marked.repartition(5)))]
+    assert sizes[0] <= 120 and len(set(sizes)) == 1
+    assert models[0].cues == models[1].cues and np.array_equal(models[0].weights, models[1].weights)
+    every = X.train(docs, marked, train_rows=10_000)
+    assert max(sizes) > 120 and set(models[0].cues) != set(every.cues) or len(every.cues) >= len(models[0].cues)

@@ -90,6 +90,8 @@ def test_few_or_no_vectors(spark):
     assert compress_vectors(none)[0].collect() == [] and compress_vectors(none)[0].columns == ["vec_id", "code", "error", "label_error"]
     only_null = spark.createDataFrame([(1, None, 1, *[None] * 7)], ROWS)
     assert compress_vectors(only_null)[0].collect() == []
+    hollow = spark.createDataFrame([(i, [], 1, *[None] * 7) for i in (100, 200, 300)], ROWS)
+    assert compress_vectors(hollow)[0].collect() == [] and exact_top_k(hollow, hollow).collect() == []
     two = spark.createDataFrame([(1, [0.5] * 8, None, *[None] * 7), (2, [0.5] * 8, 3, *[None] * 7)], ROWS)
     assert [tuple(x) for x in compress_vectors(two)[0].orderBy("vec_id").collect()] == [(1, "00" * 8, 0, 0), (2, "00" * 8, 0, 0)]
     assert exact_top_k(none, none).collect() == []
