@@ -38,7 +38,7 @@ def retry_delay(attempt: Column, initial: float, most: float) -> Column:
     return F.least(F.lit(most), F.lit(initial) * F.pow(F.lit(2.0), F.greatest(F.lit(0), attempt - 1)))
 
 
-def decoder_parameters(vocab: int, width: int, layers: int, heads: int, kv_heads: int, inner: int) -> int:
+def decoder_parameters(vocab: int, width: int, layers: int | Column, heads: int, kv_heads: int, inner: int) -> int | Column:
     """Tied embeddings, grouped attention, gated feed-forward and RMS norms, without biases."""
     head = width // heads
     attention = width * width * 2 + 2 * width * head * kv_heads
@@ -53,3 +53,11 @@ def token_plan(source_tokens: int, length: int, per_device: int, devices: int, a
     used = steps * read
     unused = source_tokens - used
     return {"trained_tokens_per_step": trained, "source_tokens_per_step": read, "steps": steps, "trained_tokens": steps * trained, "source_tokens_used": used, "source_tokens_unused": unused, "checkpoint_every_steps": -(-steps // 50)}
+
+
+def token_plans(source_tokens: Column, length: int, per_device: int, devices: int, accumulation: int) -> dict[str, Column]:
+    """The same for a column of corpora: steps, tokens trained on, read and left over."""
+    sequences = per_device * devices * accumulation
+    steps = F.floor(source_tokens / (sequences * (length + 1)))
+    used = steps * (sequences * (length + 1))
+    return {"steps": steps, "trained_tokens": steps * (sequences * length), "source_tokens_used": used, "source_tokens_unused": source_tokens - used, "checkpoint_every_steps": F.ceil(steps / 50)}

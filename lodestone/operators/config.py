@@ -7,6 +7,9 @@ import json
 import math
 from fractions import Fraction
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: Kinds of sources a build knows.
 KINDS = {"huggingface", "openapi_raw", "openapi_docs", "openapi_actions"}
 
@@ -60,9 +63,18 @@ def source_signature(config: dict) -> tuple:
     return tuple(sorted((s["name"], s["category"], s["kind"], float(s["weight"])) for s in config["sources"]))
 
 
+#: What a build for a test keeps of its training tokens for validation and in a shard: one part in so many; tokens at least.
+SCALED, LEAST_SCALED = {"validation_tokens": 20, "shard_tokens": 4}, 10_000
+
+
 def scaled_down(config: dict, tokens: int) -> dict:
     """The same build for a test: `tokens` of training, the rest in proportion."""
-    return config | {"train_tokens": tokens, "validation_tokens": max(10_000, tokens // 20), "shard_tokens": max(10_000, tokens // 4)}
+    return config | {"train_tokens": tokens} | {k: max(LEAST_SCALED, tokens // n) for k, n in SCALED.items()}
+
+
+def scaled_sizes(tokens: Column) -> dict[str, Column]:
+    """The sizes of such builds, by their tokens."""
+    return {k: F.greatest(F.lit(LEAST_SCALED).cast("long"), F.floor(tokens / n)) for k, n in SCALED.items()}
 
 
 def split_targets(total: int) -> dict[str, int]:

@@ -187,6 +187,16 @@ def byte_budget(docs: DataFrame, ordinal: str, budget: int, mark: str = "\n<|end
     return prefix_sum(rows, ["_all"], ordinal, F.octet_length("record"), "start").where(F.col("start") + F.octet_length("record") <= budget).drop("_all")
 
 
+def write_budgeted(docs: DataFrame, ordinal: str, budget: int, folder: str, files: int = 16, mark: str = "\n<|endoftext|>\n") -> None:
+    """The records of `byte_budget` as text files whose names are in the records' order; one after another, the files
+    hold what the budget allows, byte for byte."""
+    if not mark.endswith("\n"):
+        raise ValueError("the mark must end a line")
+    kept = byte_budget(docs, ordinal, budget, mark)
+    ordered = kept.repartitionByRange(files, ordinal).sortWithinPartitions(ordinal)
+    ordered.select(F.expr("left(record, length(record) - 1)").alias("value")).write.option("lineSep", "\n").text(folder)
+
+
 def slice_counts(docs: DataFrame, validation_fraction: float = 0.05) -> DataFrame:
     """The minimum corpus slice: normalize, length, first-wins, split, tokens by source and split."""
     rows = measured(docs, ["source", "doc_id"], validation_fraction=validation_fraction).where(F.col("chars") >= MIN_CHARS)

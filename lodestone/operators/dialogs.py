@@ -128,14 +128,23 @@ def _members(groups: DataFrame, keys: list[str], k: int) -> DataFrame:
     return _best(rows, keys, k, None).select(*keys, "other", "other_name")
 
 
+#: Steps of samples: an item takes every so-maniest of the others, by one that doesn't divide their number.
+STRIDES = [1_000_003, 1_000_033, 1_000_037, 1_000_039, 1_000_081, 1_000_099, 1_000_117, 1_000_121]
+
+
 def neighbours(items: DataFrame, scope: list[str], count: int) -> DataFrame:
-    """A hash-ranked sample of max(100, 24 * count) others of the scope for each item (all of them where there are fewer): id, other."""
+    """A sample of max(100, 24 * count) others of the scope for each item (all of them where there are fewer): id, other.
+
+    Items stand in a ring by their hash. An item goes round it from its own place, by a prime that its hash chooses, so it
+    meets nobody twice, and neighbours in the ring meet different ones. Only identifiers travel."""
     ranked = table(place_in_group(items.select(*scope, "id", F.sha2("id", 256).alias("_hash")), scope, ["_hash", "id"], "_at").drop("_hash"), "ring")
-    sizes = ranked.groupBy(*scope).agg(F.count(F.lit(1)).alias("_count"))
-    steps = F.explode(F.sequence(F.lit(1), F.lit(max(100, 24 * count))))
-    asked = ranked.join(sizes, scope).withColumn("_step", steps).where(F.col("_step") < F.col("_count"))
+    sizes = ranked.groupBy(*scope).agg((F.count(F.lit(1)) - 1).alias("_others"))
+    fitting = F.filter(F.array(*map(F.lit, STRIDES)), lambda p: F.col("_others") % p != 0)
+    asked = ranked.join(sizes, scope).where("_others > 0").withColumn("_stride", F.get(fitting, F.pmod(F.xxhash64("id"), F.size(fitting)).cast("int")))
+    asked = asked.withColumn("_step", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(max(100, 24 * count)).cast("long"), F.col("_others")))))
     there = ranked.select(*scope, F.col("id").alias("other"), F.col("_at").alias("_there"))
-    return asked.withColumn("_there", F.pmod(F.col("_at") + F.col("_step"), F.col("_count"))).join(there, [*scope, "_there"]).select(*scope, "id", "other")
+    ahead = F.pmod(F.col("_step") * F.col("_stride"), F.col("_others")) + 1
+    return asked.withColumn("_there", F.pmod(F.col("_at") + ahead, F.col("_others") + 1)).join(there, [*scope, "_there"]).select(*scope, "id", "other")
 
 
 def partners(items: DataFrame, scope: list[str], k: int, similar: bool = True, frequent: int | None = None) -> DataFrame:

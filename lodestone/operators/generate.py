@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions.hashing import seeded_order
@@ -31,9 +31,9 @@ def draw(seed: int, row: Column, purpose: str) -> Column:
     return F.conv(F.substring(sha, 1, 12), 16, 10).cast("long") / float(1 << 48)
 
 
-def tool_dialogs(spark: SparkSession, rows: int, seed: int = 42, start: int = 0) -> DataFrame:
-    """doc_id, decision, text: calls (78 %), clarifications (15 %) and refusals (7 %) over the tools."""
-    base = spark.range(start, start + rows).withColumnRenamed("id", "doc_id")
+def tool_dialogs(rows: DataFrame, seed: int = 42) -> DataFrame:
+    """rows: doc_id. doc_id, decision, text: calls (78 %), clarifications (15 %) and refusals (7 %) over the tools."""
+    base = rows.select(F.col("doc_id").cast("long").alias("doc_id"))
     i = F.col("doc_id")
     pick = F.floor(draw(seed, i, "tool") * len(TOOLS)).cast("int")
     decision = F.when(draw(seed, i, "kind") < CLARIFY, "ask_clarification").when(draw(seed, i, "kind") < CLARIFY + NO_CALL, "no_call").otherwise("call")
@@ -52,8 +52,9 @@ def tool_dialogs(spark: SparkSession, rows: int, seed: int = 42, start: int = 0)
     return base.select("doc_id", decision.alias("decision"), text.alias("text"))
 
 
-def random_tokens(spark: SparkSession, count: int, vocabulary: int, seed: int) -> DataFrame:
-    return spark.range(count).select(F.col("id").alias("pos"), F.floor(draw(seed, F.col("id"), "token") * vocabulary).cast("int").alias("token"))
+def random_tokens(rows: DataFrame, vocabulary: int, seed: int) -> DataFrame:
+    """rows: pos. A token for each place of a stream."""
+    return rows.select(F.col("pos").cast("long").alias("pos"), F.floor(draw(seed, F.col("pos").cast("long"), "token") * vocabulary).cast("int").alias("token"))
 
 
 def shuffled(files: DataFrame, seed: int) -> DataFrame:
@@ -107,14 +108,14 @@ def example_value(name: Column, examples: dict[str, str]) -> Column:
 EXAMPLES = {"city": "Bonn", "date": "2026-05-04", "people": "4", "recipient": "sam@example.org", "severity": "low"}
 
 
-def older_dialogs(spark: SparkSession, rows: int, seed: int = 42) -> DataFrame:
-    """doc_id, decision, text of the older generator: calls (75 %), clarifications (15 %) and refusals (10 %), with example values."""
+def older_dialogs(rows: DataFrame, seed: int = 42) -> DataFrame:
+    """rows: doc_id. doc_id, decision, text of the older generator: calls (75 %), clarifications (15 %) and refusals (10 %), with example values."""
     kind, pick = draw(seed, F.col("doc_id"), "older kind"), F.floor(draw(seed, F.col("doc_id"), "older tool") * len(TOOLS)).cast("int")
     decision = F.when(kind < 0.75, "call").when(kind < 0.9, "ask_clarification").otherwise("no_call")
     shown = F.lit(None).cast("struct<name:string,about:string,fields:array<string>>")
     for t, (name, about, fields) in enumerate(TOOLS):
         shown = F.when(pick == t, F.struct(F.lit(name).alias("name"), F.lit(about).alias("about"), F.array(*map(F.lit, fields)).alias("fields"))).otherwise(shown)
-    base = spark.range(rows).withColumnRenamed("id", "doc_id").withColumns({"decision": decision, "tool": shown})
+    base = rows.select(F.col("doc_id").cast("long").alias("doc_id")).withColumns({"decision": decision, "tool": shown})
     fields = F.col("tool.fields")
     gone = F.get(fields, F.floor(draw(seed, F.col("doc_id"), "older gone") * F.size(fields)).cast("int"))
     quoted = lambda x: F.concat(F.lit('"'), x, F.lit('"'))

@@ -19,6 +19,20 @@ def ema(log: DataFrame, series: str, order: list[str], value: str, keep: float =
     return points.select(series, fold.alias("ema"), F.size("_p").cast("long").alias("n"))
 
 
+def ema_spread(log: DataFrame, series: str, order: list[str], value: str, keep: float = 0.98, span: int = 1 << 12) -> DataFrame:
+    """The same for series of any length, equal but for the last bits: a run of `span` points turns an average a into
+    f a + s, whatever a is, so runs are folded by many tasks, and only their pairs (f, s) are gone through in order."""
+    placed = place_in_group(log.select(series, *order, F.col(value).cast("double").alias("_value")), [series], order, "_place")
+    points = placed.withColumn("_run", F.floor(F.col("_place") / span))
+    runs = points.groupBy(series, "_run").agg(F.array_sort(F.collect_list(F.struct("_place", "_value"))).alias("_p"))
+    start = F.struct(F.lit(1.0).alias("f"), F.lit(0.0).alias("s"))
+    # The first point of all is the seed: it forgets what stands before it.
+    first = lambda a, x: F.when(x["_place"] == 0, F.struct(F.lit(0.0).alias("f"), x["_value"].alias("s"))).otherwise(F.struct((F.lit(keep) * a["f"]).alias("f"), (F.lit(keep) * a["s"] + F.lit(1.0 - keep) * x["_value"]).alias("s")))
+    folded = runs.select(series, "_run", F.aggregate("_p", start, first).alias("_a"), F.size("_p").alias("_n"))
+    whole = folded.groupBy(series).agg(F.array_sort(F.collect_list(F.struct("_run", "_a"))).alias("_r"), F.sum("_n").alias("n"))
+    return whole.select(series, F.aggregate("_r", F.lit(0.0), lambda a, r: r["_a"]["f"] * a + r["_a"]["s"]).alias("ema"), "n")
+
+
 def moving_average(log: DataFrame, series: str, order: list[str], value: str, width: int) -> DataFrame:
     """Mean of the last `width` values; fewer at the head."""
     return log.withColumn("moving_average", F.avg(value).over(Window.partitionBy(series).orderBy(*order).rowsBetween(1 - width, 0)))

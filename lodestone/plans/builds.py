@@ -48,6 +48,16 @@ def stream_build(spark, d):
     return build.build(spark, source, _t(spark, d, "documents").schema, _folder(spark, "stream"), 5000)
 
 
+@query("WITH p AS (SELECT text, sum(strlen(text) + 15) OVER (ORDER BY doc_id) AS upto, sum(strlen(text) + 15) OVER () AS whole FROM documents) SELECT sha256(text) AS text_sha256, count(*) AS records FROM p WHERE upto <= whole * 60 // 100 GROUP BY 1")
+def budgeted_corpus(spark, d):
+    """Texts of six tenths of all bytes as files, read back at their end marks."""
+    folder, rows = _folder(spark, "budgeted"), docs(spark, d).select("doc_id", "text")
+    budget = rows.agg(F.sum(F.octet_length("text") + 15)).first()[0] * 60 // 100
+    corpus.write_budgeted(rows, "doc_id", budget, folder)
+    back = spark.read.option("lineSep", "\n<|endoftext|>\n").text(folder)
+    return back.groupBy(F.sha2("value", 256).alias("text_sha256")).agg(F.count(F.lit(1)).alias("records"))
+
+
 @query("SELECT doc_id FROM documents WHERE doc_id >= 137")
 def resume_by_rows(spark, d):
     """What a finite source still has after 137 rows."""

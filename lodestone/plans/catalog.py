@@ -165,17 +165,22 @@ ALLOCATION = [
     (4, "synthetic_tool_actions", 0.05, True, 118857546, None),
 ]
 TRAIN_TOKENS = 4_007_835_072
-_VALUES = ", ".join(f"({p}, '{s}', {w}::DOUBLE, {str(f).lower()}, {'NULL' if u is None else u}::BIGINT, {'NULL' if x is None else x}::DOUBLE)" for p, s, w, f, u, x in ALLOCATION)
 
 
-@query(f"""WITH s(pos, source, weight, finite, usable, fill) AS (VALUES {_VALUES}), c AS (SELECT *, round_even({TRAIN_TOKENS}::DOUBLE * weight, 0)::BIGINT AS cap FROM s),
+@query(f"""WITH n AS (SELECT substr(source, 4)::INT AS pos, source, 0.05::DOUBLE AS weight, substr(source, 4)::INT % 3 <> 0 AS finite, (count(*) * 1000000)::BIGINT AS usable FROM documents GROUP BY ALL),
+s AS (SELECT pos, source, weight, finite, CASE WHEN finite THEN usable END AS usable, CASE WHEN NOT finite THEN 1.0::DOUBLE / sum(NOT finite) OVER () END AS fill FROM n), c AS (SELECT *, round_even({TRAIN_TOKENS}::DOUBLE * weight, 0)::BIGINT AS cap FROM s),
 b AS (SELECT *, CASE WHEN finite THEN least(cap, usable) ELSE cap END AS base FROM c), t AS (SELECT *, (sum(cap - base) OVER ())::BIGINT AS shortfall FROM b),
 r AS (SELECT *, round_even(shortfall * fill, 0)::BIGINT AS part, row_number() OVER (PARTITION BY fill IS NOT NULL ORDER BY pos) AS place, count(*) OVER (PARTITION BY fill IS NOT NULL) AS n FROM t),
 a AS (SELECT *, base + CASE WHEN fill IS NULL THEN 0 WHEN place = n THEN shortfall - coalesce(sum(part) OVER (PARTITION BY fill IS NOT NULL ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE part END AS given FROM r),
 z AS (SELECT *, given + CASE WHEN fill IS NOT NULL AND place = 1 THEN {TRAIN_TOKENS} - sum(given) OVER () ELSE 0 END AS allocation FROM a)
 SELECT pos, source, finite, cap, usable, shortfall, allocation::BIGINT AS allocation, allocation::BIGINT / {TRAIN_TOKENS}::DOUBLE AS fraction FROM z""")
 def allocation_cap_and_fill(spark, d):
-    return audit.cap_and_fill(spark.createDataFrame(ALLOCATION, "pos int, source string, weight double, finite boolean, usable long, fill double"), TRAIN_TOKENS)
+    """Twenty sources of equal weight; two thirds have a million tokens for each of their documents, the rest fill up."""
+    n = F.substring("source", 4, 9).cast("int")
+    counts = docs(spark, d).groupBy("source").agg((F.count(F.lit(1)) * 1_000_000).alias("usable"))
+    open_ = counts.where(n % 3 == 0).count()  # one row for each source
+    rows = counts.select(n.alias("pos"), "source", F.lit(0.05).alias("weight"), (n % 3 != 0).alias("finite"), F.when(n % 3 != 0, F.col("usable")).alias("usable"), F.when(n % 3 == 0, F.lit(1.0) / open_).alias("fill"))
+    return audit.cap_and_fill(rows, TRAIN_TOKENS)
 
 
 @query("WITH p AS (SELECT source, count(*)::DOUBLE AS share FROM documents GROUP BY 1), t AS (SELECT *, floor(1000000::DOUBLE * (share / sum(share) OVER ()))::BIGINT AS t FROM p) SELECT source, share, (t + CASE WHEN source = 'src0' THEN 1000000 - sum(t) OVER () ELSE 0 END)::BIGINT AS target FROM t")
@@ -284,9 +289,10 @@ def single_turn_pairs(spark, d):
     return c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("request")).join(b, ["conv_id", "turn"]).select("conv_id", "turn", "request", "answer")
 
 
-@query("SELECT * FROM (VALUES ('valid_call', 900, 50, 50), ('no_applicable_tool', 111, 6, 7)) t(category, train, validation, test)")
+@query("SELECT role AS category, (n * 90 // 100)::INT AS train, (n * 5 // 100)::INT AS validation, (n - n * 90 // 100 - n * 5 // 100)::INT AS test FROM (SELECT role, count(*) AS n FROM conversations GROUP BY 1)")
 def category_split_targets(spark, d):
-    rows = spark.createDataFrame([("valid_call", 1000), ("no_applicable_tool", 124)], "category string, total int")
+    """Targets of three splits for each kind of turn, by how many there are."""
+    rows = _t(spark, d, "conversations").groupBy(F.col("role").alias("category")).agg(F.count(F.lit(1)).alias("total"))
     train, held = F.floor(F.col("total") * 90 / 100), F.floor(F.col("total") * 5 / 100)
     return rows.select("category", train.cast("int").alias("train"), held.cast("int").alias("validation"), (F.col("total") - train - held).cast("int").alias("test"))
 
@@ -349,17 +355,22 @@ def metrics_last_validation(spark, d):
     return metrics.last_validation(_t(spark, d, "events"), "user_id", _EV, "event_type", "value", "purchase", "c")
 
 
-_RUNS = ", ".join(f"('{r}', '{f}', '{t}', {n}, {k}, {x}::DOUBLE)" for r, f, t, n, k, x in audit.STUDY_RUNS)
+#: Events as results of runs: a type is a tier, a value a loss.
+_RUNS = "SELECT 'e' || event_id AS run, event_type AS tier, user_id + 1 AS parameters, event_id + 1 AS tokens, value AS loss FROM events"
 
 
-@query(f"WITH r(run, family, tier, parameters, tokens, loss) AS (VALUES {_RUNS}) SELECT tier, arg_min(run, (loss, run)) AS run, min(loss) AS loss FROM r GROUP BY 1")
+def _runs(spark, d):
+    return _t(spark, d, "events").select(F.concat(F.lit("e"), "event_id").alias("run"), F.col("event_type").alias("tier"), (F.col("user_id") + 1).alias("parameters"), (F.col("event_id") + 1).alias("tokens"), F.col("value").alias("loss"))
+
+
+@query(f"WITH r AS ({_RUNS}) SELECT tier, arg_min(run, (loss, run)) AS run, min(loss) AS loss FROM r GROUP BY 1")
 def argmin_per_group(spark, d):
-    return audit.best_runs(audit.study_runs(spark))
+    return audit.best_runs(_runs(spark, d))
 
 
-@query(f"WITH r(run, family, tier, parameters, tokens, loss) AS (VALUES {_RUNS}), c AS (SELECT tier, 6.0::DOUBLE * parameters * tokens AS cost FROM r) SELECT tier, round((max(cost) - min(cost)) / avg(cost), 9) AS spread, count(*) AS runs, (max(cost) - min(cost)) / avg(cost) <= 0.05 AS within FROM c GROUP BY 1")
+@query(f"WITH r AS ({_RUNS}), c AS (SELECT tier, 6.0::DOUBLE * parameters * tokens AS cost FROM r) SELECT tier, round((max(cost) - min(cost)) / avg(cost), 9) AS spread, count(*) AS runs, (max(cost) - min(cost)) / avg(cost) <= 0.05 AS within FROM c GROUP BY 1")
 def isoflop_spread(spark, d):
-    return audit.iso_flop_spread(audit.study_runs(spark)).withColumn("spread", F.round("spread", 9))
+    return audit.iso_flop_spread(_runs(spark, d)).withColumn("spread", F.round("spread", 9))
 
 
 @query()
@@ -367,26 +378,30 @@ def scaling_fit(spark, d):
     return audit.scaling_fit(audit.study_runs(spark))
 
 
-@query(f"WITH r(run, family, tier, parameters, tokens, loss) AS (VALUES {_RUNS}) SELECT run, round(exp(least(loss, 20.0)), 6) AS perplexity, 6 * parameters::BIGINT * tokens AS flops, round(least(tokens / 460000000.0::DOUBLE, 1.0), 9) AS progress, round(greatest(460000000 - tokens, 0) / 67000.0::DOUBLE / 3600.0, 6) AS hours_left FROM r")
+@query(f"WITH r AS ({_RUNS}) SELECT run, round(exp(least(loss, 20.0)), 3) AS perplexity, 6 * parameters::BIGINT * tokens AS flops, round(least(tokens / 8000.0::DOUBLE, 1.0), 9) AS progress, round(greatest(8000 - tokens, 0) / 670.0::DOUBLE / 3600.0, 6) AS hours_left FROM r")
 def run_arithmetic(spark, d):
-    target, speed = F.lit(460_000_000), F.lit(67_000.0)
-    return audit.study_runs(spark).select("run", F.round(R.safe_perplexity(F.col("loss")), 6).alias("perplexity"), R.training_flops(F.col("parameters"), F.col("tokens")).alias("flops"), F.round(R.progress(F.col("tokens"), target), 9).alias("progress"), F.round(R.hours_left(F.col("tokens"), target, speed), 6).alias("hours_left"))
+    target, speed = F.lit(8000), F.lit(670.0)
+    return _runs(spark, d).select("run", F.round(R.safe_perplexity(F.col("loss")), 3).alias("perplexity"), R.training_flops(F.col("parameters"), F.col("tokens")).alias("flops"), F.round(R.progress(F.col("tokens"), target), 9).alias("progress"), F.round(R.hours_left(F.col("tokens"), target, speed), 6).alias("hours_left"))
 
 
-@query("SELECT step, round(CASE WHEN step < 100 THEN 0.001::DOUBLE * (step + 1) / 100 ELSE 0.0001::DOUBLE + 0.5 * (0.001::DOUBLE - 0.0001::DOUBLE) * (1 + cos(pi() * least(1.0, greatest(0.0, (step - 100) / 900.0::DOUBLE)))) END, 12) AS rate FROM range(0, 1200, 50) t(step)")
+@query("SELECT event_id AS step, round(CASE WHEN event_id < 100 THEN 0.001::DOUBLE * (event_id + 1) / 100 ELSE 0.0001::DOUBLE + 0.5 * (0.001::DOUBLE - 0.0001::DOUBLE) * (1 + cos(pi() * least(1.0, greatest(0.0, (event_id - 100) / 7900.0::DOUBLE)))) END, 12) AS rate FROM events")
 def learning_rates(spark, d):
-    return spark.range(0, 1200, 50).select(F.col("id").alias("step"), F.round(R.cosine_rate(F.col("id"), 0.001, 0.0001, 100, 1000), 12).alias("rate"))
+    """The rate of each step, where events are steps."""
+    return _t(spark, d, "events").select(F.col("event_id").alias("step"), F.round(R.cosine_rate(F.col("event_id"), 0.001, 0.0001, 100, 8000), 12).alias("rate"))
 
 
-@query("SELECT 262144 AS trained_tokens_per_step, 262272 AS source_tokens_per_step, 15281 AS steps, 4005822464 AS trained_tokens, 4007778432 AS source_tokens_used, 56640 AS source_tokens_unused, 306 AS checkpoint_every_steps")
+@query(f"WITH s AS (SELECT source, sum({TOK} + 1)::BIGINT AS n FROM documents GROUP BY 1) SELECT source, n // 136 AS steps, n // 136 * 128 AS trained_tokens, n // 136 * 136 AS source_tokens_used, n % 136 AS source_tokens_unused, ceil((n // 136) / 50.0)::BIGINT AS checkpoint_every_steps FROM s")
 def token_plan(spark, d):
-    plan = R.token_plan(TRAIN_TOKENS, 2048, 2, 2, 32)
-    return spark.createDataFrame([tuple(plan.values())], ", ".join(f"{k} long" for k in plan)).select(*(F.col(k).cast("int" if v < 2**31 else "long").alias(k) for k, v in plan.items()))
+    """Whole optimizer steps of eight sequences of 16 tokens (and one more each) that the tokens of each source allow."""
+    sums = docs(spark, d).groupBy("source").agg(F.sum(T.whitespace_tokens(F.col("text")) + 1).alias("n"))
+    return sums.select("source", *(c.alias(k) for k, c in R.token_plans(F.col("n"), 16, 2, 2, 2).items()))
 
 
-@query("SELECT attempt::INT AS attempt, least(60.0::DOUBLE, 2.0::DOUBLE * pow(2, greatest(0, attempt - 1))) AS delay FROM range(1, 9) t(attempt)")
+@query("SELECT o_custkey AS id, count(*)::INT AS attempt, least(60.0::DOUBLE, 2.0::DOUBLE * pow(2, greatest(0, count(*) - 1))) AS delay FROM orders GROUP BY 1")
 def retry_delays(spark, d):
-    return spark.range(1, 9).select(F.col("id").cast("int").alias("attempt"), R.retry_delay(F.col("id"), 2.0, 60.0).alias("delay"))
+    """The delay after as many failures as a customer has orders."""
+    failures = _t(spark, d, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).cast("int").alias("attempt"))
+    return failures.select("id", "attempt", R.retry_delay(F.col("attempt"), 2.0, 60.0).alias("delay"))
 
 
 @query(r"SELECT doc_id, coalesce(nullif(left(regexp_replace(regexp_replace(text, '[^\p{L}\p{N}]+', '_', 'g'), '^_+|_+$', '', 'g'), 120), ''), 'tool') AS slug, regexp_replace(regexp_replace('run ' || source || '/a', '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') || '.json' AS file FROM documents")
@@ -415,9 +430,10 @@ def packed_batches(spark, d):
     return tokens.training_rows(stream, 64).select("block", F.array_join("inputs", ",").alias("inputs"), F.array_join("targets", ",").alias("targets"))
 
 
-@query("SELECT block, ((block // 2) % 4)::INT AS rank, (block // 2) // 4 AS step FROM range(0, 64) t(block)")
+@query("SELECT o_orderkey AS block, ((o_orderkey // 2) % 4)::INT AS rank, (o_orderkey // 2) // 4 AS step FROM orders")
 def rank_slices(spark, d):
-    return tokens.rank_slices(spark.range(64).withColumnRenamed("id", "block"), 4, 2)
+    """Orders as blocks of a packed corpus, dealt to four ranks."""
+    return tokens.rank_slices(_t(spark, d, "orders").select(F.col("o_orderkey").alias("block")), 4, 2)
 
 
 @query(f"{_STREAM}, s AS (SELECT 'shards/shard_' || lpad((pos // 1000)::VARCHAR, 5, '0') || '.bin' AS path, count(*) AS tokens FROM p GROUP BY 1) SELECT sha256(string_agg(path || ':' || tokens, chr(10) ORDER BY path || ':' || tokens)) AS fingerprint, count(*) AS shards, sum(tokens)::BIGINT AS tokens, min(path) AS first, max(path) AS last FROM s")
@@ -448,11 +464,12 @@ def approval_differences(spark, d):
     return audit.approval_differences(count(rows), count(rows.where("lang <> 'fr'")))
 
 
-@query("WITH s AS (SELECT 'o' || lpad((o_orderkey // 1000)::VARCHAR, 6, '0') AS path, count(*) AS tokens FROM orders GROUP BY 1), o AS (SELECT *, sum(tokens) OVER (ORDER BY path) AS upto FROM s) SELECT pos, path, (pos - (upto - tokens))::BIGINT AS off FROM range(0, 1500, 37) r(pos) JOIN o ON pos >= upto - tokens AND pos < upto")
+@query("WITH s AS (SELECT 'o' || lpad((o_orderkey // 1000)::VARCHAR, 6, '0') AS path, count(*) AS tokens FROM orders GROUP BY 1), o AS (SELECT *, sum(tokens) OVER (ORDER BY path) AS upto FROM s) SELECT pos, path, (pos - (upto - tokens))::BIGINT AS off FROM (SELECT o_orderkey // 3 AS pos FROM orders) r JOIN o ON pos >= upto - tokens AND pos < upto")
 def token_location(spark, d):
     """Positions of a token stream to their shard and offset."""
     parts = _t(spark, d, "orders").groupBy(F.concat(F.lit("o"), F.lpad(F.floor(F.col("o_orderkey") / 1000).cast("string"), 6, "0")).alias("path")).agg(F.count(F.lit(1)).alias("tokens"))
-    return tokens.locate(spark.range(0, 1500, 37).withColumnRenamed("id", "pos"), tokens.shard_offsets(parts)).select("pos", "path", F.col("offset").alias("off"))
+    asked = _t(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 3).alias("pos"))
+    return tokens.locate(asked, tokens.shard_offsets(parts)).select("pos", "path", F.col("offset").alias("off"))
 
 
 @query("SELECT event_type, count(*) AS n, min(value) AS least, max(value) AS most, round(avg(value), 9) AS mean FROM events GROUP BY 1")

@@ -17,10 +17,15 @@ COMMANDS = {
     "audit": ("capacity of each source", ["documents"], [("tokenizer", str, ""), ("output", str, "")]),
     "merge": ("allocation of a plan from audit reports", ["plan", "reports"], [("output", str, "")]),
     "verify": ("check token shards against their manifest", ["folder"], []),
-    "sft": ("records of tool dialogs made of conversations", ["conversations"], [("rounds", int, 3), ("quota", int, 1000), ("context", int, 2048), ("tokenizer", str, ""), ("output", str, "")]),
+    "sft": ("records of tool dialogs made of conversations", ["conversations"], [("rounds", int, 3), ("quota", int, 1000), ("context", int, 2048), ("tokenizer", str, ""), ("allow_short", int, 0), ("output", str, "")]),
     "preflight": ("check a configuration and the shards it asks for", ["config", "folder"], []),
     "matrix": ("whether the runs of each tier cost the same", ["results"], [("tolerance", float, 0.05)]),
     "report": ("best runs of each tier as Markdown", ["results"], [("output", str, None)]),
+    "stream": ("one session of a build that reads JSON lines and ends in partials of token shards", ["lines", "folder"], [("target", int, None), ("batch_bytes", int, 64 << 20), ("seconds", float, 0.0), ("suffix", str, ".jsonl")]),
+    "shards": ("exact token shards of all committed partials", ["folder"], [("shard_tokens", int, None), ("vocabulary", int, 1 << 16)]),
+    "assemble": ("one corpus of the shards of several builds, each source in proportion", ["sources", "target"], []),
+    "validation": ("documents of the validation part that pass all checks", ["documents"], [("fraction", float, 0.05), ("output", str, "")]),
+    "analyze": ("best runs, costs and the fitted law of a study as Markdown", ["results"], [("output", str, None)]),
     "export": ("metric logs of runs as a dashboard's files", ["root", "folder"], []),
 }
 RUNS = "run string, tier string, parameters long, tokens long, loss double"
@@ -112,7 +117,7 @@ class Commands:
 
         seeds = dialogs.synthetic_seeds(self.spark, self.spark.read.parquet(self.args.conversations))
         made = dialogs.candidates(seeds, self.args.rounds, context=self.args.context, tokenizer=self.args.tokenizer or None)
-        return _shown(dialogs.accepted_records(made, self.args.quota), self.args.output)
+        return _shown(dialogs.accepted_records(made, self.args.quota, allow_short=bool(self.args.allow_short)), self.args.output)
 
     def preflight(self) -> int:
         from lodestone.operators import config
@@ -145,6 +150,46 @@ class Commands:
         files.write(self.args.output, runs.markdown(best_runs(self._runs()).orderBy("tier"), "Best runs").encode())
         return 0
 
+    def stream(self) -> int:
+        from lodestone.streaming.shards import stream_session
+
+        done = stream_session(self.spark, self.args.lines, self.args.folder, self.args.target, batch_bytes=self.args.batch_bytes, seconds=self.args.seconds or None, suffix=self.args.suffix)
+        return _told(rows=done.rows, batches=len(done.batches))
+
+    def shards(self) -> int:
+        from lodestone.sources.shard_sink import assembled
+
+        made = assembled(self.spark, self.args.folder, self.args.shard_tokens, self.args.vocabulary)
+        return _told(**{source: sum(s["tokens"] for s in told) for source, told in made.items()})
+
+    def assemble(self) -> int:
+        from lodestone.operators.corpus import fair_shard_plan
+        from lodestone.operators.ordered import global_position
+        from lodestone.sources import files, shards
+
+        folders = files.read_object(self.args.sources)
+        rows = [(source, i, x["tokens"]) for source, folder in folders.items() for i, x in enumerate(files.read_object(f"{folder}/manifest.json")["shards"])]  # a row for each shard
+        plan = fair_shard_plan(self.spark.createDataFrame(rows, "source string, shard long, tokens long"))
+        placed = global_position(plan.select("source", "shard", "turn"), ["turn", "source", "shard"])
+        done = shards.assemble(self.spark, folders, placed, self.args.target)
+        return _told(shards=len(done), tokens=sum(x["tokens"] for x in done))
+
+    def validation(self) -> int:
+        from lodestone.operators import corpus
+
+        docs = self.spark.read.parquet(self.args.documents)
+        rows = docs if "license" in docs.columns else docs.withColumn("license", F.lit(None).cast("string"))
+        told = corpus.rejection_reasons(rows, None, self.args.fraction, "validation")
+        return _shown(told.where("reason IS NULL").select("source", "doc_id", "chars", "n_tokens"), self.args.output)
+
+    def analyze(self) -> int:
+        from lodestone.operators import audit
+        from lodestone.sources import files, runs
+
+        parts = {"Best runs": audit.best_runs(self._runs()).orderBy("tier"), "Costs": audit.iso_flop_spread(self._runs()).orderBy("tier"), "Fitted law": audit.scaling_fit(self._runs())}
+        files.write(self.args.output, "\n".join(runs.markdown(table, title) for title, table in parts.items()).encode())
+        return 0
+
     def export(self) -> int:
         from lodestone.sources.runs import export_dashboard, scan_metrics
 

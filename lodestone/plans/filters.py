@@ -70,3 +70,12 @@ def metrics_triangles(spark, d):
     """Twelve events of each user that keep the shape of its series, by largest triangles."""
     rows = _t(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return metrics.largest_triangles(rows, "user_id", ["ts", "event_id"], F.unix_micros("ts"), F.floor(F.col("value") * 100), 12).select("user_id", "event_id", "place")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id, value::DOUBLE AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, count(*) OVER (PARTITION BY user_id) AS whole FROM events),
+g AS (SELECT user_id, n, whole, value AS ema FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.n, e.whole, 0.98::DOUBLE * g.ema + 0.02::DOUBLE * e.value FROM g JOIN e ON e.user_id = g.user_id AND e.n = g.n + 1)
+SELECT user_id, round(ema, 6) AS ema, whole AS n FROM g WHERE n = whole""")
+def metrics_ema_spread(spark, d):
+    """Moving averages of series of any length, folded by runs of 16 points."""
+    rows = metrics.ema_spread(_t(spark, d, "events"), "user_id", ["ts", "event_id"], "value", span=16)
+    return rows.select("user_id", F.round("ema", 6).alias("ema"), "n")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lodestone.functions import hashing as H
@@ -65,12 +66,12 @@ def csv_round_trip(spark, d):
     return spark.read.csv(folder, header=True, schema="n_nationkey long, n_name string")
 
 
-@query("SELECT event_type, count(*) AS n, true AS stamped FROM events WHERE event_id < 500 GROUP BY 1")
+@query("SELECT event_type, count(*) AS n, true AS stamped FROM events GROUP BY 1")
 def appended_logs(spark, d):
     """Two appends to a metric log, read as one."""
     folder = _folder(spark, "appended")
-    rows = _t(spark, d, "events").where("event_id < 500").select("event_id", "event_type")
-    for part in (rows.where("event_id < 200"), rows.where("event_id >= 200")):
+    rows = _t(spark, d, "events").select("event_id", "event_type")
+    for part in (rows.where("event_id % 5 < 2"), rows.where("event_id % 5 >= 2")):
         jsonl.append_metrics(part, folder)
     log = spark.read.schema("event_id long, event_type string, timestamp string").json(folder)
     return log.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("timestamp").rlike("^2[0-9]{3}-")).alias("stamped"))
@@ -79,15 +80,22 @@ def appended_logs(spark, d):
 def _log(spark, d):
     """Events as the metric logs of runs, in one folder for each user."""
     root = _folder(spark, "runs")
-    e = _t(spark, d, "events").where("user_id < 20")
+    e = _t(spark, d, "events")
     rows = e.select(F.concat(F.lit("run"), "user_id").alias("run"), F.when(F.col("event_type") == "purchase", "validation").otherwise("train").alias("type"), F.col("event_id").alias("step"), F.col("value").cast("double").alias("loss"), (F.col("event_id") * 1000).alias("tokens_seen"), F.col("value").cast("double").alias("tokens_per_second"), F.lit(1.5).alias("step_seconds"))
-    for r in rows.groupBy("run").agg(F.collect_list(F.to_json(F.struct("type", "step", "loss", "tokens_seen", "tokens_per_second", "step_seconds"))).alias("lines")).collect():  # a few runs
-        files.write(f"{root}/{r.run}/metrics.jsonl", "\n".join(r.lines).encode())
-        files.write(f"{root}/{r.run}/config.json", json.dumps({"name": r.run}).encode())
+
+    def write(log: pd.DataFrame) -> pd.DataFrame:
+        """A run's log, bounded by its steps, as its folder."""
+        run = log["run"].iloc[0]
+        files.write(f"{root}/{run}/metrics.jsonl", "\n".join(log["line"]).encode())
+        files.write(f"{root}/{run}/config.json", json.dumps({"name": run}).encode())
+        return pd.DataFrame({"run": [run]})
+
+    lines = rows.select("run", F.to_json(F.struct("type", "step", "loss", "tokens_seen", "tokens_per_second", "step_seconds")).alias("line"))
+    lines.groupBy("run").applyInPandas(write, "run string").write.format("noop").mode("overwrite").save()
     return root
 
 
-@query("""SELECT 'run' || user_id AS run, 'run' || user_id || '.json' AS file, arg_max(value::DOUBLE, event_id) AS loss, max(event_id) * 1000 AS tokens, median(value::DOUBLE) AS tokens_per_second, count(*) * 1.5::DOUBLE AS seconds FROM events WHERE user_id < 20 AND event_type <> 'purchase' GROUP BY user_id""")
+@query("""SELECT 'run' || user_id AS run, 'run' || user_id || '.json' AS file, arg_max(value::DOUBLE, event_id) AS loss, max(event_id) * 1000 AS tokens, median(value::DOUBLE) AS tokens_per_second, count(*) * 1.5::DOUBLE AS seconds FROM events WHERE event_type <> 'purchase' GROUP BY user_id""")
 def run_folders(spark, d):
     """Folders of runs: their logs, and what a dashboard shows of each."""
     root = _log(spark, d)
@@ -96,7 +104,7 @@ def run_folders(spark, d):
     return shown.join(log, "run").select("run", "file", "loss", "tokens", "tokens_per_second", "seconds")
 
 
-@query("SELECT 'run' || user_id AS run, count(*) AS records FROM events WHERE user_id < 20 GROUP BY 1")
+@query("SELECT 'run' || user_id AS run, count(*) AS records FROM events GROUP BY 1")
 def dashboard_export(spark, d):
     folder = _folder(spark, "dashboard")
     runs.export_dashboard(runs.scan_metrics(spark, _log(spark, d)), folder)
@@ -113,13 +121,19 @@ def planned_runs(spark, d):
     return both.join(missing.withColumn("missing", F.lit(True)), "run", "left").select("run", "loss", F.coalesce("missing", F.lit(False)).alias("missing"))
 
 
-@query("SELECT n_name AS run, '{\"name\":\"' || n_name || '\"}' AS text FROM nation")
+@query("SELECT s_name AS run, '{\"name\":\"' || s_name || '\"}' AS text FROM supplier")
 def spec_scan(spark, d):
     """API descriptions found below a folder; other files are left alone."""
     folder = _folder(spark, "specs")
-    for r in _t(spark, d, "nation").collect():  # a handful of rows
-        files.write(f"{folder}/{r.n_name}/openapi.json", json.dumps({"name": r.n_name}, separators=(",", ":")).encode())
-        files.write(f"{folder}/{r.n_name}/notes.json", b"{}")
+
+    def write(batches):
+        for batch in batches:
+            for name in batch["s_name"]:
+                files.write(f"{folder}/{name}/openapi.json", json.dumps({"name": name}, separators=(",", ":")).encode())
+                files.write(f"{folder}/{name}/notes.json", b"{}")
+            yield batch
+
+    _t(spark, d, "supplier").select("s_name").mapInPandas(write, "s_name string").write.format("noop").mode("overwrite").save()
     return jsonl.scan_specs(spark, folder).select(F.regexp_replace(F.element_at(F.split("path", "/"), -2), "%20", " ").alias("run"), "text")
 
 
@@ -130,18 +144,18 @@ def _fixed_sql(x: str, digits: int) -> str:
     return f"CASE WHEN ({x}) * {2 ** (digits + 1)} % 2 = 1 THEN printf('%.{digits}f', {x} + {10.0 ** -(digits + 1)}::DOUBLE) ELSE printf('%.{digits}f', {x}) END"
 
 
-@query(f"""WITH o AS (SELECT o_orderkey AS id, (o_orderkey * 997)::DOUBLE AS n, o_orderkey::DOUBLE AS s FROM orders WHERE o_orderkey % 4 = 1)
+@query(f"""WITH o AS (SELECT o_orderkey AS id, (o_orderkey * 997)::DOUBLE AS n, o_orderkey::DOUBLE AS s FROM orders)
 SELECT id, CASE WHEN n < 1000 THEN n::BIGINT::VARCHAR WHEN n < 1000000 THEN {_fixed_sql("n / 1000.0::DOUBLE", 1)} || 'K' WHEN n < 1000000000 THEN {_fixed_sql("n / 1000000.0::DOUBLE", 1)} || 'M' ELSE {_fixed_sql("n / 1000000000.0::DOUBLE", 2)} || 'B' END AS tokens,
 CASE WHEN s < 60 THEN printf('%.0f', s) || 's' WHEN s < 3600 THEN {_fixed_sql("s / 60.0::DOUBLE", 1)} || 'm' ELSE {_fixed_sql("s / 3600.0::DOUBLE", 2)} || 'h' END AS time FROM o""")
 def number_formats(spark, d):
-    o = _t(spark, d, "orders").where("o_orderkey % 4 = 1")
+    o = _t(spark, d, "orders")
     return o.select(F.col("o_orderkey").alias("id"), T.format_tokens(F.col("o_orderkey") * 997).alias("tokens"), T.format_duration(F.col("o_orderkey")).alias("time"))
 
 
-@query("SELECT r_regionkey::INT AS layers, (32000 * 256 + r_regionkey * (256 * 256 * 2 + 2 * 256 * 32 * 4 + 3 * 256 * 704 + 2 * 256) + 256)::BIGINT AS parameters FROM region")
+@query("SELECT p_partkey AS id, p_size::INT AS layers, (32000 * 256 + p_size * (256 * 256 * 2 + 2 * 256 * 32 * 4 + 3 * 256 * 704 + 2 * 256) + 256)::BIGINT AS parameters FROM part")
 def parameter_counts(spark, d):
-    rows = [(r.r_regionkey, R.decoder_parameters(32000, 256, r.r_regionkey, 8, 4, 704)) for r in _t(spark, d, "region").collect()]  # a handful of rows
-    return spark.createDataFrame(rows, "layers int, parameters long")
+    """Models of as many layers as parts have sizes."""
+    return _t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("int").alias("layers"), R.decoder_parameters(32000, 256, F.col("p_size").cast("long"), 8, 4, 704).alias("parameters"))
 
 
 @query("SELECT n_nationkey::INT AS id, greatest(0.001::DOUBLE, 2.0::DOUBLE * 16384 / (1000000 * (n_nationkey + 1))) AS tolerance FROM nation")
@@ -238,11 +252,12 @@ def code_files(spark, d):
     return generate.code_documents(rows, ["mit"])
 
 
-@query("WITH s AS (SELECT o_orderkey AS i, (o_orderkey % 50 + 1)::BIGINT AS n_tokens, o_orderkey % 9 = 0 AS filled FROM orders WHERE o_orderkey < 3000), p AS (SELECT *, coalesce(sum(n_tokens) OVER (ORDER BY filled, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s) SELECT i, filled, least(n_tokens, 18000 - start)::BIGINT AS kept FROM p WHERE start < 18000")
+@query("WITH s AS (SELECT o_orderkey AS i, (o_orderkey % 50 + 1)::BIGINT AS n_tokens, o_orderkey % 9 = 0 AS filled FROM orders), p AS (SELECT *, coalesce(sum(n_tokens) OVER (ORDER BY filled, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s) SELECT i, filled, least(n_tokens, (SELECT sum(n_tokens) * 95 // 100 FROM s) - start)::BIGINT AS kept FROM p WHERE start < (SELECT sum(n_tokens) * 95 // 100 FROM s)")
 def budget_filled(spark, d):
     """A source that lacks tokens, filled up by another; every ninth order stands for the other."""
-    o = _t(spark, d, "orders").where("o_orderkey < 3000").select(F.col("o_orderkey").alias("i"), (F.col("o_orderkey") % 50 + 1).alias("n_tokens"))
-    return generate.filled(o.where("i % 9 <> 0"), o.where("i % 9 = 0"), "i", 18_000).select("i", "filled", "kept")
+    o = _t(spark, d, "orders").select(F.col("o_orderkey").alias("i"), (F.col("o_orderkey") % 50 + 1).alias("n_tokens"))
+    target = o.agg(F.sum("n_tokens")).first()[0] * 95 // 100
+    return generate.filled(o.where("i % 9 <> 0"), o.where("i % 9 = 0"), "i", target).select("i", "filled", "kept")
 
 
 def _order_shards(spark, d, shard_tokens):
@@ -303,10 +318,11 @@ def config_faults(spark, d):
     return _t(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("id"), F.get(faults, (F.col("n_nationkey") % 5).cast("int")).alias("fault"))
 
 
-@query("SELECT o_orderkey AS tokens, greatest(10000, o_orderkey // 20) AS validation, greatest(10000, o_orderkey // 4) AS shard FROM orders WHERE o_orderkey % 100 = 0")
+@query("SELECT o_orderkey AS tokens, greatest(10000, o_orderkey // 20) AS validation, greatest(10000, o_orderkey // 4) AS shard FROM orders")
 def scaled_configs(spark, d):
-    rows = [(r.o_orderkey, *(config.scaled_down({}, r.o_orderkey)[k] for k in ("validation_tokens", "shard_tokens"))) for r in _t(spark, d, "orders").where("o_orderkey % 100 = 0").select("o_orderkey").toLocalIterator()]
-    return spark.createDataFrame(rows, "tokens long, validation long, shard long")
+    """The sizes of builds scaled down to as many tokens as orders have keys."""
+    sizes = config.scaled_sizes(F.col("o_orderkey"))
+    return _t(spark, d, "orders").select(F.col("o_orderkey").alias("tokens"), sizes["validation_tokens"].alias("validation"), sizes["shard_tokens"].alias("shard"))
 
 
 @query("SELECT user_id, median(value) AS median, max(value) AS most, round(sum(value), 6) AS total FROM events GROUP BY 1")
@@ -332,7 +348,7 @@ def record_filters(spark, d):
     return _t(spark, d, "events").where((F.col("event_type") == "purchase") & F.col("user_id").cast("string").startswith("1")).select("user_id", "event_id", "value")
 
 
-@query("SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS moving_average FROM events WHERE user_id < 5")
+@query("SELECT user_id, event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 6) AS moving_average FROM events")
 def short_averages(spark, d):
-    rows = _t(spark, d, "events").where("user_id < 5")
+    rows = _t(spark, d, "events")
     return metrics.moving_average(rows, "user_id", ["ts", "event_id"], "value", 3).select("user_id", "event_id", F.round("moving_average", 6).alias("moving_average"))

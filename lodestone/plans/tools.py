@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import schemas
 from lodestone.functions import text as T
 from lodestone.operators import dialogs, generate
+from lodestone.operators.ordered import global_position
 from lodestone.plans.catalog import _t, query
 
 #: Tools of both parameter conventions, arguments for them, and what is expected of each.
@@ -147,12 +148,14 @@ def _draw(purpose: str, seed: int = 42) -> str:
     return f"(('0x' || substr(sha256('{seed}:' || i || ':{purpose}'), 1, 12))::BIGINT / 281474976710656.0::DOUBLE)"
 
 
-@query(f"SELECT i AS pos, floor({_draw('token')} * 32000)::INT AS token FROM range(5000) r(i)")
+@query(f"SELECT i AS pos, floor({_draw('token')} * 32000)::INT AS token FROM (SELECT row_number() OVER () - 1 AS i FROM orders)")
 def synthetic_tokens(spark, d):
-    return generate.random_tokens(spark, 5000, 32000, 42)
+    """As many random tokens as there are orders, each drawn for its place."""
+    rows = global_position(_t(spark, d, "orders").select("o_orderkey"), ["o_orderkey"], "pos")
+    return generate.random_tokens(rows, 32000, 42)
 
 
-def _generated_sql(rows: int) -> str:
+def _generated_sql() -> str:
     pick, kind = f"floor({_draw('tool')} * {len(generate.TOOLS)})::INT", _draw("kind")
     texts = []
     for t, (name, about, fields) in enumerate(generate.TOOLS):
@@ -164,18 +167,19 @@ def _generated_sql(rows: int) -> str:
         request = f"CASE WHEN decision = 'no_call' THEN 'Tell me something pleasant without using a tool.' ELSE '{about}: ' || array_to_string(list_transform({given}, lambda x: x.k || ' ' || x.v), ', ') || '.' END"
         target = f"""CASE WHEN decision = 'no_call' THEN '{{"arguments": {{}}, "decision": "no_call", "missing_required_fields": [], "tool_name": null}}' ELSE '{{"arguments": {{' || array_to_string(list_transform({given}, lambda x: '"' || x.k || '": "' || x.v || '"'), ', ') || '}}, "decision": "' || decision || '", "missing_required_fields": [' || CASE WHEN decision = 'ask_clarification' THEN '"' || {gone} || '"' ELSE '' END || '], "tool_name": "{name}"}}' END"""
         texts.append(f"WHEN {t} THEN '<|user|>\n' || {request} || '\n<|tool_schema|>\n{schema}\n<|assistant|>\n' || {target}")
-    return f"WITH b AS (SELECT i, {pick} AS tool, CASE WHEN {kind} < {generate.CLARIFY} THEN 'ask_clarification' WHEN {kind} < {generate.CLARIFY + generate.NO_CALL} THEN 'no_call' ELSE 'call' END AS decision FROM range({rows}) r(i)) SELECT i AS doc_id, decision, CASE tool {' '.join(texts)} END AS text FROM b"
+    return f"WITH b AS (SELECT i, {pick} AS tool, CASE WHEN {kind} < {generate.CLARIFY} THEN 'ask_clarification' WHEN {kind} < {generate.CLARIFY + generate.NO_CALL} THEN 'no_call' ELSE 'call' END AS decision FROM (SELECT doc_id AS i FROM documents)) SELECT i AS doc_id, decision, CASE tool {' '.join(texts)} END AS text FROM b"
 
 
-@query(_generated_sql(500))
+@query(_generated_sql())
 def tool_dialogs(spark, d):
-    return generate.tool_dialogs(spark, 500)
+    """A generated dialog for each document's identifier."""
+    return generate.tool_dialogs(_t(spark, d, "documents"))
 
 
-@query(f"WITH b AS (SELECT i, {_draw('older kind')} AS k FROM range(400) r(i)) SELECT i AS doc_id, CASE WHEN k < 0.75 THEN 'call' WHEN k < 0.9 THEN 'ask_clarification' ELSE 'no_call' END AS decision, true AS sound FROM b")
+@query(f"WITH b AS (SELECT i, {_draw('older kind')} AS k FROM (SELECT doc_id AS i FROM documents)) SELECT i AS doc_id, CASE WHEN k < 0.75 THEN 'call' WHEN k < 0.9 THEN 'ask_clarification' ELSE 'no_call' END AS decision, true AS sound FROM b")
 def older_tool_dialogs(spark, d):
     """Decisions of the older generator; a text is sound if its target says the same."""
-    rows = generate.older_dialogs(spark, 400)
+    rows = generate.older_dialogs(_t(spark, d, "documents"))
     target = F.try_parse_json(F.regexp_extract("text", r"(?s)<\|tool_call\|>\n(.*)\n<\|end\|>", 1))
     return rows.select("doc_id", "decision", (F.try_variant_get(target, "$.decision", "string") == F.col("decision")).alias("sound"))
 

@@ -154,3 +154,13 @@ def test_hulls_hold_every_farthest_point():
             a, b, c = (r.randrange(-3, 4) for _ in range(3))
             far = lambda p: (-abs(a * p[0] + b * p[1] + c), p[2])  # noqa: B023, E731
             assert min(points, key=far) == min(held, key=far)
+
+
+@pytest.mark.parametrize("span", [1, 7, 4096])
+def test_spread_averages_equal_the_fold(spark, span):
+    r = random.Random(span)
+    rows = [(s, i, r.uniform(-5, 5)) for s in range(5) for i in range(r.choice([1, 2, 7, 8, 100]))]
+    df = spark.createDataFrame(rows, "series int, i long, value double").repartition(3)
+    plain = {x.series: (x.ema, x.n) for x in metrics.ema(df, "series", ["i"], "value").collect()}
+    spread = {x.series: (x.ema, x.n) for x in metrics.ema_spread(df, "series", ["i"], "value", span=span).collect()}
+    assert plain.keys() == spread.keys() and all(math.isclose(plain[s][0], spread[s][0], rel_tol=1e-9) and plain[s][1] == spread[s][1] for s in plain)

@@ -131,3 +131,22 @@ def test_null_sources_are_a_source_of_their_own(spark):
     assert {(x.source, x.doc_id): x.kept for x in cut.collect()} == {(None, 0): 10, (None, 1): 5, ("a", 2): 10, ("a", 3): 5}
     slices = {x.source: x.documents for x in corpus.slice_counts(docs, 0.0).where("split = 'train'").collect()}
     assert slices == {None: 2, "a": 2}
+
+
+def test_a_budgeted_corpus_has_the_bytes_of_its_rule(spark, tmp_path):
+    texts = ["a", "", "two\nlines\r\n", "süß", None, "end" * 50, "\n", "last"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for budget in (0, 16, 31, 120, 10_000):
+        want = b""
+        for t in texts:
+            if t is None:
+                continue  # no record: it takes nothing of the budget
+            record = f"{t}\n<|endoftext|>\n".encode()
+            if len(want) + len(record) > budget:
+                break
+            want += record
+        folder = tmp_path / str(budget)
+        corpus.write_budgeted(docs.where("text IS NOT NULL"), "doc_id", budget, str(folder), 3)
+        assert b"".join(p.read_bytes() for p in sorted(folder.glob("part-*"))) == want
+    with pytest.raises(ValueError):
+        corpus.write_budgeted(docs, "doc_id", 1, str(tmp_path / "x"), mark="|")

@@ -120,7 +120,7 @@ def test_planned_shards_are_assembled_and_verified(spark, tmp_path):
 
 
 def test_token_streams(spark):
-    stream = generate.random_tokens(spark, 500, 100, 7)
+    stream = generate.random_tokens(spark.range(500).withColumnRenamed("id", "pos"), 100, 7)
     row = tokens.token_range(stream, 100).first()
     assert row.within and 0 <= row.least <= row.most < 100 and not tokens.token_range(stream, 50).first().within
     starts = [[r.start for r in tokens.random_windows(spark, 1000, 8, 65, 3).orderBy("window").collect()] for _ in range(2)]
@@ -267,7 +267,7 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main(["verify", str(tmp_path / "s")]) == 0 and '"ok": true' in capsys.readouterr().out
     files.write(f"{tmp_path}/s/shard_00001.bin", b"xxxx")
     assert cli.main(["verify", str(tmp_path / "s")]) == 1
-    assert cli.main(["sft", f"{sf}/conversations.parquet", "--rounds", "2", "--quota", "5", "--output", str(tmp_path / "sft")]) == 0
+    assert cli.main(["sft", f"{sf}/conversations.parquet", "--rounds", "2", "--quota", "5", "--allow_short", "1", "--output", str(tmp_path / "sft")]) == 0
     assert 0 < spark.read.json(str(tmp_path / "sft")).count() <= 3 * 6 * 5
     files.write(f"{tmp_path}/config.json", json.dumps(CONFIG).encode())
     assert cli.main(["preflight", f"{tmp_path}/config.json", str(tmp_path / "s")]) == 1 and '"shards": false' in capsys.readouterr().out

@@ -258,3 +258,24 @@ def test_partials_of_one_writer(tmp_path):
     assert len(files.listed(f"{tmp_path}/partials", ".idx")) == 2
     with pytest.raises(shards.ShardError):
         sink.write(iter([pa.RecordBatch.from_pydict({"source": ["a"], "start": [0], "tokens": [b"\x01"]})]))
+
+
+def test_commands_of_streams_and_studies(spark, tmp_path, capsys):
+    from lodestone.operators import audit
+    from lodestone.plans import cli
+
+    docs = lines_folder(f"{tmp_path}/lines", 60)
+    assert cli.main(["stream", f"{tmp_path}/lines", f"{tmp_path}/out", "--target", "300"]) == 0
+    assert cli.main(["shards", f"{tmp_path}/out", "--shard_tokens", "100"]) == 0
+    want = expected(docs, 300)
+    assert json.loads(capsys.readouterr().out.strip().splitlines()[-1]) == {s: len(t) for s, t in want.items()}
+    files.write(f"{tmp_path}/sources.json", json.dumps({s: f"{tmp_path}/out/{s}" for s in want}).encode())
+    assert cli.main(["assemble", f"{tmp_path}/sources.json", f"{tmp_path}/whole"]) == 0
+    told = files.read_object(f"{tmp_path}/whole/manifest.json")["shards"]
+    assert [x["source"] for x in told[:3]] == ["s0", "s1", "s2"] and sum(x["tokens"] for x in told) == sum(map(len, want.values()))
+    spark.createDataFrame(docs, "source string, doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    assert cli.main(["validation", f"{tmp_path}/docs", "--fraction", "0.5", "--output", f"{tmp_path}/validation"]) == 0
+    assert 0 < spark.read.json(f"{tmp_path}/validation").count() < 60
+    audit.study_runs(spark).select("run", "tier", "parameters", "tokens", "loss").coalesce(1).write.option("header", True).csv(f"{tmp_path}/results")
+    assert cli.main(["analyze", f"{tmp_path}/results", "--output", f"{tmp_path}/study.md"]) == 0
+    assert [x for x in files.read(f"{tmp_path}/study.md").decode().splitlines() if x.startswith("# ")] == ["# Best runs", "# Costs", "# Fitted law"]
