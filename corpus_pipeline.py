@@ -5,9 +5,10 @@ the columns of `documents`. `run` writes each stage's result to the shared folde
 
 Verdicts name a row by its identifier and a hash of its text, both of which may be missing: rows that share an
 identifier but not the text have verdicts of their own, and rows without an identifier have theirs. Equal rows share
-their verdicts; of a group of near-duplicates, equal rows included, one row stays. Null and empty texts are
-near-duplicates of one another. An empty table passes all stages. Columns beyond those of `documents` are kept, whatever
-they are called, but for those that the last stage's results replace (size, text_crc32, law, shard, slot).
+their verdicts; of a group of near-duplicates, equal rows included, one row stays. Texts of any length pass whole. Rows
+that tie are told apart by text hash where a stage must choose. Null and empty texts are near-duplicates of one
+another. An empty table passes all stages. Columns beyond those of `documents` are kept, whatever they are called, but
+for those that the last stage's results replace (size, text_crc32, law, shard, slot).
 """
 
 from __future__ import annotations
