@@ -172,6 +172,8 @@ class TokenShards(DataSource):
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(TokenShards)
+    # Without it, Spark refuses a source that takes filters.
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
 def write_shards(tokens: DataFrame, folder: str, shard_tokens: int, vocabulary: int = 1 << 16) -> None:
@@ -184,7 +186,6 @@ def write_shards(tokens: DataFrame, folder: str, shard_tokens: int, vocabulary:
 def read_tokens(spark: SparkSession, folder: str, start: int = 0, end: int | None = None) -> DataFrame:
     """shard, pos, token of the tokens start .. end - 1 (null: to the last): only files that hold some of them are opened."""
     register(spark)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     rows = spark.read.format("token_shards").load(folder).where(F.col("pos") >= start)
     return rows if end is None else rows.where(F.col("pos") < end)
 
