@@ -88,8 +88,8 @@ def largest_triangles(log: DataFrame, series: str, order: list[str], x: Column,
     of equal ones the first. x, y: whole numbers, x never falling in the order. Adds place, from 0.
 
     What a run offers does not depend on what was chosen before it, but for a line: the largest triangle lies at a corner
-    of the run's convex hull. So runs are cut down to hulls by many tasks, whatever a run's size, and only hulls, at most
-    `points` of a series, are gone through in order. All of it is whole numbers, so no rounding decides."""
+    of the run's convex hull. So stretches of `span` points are cut down to hulls by many tasks, whatever a run's size, and
+    only hulls are gone through in order. All of it is whole numbers, so no rounding decides."""
     if points < 3:
         raise ValueError("a series keeps three points at least")
     n_cols = [series, *order]
@@ -101,13 +101,19 @@ def largest_triangles(log: DataFrame, series: str, order: list[str], x: Column,
     means = runs.groupBy(series, "_run").agg(F.sum("_x").cast("decimal(38,0)").alias("sx"), F.sum("_y").cast("decimal(38,0)").alias("sy"), F.count(F.lit(1)).alias("n"))
 
     def corners(some: pd.DataFrame) -> pd.DataFrame:
-        held = hull([tuple(map(int, p)) for p in zip(some["_x"], some["_y"], some["place"], strict=True)])
-        return pd.DataFrame({series: [some[series].iloc[0]] * len(held), "_run": some["_run"].iloc[0], "_x": [p[0] for p in held], "_y": [p[1] for p in held], "place": [p[2] for p in held]})
+        """The hulls of the runs, or parts of runs, in a stretch of a series."""
+        by: dict[int, list] = {}
+        for run, *p in zip(*(some[c].tolist() for c in ("_run", "_x", "_y", "place")), strict=True):
+            by.setdefault(run, []).append(tuple(p))
+        held = [(run, *p) for run, points in by.items() for p in hull(points)]
+        out = pd.DataFrame(held, columns=["_run", "_x", "_y", "place"])
+        out.insert(0, series, some[series].iloc[0])
+        return out
 
     kind = log.schema[series].dataType.simpleString()
     schema = f"`{series}` {kind}, _run long, _x long, _y long, place long"
-    few = runs.select(series, "_run", "_x", "_y", "place").groupBy(series, "_run", F.floor(F.col("place") / span)).applyInPandas(corners, schema)
-    hulls = few.groupBy(series, "_run").applyInPandas(corners, schema)
+    # A run of several stretches has several hulls, whose points together hold every corner of its own.
+    hulls = runs.select(series, "_run", "_x", "_y", "place").groupBy(series, F.floor(F.col("place") / span)).applyInPandas(corners, schema)
 
     def fold(some: pd.DataFrame) -> pd.DataFrame:
         by: dict[int, list] = {}
