@@ -40,7 +40,7 @@ def test_stages_take_effect_and_keep_clean_documents(spark):
 
 
 def test_all_operators_are_registered():
-    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 11)] and set(ORACLES) <= set(QUERIES)
+    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 14)] and set(ORACLES) <= set(QUERIES)
 
 
 @pytest.fixture
