@@ -74,22 +74,63 @@ class Model:
         return n, self.languages[order[0]], int(total[order[0]] - total[order[1]]) if len(total) > 1 else 0
 
 
+#: Trigrams that are counted at a time, and distinct ones that a task holds before it passes them on.
+COUNTED, HELD = 1 << 20, 1 << 20
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and how often each stands, of several such pairs."""
+    grams, at = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    n = np.zeros(len(grams), np.int64)
+    np.add.at(n, at, np.concatenate([k for _, k in parts]))
+    return grams, n
+
+
+class _Counter:
+    """How often each trigram stands in the texts of a language, counted by bounded stretches."""
+
+    def __init__(self):
+        self.told, self.open, self.n = [], [], 0
+
+    def add(self, grams: np.ndarray) -> None:
+        self.open.append(grams)
+        self.n += len(grams)
+        if self.n >= COUNTED:
+            self.close()
+
+    def close(self) -> None:
+        if self.open:
+            self.told = [_summed([*self.told, np.unique(np.concatenate(self.open), return_counts=True)])]
+            self.open, self.n = [], 0
+
+
 def _counts(rows: DataFrame) -> DataFrame:
+    def told(language: str, counter: _Counter) -> Iterator[pa.RecordBatch]:
+        counter.close()
+        for grams, n in counter.told:
+            yield pa.RecordBatch.from_arrays([pa.array([language] * len(grams), pa.string()), pa.array(grams), pa.array(n.astype(np.int64))], ["language", "gram", "n"])
+        counter.told = []
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters: dict[str, _Counter] = {}
         for batch in batches:
-            for language in set(batch.column(0).to_pylist()):
-                texts = [t for x, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if x == language]
-                grams, n = np.unique(np.concatenate([g for t in texts for g in trigrams(t)] or [np.empty(0, np.int64)]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([language] * len(grams), pa.string()), pa.array(grams), pa.array(n.astype(np.int64))], ["language", "gram", "n"])
+            for language, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                counter = counters.setdefault(language, _Counter())
+                for grams in trigrams(text.as_py()):
+                    counter.add(grams)
+                if sum(len(g) for g, _ in counter.told) >= HELD:
+                    yield from told(language, counter)
+        for language, counter in counters.items():
+            yield from told(language, counter)
 
     return rows.mapInArrow(count, "language string, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
 
 
-def learn(docs: DataFrame, text: str = "text", label: str = "lang", rows: int = TRAIN_ROWS, least: int = LEAST, most: int = MOST) -> Model:
-    """A model from at most about `rows` labelled texts, chosen by the hash of the text."""
+def learn(docs: DataFrame, text: str = "text", label: str = "lang", rows: int | None = TRAIN_ROWS, least: int = LEAST, most: int = MOST) -> Model:
+    """A model from at most about `rows` labelled texts, chosen by the hash of the text; without a number, from all."""
     known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("language"), F.col(text).alias("text"))
-    n = known.count()
-    sample = known if n <= rows else known.where(in_fraction(F.col("text"), rows / n))
+    n = 0 if rows is None else known.count()
+    sample = known if rows is None or n <= rows else known.where(in_fraction(F.col("text"), rows / n))
     counts = table(_counts(sample), "trigrams")
     often = counts.groupBy("gram").agg(F.sum("n").alias("all")).where(F.col("all") >= least).orderBy(F.desc("all"), "gram").limit(most)
     held = counts.join(often, "gram").select("language", "gram", "n").collect()  # at most `most` for each language

@@ -164,3 +164,31 @@ def test_spread_averages_equal_the_fold(spark, span):
     plain = {x.series: (x.ema, x.n) for x in metrics.ema(df, "series", ["i"], "value").collect()}
     spread = {x.series: (x.ema, x.n) for x in metrics.ema_spread(df, "series", ["i"], "value", span=span).collect()}
     assert plain.keys() == spread.keys() and all(math.isclose(plain[s][0], spread[s][0], rel_tol=1e-9) and plain[s][1] == spread[s][1] for s in plain)
+
+
+def test_a_model_may_learn_from_all_texts_however_they_are_cut(spark, monkeypatch):
+    r = random.Random(8)
+    texts = [(i, r.choice(["en", "de"]), " ".join("".join(r.choice("abcdeé") for _ in range(r.randint(1, 6))) for _ in range(r.randint(0, 30)))) for i in range(400)]
+    rows = spark.createDataFrame(texts, "doc_id long, lang string, text string").repartition(3)
+    monkeypatch.setattr(language, "TRAIN_ROWS", 20)
+    monkeypatch.setattr(language, "COUNTED", 50)
+    monkeypatch.setattr(language, "HELD", 100)
+    counts = Counter((lang, flat(t)[i : i + 3]) for _, lang, t in texts for i in range(len(flat(t)) - 2))
+    assert {(x.language, language.as_text(x.gram)): x.n for x in language._counts(rows.select("lang", "text")).collect()} == counts
+    model = language.learn(rows, rows=None)
+    held = sorted(g for g in {g for _, g in counts} if sum(counts[lang, g] for lang in ("de", "en")) >= language.LEAST)
+    assert [language.as_text(int(g)) for g in model.grams] == held
+    total = sum(counts["en", g] for g in held)
+    assert model.weights[:, 1].tolist() == [math.floor(1000 * math.log((counts["en", g] + 1) / (total + len(held)))) for g in held]
+
+
+def test_languages_are_learnt_from_all_documents(spark, tmp_path, monkeypatch):
+    from lodestone.queries import QUERIES
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    monkeypatch.setattr(language, "_counts", lambda rows, count=language._counts: seen.append(rows.count()) or count(rows))
+    monkeypatch.setattr(language.learn, "__defaults__", ("text", "lang", 20, language.LEAST, language.MOST))
+    QUERIES["language_identified"](spark, str(tmp_path))
+    assert seen == [docs.where("lang IS NOT NULL AND text IS NOT NULL").count()]
