@@ -97,10 +97,15 @@ def remaining(rows: DataFrame, ordinal: str, read: int) -> DataFrame:
     return rows.where(F.col(ordinal) >= read)
 
 
-def build(spark: SparkSession, source: str, schema, folder: str, target: int, files_per_batch: int = 4) -> DataFrame:
-    """Runs over all files that are there now and stops; call again to go on where it stopped."""
+def build(spark: SparkSession, source: str, schema, folder: str, target: int, files_per_batch: int | None = 4) -> DataFrame:
+    """Runs over all files that are there now and stops; call again to go on where it stopped.
+
+    Batches take their files as they come, and budgets go by batch before they go by document: the first documents of a
+    source fill its budget, however its files are cut and dated, only where all that is there makes one batch
+    (files_per_batch=None)."""
     guard(spark, folder, {"target": target, "min_chars": MIN_CHARS, "source": source})
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
+    reader = spark.readStream.schema(schema)
+    stream = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(source)
     query = first_documents(stream).writeStream.outputMode("update").foreachBatch(lambda df, i: accept_batch(new_documents(df), i, folder, target)).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
     return committed(spark, folder)

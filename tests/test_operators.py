@@ -135,6 +135,21 @@ def test_a_batch_takes_the_first_documents_and_runs_again_alike(spark, tmp_path)
     assert sorted(r.doc_id for r in build.committed(spark, folder).collect()) == [2, 3, 5, 6]
 
 
+def test_the_streaming_query_takes_first_documents_however_files_are_cut(spark, tmp_path):
+    import duckdb
+
+    from lodestone.queries import ORACLES, QUERIES
+
+    docs = spark.createDataFrame([(i, f"text {i // 3} " + "word " * 300, "en", f"src{i % 2}") for i in range(60)], "doc_id long, text string, lang string, source string")
+    for begin in range(54, -1, -6):  # files of the first documents come last
+        docs.where(f"doc_id >= {begin} AND doc_id < {begin + 6}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = "source, doc_id, key, tokens, kept, batch"
+    got = QUERIES["stream_build"](spark, str(tmp_path)).select(*columns.split(", "))
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(ORACLES["stream_build"]).project(columns).fetchall())
+
+
 def best_by_hand(rows, k, similar=True):
     """The k best others of each item by comparing all pairs; ties by the hash of the other."""
     out = {}
