@@ -104,3 +104,25 @@ def test_words_are_folded(spark):
     texts = ["Straße STRASSE", "ﬁne K2 ſee", "A-b_C a", None]
     got = [r.w for r in spark.createDataFrame(list(enumerate(texts)), "i int, t string").orderBy("i").select(T.lexical_words(F.col("t")).alias("w")).collect()]
     assert got == [["strasse"], ["fine", "k2", "see"], ["a", "b", "c"], []]
+
+
+def test_batches_for_python_are_bounded_by_bytes(spark, tmp_path):
+    import pyarrow as pa
+
+    from lodestone.plans.catalog import docs
+    from lodestone.sources.scratch import BATCH_BYTES
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = spark.range(3000, numPartitions=1).selectExpr("id AS doc_id", "repeat('word ', 2000) AS text", "'en' AS lang", "'a' AS source")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+
+    def told(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    spark.conf.unset(name)
+    assert max(r.n for r in docs(spark, str(tmp_path)).select("text").mapInArrow(told, "n long").collect()) < 2 * BATCH_BYTES
+    spark.conf.set(name, "1m")
+    docs(spark, str(tmp_path))
+    assert spark.conf.get(name) in ("1m", "1048576b", "1048576")
+    spark.conf.unset(name)
