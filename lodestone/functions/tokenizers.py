@@ -54,14 +54,15 @@ def counter_of(path: str | None) -> Callable[[str], int]:
     return lambda text: len(model.encode([text])[0])
 
 
-def _batches(texts: pd.Series, most: int = 1 << 20):
-    """Consecutive slices of about `most` characters."""
+def _batches(texts: pd.Series, most: int = 1 << 18):
+    """Consecutive slices of about `most` characters (or tokens): a library holds over a hundred bytes for each token."""
     start, held = 0, 0
     for i, text in enumerate(texts):
-        if i > start and held + len(text or "") > most:
+        n = 0 if text is None else len(text)
+        if i > start and held + n > most:
             yield start, i
             start, held = i, 0
-        held += len(text or "")
+        held += n
     if start < len(texts):
         yield start, len(texts)
 
@@ -84,7 +85,10 @@ def token_ids(text: Column, path: str, most: int | None = None, end: int | None
 def decoded(ids: Column, path: str) -> Column:
     @F.pandas_udf("string")
     def decode(rows: pd.Series) -> pd.Series:
-        return pd.Series(loaded(path).decode([[int(x) for x in r] if r is not None else [] for r in rows]), dtype=object)
+        model, out = loaded(path), []
+        for a, b in _batches(rows):
+            out += model.decode([[int(x) for x in r] if r is not None else [] for r in rows.iloc[a:b]])
+        return pd.Series(out, dtype=object)
 
     return decode(ids)
 

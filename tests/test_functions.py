@@ -126,3 +126,12 @@ def test_batches_for_python_are_bounded_by_bytes(spark, tmp_path):
     docs(spark, str(tmp_path))
     assert spark.conf.get(name) in ("1m", "1048576b", "1048576")
     spark.conf.unset(name)
+
+
+def test_tokens_are_decoded_by_bounded_slices():
+    import pandas as pd
+
+    from lodestone.functions.tokenizers import _batches
+
+    rows = pd.Series([[1] * 100_000, None, [2] * 200_000, [], [3] * 300_000], dtype=object)
+    assert list(_batches(rows)) == [(0, 2), (2, 4), (4, 5)] and list(_batches(rows[:0])) == []
