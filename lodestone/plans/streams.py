@@ -14,13 +14,15 @@ from lodestone.streaming.session import run_session
 
 #: Micro-batches that a run takes, about, whatever the table's size.
 BATCHES = 5
+#: Bytes of a file of lines, about; one task sorts and writes it.
+FILE_BYTES = 32 << 20
 
 
 def _lines(spark, d, folder):
     """The documents as JSON lines, and the bytes that make about BATCHES micro-batches of them."""
     rows = docs(spark, d).select("source", "doc_id", "text")
-    shards.write_lines(rows, f"{folder}/lines", ["doc_id"], 3)
     size = rows.agg(F.sum(F.octet_length(F.to_json(F.struct("source", "doc_id", "text"))) + 1)).first()[0] or 0
+    shards.write_lines(rows, f"{folder}/lines", ["doc_id"], max(3, -(-size // FILE_BYTES)))
     return f"{folder}/lines", size // BATCHES + 1
 
 

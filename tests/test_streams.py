@@ -279,3 +279,17 @@ def test_commands_of_streams_and_studies(spark, tmp_path, capsys):
     audit.study_runs(spark).select("run", "tier", "parameters", "tokens", "loss").coalesce(1).write.option("header", True).csv(f"{tmp_path}/results")
     assert cli.main(["analyze", f"{tmp_path}/results", "--output", f"{tmp_path}/study.md"]) == 0
     assert [x for x in files.read(f"{tmp_path}/study.md").decode().splitlines() if x.startswith("# ")] == ["# Best runs", "# Costs", "# Fitted law"]
+
+
+def test_files_of_lines_grow_in_number_and_not_in_size(spark, tmp_path, monkeypatch):
+    from lodestone.plans import streams
+
+    rows = spark.createDataFrame([(i, f"text {i} " + "word " * 100, "en", f"src{i % 2}") for i in range(400)], "doc_id long, text string, lang string, source string")
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(streams, "FILE_BYTES", 20_000)
+    folder, batch = streams._lines(spark, str(tmp_path), str(tmp_path))
+    names = sorted(p for p in (tmp_path / "lines").glob("*.txt"))
+    lines = [json.loads(x)["doc_id"] for p in names for x in p.read_text().splitlines()]
+    assert len(names) >= 10 and max(p.stat().st_size for p in names) < 60_000 and lines == list(range(400))
+    got = streams.resumed_lines(spark, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == list(range(400))
