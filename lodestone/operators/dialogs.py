@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import schemas
 from lodestone.functions.hashing import simhash_of_words, split_90_5_5
 from lodestone.functions.text import lexical_words
-from lodestone.operators.ordered import place_in_group
+from lodestone.operators.ordered import global_position
 from lodestone.operators.quotas import first_within_quotas
 from lodestone.sources.scratch import table
 
@@ -110,26 +110,37 @@ def seed_tools(seeds: DataFrame) -> DataFrame:
 # --- partners by shared words ---
 
 
-def _jitter() -> Column:
-    return F.sha2("other", 256)
-
-
 def _best(pairs: DataFrame, keys: list[str], k: int, score: Column) -> DataFrame:
-    """Of each key the k best others, each name once (its best), ties by a hash; adds rank."""
-    named = pairs.groupBy(*keys, "other_name").agg(F.min(F.struct((-score if score is not None else F.lit(0)).alias("s"), _jitter().alias("j"), "other", "overlap")).alias("b"))
-    flat = named.select(*keys, "other_name", F.col("b.s").alias("s"), F.col("b.j").alias("j"), F.col("b.other").alias("other"), F.col("b.overlap").alias("overlap"))
-    ranked = flat.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("s", "j")))  # Spark keeps k rows of a key in each task before the shuffle
-    return ranked.where(F.col("rank") <= k).drop("s", "j")
+    """Of each key the k best others by number, each name once (its best), ties by the lesser number; adds rank."""
+    named = pairs.groupBy(*keys, "other_name").agg(F.min(F.struct((-score).alias("s"), "other", "overlap")).alias("b"))
+    ranked = named.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy("b.s", "b.other")))  # Spark keeps k rows of a key in each task before the shuffle
+    return ranked.where(F.col("rank") <= k).select(*keys, "other_name", F.col("b.other").alias("other"), F.col("b.overlap").alias("overlap"), "rank")
 
 
 def _members(groups: DataFrame, keys: list[str], k: int) -> DataFrame:
-    """Of each group the k first items by hash, each name once: other, other_name. What a group gives never depends on its size."""
-    rows = groups.select(*keys, F.col("id").alias("other"), F.col("name").alias("other_name"), F.lit(0).alias("overlap"))
-    return _best(rows, keys, k, None).select(*keys, "other", "other_name")
+    """Of each group the k first items, each name once: other, other_name. What a group gives never depends on its size."""
+    return _best(groups.withColumn("overlap", F.lit(0)), keys, k, F.col("overlap")).select(*keys, "other", "other_name")
 
 
 #: Steps of samples: an item takes every so-maniest of the others, by one that doesn't divide their number.
 STRIDES = [1_000_003, 1_000_033, 1_000_037, 1_000_039, 1_000_081, 1_000_099, 1_000_117, 1_000_121]
+#: Frequent words of a set whose subsets are listed, at most; sets of more are compared with all others that share a word.
+SUBSETS = 8
+
+
+def _ring(items: DataFrame, scope: list[str]) -> DataFrame:
+    """Adds no, the item's place by scope and the hash of its identifier, first, the least of its scope, and others, how many that has besides."""
+    placed = table(global_position(items.withColumn("_hash", F.sha2("id", 256)), [*scope, "_hash", "id"], "no").drop("_hash"), "ring")
+    return placed.join(placed.groupBy(*scope).agg(F.min("no").alias("first"), (F.count(F.lit(1)) - 1).alias("others")), scope)
+
+
+def _asked(ring: DataFrame, count: int) -> DataFrame:
+    """Adds other, the number of another item of the scope: a row for each item of the sample (see `neighbours`)."""
+    fitting = F.filter(F.array(*map(F.lit, STRIDES)), lambda p: F.col("others") % p != 0)
+    asked = ring.where("others > 0").withColumn("_stride", F.get(fitting, F.pmod(F.xxhash64("id"), F.size(fitting)).cast("int")))
+    asked = asked.withColumn("_step", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(max(100, 24 * count)).cast("long"), F.col("others")))))
+    ahead = F.pmod(F.col("_step") * F.col("_stride"), F.col("others")) + 1
+    return asked.withColumn("other", F.col("first") + F.pmod(F.col("no") - F.col("first") + ahead, F.col("others") + 1)).drop("_stride", "_step")
 
 
 def neighbours(items: DataFrame, scope: list[str], count: int) -> DataFrame:
@@ -137,52 +148,107 @@ def neighbours(items: DataFrame, scope: list[str], count: int) -> DataFrame:
 
     Items stand in a ring by their hash. An item goes round it from its own place, by a prime that its hash chooses, so it
     meets nobody twice, and neighbours in the ring meet different ones. Only identifiers travel."""
-    ranked = table(place_in_group(items.select(*scope, "id", F.sha2("id", 256).alias("_hash")), scope, ["_hash", "id"], "_at").drop("_hash"), "ring")
-    sizes = ranked.groupBy(*scope).agg((F.count(F.lit(1)) - 1).alias("_others"))
-    fitting = F.filter(F.array(*map(F.lit, STRIDES)), lambda p: F.col("_others") % p != 0)
-    asked = ranked.join(sizes, scope).where("_others > 0").withColumn("_stride", F.get(fitting, F.pmod(F.xxhash64("id"), F.size(fitting)).cast("int")))
-    asked = asked.withColumn("_step", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(max(100, 24 * count)).cast("long"), F.col("_others")))))
-    there = ranked.select(*scope, F.col("id").alias("other"), F.col("_at").alias("_there"))
-    ahead = F.pmod(F.col("_step") * F.col("_stride"), F.col("_others")) + 1
-    return asked.withColumn("_there", F.pmod(F.col("_at") + ahead, F.col("_others") + 1)).join(there, [*scope, "_there"]).select(*scope, "id", "other")
-
-
-def partners(items: DataFrame, scope: list[str], k: int, similar: bool = True, frequent: int | None = None) -> DataFrame:
-    """items: id, name, words and the columns of `scope`. For each item the k others of its scope, of other names, that
-    share most words with it (or fewest, among its sample of the scope), ties by a hash: id, other, overlap, rank.
+    ring = table(_ring(items.select(*scope, "id"), scope), "ring")
+    return _asked(ring, count).withColumnRenamed("other", "_there").join(ring.select(F.col("no").alias("_there"), F.col("id").alias("other")), "_there").select(*scope, "id", "other")
+
+
+def numbered(items: DataFrame, scope: list[str]) -> DataFrame:
+    """A table of items for `sampled` and `shared`, which join numbers only: those of the ring (lesser ones win ties),
+    name, the least number of the scope's items so called, and words, their hashes together with the scope, in order."""
+    words = F.array_sort(F.array_distinct(F.transform(F.coalesce("words", F.array().cast("array<string>")), lambda w: F.xxhash64(*scope, w))))
+    ring = _ring(items.select(*scope, "id", "name", words.alias("words")), scope)
+    names = ring.groupBy(*scope, "name").agg(F.min("no").alias("_name"))
+    return table(ring.join(names, [*scope, "name"]).drop("name").withColumnRenamed("_name", "name"), "items")
+
+
+def sampled(items: DataFrame, k: int) -> DataFrame:
+    """items: `numbered`. Of each item's sample the k that share most words and the k that share fewest, each name once:
+    no, other_name, most and least (s: words shared, below zero in most; other), most_rank, least_rank."""
+    sides = items.select(F.col("no").alias("other"), F.col("name").alias("other_name"), F.col("words").alias("_words"))
+    pairs = _asked(items.select("no", "id", "first", "others", "name", "words"), k).drop("id", "first", "others").join(sides, "other").where("name != other_name")
+    # One exchange by the item serves both what is grouped and what is ranked.
+    each = pairs.select("no", "other", "other_name", F.size(F.array_intersect("words", "_words")).alias("overlap")).repartition("no")
+    named = each.groupBy("no", "other_name").agg(F.min(F.struct((-F.col("overlap")).alias("s"), "other")).alias("most"), F.min(F.struct(F.col("overlap").alias("s"), "other")).alias("least"))
+    ranked = named.withColumns({f"{c}_rank": F.row_number().over(Window.partitionBy("no").orderBy(f"{c}.s", f"{c}.other")) for c in ("most", "least")})
+    return table(ranked.where((F.col("most_rank") <= k) | (F.col("least_rank") <= k)), "sampled")
+
+
+def _subsets(sets: DataFrame) -> DataFrame:
+    """set, part (the hash of a subset that isn't empty) and n, its size, for each subset of the words of a set."""
+    masks = sets.select("set", "hot", F.explode(F.sequence(F.lit(1), F.pow(F.lit(2), F.size("hot")).cast("int") - 1)).alias("_mask"))
+    chosen = F.filter("hot", lambda w, i: F.call_function("getbit", F.col("_mask"), i) == 1)
+    return masks.select("set", F.xxhash64(chosen).alias("part"), F.bit_count("_mask").cast("int").alias("n"))
+
+
+def _by_sets(sets: DataFrame, stand: DataFrame, spare: int) -> DataFrame:
+    """sets: set, hot. stand: set, other, other_name. For each set the others whose sets share most of its words: set, other, other_name, overlap.
+
+    What two sets share is a subset of both. Each subset keeps the first items of the sets around it, and a set looks up
+    its own subsets: whoever shares it and isn't kept there is behind those that are. So work follows the number of sets,
+    not of their pairs. Sets of more than SUBSETS words would have too many and are compared with all that share a word."""
+    small = F.size("hot") <= SUBSETS
+    parts = _subsets(sets.where(small))
+    kept = _members(parts.join(stand, "set"), ["part"], spare)
+    found = parts.join(kept, "part").select("set", "other", "other_name", F.col("n").alias("overlap")).repartition("set")
+    if not sets.where(~small).isEmpty():
+        words = sets.select("set", small.alias("small"), F.explode("hot").alias("word"))
+        pairs = words.join(words.select(F.col("set").alias("of"), F.col("small").alias("_small"), "word"), "word").where("NOT (small AND _small)")
+        agree = pairs.groupBy("set", "of").agg(F.count(F.lit(1)).cast("int").alias("overlap"))
+        found = found.unionByName(agree.join(stand.withColumnRenamed("set", "of"), "of").select("set", "other", "other_name", "overlap"))
+    return _best(found, ["set"], spare, F.col("overlap")).drop("rank")
+
+
+def shared(items: DataFrame, k: int, frequent: int) -> DataFrame:
+    """items: `numbered`. Of each item at least the k others, of other names, that share most words with it, of those
+    that share one: no, other, other_name, overlap.
 
     Items of equal words form a class, and classes are compared, never items. A word that more than `frequent` classes
     have isn't used to find classes: classes that share only such words agree in them alone, so the sets of frequent
     words are compared instead, each standing for its k + 1 first items. Candidates are complete: every shared word
-    counts, and no pairs of all holders of a word are made."""
-    spare, frequent = k + 1, frequent or FREQUENT
-    named = items.select(*scope, F.col("id").alias("other"), F.col("name").alias("other_name"), F.col("words").alias("_other_words"))
-    sample = neighbours(items, scope, k).join(named, [*scope, "other"]).join(items.select(*scope, "id", "name", F.col("words").alias("_words")), [*scope, "id"]).where("name != other_name")
-    sample = sample.select(*scope, "id", "other", "other_name", F.size(F.array_intersect("_words", "_other_words")).alias("overlap"))
-    if not similar:
-        return _best(sample, [*scope, "id"], k, -F.col("overlap"))
-    keyed = table(items.withColumn("words", F.array_sort("words")).withColumn("class", F.xxhash64(F.concat_ws(" ", "words"))), "items")
-    held = table(keyed.groupBy(*scope, "class").agg(F.first("words").alias("words")), "classes")
-    words = held.select(*scope, "class", F.explode("words").alias("word"))
-    often = words.groupBy(*scope, "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > frequent).drop("n")
-    rare = words.join(often, [*scope, "word"], "left_anti")
-    found = rare.join(rare.withColumnRenamed("class", "of"), [*scope, "word"]).select(*scope, "class", "of").distinct()
-    sets = held.select(*scope, F.col("class").alias("of"), F.col("words").alias("_w"))
-    close = found.join(held, [*scope, "class"]).join(sets, [*scope, "of"]).select(*scope, "class", "of", F.size(F.array_intersect("words", "_w")).alias("overlap"))
-    first = table(_members(keyed, [*scope, "class"], spare), "members")
-    by_class = close.join(first.withColumnRenamed("class", "of"), [*scope, "of"]).select(*scope, "class", "other", "other_name", "overlap")
-    # Sets of frequent words: few, however many classes have them.
-    hot = table(words.join(often, [*scope, "word"]).groupBy(*scope, "class").agg(F.array_sort(F.collect_set("word")).alias("hot")).withColumn("set", F.xxhash64(F.concat_ws(" ", "hot"))), "hot")
-    hot_sets = hot.groupBy(*scope, "set").agg(F.first("hot").alias("hot"))
-    hot_words = hot_sets.select(*scope, "set", F.explode("hot").alias("word"))
-    agree = hot_words.join(hot_words.withColumnRenamed("set", "of"), [*scope, "word"]).groupBy(*scope, "set", "of").agg(F.count(F.lit(1)).cast("int").alias("overlap"))
-    stand = _members(first.join(hot.select(*scope, "class", "set"), [*scope, "class"]).withColumnsRenamed({"other": "id", "other_name": "name"}), [*scope, "set"], spare)
-    by_set = _best(agree.join(stand.withColumnRenamed("set", "of"), [*scope, "of"]), [*scope, "set"], spare, F.col("overlap"))
-    by_hot = by_set.join(hot.select(*scope, "class", "set"), [*scope, "set"]).select(*scope, "class", "other", "other_name", "overlap")
-    best = _best(by_class.unionByName(by_hot), [*scope, "class"], spare, F.col("overlap")).select(*scope, "class", "other", "other_name", "overlap")
-    listed = keyed.select(*scope, "id", "name", "class").join(best, [*scope, "class"]).where("name != other_name")
-    both = listed.select(*scope, "id", "other", "other_name", "overlap").unionByName(sample)
-    return _best(both, [*scope, "id"], k, F.col("overlap"))
+    counts, and no pairs of all holders of a word are made. What a word's holders are to each other is cut to the k + 1
+    best where they meet, so no pairs travel."""
+    spare = k + 1
+    keyed = items.where(F.size("words") > 0).withColumn("class", F.xxhash64("words"))
+    words = table(keyed.groupBy("class").agg(F.first("words").alias("words")), "classes").select("class", F.explode("words").alias("word"))
+    often = words.groupBy("word").agg((F.count(F.lit(1)) > frequent).alias("often"))
+    split = words.join(often, "word").groupBy("class").agg(*(F.array_sort(F.collect_list(F.when(of, F.col("word")))).alias(c) for c, of in (("rare", ~F.col("often")), ("hot", F.col("often")))))
+    first = table(_members(keyed.select("class", F.col("no").alias("other"), F.col("name").alias("other_name")), ["class"], spare), "members")
+    held = table(split.join(first.groupBy("class").agg(F.collect_list(F.struct("other", "other_name")).alias("members")), "class").withColumn("set", F.xxhash64("hot")), "held")
+    # A number of partitions is named, since Spark would go by the bytes of the lists and let one task make all pairs.
+    tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rare = held.select("class", "rare", "hot", "members", F.explode("rare").alias("word")).repartition(tasks, "word")
+    of = rare.select(F.col("class").alias("of"), F.col("rare").alias("_rare"), F.col("hot").alias("_hot"), "members", "word")
+    agreed = F.array_intersect("rare", "_rare")
+    # Two classes meet at each rare word that they share; the first one counts.
+    met = rare.drop("members").join(of, "word").where(F.col("class") != F.col("of")).withColumn("_agreed", agreed).where(F.array_min("_agreed") == F.col("word"))
+    each = met.select("word", "class", (F.size("_agreed") + F.size(F.array_intersect("hot", "_hot"))).alias("overlap"), F.inline("members"))
+    by_class = _best(each, ["word", "class"], spare, F.col("overlap")).select("class", "other", "other_name", "overlap")
+    own = held.select("class", (F.size("rare") + F.size("hot")).alias("overlap"), F.inline("members")).select("class", "other", "other_name", "overlap")
+    in_sets = table(held.where(F.size("hot") > 0).select("class", "set", "hot", "members"), "hot")
+    stand = table(_members(in_sets.select("set", F.inline("members")), ["set"], spare), "stand")
+    by_set = _by_sets(table(in_sets.groupBy("set").agg(F.first("hot").alias("hot")), "sets"), stand, spare)
+    by_hot = by_set.join(in_sets.select("class", "set"), "set").select("class", "other", "other_name", "overlap")
+    best = _best(by_class.unionByName(own).unionByName(by_hot), ["class"], spare, F.col("overlap")).select("class", "other", "other_name", "overlap")
+    return keyed.select("no", "name", "class").join(best, "class").where("name != other_name").select("no", "other", "other_name", "overlap")
+
+
+def _similar(items: DataFrame, sample: DataFrame, k: int, frequent: int | None) -> DataFrame:
+    filling = sample.where(F.col("most_rank") <= k).select("no", "most.other", "other_name", (-F.col("most.s")).alias("overlap"))
+    return _best(shared(items, k, frequent or FREQUENT).unionByName(filling), ["no"], k, F.col("overlap")).select("no", "other", "overlap", "rank")
+
+
+def _unlike(sample: DataFrame, k: int) -> DataFrame:
+    return sample.where(F.col("least_rank") <= k).select("no", "least.other", F.col("least.s").alias("overlap"), F.col("least_rank").alias("rank"))
+
+
+def partners(items: DataFrame, scope: list[str], k: int, similar: bool = True, frequent: int | None = None) -> DataFrame:
+    """items: id, name, words and the columns of `scope`. For each item the k others of its scope, of other names, that
+    share most words with it (or fewest, among its sample of the scope), ties by a hash: id, other, overlap, rank."""
+    known = numbered(items, scope)
+    sample = sampled(known, k)
+    top = _similar(known, sample, k, frequent) if similar else _unlike(sample, k)
+    named = known.select(F.col("no").alias("other"), F.col("id").alias("_id"))
+    return top.join(known.select("no", *scope, "id"), "no").join(named, "other").select(*scope, "id", F.col("_id").alias("other"), "overlap", "rank")
 
 
 # --- records ---
@@ -389,13 +455,16 @@ def candidates(seeds: DataFrame, rounds: int, categories: list[str] | None = Non
 
     categories = categories or CATEGORIES
     tools = table(seed_tools(seeds), "tools")
-    texts = tools.select("split", F.col("id").alias("other"), F.col("tool").alias("text"))
+    known = numbered(tools.select("split", "id", "name", "words"), ["split"])
+    sample = sampled(known, most)
+    texts = table(known.select("no", "split", "id").join(tools.select("split", "id", F.col("tool").alias("text")), ["split", "id"]), "texts")
 
-    def listed(similar: bool, name: str) -> DataFrame:
-        top = partners(tools.select("split", "id", "name", "words"), ["split"], most, similar).join(texts, ["split", "other"])
-        return top.groupBy("split", "id").agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("l")).select("split", "id", F.col("l.text").alias(name))
+    def listed(top: DataFrame, name: str) -> DataFrame:
+        told = top.join(texts.select(F.col("no").alias("other"), "text"), "other")
+        return told.groupBy("no").agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("l")).select("no", F.col("l.text").alias(name))
 
-    rows = seeds.withColumn("id", F.sha2("tool", 256)).join(listed(True, "similar"), ["split", "id"], "left").join(listed(False, "unlike"), ["split", "id"], "left")
+    lists = texts.select("no", "split", "id").join(listed(_similar(known, sample, most, None), "similar"), "no", "left").join(listed(_unlike(sample, most), "unlike"), "no", "left").drop("no")
+    rows = seeds.withColumn("id", F.sha2("tool", 256)).join(lists, ["split", "id"], "left")
     names = [c.split()[0] for c in RECORDS.split(", ")]
 
     def record(case: Case, split: str, count) -> tuple | None:

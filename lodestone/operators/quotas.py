@@ -62,9 +62,11 @@ def first_within_quotas(records: DataFrame, bucket: list[str], turn: list[str],
 
     Of equal turns the lesser id comes first. quotas: a number for every bucket, or a table of the bucket's columns and
     `quota`. Records without an id or a fingerprint are refused. Short buckets raise QuotaShort, unless they are allowed."""
-    if records.where(F.col(id_col).isNull() | F.col(fp_col).isNull()).take(1):
+    held = table(records.withColumn("_row", F.monotonically_increasing_id()), "records")  # made once; from here on only keys travel
+    if held.where(F.col(id_col).isNull() | F.col(fp_col).isNull()).take(1):
         raise ValueError("records need an id and a fingerprint")
-    placed = table(global_position(records, [*bucket, *turn, id_col], "_place"), "records")
+    keys = dict.fromkeys([*bucket, *turn, *scope, id_col, fp_col])
+    placed = table(global_position(held.select("_row", *keys), [*bucket, *turn, id_col], "_place"), "places")
     named = F.to_json(F.struct(*bucket), {"ignoreNullFields": "false"})
     rows = placed.select(F.col("_place").alias("place"), named.alias("bucket"), F.to_json(F.struct(*scope), {"ignoreNullFields": "false"}).alias("scope"), F.col(fp_col).alias("fp"), F.col(id_col).cast("string").alias("id"))
     if isinstance(quotas, int):
@@ -78,7 +80,8 @@ def first_within_quotas(records: DataFrame, bucket: list[str], turn: list[str],
         short = goals.join(counts, "bucket", "left").where(F.coalesce("n", F.lit(0)) < F.col("quota")).orderBy("bucket").take(20)
         if short:
             raise QuotaShort("; ".join(f"{r.bucket}: {r.n or 0} of {r.quota}" for r in short))
-    return placed.join(accepted.select(F.col("place").alias("_place")), "_place", "left_semi").drop("_place")
+    chosen = placed.join(accepted.select(F.col("place").alias("_place")), "_place", "left_semi").select("_row")
+    return held.join(chosen, "_row", "left_semi").drop("_row")
 
 
 def coupled_schedule(docs: DataFrame, weights: DataFrame, ordinal: str = "doc_id") -> DataFrame:

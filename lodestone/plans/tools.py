@@ -130,7 +130,8 @@ def sft_decisions(spark, d):
 @query()
 def sft_quota(spark, d):
     """Forty records of each split and category, or fewer where the table's seeds give no more."""
-    return dialogs.accepted_records(_records(spark, d), 40, allow_short=True).select("id", "split", "category", "round", "decision")
+    made = _records(spark, d).select("id", "split", "category", "round", "decision", "fault", "fp", "order_key")  # texts aren't asked for
+    return dialogs.accepted_records(made, 40, allow_short=True).select("id", "split", "category", "round", "decision")
 
 
 @query("SELECT c_custkey AS id, 'acct ' || c_mktsegment || ': balance = ' || CASE WHEN len(c_acctbal::VARCHAR) <= 160 THEN c_acctbal::VARCHAR END || '; name = \"' || c_name || '\"' AS line, upper(c_mktsegment) AS segment FROM customer")

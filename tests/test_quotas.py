@@ -63,6 +63,22 @@ def test_buckets_get_exactly_their_quota_or_say_so(spark):
         dialogs.accepted_records(made(spark, [(None, "train", "valid_call", 0, None, 1)]), 1)
 
 
+def test_records_are_made_once(spark):
+    """However costly records are and however long their texts: what is placed and joined are keys."""
+    made_rows = spark.sparkContext.accumulator(0)
+
+    def make(batches):
+        for part in batches:
+            made_rows.add(len(part))
+            yield part
+
+    rows = [(0, i % 3, i, f"{i}", "s", i << 8) for i in range(300)]
+    df = spark.createDataFrame(rows, RECORDS)
+    got = quotas.first_within_quotas(df.mapInPandas(make, RECORDS), ["case", "bucket"], ["turn"], 20, ["scope"], 2, allow_short=True)
+    assert sorted(map(tuple, got.collect())) == in_sequence(rows, lambda *_: 20, 2)
+    assert made_rows.value == 300
+
+
 def test_many_copies_in_one_class(spark):
     rows = [(0, b, i, f"{b}.{i}", "s", 7 if i % 2 else i << 8) for b in range(3) for i in range(400)]
     df = spark.createDataFrame(rows, RECORDS)
