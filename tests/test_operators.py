@@ -178,6 +178,18 @@ def test_partners_are_those_of_comparing_all_pairs(spark, frequent):
     assert dialogs.partners(items.limit(0), ["split"], 5).count() == 0
 
 
+def test_large_and_small_sets_of_frequent_words_meet(spark, monkeypatch):
+    """Sets of more frequent words than have their subsets listed, beside such of fewer."""
+    monkeypatch.setattr(dialogs, "SUBSETS", 2)
+    r = random.Random(6)
+    rows = [(f"i{i}", f"n{i % 40}", sorted({*(f"h{j}" for j in range(6) if r.random() < 0.4), *r.sample([f"r{j}" for j in range(30)], i % 2)}), "ab"[i % 2]) for i in range(140)]
+    items = spark.createDataFrame(rows, "id string, name string, words array<string>, split string")
+    got = {}
+    for x in sorted(dialogs.partners(items, ["split"], 5, True, 4).collect(), key=lambda x: x["rank"]):
+        got.setdefault(x.id, []).append((x.other, x.overlap))
+    assert got == best_by_hand(rows, 5)
+
+
 def test_neighbours_are_a_sample_of_the_scope(spark):
     items = spark.createDataFrame([(f"i{i}", "a" if i < 300 else "b") for i in range(330)], "id string, split string")
     got = {}
