@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import uuid
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from lodestone.functions import hashing as H
@@ -83,15 +82,17 @@ def _log(spark, d):
     e = _t(spark, d, "events")
     rows = e.select(F.concat(F.lit("run"), "user_id").alias("run"), F.when(F.col("event_type") == "purchase", "validation").otherwise("train").alias("type"), F.col("event_id").alias("step"), F.col("value").cast("double").alias("loss"), (F.col("event_id") * 1000).alias("tokens_seen"), F.col("value").cast("double").alias("tokens_per_second"), F.lit(1.5).alias("step_seconds"))
 
-    def write(log: pd.DataFrame) -> pd.DataFrame:
-        """A run's log, bounded by its steps, as its folder."""
-        run = log["run"].iloc[0]
-        files.write(f"{root}/{run}/metrics.jsonl", "\n".join(log["line"]).encode())
-        files.write(f"{root}/{run}/config.json", json.dumps({"name": run}).encode())
-        return pd.DataFrame({"run": [run]})
+    def write(batches):
+        """Each run's log, bounded by its steps, as its folder."""
+        for batch in batches:
+            for run, lines in zip(batch["run"], batch["lines"], strict=True):
+                files.write(f"{root}/{run}/metrics.jsonl", "\n".join(lines).encode())
+                files.write(f"{root}/{run}/config.json", json.dumps({"name": run}).encode())
+            yield batch[["run"]]
 
     lines = rows.select("run", F.to_json(F.struct("type", "step", "loss", "tokens_seen", "tokens_per_second", "step_seconds")).alias("line"))
-    lines.groupBy("run").applyInPandas(write, "run string").write.format("noop").mode("overwrite").save()
+    logs = lines.groupBy("run").agg(F.collect_list("line").alias("lines")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "run")
+    logs.mapInPandas(write, "run string").write.format("noop").mode("overwrite").save()
     return root
 
 
@@ -100,15 +101,14 @@ def run_folders(spark, d):
     """Folders of runs: their logs, and what a dashboard shows of each."""
     root = _log(spark, d)
     shown = runs.run_table(runs.scan_metrics(spark, root)).join(runs.scan_configs(spark, root).select("run"), "run")
-    log = runs.scan_metrics(spark, root).where("type = 'train'").groupBy("run").agg(F.sum("step_seconds").alias("seconds"))
-    return shown.join(log, "run").select("run", "file", "loss", "tokens", "tokens_per_second", "seconds")
+    return shown.select("run", "file", "loss", "tokens", "tokens_per_second", "seconds")
 
 
 @query("SELECT 'run' || user_id AS run, count(*) AS records FROM events GROUP BY 1")
 def dashboard_export(spark, d):
     folder = _folder(spark, "dashboard")
     runs.export_dashboard(runs.scan_metrics(spark, _log(spark, d)), folder)
-    return spark.read.json(folder).groupBy("run").agg(F.count(F.lit(1)).alias("records"))
+    return spark.read.schema(f"{runs.METRIC}, run string").json(folder).groupBy("run").agg(F.count(F.lit(1)).alias("records"))
 
 
 @query("SELECT n_name AS run, CASE WHEN n_regionkey <> 2 THEN n_nationkey::DOUBLE END AS loss, n_regionkey = 2 AS missing FROM nation")

@@ -6,21 +6,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import format_duration, format_tokens, run_filename
+from lodestone.sources import files
 
 METRIC = "type string, split string, step long, max_steps long, tokens_seen long, target_tokens long, loss double, loss_ema double, learning_rate double, gradient_norm double, tokens_per_second double, step_seconds double, perplexity double, batches long, tokens_evaluated long"
 
 
+def _few_listings(spark: SparkSession) -> None:
+    """Folders are listed by tasks, up to 10,000 of them unless told otherwise, for a folder or a few each."""
+    name, most = "spark.sql.sources.parallelPartitionDiscovery.parallelism", 8 * spark.sparkContext.defaultParallelism
+    if int(spark.conf.get(name)) > most:
+        spark.conf.set(name, str(most))
+
+
 def scan_metrics(spark: SparkSession, root: str) -> DataFrame:
     """Records of all runs below a folder; `run` is the folder of the log."""
-    rows = spark.read.schema(METRIC).json(f"{root}/*/metrics.jsonl")
+    _few_listings(spark)
+    # Folders are listed by tasks; a pattern in the path would be followed on the driver.
+    rows = spark.read.schema(METRIC).option("recursiveFileLookup", True).option("pathGlobFilter", "metrics.jsonl").json(root)
     return rows.select(F.element_at(F.split(F.input_file_name(), "/"), -2).alias("run"), "*")
 
 
 def scan_configs(spark: SparkSession, root: str) -> DataFrame:
     """One row for each folder with config.json, its text as variant, and the summary's where there is one."""
+    _few_listings(spark)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "{config,summary}.json").load(root)  # listed once for both
+
     def texts(name: str, column: str) -> DataFrame:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", name).load(root)
-        return found.select(F.element_at(F.split("path", "/"), -2).alias("run"), F.try_parse_json(F.decode("content", "UTF-8")).alias(column))
+        return found.where(F.element_at(F.split("path", "/"), -1) == name).select(F.element_at(F.split("path", "/"), -2).alias("run"), F.try_parse_json(F.decode("content", "UTF-8")).alias(column))
 
     return texts("config.json", "config").join(texts("summary.json", "summary"), "run", "left")
 
@@ -34,12 +46,33 @@ def matrix_results(matrix: DataFrame, results: DataFrame) -> tuple[DataFrame, Da
 def run_table(log: DataFrame) -> DataFrame:
     """What a dashboard shows of each run."""
     train = log.where("type = 'train'").groupBy("run").agg(F.max_by("loss", "step").alias("loss"), F.max("tokens_seen").alias("tokens"), F.median("tokens_per_second").alias("tokens_per_second"), F.sum("step_seconds").alias("seconds"))
-    return train.select("run", run_filename(F.col("run")).alias("file"), "loss", "tokens", format_tokens(F.col("tokens")).alias("tokens_text"), "tokens_per_second", format_duration(F.col("seconds")).alias("time_text"))
+    return train.select("run", run_filename(F.col("run")).alias("file"), "loss", "tokens", format_tokens(F.col("tokens")).alias("tokens_text"), "tokens_per_second", "seconds", format_duration(F.col("seconds")).alias("time_text"))
+
+
+def _folder_of(run: str | None) -> str:
+    """The folder of a run as Spark names that of a partition."""
+    if not run:
+        return "run=__HIVE_DEFAULT_PARTITION__"
+    return "run=" + "".join(f"%{ord(c):02X}" if c < " " or c in "\"#%'*/:=?\\\x7f{[]^" else c for c in run)
 
 
 def export_dashboard(log: DataFrame, folder: str) -> None:
-    """One folder of JSON lines for each run."""
-    log.repartition("run").write.partitionBy("run").mode("overwrite").json(folder)
+    """One folder of JSON lines for each run, whose log is bounded by its steps.
+
+    Tasks write the files where they stay: a partitioned write of Spark's opens, moves and commits one for each run,
+    which takes ten times as long, in part on the driver."""
+    where, path = files.hadoop(log.sparkSession, folder)
+    where.delete(path, True)
+    where.mkdirs(path)
+
+    def write(batches):
+        for batch in batches:
+            for run, lines in zip(batch["run"], batch["lines"], strict=True):
+                files.write(f"{folder}/{_folder_of(run)}/part-00000.json", "".join(f"{x}\n" for x in lines).encode())
+            yield batch[["run"]]
+
+    lines = log.select("run", F.to_json(F.struct(*(c for c in log.columns if c != "run"))).alias("line")).groupBy("run").agg(F.collect_list("line").alias("lines"))
+    lines.mapInPandas(write, "run string").write.format("noop").mode("overwrite").save()
 
 
 def write_csv(table: DataFrame, folder: str) -> None:

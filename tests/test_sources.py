@@ -177,6 +177,23 @@ def test_runs(spark, tmp_path):
         runs.markdown(table, "T", 1)
 
 
+def test_exported_runs_are_one_file_each(spark, tmp_path):
+    """Written by tasks under the names that Spark reads partitions by; an export replaces the one before."""
+    names = ["r1", "a b", "50%", "x/y:z=1", "r[2]"]
+    for rows in ([(n, i) for n in ["gone", *names] for i in range(2)], [(n, i) for n in names for i in range(3)]):
+        runs.export_dashboard(spark.createDataFrame(rows, "run string, step long"), f"{tmp_path}/out")
+    assert sorted(f.name for folder in (tmp_path / "out").iterdir() for f in folder.iterdir()) == ["part-00000.json"] * 5
+    back = spark.read.schema("step long, run string").json(f"{tmp_path}/out")
+    assert sorted((r.run, r.n) for r in back.groupBy("run").agg(F.count("step").alias("n")).collect()) == sorted((n, 3) for n in names)
+
+
+def test_logs_of_runs_are_read_once(spark):
+    from lodestone.plans.pieces import run_folders
+
+    plan = run_folders(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" json") == 1
+
+
 def test_planned_runs_are_matched_with_results(spark, tmp_path):
     names = [c.split()[0] for c in jsonl.RUN_RESULTS.split(", ")]
     files.write(f"{tmp_path}/r.csv", (",".join(names) + "\nx,low,completed,5,9,9,1.5,4,1,2,1,1,67000,0.5,3\ny,low,failed,5,9,9,1.5,4,1,2,1,1,1,1,1\n").encode())
