@@ -135,3 +135,16 @@ def test_tokens_are_decoded_by_bounded_slices():
 
     rows = pd.Series([[1] * 100_000, None, [2] * 200_000, [], [3] * 300_000], dtype=object)
     assert list(_batches(rows)) == [(0, 2), (2, 4), (4, 5)] and list(_batches(rows[:0])) == []
+
+
+def test_each_distinct_piece_is_encoded_once():
+    import public_tokenizers
+
+    from lodestone.functions.tokenizers import Counter
+
+    counter, seen = Counter(public_tokenizers.path("byte_bpe_50k.json")), []
+    whole = counter.lengths
+    counter.lengths = lambda texts: seen.extend(texts) or whole(texts)
+    texts = ["one two one\n\ntwo", "", "two one  two"] * 50
+    assert counter.counts(texts) == [len(counter.model.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert len(seen) == len(set(seen))
