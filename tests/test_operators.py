@@ -190,6 +190,13 @@ def test_large_and_small_sets_of_frequent_words_meet(spark, monkeypatch):
     assert got == best_by_hand(rows, 5)
 
 
+def test_tasks_that_pair_fingerprints_are_not_put_together(spark):
+    """Spark would go by the bytes of the keys, not by the pairs that come of them."""
+    prints = spark.createDataFrame([(i, i % 7) for i in range(50)], "id long, fp long")
+    plan = near_dup.near_pairs(near_dup.classes(prints), 3)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
+
+
 def test_neighbours_are_a_sample_of_the_scope(spark):
     items = spark.createDataFrame([(f"i{i}", "a" if i < 300 else "b") for i in range(330)], "id string, split string")
     got = {}
