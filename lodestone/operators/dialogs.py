@@ -124,6 +124,8 @@ def _members(groups: DataFrame, keys: list[str], k: int) -> DataFrame:
 
 #: Steps of samples: an item takes every so-maniest of the others, by one that doesn't divide their number.
 STRIDES = [1_000_003, 1_000_033, 1_000_037, 1_000_039, 1_000_081, 1_000_099, 1_000_117, 1_000_121]
+#: Bytes of numbers and words of all items that are sent to every executor to be met there; of more, the items of each sample travel.
+SIDES_BYTES = 64 << 20
 #: Frequent words of a set whose subsets are listed, at most; sets of more are compared with all others that share a word.
 SUBSETS = 8
 
@@ -161,13 +163,24 @@ def numbered(items: DataFrame, scope: list[str]) -> DataFrame:
     return table(ring.join(names, [*scope, "name"]).drop("name").withColumnRenamed("_name", "name"), "items")
 
 
-def sampled(items: DataFrame, k: int) -> DataFrame:
+def sampled(items: DataFrame, k: int, sides_bytes: int | None = None) -> DataFrame:
     """items: `numbered`. Of each item's sample the k that share most words and the k that share fewest, each name once:
-    no, other_name, most and least (s: words shared, below zero in most; other), most_rank, least_rank."""
+    no, other_name, most and least (s: words shared, below zero in most; other), most_rank, least_rank.
+
+    Up to `sides_bytes` (SIDES_BYTES) the others come to the items, so that no row of a sample passes an exchange."""
     sides = items.select(F.col("no").alias("other"), F.col("name").alias("other_name"), F.col("words").alias("_words"))
-    pairs = _asked(items.select("no", "id", "first", "others", "name", "words"), k).drop("id", "first", "others").join(sides, "other").where("name != other_name")
+    asking = items.select("no", "id", "first", "others", "name", "words")
+    size = items.agg(F.sum(F.lit(64) + 8 * F.size("words"))).first()[0] or 0  # a row's fields and its entry in the hash table
+    few = size <= (SIDES_BYTES if sides_bytes is None else sides_bytes)
+    if few:  # a number of partitions is named, since Spark would go by the bytes of the items and let one task meet all samples
+        tasks = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        asking, sides = asking.repartition(tasks, "no"), F.broadcast(sides)
+    else:
+        sides = sides.hint("merge")
+    pairs = _asked(asking, k).drop("id", "first", "others").join(sides, "other").where("name != other_name")
+    each = pairs.select("no", "other", "other_name", F.size(F.array_intersect("words", "_words")).alias("overlap"))
     # One exchange by the item serves both what is grouped and what is ranked.
-    each = pairs.select("no", "other", "other_name", F.size(F.array_intersect("words", "_words")).alias("overlap")).repartition("no")
+    each = each if few else each.repartition("no")
     named = each.groupBy("no", "other_name").agg(F.min(F.struct((-F.col("overlap")).alias("s"), "other")).alias("most"), F.min(F.struct(F.col("overlap").alias("s"), "other")).alias("least"))
     ranked = named.withColumns({f"{c}_rank": F.row_number().over(Window.partitionBy("no").orderBy(f"{c}.s", f"{c}.other")) for c in ("most", "least")})
     return table(ranked.where((F.col("most_rank") <= k) | (F.col("least_rank") <= k)), "sampled")
@@ -228,13 +241,14 @@ def shared(items: DataFrame, k: int, frequent: int) -> DataFrame:
     stand = table(_members(in_sets.select("set", F.inline("members")), ["set"], spare), "stand")
     by_set = _by_sets(table(in_sets.groupBy("set").agg(F.first("hot").alias("hot")), "sets"), stand, spare)
     by_hot = by_set.join(in_sets.select("class", "set"), "set").select("class", "other", "other_name", "overlap")
-    best = _best(by_class.unionByName(own).unionByName(by_hot), ["class"], spare, F.col("overlap")).select("class", "other", "other_name", "overlap")
+    # One exchange by the class serves both what is grouped and what is ranked; so it does by the item in `_similar`.
+    best = _best(by_class.unionByName(own).unionByName(by_hot).repartition("class"), ["class"], spare, F.col("overlap")).select("class", "other", "other_name", "overlap")
     return keyed.select("no", "name", "class").join(best, "class").where("name != other_name").select("no", "other", "other_name", "overlap")
 
 
 def _similar(items: DataFrame, sample: DataFrame, k: int, frequent: int | None) -> DataFrame:
     filling = sample.where(F.col("most_rank") <= k).select("no", "most.other", "other_name", (-F.col("most.s")).alias("overlap"))
-    return _best(shared(items, k, frequent or FREQUENT).unionByName(filling), ["no"], k, F.col("overlap")).select("no", "other", "overlap", "rank")
+    return _best(shared(items, k, frequent or FREQUENT).unionByName(filling).repartition("no"), ["no"], k, F.col("overlap")).select("no", "other", "overlap", "rank")
 
 
 def _unlike(sample: DataFrame, k: int) -> DataFrame:

@@ -190,6 +190,24 @@ def test_large_and_small_sets_of_frequent_words_meet(spark, monkeypatch):
     assert got == best_by_hand(rows, 5)
 
 
+def shuffled(spark):
+    """Rows written to exchanges by each stage of the session."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return {s.stageId(): s.shuffleWriteRecords() for s in map(stages.apply, range(stages.size()))}
+
+
+def test_no_row_of_a_sample_passes_an_exchange(spark):
+    """300 items ask 100 others each: 30,000 rows, of which none travels where the items are few; the other way gives the same."""
+    r = random.Random(8)
+    rows = [(f"i{i}", f"n{i % 90}", r.sample([f"w{j}" for j in range(12)], 4), "a") for i in range(300)]
+    items = dialogs.numbered(spark.createDataFrame(rows, "id string, name string, words array<string>, split string"), ["split"])
+    before = shuffled(spark)
+    near = dialogs.sampled(items, 4)
+    assert 300 <= sum(n for stage, n in shuffled(spark).items() if stage not in before) < 2_000
+    assert sorted(map(str, near.collect())) == sorted(map(str, dialogs.sampled(items, 4, sides_bytes=0).collect()))
+
+
 def test_tasks_that_pair_fingerprints_are_not_put_together(spark):
     """Spark would go by the bytes of the keys, not by the pairs that come of them."""
     prints = spark.createDataFrame([(i, i % 7) for i in range(50)], "id long, fp long")
